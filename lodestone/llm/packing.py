@@ -30,20 +30,19 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _pieces(tokenizer_path: str, capacity: int, end_id: int):
-    end = int(end_id).to_bytes(4, "little")
-
     def cut_up(batches):
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
         enc = encoder(tokenizer_path)
+        end = int(end_id).to_bytes(int(enc.dtype[-1]), "little")
         seen: Counter = Counter()  # at most ``capacity`` keys
         for batch in batches:
             out = ([], [], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = enc.encode(text.as_py()) + end
-                for k, (a, n) in enumerate(cut_points(len(ids) // 4, capacity)):
-                    for column, value in zip(out, (doc_id, k, a, n, zlib.crc32(ids[4 * a : 4 * (a + n)]), seen[n])):
+                ids = np.frombuffer(enc.encode(text.as_py()) + end, enc.dtype).astype("<u4")
+                for k, (a, n) in enumerate(cut_points(len(ids), capacity)):
+                    for column, value in zip(out, (doc_id, k, a, n, zlib.crc32(ids[a : a + n]), seen[n])):
                         column.append(value)
                     seen[n] += 1
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())

@@ -2,7 +2,8 @@
 
 A dataset is a folder below the shared folder:
 
-    shard-00007.u32   little-endian unsigned 32-bit ids of the shard's documents, end to end
+    shard-00007.ids   little-endian unsigned ids of the shard's documents, end to end: 16 bits each
+                      where the vocabulary has at most 65,536 ids, else 32
     shard-00007.off   little-endian unsigned 64-bit offsets within the shard, one more than documents
     shard-00007.doc   the documents' ids as signed 64-bit integers, then a byte each: 1 if not null
     manifest.json     for each shard its documents, its tokens and its base, the prefix sum of the
@@ -28,7 +29,7 @@ from lodestone.llm.common import new_folder, ship, text_or_empty
 from lodestone.llm.tokenizing import encoder
 
 END_ID = 0
-_META = "shard int, docs long, tokens long, stem string"
+_META = "shard int, docs long, tokens long, stem string, dtype string"
 _READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Bytes of ids gathered before they are written out.
 _BLOCK = 8 << 20
@@ -41,8 +42,6 @@ def _fs(uri: str):
 
 
 def _write_shard(root: str, tokenizer_path: str, end_id: int):
-    end = int(end_id).to_bytes(4, "little")
-
     def write(batches):
         from pyspark import TaskContext
 
@@ -51,16 +50,18 @@ def _write_shard(root: str, tokenizer_path: str, end_id: int):
         stem = f"{at}/shard-{shard:05d}"
         trial = f"{stem}.{uuid.uuid4().hex}"
         enc = encoder(tokenizer_path)
+        width = int(enc.dtype[-1])
+        end = int(end_id).to_bytes(width, "little")
         offsets, ids, valid = [0], [], []
         held: list[bytes] = []
         size = 0
-        with files.open_output_stream(f"{trial}.u32") as out:
+        with files.open_output_stream(f"{trial}.ids") as out:
             for batch in batches:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     row = enc.encode(text.as_py()) + end
                     held.append(row)
                     size += len(row)
-                    offsets.append(offsets[-1] + len(row) // 4)
+                    offsets.append(offsets[-1] + len(row) // width)
                     ids.append(doc_id or 0)
                     valid.append(doc_id is not None)
                     if size >= _BLOCK:
@@ -68,14 +69,14 @@ def _write_shard(root: str, tokenizer_path: str, end_id: int):
                         held, size = [], 0
             out.write(b"".join(held))
         if not ids:
-            files.delete_file(f"{trial}.u32")
+            files.delete_file(f"{trial}.ids")
             return
         for kind, data in (("off", np.array(offsets, "<u8").tobytes()), ("doc", np.array(ids, "<i8").tobytes() + np.array(valid, "u1").tobytes())):
             with files.open_output_stream(f"{trial}.{kind}") as out:
                 out.write(data)
-        for kind in ("u32", "off", "doc"):  # a repeated attempt replaces equal bytes
+        for kind in ("ids", "off", "doc"):  # a repeated attempt replaces equal bytes
             files.move(f"{trial}.{kind}", f"{stem}.{kind}")
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "docs": pa.array([len(ids)], pa.int64()), "tokens": pa.array([offsets[-1]], pa.int64()), "stem": [f"shard-{shard:05d}"]})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "docs": pa.array([len(ids)], pa.int64()), "tokens": pa.array([offsets[-1]], pa.int64()), "stem": [f"shard-{shard:05d}"], "dtype": [enc.dtype]})
 
     return write
 
@@ -100,7 +101,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, root: str | None = N
     dealt = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
     shards = sorted(tuple(r) for r in dealt.mapInArrow(_write_shard(root, tokenizer_path, end_id), _META).collect())
     bases = [0, *accumulate(s[2] for s in shards)]
-    manifest = {"dtype": "<u4", "end_id": end_id, "tokens": bases[-1], "shards": [{"stem": s[3], "docs": s[1], "tokens": s[2], "base": b} for s, b in zip(shards, bases)]}
+    manifest = {"dtype": shards[0][4] if shards else None, "end_id": end_id, "tokens": bases[-1], "shards": [{"stem": s[3], "docs": s[1], "tokens": s[2], "base": b} for s, b in zip(shards, bases)]}
     with files.open_output_stream(f"{at}/manifest.json") as out:
         out.write(json.dumps(manifest).encode())
     return root
@@ -115,17 +116,17 @@ def read_manifest(root: str) -> dict:
 class Shard:
     """One shard: ids memory-mapped on a local or mounted disk, else read by range."""
 
-    def __init__(self, root: str, stem: str):
+    def __init__(self, root: str, stem: str, dtype: str):
         from pyarrow import fs
 
         self.files, at = _fs(root)
-        self.path = f"{at}/{stem}"
+        self.path, self.dtype = f"{at}/{stem}", np.dtype(dtype)
         self.offsets = np.frombuffer(self._all("off"), "<u8").astype(np.int64)
         n = len(self.offsets) - 1
         raw = self._all("doc")
         self.doc_ids = np.frombuffer(raw[: 8 * n], "<i8")
         self.valid = np.frombuffer(raw[8 * n :], "u1").astype(bool)
-        self.map = np.memmap(f"{self.path}.u32", dtype="<u4", mode="r") if isinstance(self.files, fs.LocalFileSystem) else None
+        self.map = np.memmap(f"{self.path}.ids", dtype=self.dtype, mode="r") if isinstance(self.files, fs.LocalFileSystem) else None
 
     def _all(self, kind: str) -> bytes:
         with self.files.open_input_stream(f"{self.path}.{kind}") as f:
@@ -135,15 +136,15 @@ class Shard:
         a, b = int(self.offsets[i]), int(self.offsets[i + 1])
         if self.map is not None:
             return self.map[a:b]
-        with self.files.open_input_file(f"{self.path}.u32") as f:
-            return np.frombuffer(f.read_at(4 * (b - a), 4 * a), "<u4")
+        with self.files.open_input_file(f"{self.path}.ids") as f:
+            return np.frombuffer(f.read_at(self.dtype.itemsize * (b - a), self.dtype.itemsize * a), self.dtype)
 
 
-def _digest_shards(root: str, step: int = 20_000):
+def _digest_shards(root: str, dtype: str, step: int = 20_000):
     def read(batches):
         for batch in batches:
             for stem, base in zip(batch.column("stem").to_pylist(), batch.column("base").to_pylist()):
-                shard = Shard(root, stem)
+                shard = Shard(root, stem, dtype)
                 n = len(shard.offsets) - 1
                 for a in range(0, n, step):
                     b = min(n, a + step)
@@ -152,7 +153,7 @@ def _digest_shards(root: str, step: int = 20_000):
                             "doc_id": pa.array(shard.doc_ids[a:b], pa.int64(), mask=~shard.valid[a:b]),
                             "start": pa.array(base + shard.offsets[a:b], pa.int64()),
                             "n_tokens": pa.array(np.diff(shard.offsets[a : b + 1]), pa.int64()),
-                            "ids_crc32": pa.array([zlib.crc32(shard.ids(i)) for i in range(a, b)], pa.int64()),
+                            "ids_crc32": pa.array([zlib.crc32(shard.ids(i).astype("<u4")) for i in range(a, b)], pa.int64()),
                         }
                     )
 
@@ -162,7 +163,8 @@ def _digest_shards(root: str, step: int = 20_000):
 def token_file_digests(spark: SparkSession, root: str) -> DataFrame:
     """One row a document, read back from the files: doc_id, start, n_tokens, ids_crc32."""
     ship(spark)
-    shards = [(s["stem"], s["base"]) for s in read_manifest(root)["shards"]]
+    manifest = read_manifest(root)
+    shards = [(s["stem"], s["base"]) for s in manifest["shards"]]
     if not shards:
         return spark.createDataFrame([], _READ)
-    return spark.createDataFrame(shards, "stem string, base long").repartition(len(shards)).mapInArrow(_digest_shards(root), _READ)
+    return spark.createDataFrame(shards, "stem string, base long").repartition(len(shards)).mapInArrow(_digest_shards(root, manifest["dtype"]), _READ)

@@ -7,7 +7,7 @@ import sys
 from array import array
 
 #: The Unicode White_Space characters, at which the pre-tokenizer's pattern splits.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680))) + f"{chr(0x2000)}-{chr(0x200A)}" + "".join(map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _RUN = re.compile(f"[{WHITE}]{{2}}")
 _CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Marks that the pre-tokenizer groups into one token after letters.
@@ -37,14 +37,16 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        #: Ids are packed as narrow as the vocabulary allows.
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self._code = {"<u2": "H", "<u4": "I"}[self.dtype]
         self.letters = _byte_letters()
         self.max_entries = max_entries
         self.after_space: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
 
-    @staticmethod
-    def _pack(ids) -> bytes:
-        packed = array("I", ids)
+    def _pack(self, ids) -> bytes:
+        packed = array(self._code, ids)
         if sys.byteorder == "big":
             packed.byteswap()
         return packed.tobytes()
@@ -88,7 +90,7 @@ class ChunkEncoder:
         return ids
 
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; a null or empty text has none."""
+        """Ids as little-endian unsigned integers of ``dtype``; a null or empty text has none."""
         if not text:
             return b""
         if len(self.after_space) + len(self.plain) > self.max_entries:
