@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, packing, simhash, token_files
+from lodestone.llm import exact_dedup, licenses, packing, secrets, simhash, token_files
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -25,6 +25,22 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def _is(value: str):
+    return lambda x: x == F.lit(value)
+
+
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
+    counts = [F.size(F.filter(F.transform("spans", lambda s: s["kind"]), _is(k))).cast("long").alias(f"n_{k}") for k in secrets.BASE]
+    live = F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live")
+    return found.select("doc_id", *counts, F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list("spans").alias("spans"), live)
+
+
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
@@ -55,7 +71,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op6_simhash_near_dedup, op8_exact_dedup, op9_token_files)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scans, op3_license_scans, op6_simhash_near_dedup, op8_exact_dedup, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
