@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, licenses, packing, secrets, simhash, token_files
+from lodestone.llm import exact_dedup, lattice, licenses, packing, secrets, simhash, token_files
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -70,9 +70,32 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(spark, root)
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: Brute force over all pairs; lattice hashing misses none of them on these tables (see the README).
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (
+  SELECT vec_id, vec_id AS reached FROM v
+  UNION
+  SELECT r.vec_id, l.b FROM r JOIN l ON r.reached = l.a)
+SELECT v.vec_id,
+       (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links,
+       (SELECT min(reached) FROM r WHERE r.vec_id = v.vec_id) AS component_id,
+       (SELECT min(reached) FROM r WHERE r.vec_id = v.vec_id) = v.vec_id AS kept
+FROM v
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scans, op3_license_scans, op6_simhash_near_dedup, op8_exact_dedup, op9_token_files)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scans, op3_license_scans, op6_simhash_near_dedup, op8_exact_dedup, op9_token_files, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op8_exact_dedup": OP8_SQL, "op10_embedding_near_dedup": OP10_SQL}
