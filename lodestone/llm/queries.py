@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, lattice, licenses, packing, secrets, simhash, token_files
+from lodestone.llm import exact_dedup, lattice, licenses, packing, pieces, secrets, simhash, token_files, toxicity, wordpiece
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -41,11 +41,27 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def toxicity_chain(spark: SparkSession, sf_dir: str) -> toxicity.Chain:
+    return toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), toxicity_chain(spark, sf_dir))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), keep_ids=False)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -94,7 +110,21 @@ FROM v
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scans, op3_license_scans, op6_simhash_near_dedup, op8_exact_dedup, op9_token_files, op10_embedding_near_dedup)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_best_fit_packing,
+            op2_secret_scans,
+            op3_license_scans,
+            op4_toxicity,
+            op5_token_counts,
+            op6_simhash_near_dedup,
+            op7_sentencepiece,
+            op8_exact_dedup,
+            op9_token_files,
+            op10_embedding_near_dedup,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
