@@ -87,3 +87,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         found = found.join(unequal, "digest", "left_anti").unionByName(again)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("locator") == F.col("keep_locator"))
     return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest", "locator")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with their columns as they were: one of each group of equal texts.
+
+    What goes is told by id and content locator.  A survivor that occurs as several rows with an
+    equal id and text is one row afterwards: the groups' own counts show which those are, and only
+    those rows are made distinct.
+    """
+    found = exact_duplicates(docs, id_col, text_col)
+    found = found.select(F.col("doc_id").alias("at_id"), F.col("locator").alias("at_text"), "kept")
+    rows = found.groupBy("at_id", "at_text").agg(F.count("*").alias("rows"), F.max("kept").alias("stays"))
+    other = stored(rows.where("rows > 1 or not stays"), "exact-dedup-other")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("at_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("at_text"))
+    once = docs.join(other, same, "left_anti")
+    several = other.where("stays")
+    if several.isEmpty():
+        return once
+    return once.unionByName(docs.join(several, same, "left_semi").dropDuplicates([id_col, text_col]))

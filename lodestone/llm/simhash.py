@@ -138,3 +138,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 def fingerprint_hex(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows whose id is their component's smallest, with their columns as they were.
+
+    Rows with a null id stay.  Ids are taken as unique, as after exact de-duplication.
+    """
+    found = near_duplicates(docs, radius, shingle, id_col, text_col)
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "simhash-gone")
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col("gone_id"), "left_anti")
