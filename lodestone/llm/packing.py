@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from lodestone.llm.tokenizing import encoder
 CAPACITY = 2048
 END_ID = 0
 #: Improving exchanges tried before the search stops; it bounds effort, never rows.
-MAX_EXCHANGES = 20_000
+MAX_EXCHANGES = 400
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -133,29 +134,31 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Bins:
     return bins
 
 
+@lru_cache(maxsize=10_000)
+def _choices(pattern: tuple) -> tuple[list, list]:
+    """A pattern's distinct items, and pairs of items, with their sums, largest first."""
+    pairs = {(a + b, (a, b)) for i, a in enumerate(pattern) for b in pattern[i + 1 :]}
+    return [(x, (x,)) for x in sorted(set(pattern), reverse=True)], sorted(pairs, reverse=True)
+
+
 def _exchange(donor: tuple, other: tuple, room: int, gap: int):
     """Items (out of the donor, out of the other) whose exchange raises the sum of squared fills most.
 
     Moving ``d`` tokens net from the donor (fill g less than the other by ``gap``) to the other
     changes the sum by 2d(gap + d), which is positive where d > 0 and d > -gap.
     """
-    mine, theirs = sorted(set(donor), reverse=True), sorted(set(other), reverse=True)
-    pairs = sorted({(a + b, a, b) for i, a in enumerate(donor) for b in donor[i + 1 :]}, reverse=True)
-    their_pairs = sorted({(a + b, a, b) for i, a in enumerate(other) for b in other[i + 1 :]}, reverse=True)
     best, best_d = None, max(0, -gap)
-    options = [(x, (x,)) for x in mine] + [(s, (a, b)) for s, a, b in pairs]
-    returns = [(0, ())] + [(y, (y,)) for y in theirs]
-    for size, out in options:
-        for back, into in returns:
-            if not best_d < size - back <= room:
-                continue
-            if len(out) == 2 and not into:
-                continue
-            best, best_d = (out, into), size - back
-        if len(out) == 1:
-            for back, a, b in their_pairs:
+    mine, my_pairs = _choices(donor)
+    theirs, their_pairs = _choices(other)
+    for give, take in ((mine, [(0, ())]), (mine, theirs), (my_pairs, theirs), (mine, their_pairs)):
+        for size, out in give:
+            if size <= best_d:
+                break
+            for back, into in take:
                 if best_d < size - back <= room:
-                    best, best_d = (out, (a, b)), size - back
+                    best, best_d = (out, into), size - back
+                if best_d == room:
+                    return best
     return best
 
 

@@ -8,7 +8,9 @@ from array import array
 
 #: The Unicode White_Space characters, at which the pre-tokenizer's pattern splits.
 WHITE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680))) + f"{chr(0x2000)}-{chr(0x200A)}" + "".join(map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_RUN = re.compile(f"[{WHITE}]{{2}}")
+#: White space other than a space and a line feed, and runs of those two.
+_OTHER = [c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c) and c not in " \n"]
+_RUNS = ("  ", " \n", "\n ", "\n\n", *_OTHER)
 _CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Marks that the pre-tokenizer groups into one token after letters.
 _TAIL = ",.;:!?|"
@@ -31,7 +33,7 @@ class ChunkEncoder:
     bounded.  The special token's string in a text is ordinary text.
     """
 
-    def __init__(self, path: str, max_entries: int = 1_000_000):
+    def __init__(self, path: str, max_entries: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,7 +58,8 @@ class ChunkEncoder:
 
     def _word(self, chunk: str) -> bytes:
         """A chunk that the pre-tokenizer keeps whole: the model alone gives the same ids."""
-        return self._pack([t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.letters))])
+        mapped = chunk.replace(" ", self.letters[32]) if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.letters)
+        return self._pack([t.id for t in self.model.tokenize(mapped)])
 
     def _new(self, lead: str, part: str) -> bytes:
         core = part.rstrip(_TAIL)
@@ -96,7 +99,7 @@ class ChunkEncoder:
         if len(self.after_space) + len(self.plain) > self.max_entries:
             self.after_space.clear()
             self.plain.clear()
-        if _RUN.search(text):
+        if any([run in text for run in _RUNS]):  # each is a search at memory speed
             return b"".join([self._spaced([c[1:]]) if c[0] == " " and c[1:2] not in ("", "\n") else self._one(c) for c in _CHUNK.findall(text)])
         # No two white-space characters meet, so a chunk starts at each space and line end; a chunk
         # after a line end keeps it, which tells the two kinds apart in one table.
