@@ -1,0 +1 @@
+"""A Spark-native engine for embedding retrieval and occurrence curation."""
