@@ -62,7 +62,7 @@ def geo_cell(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH u AS (SELECT vec_id, [x::DOUBLE / greatest(sqrt(list_sum([y::DOUBLE * y::DOUBLE FOR y IN embedding])), 1e-8) FOR x IN embedding] AS e FROM embeddings)
-SELECT vec_id, round(e[1], 6) AS first, round(e[64], 6) AS last, round(list_sum(e), 6) AS total FROM u""")
+SELECT vec_id, round(e[1], 6) + 0 AS first, round(e[64], 6) + 0 AS last, round(list_sum(e), 6) + 0 AS total FROM u""")
 def l2_normalise(spark: SparkSession, d: str) -> DataFrame:
     unit = table(spark, d, "embeddings").select("vec_id", V.l2_normalise(V.doubles(F.col("embedding"))).alias("e"))
     return unit.select("vec_id", F.round(F.get("e", F.lit(0)), 6).alias("first"), F.round(F.get("e", F.lit(63)), 6).alias("last"), F.round(F.aggregate("e", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
@@ -74,7 +74,7 @@ def abstain_flag(spark: SparkSession, d: str) -> DataFrame:
     return best.select("query_id", (F.col("sim") < 0.1).alias("abstain"), F.round(X.clamp(F.col("sim"), 0.0, 1.0), 2).alias("shown"))
 
 
-@query(f"WITH {SIMS} SELECT query_id, class_idx, round(sim, 4) AS sim FROM sims")
+@query(f"WITH {SIMS} SELECT query_id, class_idx, round(sim, 4) + 0 AS sim FROM sims")
 def all_pairs_cosine(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d).select("query_id", "class_idx", V.reported(F.col("sim")).alias("sim"))
 
@@ -98,24 +98,24 @@ def geo_index_nested(spark: SparkSession, d: str) -> DataFrame:
     return nested.select("slug", F.size("cells").cast("long").alias("n_cells"), text.alias("cells"))
 
 
-@query(f"WITH {SIMS} SELECT class_idx, generate_subscripts(proto, 1) - 1 AS dim, round(unnest(proto), 6) AS x FROM p")
+@query(f"WITH {SIMS} SELECT class_idx, generate_subscripts(proto, 1) - 1 AS dim, round(unnest(proto), 6) + 0 AS x FROM p")
 def class_prototypes(spark: SparkSession, d: str) -> DataFrame:
     protos = R.prototypes(_folds(spark, d)[0])
     return protos.select("class_idx", F.posexplode("proto").alias("dim", "x")).select("class_idx", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
 
 
-@query(f"WITH {_RANKS} SELECT query_id, class_idx, rank, round(sim, 4) AS similarity FROM ranks WHERE rank <= 3")
+@query(f"WITH {_RANKS} SELECT query_id, class_idx, rank, round(sim, 4) + 0 AS similarity FROM ranks WHERE rank <= 3")
 def topk_nearest(spark: SparkSession, d: str) -> DataFrame:
     train, val = _folds(spark, d)
     return R.top_k(val, R.prototypes(train)).select("query_id", "class_idx", F.col("rank").cast("long").alias("rank"), V.reported(F.col("sim")).alias("similarity"))
 
 
-@query(f"WITH {_GEO} SELECT query_id, class_idx, rank, round(sim, 4) AS similarity, in_range AND rank < raw_rank AS geo_boosted, geo_filtered FROM rr WHERE rank <= 3")
+@query(f"WITH {_GEO} SELECT query_id, class_idx, rank, round(sim, 4) + 0 AS similarity, in_range AND rank < raw_rank AS geo_boosted, geo_filtered FROM rr WHERE rank <= 3")
 def geo_rerank(spark: SparkSession, d: str) -> DataFrame:
     return _reranked(spark, d).where("rank <= 3").select("query_id", "class_idx", F.col("rank").cast("long").alias("rank"), V.reported(F.col("sim")).alias("similarity"), "geo_boosted", "geo_filtered")
 
 
-@query(f"WITH {_TRUTH} SELECT query_id, label, rank, round(sim, 4) AS sim FROM truth")
+@query(f"WITH {_TRUTH} SELECT query_id, label, rank, round(sim, 4) + 0 AS sim FROM truth")
 def rank_of_truth(spark: SparkSession, d: str) -> DataFrame:
     return _ranks(spark, d).select("query_id", "label", F.col("rank").cast("long").alias("rank"), V.reported(F.col("sim")).alias("sim"))
 
@@ -147,7 +147,7 @@ def _signals(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("correct", R.known_correct(F.col("top1"), known))
 
 
-@query(f"WITH {_SIGNALS} SELECT query_id, top1, round(max_sim, 4) AS max_sim, round(top2_sim, 4) AS top2_sim, round(max_sim - top2_sim, 4) AS gap, correct FROM k")
+@query(f"WITH {_SIGNALS} SELECT query_id, top1, round(max_sim, 4) + 0 AS max_sim, round(top2_sim, 4) + 0 AS top2_sim, round(max_sim - top2_sim, 4) + 0 AS gap, correct FROM k")
 def calibration_signals(spark: SparkSession, d: str) -> DataFrame:
     return _signals(spark, d).select("query_id", "top1", *[F.round(c, 4).alias(c) for c in ("max_sim", "top2_sim", "gap")], "correct")
 
