@@ -99,12 +99,16 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     clear = docs.where(~text.rlike(_ANCHORS)).select(F.col(id_col).alias("doc_id"), n_words)
     words = F.regexp_extract_all(F.translate(text, ascii_uppercase, ascii_lowercase), F.lit(WORD), 0)
     base = F.array(*[F.struct(F.lit(label).alias("label"), _places(F.col("words"), p).alias("starts")) for p, label in BASE_PHRASES.items()])
-    held = docs.where(text.rlike(_ANCHORS)).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words.alias("words"))
-    held = stored(held.select("*", base.alias("base")), "license-candidates")
     idf, postings = rare_index(*document_frequencies(docs, text_col))
     weight = F.create_map(*[F.lit(x) for w, v in idf.items() for x in (w, v)])
-    mine = F.slice(F.array_sort(F.transform(F.array_intersect("words", F.array(*[F.lit(w) for w in _VOCABULARY])), lambda w: F.named_struct(F.lit("low"), -F.element_at(weight, w), F.lit("word"), w))), 1, FILE_WORDS)
-    chosen = held.select("row", F.posexplode("words").alias("at", "word"), F.transform(mine, lambda s: s["word"]).alias("mine")).where(F.array_contains("mine", F.col("word"))).select("row", "at", "word")
+    known = F.array_intersect("words", F.array(*[F.lit(w) for w in _VOCABULARY]))
+    by_idf = F.array_sort(F.transform(known, lambda w: F.named_struct(F.lit("low"), -F.element_at(weight, w), F.lit("word"), w)))
+    mine = F.transform(F.slice(by_idf, 1, FILE_WORDS), lambda s: s["word"])
+    held = docs.where(text.rlike(_ANCHORS)).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words.alias("words"))
+    held = stored(held.select("*", base.alias("base"), mine.alias("mine")), "license-candidates")
+    # only licence words leave the array; a long text's other words are never rows
+    hits = F.filter(F.transform("words", lambda w, i: F.named_struct(F.lit("at"), i, F.lit("word"), w)), lambda s: F.array_contains("mine", s["word"]))
+    chosen = held.select("row", F.explode(hits).alias("h")).select("row", "h.at", "h.word")
     index = spark.createDataFrame(postings, "word string, template int, place int, weight double")
     agreed = chosen.join(F.broadcast(index), "word").groupBy("row", "template", (F.col("at") - F.col("place")).alias("offset")).agg(F.sum("weight").alias("share"))
     agreed = agreed.where(F.col("share") >= AGREE)
@@ -122,22 +126,3 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = held.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), "base").join(per_row, "row", "left").drop("row")
     kinds = {f.name: f.dataType for f in out.schema.fields}
     return clear.select("doc_id", "n_words", F.lit(None).cast(kinds["base"]).alias("base"), F.lit(None).cast(kinds["aligned"]).alias("aligned")).unionByName(out)
-
-
-def digest(found: DataFrame) -> DataFrame:
-    """The contract's columns."""
-    starts = F.flatten(F.transform("base", lambda b: b["starts"]))
-    base = F.array_sort(F.array_distinct(F.transform(F.filter("base", lambda b: F.size(b["starts"]) > 0), lambda b: b["label"])))
-    none = F.array().cast("array<string>")
-    more = F.coalesce(F.transform("aligned", lambda a: a["label"]), none)
-    score = F.coalesce(F.array_max(F.transform("aligned", lambda a: a["score"])), F.lit(0.0))
-    return found.select(
-        "doc_id",
-        "n_words",
-        F.coalesce(F.size(starts), F.lit(0)).cast("long").alias("n_base"),
-        F.array_min(starts).cast("long").alias("first_word"),
-        F.array_max(starts).cast("long").alias("last_word"),
-        F.array_join(F.coalesce(base, none), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat(F.coalesce(base, none), more))), ",").alias("labels"),
-        score.alias("score"),
-    )

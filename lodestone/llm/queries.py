@@ -29,16 +29,39 @@ def _is(value: str):
     return lambda x: x == F.lit(value)
 
 
-def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+def secret_digest(found: DataFrame) -> DataFrame:
+    """The contract's columns, and how many spans are live."""
     base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
     counts = [F.size(F.filter(F.transform("spans", lambda s: s["kind"]), _is(k))).cast("long").alias(f"n_{k}") for k in secrets.BASE]
     live = F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live")
     return found.select("doc_id", *counts, F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list("spans").alias("spans"), live)
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def license_digest(found: DataFrame) -> DataFrame:
+    """The contract's columns."""
+    starts = F.flatten(F.transform("base", lambda b: b["starts"]))
+    base = F.array_sort(F.array_distinct(F.transform(F.filter("base", lambda b: F.size(b["starts"]) > 0), lambda b: b["label"])))
+    none = F.array().cast("array<string>")
+    more = F.coalesce(F.transform("aligned", lambda a: a["label"]), none)
+    score = F.coalesce(F.array_max(F.transform("aligned", lambda a: a["score"])), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.coalesce(F.size(starts), F.lit(0)).cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        F.array_join(F.coalesce(base, none), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(F.coalesce(base, none), more))), ",").alias("labels"),
+        score.alias("score"),
+    )
+
+
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+    return license_digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
 
 def toxicity_chain(spark: SparkSession, sf_dir: str) -> toxicity.Chain:
