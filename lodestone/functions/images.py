@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The channel means and deviations of the network's input.
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
@@ -97,7 +98,7 @@ def blur(pixels: np.ndarray, longest: int = 512) -> float | None:
     return float(np.var(lap))
 
 
-@F.pandas_udf("width int, height int, has_exif boolean")
+@F.pandas_udf(T.StructType().add("width", T.IntegerType()).add("height", T.IntegerType()).add("has_exif", T.BooleanType()))
 def inspect_image(content: pd.Series) -> pd.DataFrame:
     """Size and EXIF flag; nulls where the bytes cannot be decoded (see ``curate.image_status``)."""
     rows = []
@@ -110,7 +111,7 @@ def inspect_image(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["width", "height", "has_exif"]).astype({"width": "Int32", "height": "Int32", "has_exif": "boolean"})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def blur_score(content: pd.Series) -> pd.Series:
     def one(data):
         try:
@@ -124,7 +125,7 @@ def blur_score(content: pd.Series) -> pd.Series:
 def preprocess(size: int = 380):
     """A UDF from bytes to the network's input: RGB, resized, normalised, channels first, flat."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(content: pd.Series) -> pd.Series:
         def one(data):
             try:
@@ -141,7 +142,7 @@ def preprocess(size: int = 380):
 def embedder(load_model):
     """A UDF from network input to an embedding; the model is loaded once a worker."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_model()
         for inputs in batches:
