@@ -16,11 +16,14 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def plain(x):
-    if isinstance(x, (float, np.floating)):
-        return None if x != x else f"{x + 0:.6g}"
+    """Pandas holds whole numbers with nulls as floats."""
+    if x is None or x != x:
+        return None
     if isinstance(x, (bool, np.bool_)):
         return bool(x)
-    return int(x) if isinstance(x, (int, np.integer)) else str(x)
+    if isinstance(x, (int, np.integer)) or isinstance(x, (float, np.floating)) and float(x).is_integer():
+        return int(x)
+    return f"{x:.6g}" if isinstance(x, (float, np.floating)) else str(x)
 
 
 def table(df):
