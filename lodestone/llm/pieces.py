@@ -39,7 +39,13 @@ class UnigramPieces:
         plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.of_byte = {i: b for b, i in self.bytes.items()}
         self.score = {self.strings[i]: (model.get_score(i), i) for i in plain}
-        self.longest = max(map(len, self.score))
+        #: The pieces spelled backwards as a trie: dicts by character, the piece under "".
+        self.backwards: dict = {}
+        for piece, found in self.score.items():
+            node = self.backwards
+            for ch in reversed(piece):
+                node = node.setdefault(ch, {})
+            node[""] = found
         self.unknown = min(s for s, _ in self.score.values()) - UNKNOWN
         self.unknown_id = model.unk_id()
         inner = [p for p in self.score if MARK in p.lstrip(MARK)]
@@ -54,7 +60,7 @@ class UnigramPieces:
         Sorted words are a trie read depth first: the stacks hold the forward scores of the
         current path, and a word keeps those of the prefix it shares with the word before.
         """
-        score, longest, unknown = self.score, self.longest, self.unknown
+        score, unknown, backwards = self.score, self.unknown, self.backwards
         best, back = [0.0], [(0, -1)]
         path = ""
         for word in sorted(words):
@@ -65,14 +71,17 @@ class UnigramPieces:
                 shared += 1
             del best[shared + 1 :], back[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
-                top, via = None, None
-                for j in range(max(0, i - longest), i):  # ties: the longest last piece
-                    found = score.get(word[j:i])
-                    if found is not None:
-                        s = best[j] + found[0]
-                        if top is None or s > top:
-                            top, via = s, (j, found[1])
-                if word[i - 1 : i] not in score:
+                top, via, node = None, None, backwards
+                for j in range(i - 1, -1, -1):
+                    node = node.get(word[j])
+                    if node is None:
+                        break
+                    if "" in node:
+                        s, piece = node[""]
+                        s += best[j]
+                        if top is None or s >= top:  # ties: the longest last piece
+                            top, via = s, (j, piece)
+                if word[i - 1] not in score:
                     s = best[i - 1] + unknown
                     if top is None or s > top:
                         top, via = s, (i - 1, -1)
@@ -118,7 +127,7 @@ class UnigramPieces:
         """The text of a sequence of ids; byte pieces are joined and decoded as UTF-8."""
         readable = self.readable
         try:
-            text = "".join([readable[i] for i in ids])
+            text = "".join(map(readable.__getitem__, ids))
         except TypeError:  # None stands for a byte piece
             text = b"".join([bytes([self.of_byte[i]]) if i in self.of_byte else readable[i].encode() for i in ids]).decode("utf-8", "replace")
         text = text.replace(MARK, " ")
