@@ -111,7 +111,7 @@ def _counter(model_file: str):
                 try:
                     counts = [known[w] for w in found]
                 except KeyError:
-                    for w in set(found) - known.keys():
+                    for w in [w for w in set(found) if w not in known]:
                         known[w] = match.count(w)
                     counts = [known[w] for w in found]
                 none = counts.count(0)
