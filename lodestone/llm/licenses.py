@@ -43,6 +43,15 @@ _ANCHORS = _bounded({max(p.split(), key=len) for p in [*BASE_PHRASES, *(t[2] for
 _VOCABULARY = sorted({w for t in TEMPLATES for w in words_of(t[1])})
 
 
+def templates() -> list[tuple[int, str, str, str, int]]:
+    """(number, label, notice, key phrase, word at which the phrase starts in the notice)."""
+    out = []
+    for t, (label, notice, key) in enumerate(TEMPLATES):
+        words, parts = words_of(notice), words_of(key)
+        out.append((t, label, notice, key, next(i for i in range(len(words)) if words[i : i + len(parts)] == parts)))
+    return out
+
+
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int, dict[str, int]]:
     """How many documents there are and, for each word of the templates, how many hold it.
 
@@ -112,7 +121,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     index = spark.createDataFrame(postings, "word string, template int, place int, weight double")
     agreed = chosen.join(F.broadcast(index), "word").groupBy("row", "template", (F.col("at") - F.col("place")).alias("offset")).agg(F.sum("weight").alias("share"))
     agreed = agreed.where(F.col("share") >= AGREE)
-    keys = [(t, label, words_of(key), next(i for i in range(10_000) if words_of(whole)[i : i + len(words_of(key))] == words_of(key))) for t, (label, whole, key) in enumerate(TEMPLATES)]
+    keys = [(t, label, words_of(key), at) for t, label, _, key, at in templates()]
     aligned = agreed.join(held.select("row", "words"), "row")
     holds = F.lit(False)
     label = F.lit(None).cast("string")

@@ -82,10 +82,37 @@ def license_digest(found: DataFrame) -> DataFrame:
         F.array_max(starts).cast("long").alias("last_word"),
         F.array_join(F.coalesce(base, none), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(F.coalesce(base, none), more))), ",").alias("labels"),
-        score.alias("score"),
+        F.round(score, 6).alias("score"),
     )
 
 
+def _op3_sql() -> str:
+    """The same in SQL, with the templates and phrases as constants."""
+    text = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    rows = ", ".join(f"({t}, '{label}', {text(licenses.words_of(notice))}, {text(licenses.words_of(key))}, {at})" for t, label, notice, key, at in licenses.templates())
+    phrases = ", ".join(f"({text(p.split() + [''] * (3 - len(p.split())))}, '{label}')" for p, label in licenses.BASE_PHRASES.items())
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+tpl(t, label, words, key, kat) AS (VALUES {rows}),
+ph(p, label) AS (VALUES {phrases}),
+occ AS (SELECT doc_id, word, spot, lead(word, 1, '') OVER x AS w1, lead(word, 2, '') OVER x AS w2
+  FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS spot FROM d) WINDOW x AS (PARTITION BY doc_id ORDER BY spot)),
+b AS (SELECT doc_id, label, spot FROM occ JOIN ph ON word = p[1] AND w1 = p[2] AND (p[3] = '' OR w2 = p[3])),
+pos AS (SELECT t, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS place FROM tpl),
+df AS (SELECT word, count(DISTINCT doc_id) AS df FROM occ WHERE word IN (SELECT word FROM pos) GROUP BY 1),
+idf AS (SELECT word, ln((n + 1) / (coalesce(df, 0) + 1)) + 1e-6 AS idf FROM (SELECT DISTINCT word FROM pos) LEFT JOIN df USING (word), (SELECT count(*) AS n FROM d)),
+rare AS (SELECT t, word, place, idf FROM pos JOIN idf USING (word) QUALIFY row_number() OVER (PARTITION BY t ORDER BY idf DESC, place) <= {licenses.TEMPLATE_WORDS}),
+post AS (SELECT t, word, place, idf / sum(idf) OVER (PARTITION BY t) AS weight FROM rare),
+mine AS (SELECT doc_id, word FROM (SELECT DISTINCT doc_id, word FROM occ) JOIN idf USING (word) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, word) <= {licenses.FILE_WORDS}),
+agreed AS (SELECT doc_id, t, spot - place AS o, sum(weight) AS share FROM occ JOIN mine USING (doc_id, word) JOIN post USING (word) GROUP BY 1, 2, 3 HAVING sum(weight) >= {licenses.AGREE}),
+good AS (SELECT doc_id, label, least(share, 1.0) AS share FROM agreed JOIN d USING (doc_id) JOIN tpl USING (t) WHERE o + kat >= 0 AND list_slice(w, o + kat + 1, o + kat + len(key)) = key),
+base AS (SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY 1),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION ALL SELECT doc_id, label FROM good) GROUP BY 1),
+best AS (SELECT doc_id, max(share) AS score FROM good GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0), 6)::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id)"""
+
+
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
@@ -177,4 +204,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scans": _op2_sql(), "op8_exact_dedup": OP8_SQL, "op10_embedding_near_dedup": OP10_SQL}
+    return {"op2_secret_scans": _op2_sql(), "op3_license_scans": _op3_sql(), "op8_exact_dedup": OP8_SQL, "op10_embedding_near_dedup": OP10_SQL}
