@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.storage import cut
+
 
 def _cols(names) -> list:
     return [names] if isinstance(names, (str, Column)) else list(names)
@@ -83,21 +85,37 @@ def diverse_sample(df: DataFrame, group: str, order, cap: int, target: int) -> D
     return first_per_key(df, group, order, cap).orderBy(*_cols(order)).limit(target)
 
 
-def every_nth_split(df: DataFrame, order, n: int = 5) -> DataFrame:
-    """Rows 0, n, 2n ... of the whole order are "val", the others "train".
+def running_total(df: DataFrame, order, value: Column, name: str) -> DataFrame:
+    """With the sum of ``value`` over all rows before each row in order.
 
-    The counter runs over all rows without bringing them into one task: rows are dealt by ranges of
-    the order, each range counts its own, and a prefix sum over ranges gives where it starts.
+    Nothing meets in one task: rows are dealt by ranges of the order and kept in the shared folder,
+    each range adds up its own, and a prefix sum over ranges (a row each) gives where it starts.
     """
     order = _cols(order)
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id())
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    # one row a partition; the window below sees no data rows
-    before = counts.select(F.col("_range"), (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    numbered = ranged.withColumn("_nth", nth).join(F.broadcast(before), "_range")
-    val = (F.col("_before") + F.col("_nth")) % n == 0
-    return numbered.withColumn("split", F.when(val, "val").otherwise("train")).drop("_range", "_before", "_nth")
+    ranged = cut(df.withColumn("_v", value).repartitionByRange(*[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy("_range").agg(F.sum("_v").alias("_s"))
+    before = sums.select("_range", (F.sum("_s").over(Window.orderBy("_range")) - F.col("_s")).alias("_before"))
+    own = F.sum("_v").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_v")
+    numbered = ranged.withColumn("_own", own).join(F.broadcast(before), "_range")  # a row a partition
+    return numbered.withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_before", "_own", "_v")
+
+
+def every_nth_split(df: DataFrame, order, n: int = 5) -> DataFrame:
+    """Rows 0, n, 2n ... of the whole order are "val", the others "train"."""
+    numbered = running_total(df, order, F.lit(1).cast("long"), "_nth")
+    return numbered.withColumn("split", F.when(F.col("_nth") % n == 0, "val").otherwise("train")).drop("_nth")
+
+
+def page(df: DataFrame, order, offset: int, size: int) -> DataFrame:
+    return df.orderBy(*_cols(order)).offset(offset).limit(size)
+
+
+def pinned(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of a pinned split; none at all is an error, not an empty evaluation."""
+    found = df.join(keys.select(key).distinct(), key, "left_semi")
+    if found.isEmpty():
+        raise ValueError("no row has a pinned key")
+    return found
 
 
 def random_split(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:

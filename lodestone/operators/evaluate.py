@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.curate import running_total
+
 
 def class_accuracy(ranks: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """(label, n, correct1, correct3, top1, top3) from (label, rank).
@@ -71,9 +73,9 @@ def abstention(df: DataFrame, threshold: float = 0.60) -> DataFrame:
 def auc(df: DataFrame, score: str = "max_sim", positive: str = "known") -> DataFrame:
     """One row: the area under the ROC curve, by Mann-Whitney rank sums with mid-ranks for ties.
 
-    Scores are first counted, so the window runs over distinct scores.
+    Scores are first counted, then added up by ranges of the score.
     """
     counted = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    below = F.sum("q").over(Window.orderBy(score)) - F.col("q")
-    won = counted.withColumn("won", F.col("p") * (below + F.col("q") / 2.0))
+    counted = running_total(counted, score, F.col("q"), "below")
+    won = counted.withColumn("won", F.col("p") * (F.col("below") + F.col("q") / 2.0))
     return won.agg(F.try_divide(F.sum("won"), F.sum("p").cast("double") * F.sum("q")).alias("auc"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,20 @@ def require_columns(df: DataFrame, names: tuple[str, ...]) -> None:
         raise ValueError("no rows")
 
 
+def require_paths(spark: SparkSession, *paths: str) -> None:
+    """Raises unless every artifact is there, on whatever file system it is."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    missing = [p for p in paths if not (h := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(h)]
+    if missing:
+        raise ValueError(f"missing artifacts: {missing}")
+
+
+def require_same_size(a: DataFrame, b: DataFrame, what: str) -> None:
+    n, m = a.count(), b.count()
+    if n != m:
+        raise ValueError(f"{what}: {n} and {m} rows")
+
+
 def exactly_one(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """(key, problem) of expected keys that are missing or found more than once."""
     n = found.groupBy(key).agg(F.count("*").alias("n"))

@@ -3,6 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lodestone.config import load_config
 from lodestone.operators import curate as C
 from lodestone.operators import evaluate as E
 from lodestone.operators import geo, integrity, merge
@@ -102,6 +103,32 @@ def test_splits_and_caps(spark):
     assert C.trusted_split(whole, "id", 0.34, 1) is whole
 
 
+def test_running_total_over_many_ranges(spark):
+    rows_ = [(i * 7 % 501, i % 3) for i in range(501)]
+    df = frame(spark, rows_, "i int, v int").repartition(7)
+    got = {r["i"]: r["t"] for r in C.running_total(df, "i", F.col("v"), "t").collect()}
+    total, want = 0, {}
+    for i, v in sorted(rows_):
+        want[i] = total
+        total += v
+    assert got == want
+
+
+def test_pages_pins_and_requirements(spark, tmp_path):
+    df = frame(spark, [(i,) for i in range(9)], "i int")
+    assert [r["i"] for r in C.page(df, "i", 3, 2).collect()] == [3, 4]
+    assert C.pinned(df, frame(spark, [(2,), (99,)], "i int"), "i").count() == 1
+    with pytest.raises(ValueError, match="pinned"):
+        C.pinned(df, frame(spark, [(99,)], "i int"), "i")
+    integrity.require_paths(spark, f"file://{tmp_path}")
+    with pytest.raises(ValueError, match="missing artifacts"):
+        integrity.require_paths(spark, f"file://{tmp_path}/none")
+    with pytest.raises(ValueError, match="9 and 8"):
+        integrity.require_same_size(df, df.where("i > 0"), "classes")
+    (tmp_path / "c.json").write_text('{"a": 1, "b": {"c": 2}}')
+    assert load_config(str(tmp_path / "c.json"), {"a": None, "b": 3}) == {"a": 1, "b": 3}
+
+
 def test_clean_order(spark):
     df = frame(spark, [("p1", 9, 9, "h"), ("p2", 9, 9, "h"), ("p3", 1, 9, "g"), ("p4", 9, 9, "g"), ("p5", None, None, "z")], "path string, width int, height int, h string")
     assert [r[1] for r in rows(C.image_status(df, 5, "h", "path"), "path", "status")] == ["ok", "duplicate", "too_small", "ok", "corrupt"]
