@@ -1,71 +1,37 @@
-"""What several corpus operators share: the shared folder, lineage cuts, connected components."""
+"""What several corpus operators share: sending the package, connected components."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the contracts: space and U+0009 to U+000D.
-ASCII_SPACE = r"[\x20\x09-\x0D]"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI.
-
-    It is what the cluster names in ``spark.checkpoint.dir``.  Only where that is unset (tests, a
-    laptop) a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lodestone-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def new_folder(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+from lodestone.storage import cut, new_folder, remove, shared_dir, stored
 
+__all__ = ["ASCII_SPACE", "connected_components", "cut", "new_folder", "remove", "shared_dir", "ship", "stored", "text_or_empty"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the shared folder and forgets how it was made.
-
-    A lost executor costs nothing: the rows are read again from the shared folder.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """As ``cut``, but as Parquet, which is smaller for wide rows and lets columns be pruned."""
-    path = new_folder(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of intermediate files that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+#: White space of the contracts: space and U+0009 to U+000D.
+ASCII_SPACE = r"[\x20\x09-\x0D]"
 
 
 _shipped: set[str] = set()
+#: Rows of a batch at most.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000}
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python once per application.
+    """Sends this package to the executors' Python once per application, and bounds the batches
+    that Python gets: texts may be long, and a batch is held several times over.
 
     Python workers import the operators' functions by name, so they need the package even where
     the driver found it through its working directory.
     """
+    for key, most in _BATCH.items():
+        if int(spark.conf.get(key, str(most + 1))) > most:
+            spark.conf.set(key, str(most))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -1,25 +1,28 @@
 """Toxicity by a classifier chain of linear models over word features."""
 
-from __future__ import annotations
-
 import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import ship, stored, text_or_empty
 
-#: Bounds of the fit: labelled rows, words used as features, folds.
-MAX_ROWS, MAX_WORDS, MIN_ROWS_WITH_WORD, FOLDS = 6_000, 400, 5, 5
+#: Bounds of the fit: labelled rows, features, folds.
+MAX_ROWS, MAX_FEATURES, MIN_ROWS_WITH_FEATURE, FOLDS = 10_000, 400, 5, 5
+#: Besides words, features are word beginnings of these lengths: endings vary more than stems.
+STEMS = (4, 5, 6)
+DECAY, STEPS = 1e-4, 30
 #: Words whose presence in a text labelled toxic sets a category's weak label.
 CATEGORIES = {
     "insult": ("clown", "idiot", "loser", "moron", "stupid"),
     "contempt": ("disgusting", "pathetic", "scum", "trash", "worthless"),
 }
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -46,22 +49,32 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient descent, with weight decay."""
+def fit_linear(x: np.ndarray, y: np.ndarray, decay: float = DECAY, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Logistic regression with weight decay, by Newton steps that are halved until the loss falls."""
     n, k = x.shape
-    rate = 4.0 / (np.square(x).sum() / max(n, 1) + 1 + 4 * decay)
-    w, b = np.zeros(k), 0.0
-    ow, ob = w, b
-    for t in range(1, steps + 1):
-        m = (t - 1) / (t + 2)
-        aw, ab = w + m * (w - ow), b + m * (b - ob)
-        gap = _sigmoid(x @ aw + ab) - y
-        ow, ob = w, b
-        w, b = aw - rate * (x.T @ gap / n + decay * aw), ab - rate * gap.mean()
-    return w, float(b)
-
-
-def fit_chain(x: np.ndarray, y: np.ndarray, names: list[str], vocabulary: dict[str, int], folds: int = FOLDS, decay: float = 1e-3) -> Chain:
+    z = np.hstack([x, np.ones((n, 1))])
+    ridge = np.append(np.full(k, decay), 1e-9)
+    w = np.zeros(k + 1)
+
+    def loss(w):
+        m = z @ w
+        return (np.logaddexp(0, m) - y * m).mean() + (ridge * w * w).sum() / 2
+
+    now = loss(w)
+    for _ in range(steps):
+        p = _sigmoid(z @ w)
+        gradient = z.T @ (p - y) / n + ridge * w
+        curve = (z * (p * (1 - p) / n)[:, None]).T @ z + np.diag(ridge + 1e-9)
+        move, size = np.linalg.solve(curve, gradient), 1.0
+        while size > 1e-4 and (new := loss(w - size * move)) > now:
+            size /= 2
+        if size <= 1e-4 or now - new < 1e-7:
+            break
+        w, now = w - size * move, new
+    return w[:k], float(w[k])
+
+
+def fit_chain(x: np.ndarray, y: np.ndarray, names: list[str], vocabulary: dict[str, int], folds: int = FOLDS, decay: float = DECAY) -> Chain:
     """Fits the chain: a later model learns from out-of-fold predictions of the earlier ones.
 
     Predictions that a model makes on its own training rows look surer than they will be, so each
@@ -84,28 +97,48 @@ def fit_chain(x: np.ndarray, y: np.ndarray, names: list[str], vocabulary: dict[s
     return Chain(names, vocabulary, weights, links, bias)
 
 
-def _words(text: Column) -> Column:
-    return F.array_distinct(F.split(F.lower(text), _SPLIT))
+def _features(text: Column) -> Column:
+    """A text's distinct words, and word beginnings marked with an asterisk."""
+    words = F.array_distinct(F.split(F.lower(text), _SPLIT))
+    stems = [F.transform(F.filter(words, _at_least(n)), _beginning(n)) for n in STEMS]
+    return F.array_distinct(F.concat(words, *stems))
+
+
+def _at_least(n: int):
+    return lambda w: F.char_length(w) >= n
+
+
+def _beginning(n: int):
+    return lambda w: F.concat(F.substring(w, 1, n), F.lit("*"))
+
+
+def _found(text: str, known: set[str]) -> list[str]:
+    """The features of ``known`` that a text has, in order; the Python form of ``_features``."""
+    words = set(_WORD.findall(text.lower()))
+    found = words & known
+    for n in STEMS:
+        found |= {w[:n] + "*" for w in words if len(w) >= n} & known
+    return sorted(found)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...]] = CATEGORIES, label_col: str = "toxic", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...]] = CATEGORIES, label_col: str = "toxic", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Fits the chain on at most ``max_rows`` labelled rows, in the order of a hash of their id.
 
     The chain runs over the weak categories in order and ends with the real label.  Features are
-    which words a text has, among the ``max_words`` with the highest chi-square against the label.
+    which words and word beginnings a text has, among the ``max_features`` with the highest chi-square against the label.
     Null labels and labels without a document are left out; an empty sample gives a chain that
     rejects nothing.
     """
     sample = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y"))
     sample = sample.orderBy(F.xxhash64("id"), "id").limit(max_rows)  # at most max_rows rows of 16 bytes
-    rows = stored(docs.select(F.col(id_col).cast("long").alias("id"), _words(text_or_empty(text_col)).alias("words")).join(F.broadcast(sample), "id"), "toxicity-sample")
+    rows = stored(docs.select(F.col(id_col).cast("long").alias("id"), _features(text_or_empty(text_col)).alias("words")).join(F.broadcast(sample), "id"), "toxicity-sample")
     names = [*categories, label_col]
     n, positives = (v or 0 for v in rows.agg(F.count("*"), F.sum("y")).first())
     if not n:
         return Chain(names, {}, np.zeros((0, len(names))), np.zeros((len(names), len(names))), np.full(len(names), -10.0))
-    counted = rows.select("y", F.explode("words").alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"), F.sum("y").alias("p")).where(F.col("n") >= MIN_ROWS_WITH_WORD)
+    counted = rows.select("y", F.explode("words").alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"), F.sum("y").alias("p")).where(F.col("n") >= MIN_ROWS_WITH_FEATURE)
     expected = F.col("n") * F.lit(positives / n)
-    best = counted.select("w", (F.pow(F.col("p") - expected, 2) / (expected + 1e-9)).alias("chi2")).orderBy(F.desc("chi2"), "w").limit(max_words).collect()
+    best = counted.select("w", (F.pow(F.col("p") - expected, 2) / (expected + 1e-9)).alias("chi2")).orderBy(F.desc("chi2"), "w").limit(max_features).collect()
     vocabulary = {r["w"]: i for i, r in enumerate(best)}
     known = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<string>")
     weak = [F.when(F.arrays_overlap("words", F.array(*[F.lit(w) for w in ws])), F.col("y")).otherwise(0.0).alias(c) for c, ws in categories.items()]
@@ -114,21 +147,30 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, .
     for i, r in enumerate(fitted):
         x[i, [vocabulary[w] for w in r["w"]]] = 1
         y[i] = [*(r[c] for c in categories), r["y"]]
-    return fit_chain(x, y, names, vocabulary)
+    # features that the same rows have are one feature: the longest beginning of a word
+    alike: dict[bytes, str] = {}
+    for w, c in sorted(vocabulary.items(), key=lambda v: (not v[0].endswith("*"), -len(v[0]), v[0])):
+        alike.setdefault(x[:, c].tobytes(), w)
+    kept = sorted(alike.values())
+    return fit_chain(x[:, [vocabulary[w] for w in kept]], y, names, {w: i for i, w in enumerate(kept)})
+
+
+def _probabilities(chain: Chain, texts) -> np.ndarray:
+    table, weights = chain.vocabulary, chain.weights
+    known = set(table)
+    linear = np.zeros((len(texts), len(chain.names)))
+    for i, text in enumerate(texts):
+        found = _found(text, known)
+        if found:
+            linear[i] = weights[[table[w] for w in found]].sum(axis=0)
+    return chain.probabilities(linear)
 
 
 def _score(chain: Chain):
     def run(batches):
-        table, weights = chain.vocabulary, chain.weights
-        known = table.keys()
         for batch in batches:
-            linear = np.zeros((batch.num_rows, len(chain.names)))
-            for i, text in enumerate(batch.column(-1 if batch.num_columns == 1 else batch.num_columns - 1)):
-                found = known & set(_WORD.findall(text.as_py().lower()))
-                if found:
-                    linear[i] = weights[sorted(table[w] for w in found)].sum(axis=0)
-            p = chain.probabilities(linear)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(p[:, c]) for c in range(len(chain.names)))], [*batch.schema.names[:-1], *(f"p_{c}" for c in chain.names)])
+            p = _probabilities(chain, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, c]) for c in range(len(chain.names)))], ["doc_id", *(f"p_{c}" for c in chain.names)])
 
     return run
 
@@ -146,13 +188,14 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that the chain does not reject, with their columns as they were."""
+    """The rows that the chain does not reject, with their columns as they were.
+
+    Only texts go to Python; rows wait in the JVM.
+    """
     ship(docs.sparkSession)
-    last = f"p_{chain.names[-1]}"
-    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(kept.alias("row"), text_or_empty(text_col).alias("text"))
-    schema = rows.select("row").schema
-    for c in chain.names:
-        schema = schema.add(f"p_{c}", "double")
-    scored = rows.mapInArrow(_score(chain), schema)
-    return scored.where(F.col(last) < threshold).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+    @F.pandas_udf(T.DoubleType())
+    def last(texts: pd.Series) -> pd.Series:
+        return pd.Series(_probabilities(chain, texts)[:, -1])
+
+    return docs.where(last(text_or_empty(text_col)) < threshold)
