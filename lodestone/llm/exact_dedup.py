@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ASCII_SPACE, new_folder, stored, text_or_empty
+from lodestone.llm.common import ASCII_SPACE, new_folder, remove, stored, text_or_empty
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _BOUNDED = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
+#: A store is closed with its task: an open one holds 5 MB of an executor's disk, however small.
+_UNLOAD = "spark.sql.streaming.stateStore.unloadOnCommit"
 
 
 def normalised(text):
@@ -21,16 +23,17 @@ def sha256_hex(norm):
     return F.sha2(norm, 256)
 
 
-def _stream_groups(arrivals_path: str, schema, spark, files_per_batch: int) -> DataFrame:
+def _stream_groups(arrivals_path: str, schema, spark, files_per_batch: int) -> tuple[DataFrame, str]:
     """The state of each digest after all arrivals: how many, and the best arrival so far.
 
     The state is keyed by digest, lives on disk (RocksDB) and never expires.  It retains the
     digest, the survivor's stable identifier with its rank (length, then smallest id), and its
     content locator.  Each micro-batch's changed keys are written under the batch's own number,
     so a batch that is run again replaces its rows; the last change of a key is its final state.
+    Returns the final states and the folder that holds the state and its changes.
     """
     root = new_folder(spark, "exact-dedup-state")
-    settings = {_PROVIDER: ROCKSDB, _BOUNDED: "true"}
+    settings = {_PROVIDER: ROCKSDB, _BOUNDED: "true", _UNLOAD: "true"}
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
@@ -49,7 +52,7 @@ def _stream_groups(arrivals_path: str, schema, spark, files_per_batch: int) -> D
     kinds = "digest string, group_size long, best struct<n_points:int,low:bigint,locator:bigint>, batch int"
     changes = spark.read.schema(kinds).option("basePath", f"{root}/changes").parquet(f"{root}/changes")
     last = changes.groupBy("digest").agg(F.max(F.struct("batch", "group_size", "best")).alias("s"))
-    return last.select("digest", F.bitwise_not("s.best.low").alias("keep_id"), F.col("s.best.locator").alias("keep_locator"), F.col("s.group_size").alias("group_size"))
+    return last.select("digest", F.bitwise_not("s.best.low").alias("keep_id"), F.col("s.best.locator").alias("keep_locator"), F.col("s.group_size").alias("group_size")), root
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_hex, files_per_batch: int = 256) -> DataFrame:
@@ -75,7 +78,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     arrivals = spark.read.schema(arrivals.schema).parquet(arrivals_path)
     if arrivals.isEmpty():
         return spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, digest string, locator long")
-    groups = stored(_stream_groups(arrivals_path, arrivals.schema, spark, files_per_batch), "exact-dedup-groups")
+    states, root = _stream_groups(arrivals_path, arrivals.schema, spark, files_per_batch)
+    groups = stored(states, "exact-dedup-groups")
+    remove(spark, root)
     hits = groups.where("group_size > 1").select("digest")
     bytes_of = keyed.select("digest", "norm").join(hits, "digest", "left_semi")
     unequal = stored(bytes_of.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most")).where("least <> most").select("digest"), "exact-dedup-unequal")
