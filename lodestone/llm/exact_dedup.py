@@ -83,7 +83,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     remove(spark, root)
     hits = groups.where("group_size > 1").select("digest")
     bytes_of = keyed.select("digest", "norm").join(hits, "digest", "left_semi")
-    unequal = stored(bytes_of.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most")).where("least <> most").select("digest"), "exact-dedup-unequal")
+    # first within each task, so that a group of very many copies is no task's alone
+    each = bytes_of.groupBy("digest", F.spark_partition_id().alias("part")).agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
+    unequal = stored(each.groupBy("digest").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select("digest"), "exact-dedup-unequal")
     found = arrivals.join(groups, "digest")
     if not unequal.isEmpty():
         apart = stored(keyed.join(unequal, "digest", "left_semi").select("digest", "norm", "doc_id", F.char_length("text").alias("n_points"), "locator"), "exact-dedup-apart")
