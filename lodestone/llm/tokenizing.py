@@ -33,7 +33,7 @@ class ChunkEncoder:
     bounded.  The special token's string in a text is ordinary text.
     """
 
-    def __init__(self, path: str, max_entries: int = 1_500_000):
+    def __init__(self, path: str, max_entries: int = 1_100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
