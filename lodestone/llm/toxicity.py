@@ -131,7 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, .
     """
     sample = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y"))
     sample = sample.orderBy(F.xxhash64("id"), "id").limit(max_rows)  # at most max_rows rows of 16 bytes
-    rows = stored(docs.select(F.col(id_col).cast("long").alias("id"), _features(text_or_empty(text_col)).alias("words")).join(F.broadcast(sample), "id"), "toxicity-sample")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), "id")
+    rows = stored(texts.select("id", "y", _features(F.col("text")).alias("words")), "toxicity-sample")
     names = [*categories, label_col]
     n, positives = (v or 0 for v in rows.agg(F.count("*"), F.sum("y")).first())
     if not n:
