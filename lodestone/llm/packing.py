@@ -17,8 +17,6 @@ from lodestone.llm.tokenizing import encoder
 
 CAPACITY = 2048
 END_ID = 0
-#: Improving exchanges tried before the search stops; it bounds effort, never rows.
-MAX_EXCHANGES = 400
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -135,72 +133,76 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Bins:
 
 
 @lru_cache(maxsize=10_000)
-def _choices(pattern: tuple) -> tuple[list, list]:
-    """A pattern's distinct items, and pairs of items, with their sums, largest first."""
-    pairs = {(a + b, (a, b)) for i, a in enumerate(pattern) for b in pattern[i + 1 :]}
-    return [(x, (x,)) for x in sorted(set(pattern), reverse=True)], sorted(pairs, reverse=True)
+def _choices(pattern: tuple) -> tuple[dict, dict, list]:
+    """A pattern's distinct items and pairs of items by their sums, largest first; sums of nothing or an item, and of pairs, rising."""
+    pairs = {a + b: (a, b) for i, a in enumerate(pattern) for b in pattern[i + 1 :]}
+    by_sum = [{size: sums[size] for size in sorted(sums, reverse=True)} for sums in ({x: (x,) for x in pattern}, pairs)]
+    return *by_sum, [0, *reversed(by_sum[0])], [*reversed(by_sum[1])]
 
 
 def _exchange(donor: tuple, other: tuple, room: int, gap: int):
     """Items (out of the donor, out of the other) whose exchange raises the sum of squared fills most.
 
     Moving ``d`` tokens net from the donor (fill g less than the other by ``gap``) to the other
-    changes the sum by 2d(gap + d), which is positive where d > 0 and d > -gap.
+    changes the sum by 2d(gap + d), which is positive where d > 0 and d > -gap.  For what the
+    donor gives, the least that may come back is looked up: at most ``room`` may be moved.
     """
     best, best_d = None, max(0, -gap)
-    mine, my_pairs = _choices(donor)
-    theirs, their_pairs = _choices(other)
-    for give, take in ((mine, [(0, ())]), (mine, theirs), (my_pairs, theirs), (mine, their_pairs)):
-        for size, out in give:
+    mine, my_pairs, _, _ = _choices(donor)
+    theirs, their_pairs, backs, pair_backs = _choices(other)
+    for give, take, into in ((mine, backs, theirs), (my_pairs, backs[1:], theirs), (mine, pair_backs, their_pairs)):
+        for size, out in give.items():
             if size <= best_d:
                 break
-            for back, into in take:
-                if best_d < size - back <= room:
-                    best, best_d = (out, into), size - back
+            i = bisect_left(take, size - room)
+            if i < len(take) and size - take[i] > best_d:
+                best, best_d = (out, into.get(take[i], ())), size - take[i]
                 if best_d == room:
                     return best
     return best
 
 
-def local_search(bins: Bins, max_exchanges: int = MAX_EXCHANGES) -> Bins:
+def local_search(bins: Bins) -> Bins:
     """Moves one item, or exchanges one for one or two for one, between underfull bins.
 
     Each exchange makes a fuller bin fuller and an emptier one emptier, so the sum of squared
-    fills rises and the search ends; an emptied bin is gone.  It stops early at the lower bound.
+    fills rises and the search ends; an emptied bin is gone.  It ends where no exchange raises
+    the sum any more, or at the lower bound, and has no other limit.  Whether two patterns have
+    an exchange depends on the patterns alone, so a donor without one meets only patterns that
+    came up since (and itself, once there are two such bins).
     """
     capacity = bins.capacity
-    tokens = sum(sum(p) * n for p, n in bins.count.items())
-    fewest = -(-tokens // capacity)
-    stuck: set = set()
-    for _ in range(max_exchanges):
-        if bins.total() <= fewest:
-            break
-        donor = next((p for room in reversed(bins.rooms) if room for p in sorted(bins.by_room[room]) if p not in stuck), None)
-        if donor is None:
-            break
-        fill = sum(donor)
-        done = False
-        for room in [r for r in bins.rooms if r]:
-            for other in sorted(bins.by_room.get(room, ())):
-                if other == donor and bins.count[donor] < 2:
-                    continue
-                found = _exchange(donor, other, room, sum(other) - fill)
-                if found is None:
-                    continue
-                out, into = found
-                n = bins.count[donor] // 2 if other == donor else min(bins.count[donor], bins.count[other])
-                bins.take(donor, n)
-                bins.take(other, n)
-                bins.add(_with(donor, out, into), n)
-                bins.add(_with(other, into, out), n)
-                done = True
-                break
-            if done:
-                break
-        if done:
-            stuck.clear()
-        else:
-            stuck.add(donor)
+    fewest = -(-sum(sum(p) * n for p, n in bins.count.items()) // capacity)
+    came = [p for room in bins.rooms if room for p in sorted(bins.by_room[room])]
+    met: dict = {}  # up to where in ``came`` a donor has met patterns
+    lone: set = set()  # donors that were one bin when they would have met themselves
+
+    def next_exchange():
+        for donor in (p for room in reversed(bins.rooms) if room for p in sorted(bins.by_room[room])):
+            others = {p for p in came[met.get(donor, 0) :] if p in bins.count}
+            if donor in lone:
+                others.add(donor)
+            for other in sorted(others, key=lambda p: (-sum(p), p)):
+                if other == donor:
+                    if bins.count[donor] < 2:
+                        lone.add(donor)
+                        continue
+                    lone.discard(donor)
+                found = _exchange(donor, other, capacity - sum(other), sum(other) - sum(donor))
+                if found:
+                    return donor, other, *found
+            met[donor] = len(came)
+        return None
+
+    while bins.total() > fewest and (found := next_exchange()):
+        donor, other, out, into = found
+        n = bins.count[donor] // 2 if other == donor else min(bins.count[donor], bins.count[other])
+        bins.take(donor, n)
+        bins.take(other, n)
+        for pattern in (_with(donor, out, into), _with(other, into, out)):
+            if pattern not in bins.count and sum(pattern) < capacity:
+                came.append(pattern)
+            bins.add(pattern, n)
     return bins
 
 
