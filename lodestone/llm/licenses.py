@@ -26,7 +26,7 @@ TEMPLATES = (
     ("mit-notice", "Released under the MIT License", "released under the mit license"),
     ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
 )
-#: How many of a template's, and of a file's, highest-IDF words are used, and the share that must agree.
+#: How many of a template's highest-IDF words are used, and the share that must agree; the SQL alone also limits a file's words.
 TEMPLATE_WORDS, FILE_WORDS, AGREE = 6, 24, 0.6
 
 
@@ -93,8 +93,8 @@ def _places(words: Column, phrase: str) -> Column:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: n_words, base places (starts by phrase), labels and scores.
 
-    Every text is split into words; only texts that hold an anchor word go on.  Of their licence
-    words the ones with the highest corpus IDF are looked up in the templates' postings; postings
+    Every text is split into words; only texts that hold an anchor word go on.  All their
+    words that have postings (each template's highest-IDF words) are looked up there; postings
     that agree on the relative position add their weights; the best position of each template
     must reach ``AGREE`` and hold the template's mandatory key phrase there.  Rows are keyed by
     document all along and the index is a constant, so nothing is skewed or broadcast that grows.
@@ -108,15 +108,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     clear = docs.where(~text.rlike(_ANCHORS)).select(F.col(id_col).alias("doc_id"), n_words)
     words = F.regexp_extract_all(F.translate(text, ascii_uppercase, ascii_lowercase), F.lit(WORD), 0)
     base = F.array(*[F.struct(F.lit(label).alias("label"), _places(F.col("words"), p).alias("starts")) for p, label in BASE_PHRASES.items()])
-    idf, postings = rare_index(*document_frequencies(docs, text_col))
-    weight = F.create_map(*[F.lit(x) for w, v in idf.items() for x in (w, v)])
-    known = F.array_intersect("words", F.array(*[F.lit(w) for w in _VOCABULARY]))
-    by_idf = F.array_sort(F.transform(known, lambda w: F.named_struct(F.lit("low"), -F.element_at(weight, w), F.lit("word"), w)))
-    mine = F.transform(F.slice(by_idf, 1, FILE_WORDS), lambda s: s["word"])
+    _, postings = rare_index(*document_frequencies(docs, text_col))
     held = docs.where(text.rlike(_ANCHORS)).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words.alias("words"))
-    held = stored(held.select("*", base.alias("base"), mine.alias("mine")), "license-candidates")
+    held = stored(held.select("*", base.alias("base")), "license-candidates")
+    rare = sorted({p[0] for p in postings})
     # only licence words leave the array; a long text's other words are never rows
-    hits = F.filter(F.transform("words", lambda w, i: F.named_struct(F.lit("at"), i, F.lit("word"), w)), lambda s: F.array_contains("mine", s["word"]))
+    hits = F.filter(F.transform("words", lambda w, i: F.named_struct(F.lit("at"), i, F.lit("word"), w)), lambda s: s["word"].isin(rare))
     chosen = held.select("row", F.explode(hits).alias("h")).select("row", "h.at", "h.word")
     index = spark.createDataFrame(postings, "word string, template int, place int, weight double")
     agreed = chosen.join(F.broadcast(index), "word").groupBy("row", "template", (F.col("at") - F.col("place")).alias("offset")).agg(F.sum("weight").alias("share"))

@@ -3,7 +3,8 @@
 import random
 from itertools import combinations
 
-from lodestone.llm import packing
+from lodestone.llm import licenses, packing
+from lodestone.llm.queries import license_digest
 
 
 def improving(donor, other, capacity):
@@ -26,3 +27,12 @@ def test_local_search_goes_on_until_nothing_improves():
     open_ = [p for p in bins.count if sum(p) < capacity]
     assert bins.total() > -(-sum(x * n for x, n in histogram.items()) // capacity)
     assert not [(p, q) for p in open_ for q in open_ if (p != q or bins.count[p] > 1) and improving(p, q, capacity)]
+
+
+def test_a_file_with_all_notices_has_all_labels(spark):
+    texts = [(1, " and then ".join(t[1] for t in licenses.TEMPLATES)), (2, f"{licenses.TEMPLATES[1][1]}. {licenses.TEMPLATES[7][1]}.")]
+    texts += [(k, f"filler text {k}") for k in range(3, 300)]
+    out = license_digest(licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string"))).where("doc_id < 3")
+    labels = {r["doc_id"]: set(r["labels"].split(",")) for r in out.collect()}
+    assert {t[0] for t in licenses.TEMPLATES} <= labels[1]
+    assert {"bsd", "mit-text"} <= labels[2]
