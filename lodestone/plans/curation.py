@@ -77,7 +77,7 @@ def path_regex_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, p_name, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 10")
 def image_species_join(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").join(table(spark, d, "part").where("p_size < 10"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "p_name", "p_brand")
+    return table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "p_name", "p_brand")
 
 
 @query("""WITH j AS (SELECT o_custkey, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,

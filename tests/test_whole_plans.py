@@ -9,6 +9,7 @@ from lodestone import plans
 DATA = "/root/testdata/sf0.01"
 CUTS = {
     "geo_neighbour_join": " AND event_id % 20 = 1",
+    "image_species_join": " WHERE p_size < 10",
 }
 
 
