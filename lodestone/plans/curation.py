@@ -242,7 +242,7 @@ def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT source, count(*) AS n FROM documents WHERE lang = 'de' GROUP BY 1 HAVING count(*) < 12")
 def shortfall(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("lang = 'de'").groupBy("source").agg(F.count("*").alias("n")).where("n < 12")
+    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")).where("n < 12")
 
 
 @query(None)

@@ -10,6 +10,7 @@ DATA = "/root/testdata/sf0.01"
 CUTS = {
     "geo_neighbour_join": " AND event_id % 20 = 1",
     "image_species_join": " WHERE p_size < 10",
+    "shortfall": " WHERE lang = 'de'",
 }
 
 
