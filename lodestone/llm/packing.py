@@ -6,6 +6,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,7 @@ class Bins:
     def __init__(self, capacity: int):
         self.capacity = capacity
         self.count: Counter = Counter()
+        self._total = 0
         self.by_room: dict[int, set] = {}
         self.rooms: list[int] = []
 
@@ -82,9 +84,11 @@ class Bins:
                 insort(self.rooms, room)
             self.by_room[room].add(pattern)
         self.count[pattern] += n
+        self._total += n
 
     def take(self, pattern: tuple, n: int) -> None:
         self.count[pattern] -= n
+        self._total -= n
         if not self.count[pattern]:
             del self.count[pattern]
             room = self.capacity - sum(pattern)
@@ -93,14 +97,14 @@ class Bins:
                 del self.by_room[room]
                 self.rooms.pop(bisect_left(self.rooms, room))
 
+    def total(self) -> int:
+        return self._total
+
     def tightest(self, need: int):
         """A pattern with the least room that holds ``need`` more, or None."""
         i = bisect_left(self.rooms, need)
         return next(iter(self.by_room[self.rooms[i]])) if i < len(self.rooms) else None
 
-    def total(self) -> int:
-        return sum(self.count.values())
-
 
 def _with(pattern: tuple, out: tuple, into: tuple) -> tuple:
     left = list(pattern)
@@ -132,33 +136,74 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Bins:
     return bins
 
 
-@lru_cache(maxsize=10_000)
-def _choices(pattern: tuple) -> tuple[dict, dict, list]:
-    """A pattern's distinct items and pairs of items by their sums, largest first; sums of nothing or an item, and of pairs, rising."""
-    pairs = {a + b: (a, b) for i, a in enumerate(pattern) for b in pattern[i + 1 :]}
-    by_sum = [{size: sums[size] for size in sorted(sums, reverse=True)} for sums in ({x: (x,) for x in pattern}, pairs)]
-    return *by_sum, [0, *reversed(by_sum[0])], [*reversed(by_sum[1])]
+@lru_cache(maxsize=20_000)
+def _choices(pattern: tuple) -> tuple[dict, dict]:
+    """A pattern's items, and its pairs of items, by their sums."""
+    counts = Counter(pattern)
+    sizes = list(counts)
+    pairs = {a + b: (a, b) for i, a in enumerate(sizes) for b in sizes[i:] if a != b or counts[a] > 1}
+    return {x: (x,) for x in sizes}, pairs
 
 
-def _exchange(donor: tuple, other: tuple, room: int, gap: int):
-    """Items (out of the donor, out of the other) whose exchange raises the sum of squared fills most.
+class _Index:
+    """Which underfull patterns could give something back, by what they would give and their room.
 
-    Moving ``d`` tokens net from the donor (fill g less than the other by ``gap``) to the other
-    changes the sum by 2d(gap + d), which is positive where d > 0 and d > -gap.  For what the
-    donor gives, the least that may come back is looked up: at most ``room`` may be moved.
+    ``below[0][s, r]`` counts the patterns with less room than ``r`` that hold an item ``s`` (all
+    of them at ``s`` = 0, which stands for giving nothing back), ``below[1][s, r]`` those that hold
+    a pair of sum ``s``.  One strided difference then tells for all ``s`` at once whether somebody
+    could take what a donor gives, so no pair of patterns is ever tried in vain.
     """
-    best, best_d = None, max(0, -gap)
-    mine, my_pairs, _, _ = _choices(donor)
-    theirs, their_pairs, backs, pair_backs = _choices(other)
-    for give, take, into in ((mine, backs, theirs), (my_pairs, backs[1:], theirs), (mine, pair_backs, their_pairs)):
-        for size, out in give.items():
-            if size <= best_d:
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.below = [np.zeros((capacity + 1, capacity + 2), np.int32) for _ in range(2)]
+        self.who: tuple[dict, dict] = ({}, {})
+
+    def change(self, pattern: tuple, by: int) -> None:
+        room = self.capacity - sum(pattern)
+        items, pairs = _choices(pattern)
+        for kind, sums in ((0, (0, *items)), (1, pairs)):
+            below, who = self.below[kind], self.who[kind]
+            for s in sums:
+                below[s, room + 1 :] += by
+                there = who.setdefault((s, room), set())
+                (there.add if by > 0 else there.discard)(pattern)
+
+    def taker(self, kind: int, first: int, size: int, room: int, least: int):
+        """For a donor with ``room`` that gives ``size``: the least sum >= ``first`` that somebody
+        can give back, and the fullest such pattern; None if less than ``least`` would move.
+
+        Moving ``d`` = size - sum net to a pattern with room ``r`` raises the sum of squared fills
+        where 0 < d <= r < d + the donor's room.
+        """
+        n = size - least - first + 1
+        if n <= 0:
+            return None
+        width = self.capacity + 2
+        flat = self.below[kind].ravel()
+        begin = first * width + size - first
+        low = flat[begin :: width - 1][:n]
+        some = flat[begin + room :: width - 1][:n] > low
+        i = int(some.argmax())
+        if not some[i]:
+            return None
+        s = first + i
+        r = int(np.searchsorted(self.below[kind][s], low[i], side="right")) - 1
+        return s, min(self.who[kind][s, r])
+
+
+def _exchange(index: _Index, donor: tuple, room: int):
+    """(other, items out of the donor, items out of the other) that moves most, or None."""
+    items, pairs = _choices(donor)
+    best, most = None, 0
+    for give, kind, first in ((items, 0, 0), (pairs, 0, 1), (items, 1, 1)):
+        for size in sorted(give, reverse=True):
+            if size - first <= most:
                 break
-            i = bisect_left(take, size - room)
-            if i < len(take) and size - take[i] > best_d:
-                best, best_d = (out, into.get(take[i], ())), size - take[i]
-                if best_d == room:
-                    return best
+            found = index.taker(kind, first, size, room, most + 1)
+            if found:
+                back, other = found
+                best, most = (other, give[size], (_choices(other)[kind][back] if back else ())), size - back
     return best
 
 
@@ -167,42 +212,68 @@ def local_search(bins: Bins) -> Bins:
 
     Each exchange makes a fuller bin fuller and an emptier one emptier, so the sum of squared
     fills rises and the search ends; an emptied bin is gone.  It ends where no exchange raises
-    the sum any more, or at the lower bound, and has no other limit.  Whether two patterns have
-    an exchange depends on the patterns alone, so a donor without one meets only patterns that
-    came up since (and itself, once there are two such bins).
+    the sum any more, or at the lower bound, and has no other limit.  Donors are taken from the
+    emptiest on; one that has nothing to give is asked again only once patterns have come up that
+    were not there before (or its own has become two bins).
     """
     capacity = bins.capacity
     fewest = -(-sum(sum(p) * n for p, n in bins.count.items()) // capacity)
-    came = [p for room in bins.rooms if room for p in sorted(bins.by_room[room])]
-    met: dict = {}  # up to where in ``came`` a donor has met patterns
-    lone: set = set()  # donors that were one bin when they would have met themselves
-
-    def next_exchange():
-        for donor in (p for room in reversed(bins.rooms) if room for p in sorted(bins.by_room[room])):
-            others = {p for p in came[met.get(donor, 0) :] if p in bins.count}
-            if donor in lone:
-                others.add(donor)
-            for other in sorted(others, key=lambda p: (-sum(p), p)):
-                if other == donor:
-                    if bins.count[donor] < 2:
-                        lone.add(donor)
-                        continue
-                    lone.discard(donor)
-                found = _exchange(donor, other, capacity - sum(other), sum(other) - sum(donor))
-                if found:
-                    return donor, other, *found
-            met[donor] = len(came)
-        return None
-
-    while bins.total() > fewest and (found := next_exchange()):
-        donor, other, out, into = found
+    index = _Index(capacity)
+    for pattern in bins.count:
+        if sum(pattern) < capacity:
+            index.change(pattern, 1)
+    waiting = [(sum(p), p) for p in bins.count if sum(p) < capacity]
+    heapify(waiting)
+    stuck: set = set()
+
+    def put(pattern: tuple, n: int) -> bool:
+        """Adds bins; whether the pattern, or a second bin of it, is new."""
+        before = bins.count.get(pattern, 0)
+        bins.add(pattern, n)
+        if not pattern or sum(pattern) == capacity:
+            return False
+        if not before:
+            index.change(pattern, 1)
+        if before < 2:
+            stuck.discard(pattern)
+            heappush(waiting, (sum(pattern), pattern))
+        return not before
+
+    def take(pattern: tuple, n: int) -> None:
+        bins.take(pattern, n)
+        if pattern not in bins.count and sum(pattern) < capacity:
+            index.change(pattern, -1)
+
+    fresh = False  # whether patterns came up since donors were found stuck
+    while bins.total() > fewest:
+        if not waiting:
+            if not fresh:
+                break
+            fresh = False
+            waiting = [(sum(p), p) for p in stuck if p in bins.count]
+            heapify(waiting)
+            stuck.clear()
+            continue
+        fill, donor = heappop(waiting)
+        if donor not in bins.count or donor in stuck:
+            continue
+        alone = bins.count[donor] == 1
+        if alone:
+            index.change(donor, -1)
+        found = _exchange(index, donor, capacity - fill)
+        if alone:
+            index.change(donor, 1)
+        if not found:
+            stuck.add(donor)
+            continue
+        other, out, into = found
         n = bins.count[donor] // 2 if other == donor else min(bins.count[donor], bins.count[other])
-        bins.take(donor, n)
-        bins.take(other, n)
+        take(donor, n)
+        take(other, n)
+        if donor in bins.count:
+            heappush(waiting, (fill, donor))
         for pattern in (_with(donor, out, into), _with(other, into, out)):
-            if pattern not in bins.count and sum(pattern) < capacity:
-                came.append(pattern)
-            bins.add(pattern, n)
+            fresh = put(pattern, n) or fresh
     return bins
 
 

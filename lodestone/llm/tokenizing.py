@@ -30,15 +30,21 @@ class ChunkEncoder:
     is the concatenation of chunks "white space, then non-space" and its ids are the chunks' ids
     in order.  Words repeat, so most chunks are found in the cache; the others go through the
     tokenizers library.  The cache is cleared when it holds ``max_entries`` chunks, so memory is
-    bounded.  The special token's string in a text is ordinary text.
+    bounded.  An added token's string in a text becomes that token, as the library has it by
+    default; with ``special_as_text`` special tokens' strings are ordinary text.
     """
 
-    def __init__(self, path: str, max_entries: int = 1_100_000):
+    def __init__(self, path: str, max_entries: int = 1_100_000, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.model = self.tokenizer.model
+        added = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (special_as_text and t.special)}
+        self.added = {c: i for c, (i, _) in added.items()}
+        self._splits = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        #: Tokens that take in their surroundings are left to the library, with the whole text.
+        self._plain_splits = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for _, t in added.values())
         #: Ids are packed as narrow as the vocabulary allows.
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self._code = {"<u2": "H", "<u4": "I"}[self.dtype]
@@ -94,6 +100,17 @@ class ChunkEncoder:
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned integers of ``dtype``; a null or empty text has none."""
+        if not text:
+            return b""
+        if any([c in text for c in self.added]):
+            if not self._plain_splits:
+                return self._whole(text)
+            parts = self._splits.split(text)
+            return b"".join([self._pack([self.added[p]]) if i % 2 else self._ordinary(p) for i, p in enumerate(parts)])
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
+        """A text without added tokens."""
         if not text:
             return b""
         if len(self.after_space) + len(self.plain) > self.max_entries:

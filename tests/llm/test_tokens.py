@@ -15,7 +15,6 @@ from lodestone.llm import packing, pieces, token_files, wordpiece
 from lodestone.llm.tokenizing import ChunkEncoder
 
 TOKENIZER = Tokenizer.from_file(BPE)
-TOKENIZER.encode_special_tokens = True
 ENCODER = ChunkEncoder(BPE, max_entries=50)
 
 
@@ -29,6 +28,15 @@ def test_chunks_give_the_library_s_ids(text):
     assert np.frombuffer(ENCODER.encode(text), ENCODER.dtype).tolist() == library_ids(text)
 
 
+def test_special_tokens_can_be_ordinary_text():
+    text = "a <|endoftext|> b"
+    assert np.frombuffer(ENCODER.encode(text), ENCODER.dtype).tolist() == library_ids(text) == [64, 220, 50256, 275]
+    apart = Tokenizer.from_file(BPE)
+    apart.encode_special_tokens = True
+    plain = ChunkEncoder(BPE, special_as_text=True)
+    assert np.frombuffer(plain.encode(text), plain.dtype).tolist() == apart.encode(text, add_special_tokens=False).ids
+
+
 def expected_digests():
     order = sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     start, out = 0, []
@@ -112,6 +120,17 @@ def test_local_search_against_brute_force():
         assert bins.total() <= fewest(lengths, 12) + (fewest(lengths, 12) > 2)
 
 
+def test_local_search_of_mixes_with_many_underfull_patterns():
+    """The former search stopped after 400 attempts: 1,254 sequences at lengths 600 to 759."""
+    rng = random.Random(1)
+    for low, high, most in ((600, 760, 1.015), (420, 600, 1.01), (150, 260, 1.002)):
+        histogram = {x: rng.randint(1, 40) for x in range(low, high)}
+        bound = -(-sum(x * n for x, n in histogram.items()) // 2048)
+        before = packing.best_fit(histogram, 2048).total()
+        after = packing.pack_histogram(histogram).total()
+        assert after < before and after <= bound * most
+
+
 def test_local_search_empties_bins():
     bins = packing.Bins(10)
     for p in ((6, 2), (5, 3), (4, 4), (2, 2, 2)):
