@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,21 +12,64 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI.
 
-    It is what the cluster names in ``spark.checkpoint.dir``.  Only where that is unset (tests, a
-    laptop) a temporary folder is made and set.
+    It is what the cluster names in ``spark.checkpoint.dir``.  Only where that is unset and all
+    runs on one machine (tests, a laptop) a temporary folder is made and set; elsewhere executors
+    could not see it, so that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lodestone-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+#: This application's folder below the shared one, by application.
+_roots: dict[str, str] = {}
+
+
 def new_folder(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; nothing is created yet.
+
+    It lies in a folder of this application's own, which goes when the application ends.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        own = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
+        root, files = _path(spark, own)
+        files.mkdirs(root)
+        files.deleteOnExit(root)
+        _roots[app] = own
+    path = f"{_roots[app]}/{tag}-{uuid.uuid4().hex}"
+    for made in _scopes:
+        made.append(path)
+    return path
+
+
+#: Folders made since each open ``scratch`` began.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes the folders made inside once the block ends; what reads them must be done by then."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            remove(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -46,6 +90,5 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of intermediate files that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, files = _path(spark, path)
+    files.delete(target, True)
