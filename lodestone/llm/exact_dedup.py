@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ASCII_SPACE, new_folder, remove, stored, text_or_empty
+from lodestone.llm.common import ASCII_SPACE, membership, new_folder, remove, stored, text_or_empty, with_membership, without
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -61,7 +61,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are equal when identical without ASCII white space.  Of equal texts the row with the
     most code points stays, then the smallest id.  Arrivals (digest, id, length, locator; no text)
     are streamed through keyed state; the locator is a hash of the original text that, with the id,
-    finds a row's content again.  Only then are the full bytes of groups of two or more compared.
+    finds a row's content again.  Only then are the full bytes of groups of two or more compared:
+    a filter over their locators, of bounded size, keeps all other texts where they are.
     If a digest stands for different bytes, its rows are grouped by the bytes themselves, so the
     result never rests on the digest (which a caller may choose).
 
@@ -81,12 +82,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     states, root = _stream_groups(arrivals_path, arrivals.schema, spark, files_per_batch)
     groups = stored(states, "exact-dedup-groups")
     remove(spark, root)
-    hits = groups.where("group_size > 1").select("digest")
-    bytes_of = keyed.select("digest", "norm").join(hits, "digest", "left_semi")
-    # first within each task, so that a group of very many copies is no task's alone
-    each = bytes_of.groupBy("digest", F.spark_partition_id().alias("part")).agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
-    unequal = stored(each.groupBy("digest").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select("digest"), "exact-dedup-unequal")
-    found = arrivals.join(groups, "digest")
+    found = stored(arrivals.join(groups, "digest"), "exact-dedup-found")
+    copied = stored(found.where("group_size > 1").select("locator").distinct(), "exact-dedup-copied")
+    # Only texts with copies are normalised again and leave their task, each once a task: (digest,
+    # bytes) is the whole key, so a group of very many copies is no task's alone.
+    texts = with_membership(docs.select(text_or_empty(text_col).alias("text")), F.xxhash64("text"), membership(copied, "locator"), "hit").where("hit")
+    contents = texts.select(normalised(F.col("text")).alias("norm")).select(digest(F.col("norm")).alias("digest"), "norm").distinct()
+    unequal = stored(contents.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "exact-dedup-unequal")
     if not unequal.isEmpty():
         apart = stored(keyed.join(unequal, "digest", "left_semi").select("digest", "norm", "doc_id", F.char_length("text").alias("n_points"), "locator"), "exact-dedup-apart")
         best = apart.groupBy("digest", "norm").agg(F.count("*").alias("group_size"), F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("low"), "locator")).alias("best"))
@@ -108,7 +110,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = found.groupBy("at_id", "at_text").agg(F.count("*").alias("rows"), F.max("kept").alias("stays"))
     other = stored(rows.where("rows > 1 or not stays"), "exact-dedup-other")
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("at_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("at_text"))
-    once = docs.join(other, same, "left_anti")
+    once = without(docs, other, F.xxhash64(text_or_empty(text_col)), "at_text", same)
     several = other.where("stays")
     if several.isEmpty():
         return once
