@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import connected_components, cut, ship, stored, text_or_empty
+from lodestone.llm.common import connected_components, cut, ship, stored, text_or_empty, without
 
 BITS = 64
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
 _BLOCK = 65_536
+#: Fingerprints that meet on a variant are compared with one another up to this many.
+FEW = 8
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -42,17 +44,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(shingle: int):
     def run(batches):
         for batch in batches:
-            values = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            values = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], ["doc_id", "locator", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row's whole text as a signed 64-bit integer."""
+    """(doc_id, locator, fp): the fingerprint of each row's whole text as a signed 64-bit integer.
+
+    The locator is a hash of the text that, with the id, finds the row again.
+    """
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("locator"), text.alias("text"))
+    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, locator long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -89,35 +95,52 @@ def _table(values: list[tuple[int, ...]], names: tuple[str, ...]):
     return F.from_json(F.lit(f"[{rows}]"), f"array<struct<{','.join(f'{n}:bigint' for n in names)}>>")
 
 
+def _distance(a, b):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) that connect exactly the distinct ``fp`` within ``radius`` bits of each other.
 
-    Every fingerprint emits its half-radius variants (129 at radius 3) and rows meet on the
-    variant.  A variant that two fingerprints share is one pair, whose distance is verified.
-    Where three or more meet, pairs are not enumerated: those few fingerprints emit their full
-    64-bit variants within both halves of the radius, 1 and 2, and whoever meets a fingerprint
-    that is within the smaller half of a variant is within the radius of it; each is linked to
-    the least such.  At most 2,081 distinct fingerprints lie that close to a variant, so no group
-    is unbounded, and rows stay linear in the number of fingerprints.
+    Every fingerprint emits its half-radius variants (131 at radius 3) and rows meet on the
+    variant.  Up to ``FEW`` fingerprints that share a variant are compared with one another (at
+    most 28 pairs; most such meetings are accidents, and these are verified and done with).  Where
+    more meet, pairs are not enumerated: those fingerprints emit their full 64-bit variants within
+    both halves of the radius, 1 and 2, and whoever meets a fingerprint that is within the smaller
+    half of a variant is within the radius of it; each is linked to the least such.  Rows stay
+    linear in the number of fingerprints; windows look at neighbours only and spill.
     """
-    variants = fps.select("fp").distinct().select("fp", F.explode(_table(half_ball(radius), ("keep", "flip"))).alias("m")).select(F.col("m.keep").bitwiseAND(F.col("fp")).bitwiseXOR(F.col("m.flip")).alias("variant"), "fp")
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt by number: a few megabytes of fingerprints become very many variants
+    dealt = fps.select("fp").repartition(parts, "fp").distinct()
+    variants = dealt.select("fp", F.explode(_table(half_ball(radius), ("keep", "flip"))).alias("m")).select(F.col("m.keep").bitwiseAND(F.col("fp")).bitwiseXOR(F.col("m.flip")).alias("variant"), "fp")
     same = Window.partitionBy("variant").orderBy("fp")
-    met = cut(
-        variants.withColumn("n", F.count("*").over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        .withColumn("other", F.lag("fp").over(same))
-        .where("n > 1")
-        .select("fp", "other", "n")
-    )
-    pairs = met.where("n = 2").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius).select(F.col("other").alias("a"), F.col("fp").alias("b"))
+    # with FEW neighbours on each side in view, the count is exact up to FEW + 1
+    met = cut(variants.withColumn("n", F.count("*").over(same.rowsBetween(-FEW, FEW))).where("n > 1"))
+    small_groups = met.where(F.col("n") <= FEW).groupBy("variant").agg(F.collect_list("fp").alias("all"))
+    met_pairs = small_groups.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b")).where("a < b")
+    pairs = met_pairs.where(_distance("a", "b") <= radius)
     small, large = radius // 2, radius - radius // 2
     near = {_signed(f) for f in _flips(list(range(BITS)), small)}
     ball = [(_signed(f), int(_signed(f) in near)) for f in _flips(list(range(BITS)), large)]
-    busy = cut(met.where("n > 2").select("fp").distinct())
+    busy = cut(met.where(F.col("n") > FEW).select("fp").repartition(parts, "fp").distinct())
     around = busy.select("fp", F.explode(_table(ball, ("flip", "near"))).alias("m")).select(F.col("fp").bitwiseXOR(F.col("m.flip")).alias("variant"), "fp", F.when(F.col("m.near") == 1, F.col("fp")).alias("centre"))
     starred = around.withColumn("centre", F.min("centre").over(Window.partitionBy("variant"))).where("centre is not null and centre <> fp")
     return pairs.union(starred.select(F.col("centre").alias("a"), F.col("fp").alias("b"))).distinct()
 
 
+def _grouped(docs: DataFrame, radius: int, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, locator, fp), and (fp, root, low): the group of each fingerprint that has one,
+    and its least doc_id."""
+    rows = cut(fingerprints(docs, shingle, id_col, text_col))
+    lowest = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    groups = connected_components(links(lowest, radius))
+    in_group = groups.select(F.col("node").alias("fp"), F.col("component").alias("root")).join(lowest, "fp")
+    group_low = in_group.groupBy("root").agg(F.min("low").alias("group_low"))
+    linked = in_group.join(group_low, "root").select("fp", "root", "group_low")
+    return rows, stored(lowest.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("group_low", "low").alias("component_id")), "simhash-names")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, fp, component_id (smallest doc_id reachable over links).
 
@@ -126,13 +149,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     their component too (null only if it has no other id); repeated rows are rows; other columns
     are ignored; an empty table gives no rows.
     """
-    rows = cut(fingerprints(docs, shingle, id_col, text_col))
-    lowest = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    groups = connected_components(links(lowest, radius))
-    in_group = groups.select(F.col("node").alias("fp"), "component").join(lowest, "fp")
-    group_low = in_group.groupBy("component").agg(F.min("low").alias("group_low"))
-    linked = in_group.join(group_low, "component").select("fp", "group_low")
-    named = stored(lowest.join(linked, "fp", "left").select("fp", F.coalesce("group_low", "low").alias("component_id")), "simhash-names")
+    rows, named = _grouped(docs, radius, shingle, id_col, text_col)
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -141,10 +158,15 @@ def fingerprint_hex(fp: str = "fp"):
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is their component's smallest, with their columns as they were.
+    """One row of each group, with its columns as it was: the one with the smallest id, and of rows
+    with that id the one whose text has the least hash.
 
-    Rows with a null id stay.  Ids are taken as unique, as after exact de-duplication.
+    What goes is told by id and text, so a row that shares its id with a near copy of something
+    stays.  Rows with a null id stay, and so do rows that repeat the survivor's id and text.
     """
-    found = near_duplicates(docs, radius, shingle, id_col, text_col)
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "simhash-gone")
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("gone_id"), "left_anti")
+    rows, named = _grouped(docs, radius, shingle, id_col, text_col)
+    members = rows.where("doc_id is not null").join(named.select("fp", "root"), "fp").select("root", F.struct("doc_id", "locator").alias("at"))
+    first = members.groupBy("root").agg(F.min("at").alias("first"))
+    gone = stored(members.join(first, "root").where("at <> first").select(F.col("at.doc_id").alias("gone_id"), F.col("at.locator").alias("gone_text")).distinct(), "simhash-gone")
+    hashed = F.xxhash64(text_or_empty(text_col))
+    return without(docs, gone, hashed, "gone_text", (F.col(f"`{id_col}`") == F.col("gone_id")) & (hashed == F.col("gone_text")))

@@ -8,7 +8,7 @@ import xxhash
 from helpers import TEXTS, documents, no_documents, rows
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, lattice, simhash
+from lodestone.llm import common, exact_dedup, lattice, simhash
 from lodestone.llm.common import connected_components
 
 
@@ -131,6 +131,27 @@ def test_near_duplicates(spark):
     assert {r["doc_id"] for r in kept.collect()} == {None, *lowest.values()}
 
 
+def test_near_copies_are_removed_by_id_and_text(spark):
+    """Rows 7 share an id, but only one of them is a near copy of something."""
+    base = " ".join(f"w{k}" for k in range(400))
+    texts = [(1, base), (7, base + " more"), (7, "something else altogether that has no copy"), (8, base + " more"), (9, base + " less"), (9, base + " and")]
+    assert len({slow_fingerprint(t) for _, t in texts}) == 2
+    for limit in (common.BROADCAST_ROWS, 0):
+        common.BROADCAST_ROWS, before = limit, common.BROADCAST_ROWS
+        kept = simhash.keep_first(documents(spark, texts)).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in kept) == [texts[0], texts[2]]
+        common.BROADCAST_ROWS = before
+
+
+def test_membership_never_holds_back_a_key(spark):
+    keys = spark.range(0, 60_000, 3).select(F.xxhash64("id").alias("h"))
+    flagged = common.with_membership(spark.range(60_000), F.xxhash64("id"), common.membership(keys, "h"), "in")
+    counts = {(r["own"], r["in"]): r["count"] for r in flagged.groupBy((F.col("id") % 3 == 0).alias("own"), "in").count().collect()}
+    assert counts[True, True] == 20_000 and (True, False) not in counts and counts.get((False, True), 0) < 4_000
+    none = common.with_membership(spark.range(5), F.xxhash64("id"), common.membership(keys.limit(0), "h"), "in")
+    assert not any(r["in"] for r in none.collect())
+
+
 def test_connected_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 40)] + [(rng.randint(1000, 1200), rng.randint(1000, 1200)) for _ in range(150)]
