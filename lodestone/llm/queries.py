@@ -46,18 +46,18 @@ def _op2_sql() -> str:
     quoted = [p.replace("'", "''") for p in (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, "[A-Za-z0-9+/_=-]{20,}")]
     fine = ("length(value) >= 12", "true", "true", "regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')")
     kinds = [*secrets.BASE, secrets.OWNED]
-    one = """SELECT doc_id, owner, '{kind}' AS kind, {rank} AS rank, start, stop, value FROM (
-      SELECT doc_id, owner, i, stop - length(piece) AS start, stop, {value} AS value FROM (
-        SELECT doc_id, owner, i, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
-          SELECT doc_id, owner, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM (
-            SELECT doc_id, owner, string_split(regexp_replace(x, '{pattern}', chr(57344) || '\\0' || chr(57344), 'g'), chr(57344)) AS l FROM t))))
+    one = """SELECT doc_id, owner, repo, '{kind}' AS kind, {rank} AS rank, start, stop, value FROM (
+      SELECT doc_id, owner, repo, i, stop - length(piece) AS start, stop, {value} AS value FROM (
+        SELECT doc_id, owner, repo, i, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
+          SELECT doc_id, owner, repo, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM (
+            SELECT doc_id, owner, repo, string_split(regexp_replace(x, '{pattern}', chr(57344) || '\\0' || chr(57344), 'g'), chr(57344)) AS l FROM t))))
       WHERE i % 2 = 0 AND {fine}"""
     parts = [one.format(kind=k, rank=r, pattern=p, fine=f, value=f"regexp_extract(piece, '{p}', 2)" if not r else "piece") for r, (k, p, f) in enumerate(zip(kinds, quoted, fine))]
     return f"""
-WITH t AS (SELECT doc_id, coalesce(source, '') AS owner, translate(coalesce(text, ''), chr(57344), chr(65533)) AS x FROM documents),
+WITH t AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repo, translate(coalesce(text, ''), chr(57344), chr(65533)) AS x FROM documents),
 c AS ({" UNION ALL ".join(parts)}),
-o AS (SELECT value, count(DISTINCT owner) AS owners FROM c GROUP BY 1),
-j AS (SELECT c.*, owners <= {secrets.MAX_OWNERS} AND NOT regexp_matches(c.value, '{secrets._PLACEHOLDER}') AND len(list_distinct(string_split(c.value, ''))) >= 6 AS live,
+o AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM c GROUP BY 1),
+j AS (SELECT c.*, owners <= {secrets.MAX_OWNERS} AND repos <= {secrets.MAX_REPOS} AND NOT regexp_matches(c.value, '{secrets._PLACEHOLDER}') AND len(list_distinct(string_split(c.value, ''))) >= 6 AS live,
         c.kind || ':' || start || ':' || stop AS span FROM c JOIN o ON c.value = o.value),
 d AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
         coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3), '') AS base, string_agg(span, ',' ORDER BY start, rank) AS spans, count(*) FILTER (live) AS n_live

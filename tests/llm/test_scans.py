@@ -3,6 +3,7 @@ import re
 import string
 
 from helpers import TEXTS, documents, no_documents, rows
+from pyspark.sql import functions as F
 
 from lodestone.llm import licenses, secrets
 from lodestone.llm.queries import license_digest, secret_digest
@@ -48,11 +49,32 @@ def test_ownership_separates_examples_from_credentials(spark):
     assert {(s["n_owners"], s["n_repos"], s["live"]) for k in (10, 11) for s in spans[k]} == {(1, 2, True)}
     assert [(s["kind"], s["start"], s["end"]) for s in spans[12]] == [("owned", 4, 4 + len(mixed))]
     assert [s["live"] for s in spans[13]] == [False]
+    spread = spark.createDataFrame([(k, f'token = "{own}"', lang, "s1", 1) for k, lang in enumerate(("de", "en", "es", "fr"))], docs.schema)
+    seen = [s for r in secrets.find_secrets(spread).collect() for s in r["spans"]]
+    assert {(s["n_owners"], s["n_repos"], s["live"]) for s in seen} == {(1, 4, False)}
     masked = {r["doc_id"]: r["text"] for r in secrets.mask_live(docs).collect()}
     assert masked[0] == texts[0][1] and masked[13] == texts[9][1]
     assert masked[12] == f"key {'*' * len(mixed)} end" and own not in masked[10] and len(masked[10]) == len(texts[6][1])
 
 
+def test_a_text_of_100_000_matches(spark):
+    values = [hashlib.md5(str(k).encode()).hexdigest() for k in range(100_000)]
+    text = "é ".join(values)
+    docs = spark.createDataFrame([(1, text, "en", "s1", 1), (2, "x", "en", "s1", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    r = secret_digest(secrets.find_secrets(docs)).where("doc_id = 1").first()
+    assert r["n_hex"] == 100_000 and r["base_sha256"] == hashlib.sha256(joined(base_spans(text)).encode()).hexdigest()
+    assert secrets.mask_live(docs).where("doc_id = 1").first()["text"] == "é ".join("*" * 32 for _ in values)
+
+
+def test_overlapping_spans_are_masked_once(spark):
+    spans = [(0, 3), (2, 5), (2, 4), (7, 8), (7, 8)] + [(10 + 3 * k, 12 + 3 * k) for k in range(600)]
+    text = "".join(chr(0x61 + k % 26) for k in range(1900)) + "é日\U0001f600"
+    df = spark.createDataFrame([(text, spans), (text, [])], "t string, s array<struct<start:int,end:int>>")
+    got = [r[0] for r in df.select(secrets._masked(F.col("t"), F.col("s"))).collect()]
+    hidden = {i for a, b in spans for i in range(a, b)}
+    assert got == ["".join("*" if i in hidden else c for i, c in enumerate(text)), text]
+
+
 def test_masking_keeps_rows_and_columns(spark):
     docs = documents(spark)
     out = secrets.mask_live(docs)
