@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from string import ascii_lowercase, ascii_uppercase
@@ -26,21 +27,18 @@ TEMPLATES = (
     ("mit-notice", "Released under the MIT License", "released under the mit license"),
     ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
 )
-#: How many of a template's highest-IDF words are used, and the share that must agree; the SQL alone also limits a file's words.
-TEMPLATE_WORDS, FILE_WORDS, AGREE = 6, 24, 0.6
+#: How many of a template's highest-IDF words are used, and the share that must agree.
+TEMPLATE_WORDS, AGREE = 6, 0.6
 
 
 def words_of(text: str) -> list[str]:
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(ascii_uppercase, ascii_lowercase)))
 
 
-def _bounded(words: set[str]) -> str:
-    return "(?i)(?<![0-9A-Za-z])(?:" + "|".join(sorted(words)) + ")(?![0-9A-Za-z])"
-
-
 #: Each phrase's longest word: a text without any of them holds no phrase.
-_ANCHORS = _bounded({max(p.split(), key=len) for p in [*BASE_PHRASES, *(t[2] for t in TEMPLATES)]})
-_VOCABULARY = sorted({w for t in TEMPLATES for w in words_of(t[1])})
+_ANCHORS = sorted({max(p.split(), key=len) for p in [*BASE_PHRASES, *(t[2] for t in TEMPLATES)]})
+#: The templates' words (all phrases consist of them).
+_VOCABULARY = sorted({w for t in TEMPLATES for w in words_of(t[1])} | {w for p in BASE_PHRASES for w in p.split()})
 
 
 def templates() -> list[tuple[int, str, str, str, int]]:
@@ -52,14 +50,32 @@ def templates() -> list[tuple[int, str, str, str, int]]:
     return out
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int, dict[str, int]]:
-    """How many documents there are and, for each word of the templates, how many hold it.
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.translate(text, ascii_uppercase, ascii_lowercase), F.lit(WORD), 0)
+
+
+def _array(words) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, n_words, has, hits), stored: the only pass over the texts.
 
-    Counted over all documents and whole texts; the result has at most the templates' words.
+    ``has`` are the distinct licence words of a document; where an anchor is among them, ``hits``
+    are all places of licence words, in order.  Other words never leave the array of words.
     """
-    words = F.split(F.lower(text_or_empty(text_col)), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    has = F.array_intersect(words, F.array(*[F.lit(w) for w in _VOCABULARY]))
-    found = docs.select(F.explode(F.concat(has, F.array(F.lit("")))).alias("w")).groupBy("w").count().collect()
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), _words(text_or_empty(text_col)).alias("words"))
+    rows = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.array_intersect("words", _array(_VOCABULARY)).alias("has"), "words")
+    places = F.filter(F.transform("words", lambda w, i: F.named_struct(F.lit("at"), i, F.lit("word"), w)), lambda s: s["word"].isin(_VOCABULARY))
+    return stored(rows.select("row", "doc_id", "n_words", "has", F.when(F.arrays_overlap("has", _array(_ANCHORS)), places).alias("hits")), "license-words")
+
+
+def document_frequencies(words: DataFrame) -> tuple[int, dict[str, int]]:
+    """How many documents there are and, for each licence word, how many hold it.
+
+    Counted over all documents; the result has at most the templates' words.
+    """
+    found = words.select(F.explode(F.concat("has", F.array(F.lit("")))).alias("w")).groupBy("w").count().collect()
     counts = {r["w"]: r["count"] for r in found}
     return counts.pop("", 0), counts
 
@@ -76,59 +92,57 @@ def rare_index(n_docs: int, df: dict[str, int]) -> tuple[dict[str, float], list[
     return idf, postings
 
 
-def _places(words: Column, phrase: str) -> Column:
+def _index(postings: list[tuple[str, int, int, float]]) -> Column:
+    """The postings as one constant map: word -> (template, place, weight, whether of the key phrase)."""
+    weight = {(w, t, place): x for w, t, place, x in postings}
+    key = {(w, t, at + k) for t, _, _, phrase, at in templates() for k, w in enumerate(words_of(phrase))}
+    by_word: dict[str, list] = {}
+    for w, t, place in sorted(weight.keys() | key):
+        by_word.setdefault(w, []).append({"template": t, "place": place, "weight": weight.get((w, t, place), 0.0), "key": int((w, t, place) in key)})
+    return F.from_json(F.lit(json.dumps(by_word)), "map<string,array<struct<template:int,place:int,weight:double,key:int>>>")
+
+
+def _starts(phrase: str) -> Column:
+    """Where a phrase begins: its words are neighbours among the hits, one word apart."""
     parts = phrase.split()
-    starts = F.when(F.size(words) >= len(parts), F.sequence(F.lit(0), F.size(words) - len(parts))).otherwise(F.array().cast("array<int>"))
 
-    def here(i: Column) -> Column:
-        same = [F.get(words, i + k) == F.lit(w) for k, w in enumerate(parts)]
-        out = same[0]
-        for s in same[1:]:
-            out = out & s
-        return out
+    def here(hit: Column, j: Column) -> Column:
+        same = hit["word"] == F.lit(parts[0])
+        for k, w in enumerate(parts[1:], 1):
+            next_one = F.get(F.col("hits"), j + k)
+            same = same & F.coalesce((next_one["word"] == F.lit(w)) & (next_one["at"] == hit["at"] + k), F.lit(False))
+        return same
 
-    return F.filter(starts, here)
+    return F.transform(F.filter("hits", here), lambda h: h["at"])
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: n_words, base places (starts by phrase), labels and scores.
 
-    Every text is split into words; only texts that hold an anchor word go on.  All their
-    words that have postings (each template's highest-IDF words) are looked up there; postings
+    One pass splits every text into words and keeps the places of licence words; document
+    frequencies, base phrases and templates are all worked out from those.  Words that have
+    postings (each template's highest-IDF words, and its key phrase's) are looked up; postings
     that agree on the relative position add their weights; the best position of each template
-    must reach ``AGREE`` and hold the template's mandatory key phrase there.  Rows are keyed by
-    document all along and the index is a constant, so nothing is skewed or broadcast that grows.
+    must reach ``AGREE`` and hold the whole key phrase there.  Rows are keyed by document all
+    along and the index is a constant, so nothing is skewed or broadcast that grows.
 
     Null texts count as empty; repeated rows are rows; null ids are kept; other columns are
     ignored; an empty table gives no rows.  Equal scores of one template take the first place.
     """
-    text = text_or_empty(text_col)
-    spark = docs.sparkSession
-    n_words = F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words")
-    clear = docs.where(~text.rlike(_ANCHORS)).select(F.col(id_col).alias("doc_id"), n_words)
-    words = F.regexp_extract_all(F.translate(text, ascii_uppercase, ascii_lowercase), F.lit(WORD), 0)
-    base = F.array(*[F.struct(F.lit(label).alias("label"), _places(F.col("words"), p).alias("starts")) for p, label in BASE_PHRASES.items()])
-    _, postings = rare_index(*document_frequencies(docs, text_col))
-    held = docs.where(text.rlike(_ANCHORS)).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words.alias("words"))
-    held = stored(held.select("*", base.alias("base")), "license-candidates")
-    rare = sorted({p[0] for p in postings})
-    # only licence words leave the array; a long text's other words are never rows
-    hits = F.filter(F.transform("words", lambda w, i: F.named_struct(F.lit("at"), i, F.lit("word"), w)), lambda s: s["word"].isin(rare))
-    chosen = held.select("row", F.explode(hits).alias("h")).select("row", "h.at", "h.word")
-    index = spark.createDataFrame(postings, "word string, template int, place int, weight double")
-    agreed = chosen.join(F.broadcast(index), "word").groupBy("row", "template", (F.col("at") - F.col("place")).alias("offset")).agg(F.sum("weight").alias("share"))
-    agreed = agreed.where(F.col("share") >= AGREE)
-    keys = [(t, label, words_of(key), at) for t, label, _, key, at in templates()]
-    aligned = agreed.join(held.select("row", "words"), "row")
-    holds = F.lit(False)
-    label = F.lit(None).cast("string")
-    for t, name, key, at in keys:
-        begin = F.col("offset") + at
-        fits = F.when(begin >= 0, F.slice("words", F.greatest(begin, F.lit(0)) + 1, len(key)) == F.array(*[F.lit(w) for w in key])).otherwise(False)
-        holds = F.when(F.col("template") == t, fits).otherwise(holds)
+    words = _occurrences(docs, id_col, text_col)
+    _, postings = rare_index(*document_frequencies(words))
+    held = words.where("hits is not null")
+    found = held.select("row", F.explode("hits").alias("h")).select("row", "h.at", F.explode(F.element_at(_index(postings), F.col("h.word"))).alias("p"))
+    agreed = found.groupBy("row", "p.template", (F.col("at") - F.col("p.place")).alias("offset")).agg(F.sum("p.weight").alias("share"), F.sum("p.key").alias("keys"))
+    label, length = F.lit(None).cast("string"), F.lit(None).cast("int")
+    for t, name, _, phrase, _ in templates():
         label = F.when(F.col("template") == t, F.lit(name)).otherwise(label)
-    best = aligned.where(holds).groupBy("row", label.alias("label")).agg(F.max(F.struct("share", (-F.col("offset")).alias("o"))).alias("b"))
+        length = F.when(F.col("template") == t, F.lit(len(words_of(phrase)))).otherwise(length)
+    good = agreed.where((F.col("share") >= AGREE) & (F.col("keys") == length))
+    best = good.groupBy("row", label.alias("label")).agg(F.max(F.struct("share", (-F.col("offset")).alias("o"))).alias("b"))
     per_row = best.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("label", F.least(F.col("b.share"), F.lit(1.0)).alias("score"), (-F.col("b.o")).alias("offset")))).alias("aligned"))
-    out = held.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), "base").join(per_row, "row", "left").drop("row")
+    base = F.array(*[F.struct(F.lit(label).alias("label"), _starts(p).alias("starts")) for p, label in BASE_PHRASES.items()])
+    out = held.select("row", "doc_id", "n_words", base.alias("base")).join(per_row, "row", "left").drop("row")
     kinds = {f.name: f.dataType for f in out.schema.fields}
+    clear = words.where("hits is null")
     return clear.select("doc_id", "n_words", F.lit(None).cast(kinds["base"]).alias("base"), F.lit(None).cast(kinds["aligned"]).alias("aligned")).unionByName(out)

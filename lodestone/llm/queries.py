@@ -103,8 +103,7 @@ df AS (SELECT word, count(DISTINCT doc_id) AS df FROM occ WHERE word IN (SELECT
 idf AS (SELECT word, ln((n + 1) / (coalesce(df, 0) + 1)) + 1e-6 AS idf FROM (SELECT DISTINCT word FROM pos) LEFT JOIN df USING (word), (SELECT count(*) AS n FROM d)),
 rare AS (SELECT t, word, place, idf FROM pos JOIN idf USING (word) QUALIFY row_number() OVER (PARTITION BY t ORDER BY idf DESC, place) <= {licenses.TEMPLATE_WORDS}),
 post AS (SELECT t, word, place, idf / sum(idf) OVER (PARTITION BY t) AS weight FROM rare),
-mine AS (SELECT doc_id, word FROM (SELECT DISTINCT doc_id, word FROM occ) JOIN idf USING (word) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, word) <= {licenses.FILE_WORDS}),
-agreed AS (SELECT doc_id, t, spot - place AS o, sum(weight) AS share FROM occ JOIN mine USING (doc_id, word) JOIN post USING (word) GROUP BY 1, 2, 3 HAVING sum(weight) >= {licenses.AGREE}),
+agreed AS (SELECT doc_id, t, spot - place AS o, sum(weight) AS share FROM occ JOIN post USING (word) GROUP BY 1, 2, 3 HAVING sum(weight) >= {licenses.AGREE}),
 good AS (SELECT doc_id, label, least(share, 1.0) AS share FROM agreed JOIN d USING (doc_id) JOIN tpl USING (t) WHERE o + kat >= 0 AND list_slice(w, o + kat + 1, o + kat + len(key)) = key),
 base AS (SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY 1),
 every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION ALL SELECT doc_id, label FROM good) GROUP BY 1),
