@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from helpers import TEXTS, documents, no_documents, rows
@@ -221,5 +222,26 @@ def test_recall_at_the_threshold():
     assert met.any(axis=1).mean() >= 0.98
 
 
+@pytest.mark.parametrize("n", [100, 50_000, 20_000_000, 400_000_000])
+def test_plans_keep_their_recall_at_every_size(n):
+    tables, scale = lattice.plan(n)
+    a, b = lattice._pairs_at(0.95, 2000, 64, 99)
+    cells = lattice.Lattice(64, tables, lattice.PROBES, scale, lattice.SEED)
+    ka, kb = cells.keys(a), cells.keys(b)
+    met = (kb == ka[:, :, :1]).any(axis=2) | (ka == kb[:, :, :1]).any(axis=2)
+    assert met.any(axis=1).mean() >= 0.95
+    assert tables * (1 + lattice.PROBES) <= 200
+
+
+def test_groups_of_different_lengths_are_apart():
+    """Two cells with equal names, one of vectors with two components and one with three."""
+    keys = np.zeros((1, 2), "<i8").tobytes()
+    rows = [(dim, 0, 5, 0, 0, cid, 1, True, 0, np.ones(dim, "<f8").tobytes(), keys) for dim in (2, 3) for cid in (10 * dim, 10 * dim + 1)]
+    names = ["dim", "table", "cell", "a", "b", "cid", "mult", "home", "side", "vec", "keys"]
+    batch = pa.RecordBatch.from_pydict({n: [r[k] for r in rows] for k, n in enumerate(names)})
+    found = [r for out in lattice._compare(0.95, (1, 2), "<f8")([batch]) for r in out.to_pylist()]
+    assert {(r["cid"], r["leader"]) for r in found} == {(20, 20), (21, 20), (30, 30), (31, 30)}
+
+
 def test_no_vectors(spark):
     assert lattice.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
