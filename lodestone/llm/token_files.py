@@ -98,7 +98,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, root: str | None = N
     files, at = _fs(root)
     files.create_dir(at, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    dealt = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    # the beginnings of texts deal rows that share an id (or have none) to several shards
+    dealt = rows.repartitionByRange(F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     shards = sorted(tuple(r) for r in dealt.mapInArrow(_write_shard(root, tokenizer_path, end_id), _META).collect())
     bases = [0, *accumulate(s[2] for s in shards)]
     manifest = {"dtype": shards[0][4] if shards else None, "end_id": end_id, "tokens": bases[-1], "shards": [{"stem": s[3], "docs": s[1], "tokens": s[2], "base": b} for s, b in zip(shards, bases)]}
@@ -126,36 +127,54 @@ class Shard:
         raw = self._all("doc")
         self.doc_ids = np.frombuffer(raw[: 8 * n], "<i8")
         self.valid = np.frombuffer(raw[8 * n :], "u1").astype(bool)
-        self.map = np.memmap(f"{self.path}.ids", dtype=self.dtype, mode="r") if isinstance(self.files, fs.LocalFileSystem) else None
+        local = isinstance(self.files, fs.LocalFileSystem)
+        self.map = np.memmap(f"{self.path}.ids", dtype=self.dtype, mode="r") if local else None
+        #: Elsewhere the file is opened once and read by range.
+        self.file = None if local else self.files.open_input_file(f"{self.path}.ids")
 
     def _all(self, kind: str) -> bytes:
         with self.files.open_input_stream(f"{self.path}.{kind}") as f:
             return f.read()
 
     def ids(self, i: int) -> np.ndarray:
-        a, b = int(self.offsets[i]), int(self.offsets[i + 1])
+        return self._range(int(self.offsets[i]), int(self.offsets[i + 1]))
+
+    def _range(self, a: int, b: int) -> np.ndarray:
         if self.map is not None:
             return self.map[a:b]
-        with self.files.open_input_file(f"{self.path}.ids") as f:
-            return np.frombuffer(f.read_at(self.dtype.itemsize * (b - a), self.dtype.itemsize * a), self.dtype)
+        return np.frombuffer(self.file.read_at(self.dtype.itemsize * (b - a), self.dtype.itemsize * a), self.dtype)
+
+    def runs(self, most: int = _BLOCK):
+        """(first document, ids of each) for runs of documents of about ``most`` bytes, a read each."""
+        a, n = 0, len(self.offsets) - 1
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(self.offsets, self.offsets[a] + most // self.dtype.itemsize, side="right")) - 1)
+            begin = int(self.offsets[a])
+            block = self._range(begin, int(self.offsets[b]))
+            yield a, [block[int(self.offsets[i]) - begin : int(self.offsets[i + 1]) - begin] for i in range(a, b)]
+            a = b
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
 
 
-def _digest_shards(root: str, dtype: str, step: int = 20_000):
+def _digest_shards(root: str, dtype: str):
     def read(batches):
         for batch in batches:
             for stem, base in zip(batch.column("stem").to_pylist(), batch.column("base").to_pylist()):
                 shard = Shard(root, stem, dtype)
-                n = len(shard.offsets) - 1
-                for a in range(0, n, step):
-                    b = min(n, a + step)
+                for a, ids in shard.runs():
+                    b = a + len(ids)
                     yield pa.RecordBatch.from_pydict(
                         {
                             "doc_id": pa.array(shard.doc_ids[a:b], pa.int64(), mask=~shard.valid[a:b]),
                             "start": pa.array(base + shard.offsets[a:b], pa.int64()),
                             "n_tokens": pa.array(np.diff(shard.offsets[a : b + 1]), pa.int64()),
-                            "ids_crc32": pa.array([zlib.crc32(shard.ids(i).astype("<u4")) for i in range(a, b)], pa.int64()),
+                            "ids_crc32": pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64()),
                         }
                     )
+                shard.close()
 
     return read
 

@@ -57,6 +57,27 @@ def test_token_files_round_trip(spark):
     assert isinstance(shard.map, np.memmap) and shard.offsets[0] == 0
 
 
+def test_token_files_of_rows_without_ids(spark):
+    texts = [(None, f"{k % 7} text {k}") for k in range(300)] + [(5, f"{k % 9} again {k}") for k in range(300)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        root = token_files.write_token_files(documents(spark, texts), BPE)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = sorted(map(tuple, token_files.token_file_digests(spark, root).collect()), key=lambda r: r[1])
+    start, want = 0, []
+    for i, t in sorted(texts, key=lambda r: (r[0] is not None, r[1])):
+        ids = np.array([*library_ids(t), 0], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert got == want
+    manifest = token_files.read_manifest(root)
+    assert len(manifest["shards"]) > 2
+    shard = token_files.Shard(root, manifest["shards"][0]["stem"], manifest["dtype"])
+    runs = [x.tolist() for _, ids in shard.runs(most=64) for x in ids]
+    assert runs == [shard.ids(i).tolist() for i in range(len(shard.offsets) - 1)]
+
+
 def test_token_files_of_nothing(spark):
     root = token_files.write_token_files(no_documents(spark), BPE)
     assert token_files.token_file_digests(spark, root).collect() == []
