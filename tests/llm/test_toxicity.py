@@ -1,5 +1,6 @@
 import numpy as np
 from helpers import TEXTS, documents, no_documents
+from pyspark.sql import functions as F
 
 from lodestone.llm import toxicity
 
@@ -43,6 +44,33 @@ def test_out_of_fold_predictions_are_not_those_of_the_final_model(monkeypatch):
     assert seen == [(50, 4), *[(40, 4)] * 5, (50, 5)]
 
 
+def test_equal_texts_are_in_one_fold(monkeypatch):
+    """Copies with the label of their twin: a model that has seen the twin would be too sure."""
+    x = (np.random.default_rng(2).random((60, 5)) < 0.5).astype(float)
+    groups = np.repeat(np.arange(20), 3)
+    x = x[groups * 3]
+    seen = []
+    real = toxicity.fit_linear
+
+    def spy(x, y, *rest):
+        seen.append(len(x))
+        return real(x, y, *rest)
+
+    monkeypatch.setattr(toxicity, "fit_linear", spy)
+    toxicity.fit_chain(x, x[:, :2].copy(), ["a", "b"], {}, folds=5, groups=groups)
+    assert seen == [60, *[48] * 5, 60]
+
+
+def test_both_forms_of_the_features_agree(spark):
+    """Training takes features in the JVM, scoring in Python."""
+    texts = TEXTS + [(90, "K\u212aelvin \u0130stanbul ßtraße ÀÉ don't_stop foo-bar 12ab \x7f end")]
+    rows = documents(spark, texts).where("text is not null").select("text", toxicity._features(F.col("text")).alias("f")).collect()
+    known = {w for r in rows for w in r["f"] if w}
+    assert len(rows) == len([t for _, t in texts if t is not None])
+    for r in rows:
+        assert toxicity._found(r["text"], known) == sorted(set(r["f"]) - {""})
+
+
 def test_awkward_documents(spark):
     chain = toxicity.Chain(["c"], {"dog": 0}, np.array([[5.0]]), np.zeros((1, 1)), np.array([-2.0]))
     scored = toxicity.score(documents(spark), chain).collect()
