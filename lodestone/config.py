@@ -6,7 +6,15 @@ import json
 
 
 def load_config(path: str, overrides: dict | None = None) -> dict:
-    """A JSON file's settings; an override that is not None wins, by top-level key."""
+    """A YAML or JSON file's settings; an override that is not None wins, by top-level key.
+
+    YAML needs the ``yaml`` package; JSON files (by their name) do not.
+    """
     with open(path) as f:
-        settings = json.load(f)
+        if path.endswith(".json"):
+            settings = json.load(f)
+        else:
+            import yaml
+
+            settings = yaml.safe_load(f) or {}
     return settings | {k: v for k, v in (overrides or {}).items() if v is not None}

@@ -55,13 +55,26 @@ def _png(data: bytes) -> np.ndarray:
     return out.reshape(h, w, c)
 
 
+#: How files of the formats begin that Pillow reads and this module does not.
+_OTHER_FORMATS = {b"\xff\xd8\xff": "JPEG", b"RIFF": "WebP", b"GIF8": "GIF", b"BM": "BMP"}
+
+
+class Unsupported(RuntimeError):
+    """The bytes may be a whole image, but nothing here can decode its format."""
+
+
 def decode(data: bytes) -> tuple[np.ndarray, bool]:
-    """(pixels as RGB, has EXIF).  Pillow reads any format where it is installed; else PNG only."""
+    """(pixels as RGB, has EXIF).  Pillow reads any format where it is installed; else PNG only,
+    and other formats are an error that says so: they are not corrupt.
+    (``readers.decoded_images`` decodes JPEG files in the JVM instead.)"""
     try:
         import io
 
         from PIL import Image
     except ImportError:
+        for start, name in _OTHER_FORMATS.items():
+            if data.startswith(start):
+                raise Unsupported(f"{name} needs Pillow") from None
         pixels = _png(data)
         if pixels.shape[2] < 3:
             pixels = np.repeat(pixels[:, :, :1], 3, axis=2)
@@ -70,6 +83,24 @@ def decode(data: bytes) -> tuple[np.ndarray, bool]:
         return np.asarray(image.convert("RGB")), bool(image.getexif())
 
 
+def _decoded(data: bytes | None):
+    """As ``decode``, or None where the bytes are no whole image of a format that can be read."""
+    if not data:
+        return None
+    try:
+        return decode(data)
+    except Unsupported:
+        raise
+    except Exception:  # noqa: BLE001  any error of the format's own decoder means the image is corrupt
+        return None
+
+
+def from_struct(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
+    """RGB pixels of Spark's image struct, whose bytes are rows of blue, green, red (and alpha)."""
+    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return np.repeat(pixels, 3, axis=2) if channels == 1 else pixels[:, :, 2::-1]
+
+
 def shrink(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     """Bilinear resampling with pixel centres aligned."""
     h, w = pixels.shape[:2]
@@ -103,23 +134,33 @@ def inspect_image(content: pd.Series) -> pd.DataFrame:
     """Size and EXIF flag; nulls where the bytes cannot be decoded (see ``curate.image_status``)."""
     rows = []
     for data in content:
-        try:
-            pixels, exif = decode(data)
-            rows.append((pixels.shape[1], pixels.shape[0], exif))
-        except Exception:  # noqa: BLE001  any decoder's error means the image is corrupt
-            rows.append((None, None, None))
+        found = _decoded(data)
+        rows.append((None, None, None) if found is None else (found[0].shape[1], found[0].shape[0], found[1]))
     return pd.DataFrame(rows, columns=["width", "height", "has_exif"]).astype({"width": "Int32", "height": "Int32", "has_exif": "boolean"})
 
 
+def _pixels(row) -> np.ndarray:
+    return from_struct(int(row["height"]), int(row["width"]), int(row["nChannels"]), row["data"])
+
+
 @F.pandas_udf(T.DoubleType())
 def blur_score(content: pd.Series) -> pd.Series:
-    def one(data):
-        try:
-            return blur(decode(data)[0])
-        except Exception:  # noqa: BLE001
-            return None
+    """Sharpness of encoded images; null where there is none or it cannot be decoded."""
+    found = [_decoded(data) for data in content]
+    return pd.Series([None if x is None else blur(x[0]) for x in found], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def blur_pixels(image: pd.DataFrame) -> pd.Series:
+    """Sharpness of Spark's image structs (``readers.decoded_images``)."""
+    return pd.Series([None if not r["data"] else blur(_pixels(r)) for r in image.to_dict("records")], dtype="float64")
+
 
-    return content.map(one).astype("float64")
+def _network_input(pixels: np.ndarray | None, size: int):
+    if pixels is None:
+        return None
+    x = shrink(pixels, size, size) / 255.0
+    return ((x - np.array(MEAN)) / np.array(STD)).transpose(2, 0, 1).astype(np.float32).ravel()
 
 
 def preprocess(size: int = 380):
@@ -127,14 +168,17 @@ def preprocess(size: int = 380):
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(content: pd.Series) -> pd.Series:
-        def one(data):
-            try:
-                x = shrink(decode(data)[0], size, size) / 255.0
-            except Exception:  # noqa: BLE001
-                return None
-            return ((x - np.array(MEAN)) / np.array(STD)).transpose(2, 0, 1).astype(np.float32).ravel()
-
-        return content.map(one)
+        return content.map(lambda data: _network_input((_decoded(data) or (None,))[0], size))
+
+    return run
+
+
+def preprocess_pixels(size: int = 380):
+    """As ``preprocess``, from Spark's image structs."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(image: pd.DataFrame) -> pd.Series:
+        return pd.Series([_network_input(_pixels(r) if r["data"] else None, size) for r in image.to_dict("records")])
 
     return run
 

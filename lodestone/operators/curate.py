@@ -57,11 +57,26 @@ def exclude(df: DataFrame, *sets: tuple[DataFrame, str]) -> DataFrame:
     return df
 
 
-def name_lookup(targets: DataFrame, taxa: DataFrame, name: str = "name", key: str = "taxon_id", any_case: bool = True) -> DataFrame:
-    """Targets with the first taxon of their name, whatever the letters' case if ``any_case``."""
-    fold = F.lower if any_case else (lambda c: c)
-    first = taxa.groupBy(fold(F.col(name)).alias("_name")).agg(F.min(key).alias(key))
-    return targets.join(first, fold(targets[name]) == F.col("_name"), "left").drop("_name")
+def of_rank(taxa: DataFrame, wanted: str = "species", column: str = "rank") -> DataFrame:
+    return taxa.where(F.col(column) == wanted)
+
+
+def name_lookup(targets: DataFrame, taxa: DataFrame, order, name: str = "name", key: str = "taxon_id") -> DataFrame:
+    """Targets with the first taxon (in ``order``) of their name in any case and of any rank, else null.
+
+    ``order`` is the column, or columns, that hold the order in which taxa were read.
+    """
+    first = taxa.where(F.col(name).isNotNull()).groupBy(F.lower(name).alias("_name")).agg(F.min_by(key, F.struct(*_cols(order))).alias(key))
+    return targets.join(first, F.lower(targets[name]) == F.col("_name"), "left").drop("_name")
+
+
+def species_ids(targets: DataFrame, taxa: DataFrame, name: str = "name", key: str = "taxon_id", rank: str = "rank") -> DataFrame:
+    """(target columns, key): every id of the species whose name is exactly a target's.
+
+    A name may have several ids, and each of them is wanted; targets without any have no row.
+    """
+    found = of_rank(taxa, column=rank).select(F.col(name).alias("_name"), key).distinct()
+    return targets.join(found, targets[name] == F.col("_name")).drop("_name")
 
 
 def resolve_taxon(targets: DataFrame, candidates: DataFrame, order: str = "position") -> DataFrame:
@@ -118,11 +133,26 @@ def pinned(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return found
 
 
+def _place(key: str, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed).cast("string")))
+
+
 def random_split(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
-    """A reproducible split: the rows with the least hashes, ``max(1, int(n * fraction))`` of them, are "val"."""
-    n_val = max(1, int(df.count() * fraction))
-    chosen = df.select(key).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n_val).withColumn("split", F.lit("val"))
-    return df.join(chosen, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    """A reproducible split: the ``max(1, int(n * fraction))`` rows with the least hashes are "val".
+
+    The hash is md5 of "key:seed", ties go by key.  Only hashes are ranked, by ranges; the last one
+    that is "val" then divides the rows where they are.  Rows with equal keys stay on one side.
+    """
+    places = df.select(_place(key, seed).alias("h"), F.col(key).alias("k"))
+    ranked = running_total(places, ["h", "k"], F.lit(1).cast("long"), "nth")
+    last = ranked.where(F.col("nth") == max(1, int(df.count() * fraction)) - 1).select("h", "k").first()
+    if last is None:
+        return df.withColumn("split", F.lit("train"))
+    h, k = _place(key, seed), F.col(key)
+    at_most = (h < last["h"]) | ((h == last["h"]) & (k <= last["k"] if last["k"] is not None else k.isNull()))
+    if last["k"] is not None:
+        at_most = at_most | ((h == last["h"]) & k.isNull())
+    return df.withColumn("split", F.when(at_most, "val").otherwise("train"))
 
 
 def trusted_split(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
@@ -162,6 +192,54 @@ def metadata_by_slug(df: DataFrame, order: str, last_wins: bool) -> DataFrame:
     return df.groupBy("slug").agg(*[pick(c, order).alias(c) for c in df.columns if c not in ("slug", order)])
 
 
+def shortfall(df: DataFrame, group: str, target: int, groups: DataFrame | None = None) -> DataFrame:
+    """(group, n) of groups with fewer than ``target`` rows; with ``groups``, those without any too."""
+    n = df.groupBy(group).agg(F.count("*").alias("n"))
+    if groups is not None:
+        n = groups.select(group).distinct().join(n, group, "left").na.fill(0, ["n"])
+    return n.where(F.col("n") < target)
+
+
+def with_species(images: DataFrame, species: DataFrame, key: str, species_key: str) -> DataFrame:
+    """Every image with its species' columns; images without one are left out."""
+    return images.join(species, images[key] == species[species_key])
+
+
+def photos_of(photos: DataFrame, observations: DataFrame, key: str, observation_key: str) -> DataFrame:
+    """Photos of the observations that were let through; filter and narrow those before."""
+    return observations.join(photos, observations[observation_key] == photos[key])
+
+
+def of_taxa(df: DataFrame, taxa: DataFrame, key: str) -> DataFrame:
+    """Rows whose taxon is among the wanted ones, once each."""
+    return df.join(taxa.select(key), key, "left_semi")
+
+
+def backfilled(df: DataFrame, other: DataFrame, key: str, value: str, fallback: Column) -> DataFrame:
+    """``value`` of the other table by key, and where that is missing ``fallback`` of this one."""
+    return df.join(other.select(key, value), key, "left").withColumn(value, F.coalesce(F.col(value), fallback))
+
+
+def with_default(df: DataFrame, other: DataFrame, key: str, value: str, default) -> DataFrame:
+    """``value`` of the other table by key, or the default: -1 for a label outside the classes."""
+    return df.join(other.select(key, value), key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
+
+
+def id_else_name(left: DataFrame, right: DataFrame, left_cols: tuple[str, str, str], right_cols: tuple[str, str, str]) -> DataFrame:
+    """(left key, right key) of the first match, null if none: by id where both sides have one, else by name.
+
+    Columns are (key, id, name) of each side; the match with the least right key is the first.
+    Two equi-joins stand for the condition, so nothing is compared pairwise.
+    """
+    (lk, lid, lname), (rk, rid, rname) = left_cols, right_cols
+    a = left.select(lk, F.col(lid).alias("_lid"), F.col(lname).alias("_lname"))
+    b = right.select(rk, F.col(rid).alias("_rid"), F.col(rname).alias("_rname"))
+    by_id = a.join(b.where("_rid is not null"), F.col("_lid") == F.col("_rid")).select(lk, rk)
+    by_name = a.join(b, (F.col("_lname") == F.col("_rname")) & (F.col("_lid").isNull() | F.col("_rid").isNull())).select(lk, rk)
+    first = by_id.union(by_name).groupBy(lk).agg(F.min(rk).alias(rk))
+    return left.select(lk).join(first, lk, "left")
+
+
 def image_status(df: DataFrame, min_dim: int, key: str, order: str) -> DataFrame:
     """Rows with ``status``: corrupt, too_small, duplicate or ok, decided in that order.
 
@@ -172,3 +250,10 @@ def image_status(df: DataFrame, min_dim: int, key: str, order: str) -> DataFrame
     claim = F.row_number().over(Window.partitionBy(key, "_base").orderBy(order))
     status = F.when((F.col("_base") == "ok") & (claim > 1), "duplicate").otherwise(F.col("_base"))
     return df.withColumn("status", status).drop("_base")
+
+
+def status_counts(images: DataFrame) -> DataFrame:
+    """(status, n) of images with ``status`` and ``has_exif``, and as "no_exif" how many kept ones have none."""
+    n = images.groupBy("status").agg(F.count("*").alias("n"))
+    bare = images.agg(F.lit("no_exif").alias("status"), F.count_if((F.col("status") == "ok") & ~F.coalesce("has_exif", F.lit(False))).alias("n"))
+    return n.unionByName(bare)

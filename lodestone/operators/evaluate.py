@@ -47,9 +47,29 @@ def rank_movement(ranks: DataFrame) -> DataFrame:
 
 
 def percentiles(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, n, mean, median, p5, p95), exact and linearly interpolated."""
-    v = F.col(value)
-    return df.groupBy(group).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.05).alias("p5"), F.percentile(v, 0.95).alias("p95"))
+    """(group, n, mean, median, p5, p95), exact and linearly interpolated.
+
+    Equal values are counted first; ranges of (group, value) and a prefix sum over them say how many
+    values of its group come before each, so no group's values meet in one task.  Missing values
+    (null, NaN) do not count; a group without any has n = 0 and nulls.
+    """
+    v = F.col(value).cast("double")
+    rows = df.select(F.col(group).alias("g"), F.when(~F.isnan(v), v).alias("v"))
+    totals = rows.groupBy("g").agg(F.count("v").alias("n"), F.avg("v").alias("mean"))
+    counted = rows.where("v is not null").groupBy("g", "v").agg(F.count("*").alias("c"))
+    counted = running_total(counted, ["g", "v"], F.col("c"), "before")
+    starts = counted.groupBy("g").agg(F.min("before").alias("base"), F.sum("c").alias("n"))
+    at = counted.join(starts.withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h"))).select("g", "v", (F.col("before") - F.col("base")).alias("low"), (F.col("before") - F.col("base") + F.col("c")).alias("high"), "n")
+    cuts = {"median": 0.5, "p5": 0.05, "p95": 0.95}
+    picked = []
+    for name, p in cuts.items():
+        place = F.lit(p) * (F.col("n") - 1)
+        for side, index in (("a", F.floor(place)), ("b", F.ceil(place))):
+            picked.append(F.max(F.when((F.col("low") <= index) & (index < F.col("high")), F.col("v"))).alias(f"{name}_{side}"))
+        picked.append(F.max(place - F.floor(place)).alias(f"{name}_w"))
+    found = at.groupBy(F.col("g").alias("h")).agg(*picked)
+    rates = [(F.col(f"{c}_a") + (F.col(f"{c}_b") - F.col(f"{c}_a")) * F.col(f"{c}_w")).alias(c) for c in cuts]
+    return totals.join(found, F.col("g").eqNullSafe(F.col("h")), "left").select(F.col("g").alias(group), "n", "mean", *rates)
 
 
 def abstention(df: DataFrame, threshold: float = 0.60) -> DataFrame:

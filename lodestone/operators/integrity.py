@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.schema import IMAGE_EXTENSIONS
+
 
 def require(problems: DataFrame, what: str, shown: int = 50) -> None:
     """Raises if there are problems, with the first 50 and how many there are."""
@@ -42,11 +44,33 @@ def exactly_one(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return joined.select(key, F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").alias("problem")).where("problem is not null")
 
 
+def file_problems(expected: DataFrame, files: DataFrame, keys: list[str], digest: str, extensions: tuple[str, ...] = IMAGE_EXTENSIONS) -> DataFrame:
+    """(keys, problem) of expected rows that do not resolve to exactly one file that is what it was.
+
+    ``files`` has the keys, ``extension`` and the digest.  In this order: missing (no file),
+    ambiguous (several), wrong_extension, hash_mismatch (an unknown digest is one).
+    """
+    found = files.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(F.lower("extension")).alias("_ext"), F.min(digest).alias("_found"))
+    n, ext = F.col("_n"), F.coalesce(F.col("_ext").isin(*extensions), F.lit(False))
+    problem = F.when(n.isNull(), "missing").when(n > 1, "ambiguous").when(~ext, "wrong_extension").when(~F.coalesce(F.col("_found") == F.col(digest), F.lit(False)), "hash_mismatch")
+    return expected.join(found, keys, "left").select(*keys, problem.alias("problem")).where("problem is not null")
+
+
 def restored(expected: DataFrame, found: DataFrame, key: str, digest: str) -> DataFrame:
-    """Every expected row with ``error``: not_found, no_content, hash_mismatch, or null if whole."""
-    there = found.select(F.col(key), F.lit(True).alias("_there"), F.col(digest).alias("_digest"))
-    error = F.when(F.col("_there").isNull(), "not_found").when(F.col("_digest").isNull(), "no_content").when(F.col("_digest") != F.col(digest), "hash_mismatch")
-    return expected.join(there, key, "left").withColumn("error", error).drop("_there", "_digest")
+    """Every expected row with ``error``, or null where it is whole: what stands in the way of
+    having the frozen rows again.
+
+    ``found`` has the key (the observation's), and may have ``n_files`` (local files of the row),
+    ``url`` (of the row's photo among the observation's) and the digest of what was downloaded.
+    In this order: ambiguous (several local files), not_found (no such observation), no_photo (the
+    photo is gone from it), no_content (the download failed), hash_mismatch.  The expected rows
+    are never changed.
+    """
+    ambiguous = F.col("n_files") > 1 if "n_files" in found.columns else F.lit(False)
+    photo = F.col("url") if "url" in found.columns else F.lit("")
+    there = found.select(F.col(key), F.lit(True).alias("_there"), F.coalesce(ambiguous, F.lit(False)).alias("_several"), photo.alias("_url"), F.col(digest).alias("_digest"))
+    error = F.when(F.col("_several"), "ambiguous").when(F.col("_there").isNull(), "not_found").when(F.col("_url").isNull(), "no_photo").when(F.col("_digest").isNull(), "no_content").when(F.col("_digest") != F.col(digest), "hash_mismatch")
+    return expected.join(there, key, "left").withColumn("error", error).drop("_there", "_several", "_url", "_digest")
 
 
 def unknown_labels(df: DataFrame, domain: DataFrame, key: str) -> DataFrame:
@@ -74,18 +98,28 @@ def rejects(df: DataFrame, reasons: dict[str, Column]) -> DataFrame:
     return df.withColumn("reason", reason).where("reason is not null")
 
 
-def request_problems(df: DataFrame) -> DataFrame:
-    """Uploads that fail: bounds, one coordinate only, a type that is no image, no content."""
+def request_problems(df: DataFrame, width: str | None = None) -> DataFrame:
+    """Uploads that fail, with the first reason: coordinates out of bounds, a type that is no image
+    (none at all is let through), no content, content that cannot be decoded.
+
+    ``width`` names a column that is null where decoding failed (see ``images.inspect_image``).  One
+    coordinate alone is no reason: such an upload counts as having none (``only_pairs``).
+    """
     lat, lon, kind = F.col("lat"), F.col("lon"), F.col("content_type")
-    return rejects(
-        df,
-        {
-            "out_of_bounds": ~(F.coalesce(lat.between(-90, 90), F.lit(True)) & F.coalesce(lon.between(-180, 180), F.lit(True))),
-            "not_an_image": kind.isNotNull() & ~kind.startswith("image/"),
-            "empty": F.coalesce(F.length("content"), F.lit(0)) == 0,
-            "half_a_coordinate": lat.isNull() != lon.isNull(),
-        },
-    )
+    reasons = {
+        "out_of_bounds": ~(F.coalesce(lat.between(-90, 90), F.lit(True)) & F.coalesce(lon.between(-180, 180), F.lit(True))),
+        "not_an_image": F.coalesce(kind, F.lit("")).rlike("^(?!image/).+"),
+        "empty": F.coalesce(F.length("content"), F.lit(0)) == 0,
+    }
+    if width:
+        reasons["undecodable"] = F.col(width).isNull()
+    return rejects(df, reasons)
+
+
+def only_pairs(df: DataFrame) -> DataFrame:
+    """With ``lat`` and ``lon`` null where one of them is missing."""
+    both = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    return df.withColumns({"lat": F.when(both, F.col("lat")), "lon": F.when(both, F.col("lon"))})
 
 
 def overlap(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:

@@ -7,21 +7,74 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.vectors import EPSILON, doubles, l2_normalise
 from lodestone.functions.geo import boosted
+from lodestone.functions.vectors import EPSILON, doubles, l2_normalise, reported
+from lodestone.shipping import ship
+from lodestone.storage import new_folder
 
 #: Prototypes a block: at 1,792 doubles each a block is about 58 MB.
 BLOCK = 4096
+#: Components that a task's partial sums may hold before they are passed on (32 MB).
+_HELD = 4_000_000
+#: Blocks that a Python worker keeps, most recently used last.
+_KEPT = 4
+
+
+def _rows_of(column) -> list[tuple[int, np.ndarray]]:
+    """(row, vector) of a list column's vectors that are there and hold no nulls."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    at, there = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+    values = column.values
+    flat = values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    gaps = np.concatenate([[0], np.cumsum(~values.is_valid().to_numpy(zero_copy_only=False))])
+    return [(i, flat[a:b]) for i, (a, b) in enumerate(zip(at, at[1:])) if there[i] and b > a and gaps[a] == gaps[b]]
+
+
+def _unit(rows: list[np.ndarray]) -> np.ndarray:
+    x = np.array(rows, dtype=np.float64)
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), EPSILON)
+
+
+def _partial_sums(batches):
+    """Sums of unit vectors by class and length, as rows; a task holds ``_HELD`` components at most."""
+    sums: dict[tuple[int, int], list] = {}
+    held = 0
+
+    def rows():
+        keys = list(sums)
+        columns = [pa.array([k[0] for k in keys], pa.int32()), pa.array([sums[k][0] for k in keys], pa.int64()), pa.array([sums[k][1] for k in keys], pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays(columns, ["class_idx", "n", "sums"])
+
+    for batch in batches:
+        labels = batch.column(0).to_pylist()
+        found: dict[tuple[int, int], list] = {}
+        for i, v in _rows_of(batch.column(1)):
+            found.setdefault((labels[i], len(v)), []).append(v)
+        for key, vectors in found.items():
+            if key not in sums:
+                sums[key] = [0, np.zeros(key[1])]
+                held += key[1]
+            sums[key][0] += len(vectors)
+            sums[key][1] += _unit(vectors).sum(axis=0)
+        if held > _HELD:
+            yield rows()
+            sums, held = {}, 0
+    if sums:
+        yield rows()
 
 
 def prototypes(df: DataFrame, classes: DataFrame | None = None, label: str = "label", vector: str = "embedding") -> DataFrame:
     """(class_idx, proto): the normalised mean of each class's normalised vectors.
 
-    Sums are partial on the map side: a row a class and dimension leaves each task.  With
-    ``classes`` (class_idx), a class without vectors gets a zero prototype.
+    Each task adds up its unit vectors by class, so what is shuffled is a row a task, class and
+    component.  Vectors that are null, empty or hold nulls are left out.  With ``classes``
+    (class_idx), a class without vectors gets a zero prototype.
     """
-    unit = df.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(label).cast("int").alias("class_idx"), F.posexplode(l2_normalise(doubles(F.col(vector)))).alias("pos", "x"))
-    means = unit.groupBy("class_idx", "pos").agg(F.avg("x").alias("x"))
+    ship(df.sparkSession)
+    vectors = df.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("class_idx"), doubles(F.col(vector)).alias("v"))
+    partial = vectors.mapInArrow(_partial_sums, "class_idx int, n long, sums array<double>")
+    parts = partial.select("class_idx", "n", F.posexplode("sums").alias("pos", "x"))
+    means = parts.groupBy("class_idx", "pos").agg((F.sum("x") / F.sum("n")).alias("x"))
     lists = means.groupBy("class_idx").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("p"))
     found = lists.select("class_idx", l2_normalise(F.transform("p", lambda s: s["x"])).alias("proto"))
     if classes is None:
@@ -31,36 +84,55 @@ def prototypes(df: DataFrame, classes: DataFrame | None = None, label: str = "la
     return classes.select(F.col("class_idx").cast("int")).distinct().crossJoin(F.broadcast(width)).join(found, "class_idx", "left").select("class_idx", F.coalesce("proto", zero).alias("proto"))
 
 
-def _blocks(protos: DataFrame, block: int) -> DataFrame:
-    """Prototypes gathered into rows of at most ``block``: a class dimension, never data rows."""
-    return protos.groupBy(F.floor(F.col("class_idx") / block).alias("b")).agg(F.sort_array(F.collect_list(F.struct("class_idx", "proto"))).alias("protos"))
+def _store_blocks(protos: DataFrame, block: int) -> tuple[str, list[int]]:
+    """Prototypes as Parquet in the shared folder, a folder a block of classes; (path, blocks)."""
+    path = new_folder(protos.sparkSession, "prototypes")
+    numbered = protos.select(F.floor(F.col("class_idx") / block).alias("b"), "class_idx", "proto")
+    numbered.repartition("b").sortWithinPartitions("b", "class_idx").write.partitionBy("b").parquet(path)
+    stored = protos.sparkSession.read.schema("class_idx int, proto array<double>, b bigint").parquet(path)
+    return path, sorted(r["b"] for r in stored.select("b").distinct().collect())
 
 
-def _score(top: int | None):
+_blocks: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _block(path: str, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """(classes in order, their unit prototypes) of a stored block, kept by the worker."""
+    from pyarrow import dataset, fs
+
+    found = _blocks.pop((path, b), None)
+    if found is None:
+        files, at = fs.FileSystem.from_uri(path)
+        rows = dataset.dataset(f"{at}/b={b}", filesystem=files, format="parquet").to_table(columns=["class_idx", "proto"])
+        rows = rows.sort_by("class_idx")
+        good = _rows_of(rows.column("proto"))
+        classes = rows.column("class_idx").to_numpy()[[i for i, _ in good]]
+        found = classes, _unit([v for _, v in good])
+    while len(_blocks) >= _KEPT:
+        del _blocks[next(iter(_blocks))]
+    _blocks[path, b] = found
+    return found
+
+
+def _score(path: str, blocks: list[int], top: int | None):
     def run(batches):
         for batch in batches:
-            ids, out_id, out_class, out_sim = batch.column(0).to_pylist(), [], [], []
-            made: dict[int, tuple] = {}
-            vectors, blocks = batch.column(1).to_pylist(), batch.column(2)
-            names = batch.column(3).to_pylist()
-            for b in set(names):
-                rows = [i for i, n in enumerate(names) if n == b and vectors[i] is not None]
-                if not rows:
-                    continue
-                if b not in made:
-                    protos = blocks[rows[0]].as_py()
-                    p = np.array([x["proto"] for x in protos], dtype=np.float64)
-                    made[b] = np.array([x["class_idx"] for x in protos]), p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), EPSILON)
-                classes, p = made[b]
-                x = np.array([vectors[i] for i in rows], dtype=np.float64)
-                sims = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), EPSILON) @ p.T
-                k = len(classes) if top is None else min(top, len(classes))
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # blocks are sorted: ties go to the least class
-                for r, i in enumerate(rows):
-                    out_id += [ids[i]] * k
-                    out_class += classes[best[r]].tolist()
-                    out_sim += sims[r, best[r]].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_class, pa.int32()), pa.array(out_sim, pa.float64())], ["query_id", "class_idx", "sim"])
+            ids, rows = batch.column(0).to_pylist(), _rows_of(batch.column(1))
+            if not rows:
+                continue
+            x = _unit([v for _, v in rows])
+            sims, classes = np.empty((len(rows), 0)), np.empty((len(rows), 0), np.int32)
+            for b in blocks:
+                names, protos = _block(path, b)
+                sims = np.hstack([sims, x @ protos.T])
+                classes = np.hstack([classes, np.broadcast_to(names, (len(rows), len(names)))])
+                if top is not None and sims.shape[1] > top:
+                    # blocks come in order of their classes: a stable sort gives ties to the least class
+                    best = np.argsort(-sims, axis=1, kind="stable")[:, :top]
+                    sims, classes = np.take_along_axis(sims, best, 1), np.take_along_axis(classes, best, 1)
+            k = sims.shape[1]
+            owner = np.repeat(np.array([ids[i] for i, _ in rows], dtype=object), k)
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(classes.ravel(), pa.int32()), pa.array(sims.ravel())], ["query_id", "class_idx", "sim"])
 
     return run
 
@@ -68,12 +140,14 @@ def _score(top: int | None):
 def similarities(queries: DataFrame, protos: DataFrame, top: int | None = None, query_id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(query_id, class_idx, sim) of every query with every class, or with its ``top`` nearest.
 
-    Queries meet each block of prototypes as one matrix product; with ``top``, only that many rows
-    a query and block leave the task.  Queries without a vector are left out.
+    Prototypes are stored once in the shared folder; a worker loads a block at a time and keeps a
+    few.  Queries stay where they are and meet each block as one matrix product, so neither side
+    is shuffled, broadcast or copied into the other's rows; with ``top``, only that many rows a
+    query leave the task.  Queries without a vector, or whose vector holds nulls, are left out.
     """
+    ship(queries.sparkSession)
     shaped = queries.select(F.col(query_id).cast("long").alias("query_id"), doubles(F.col(vector)).alias("v"))
-    met = shaped.crossJoin(_blocks(protos, block)).select("query_id", "v", "protos", "b")
-    return met.mapInArrow(_score(top), "query_id long, class_idx int, sim double")
+    return shaped.mapInArrow(_score(*_store_blocks(protos, block), top), "query_id long, class_idx int, sim double")
 
 
 def similarities_native(queries: DataFrame, protos: DataFrame, query_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -126,8 +200,17 @@ def known_correct(top1: Column, known_label: Column) -> Column:
     return F.when(known_label >= 0, top1 == known_label)
 
 
-def response(ranks: DataFrame, species: DataFrame, k: int = 3) -> DataFrame:
-    """(query_id, results JSON): the ranked answer of each query, with raw similarities to 4 places."""
-    rows = ranks.where(F.col("rank") <= k).join(F.broadcast(species), "class_idx")
-    item = F.struct("rank", "species_name", "common_name", "taxon_id", F.round("sim", 4).alias("similarity"), "geo_boosted")
-    return rows.groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("results"))
+def response(ranks: DataFrame, species: DataFrame, k: int = 3, inference_ms: str | None = None) -> DataFrame:
+    """(query_id, results, response): the ranked answer of each query, with raw similarities to 4 places.
+
+    ``results`` is the list alone, ``response`` the whole answer as JSON: the list, how long the
+    inference took (``inference_ms`` names a column in milliseconds; else null), and whether
+    coordinates took part (``geo_filtered`` of the ranks, where there is one).
+    """
+    taken = F.floor(F.max(inference_ms)).cast("long") if inference_ms else F.lit(None).cast("long")
+    active = F.coalesce(F.bool_or("geo_filtered"), F.lit(False)) if "geo_filtered" in ranks.columns else F.lit(False)
+    rows = ranks.where(F.col("rank") <= k).join(species, "class_idx")
+    item = F.struct("rank", "species_name", "common_name", "taxon_id", reported(F.col("sim")).alias("similarity"), "geo_boosted")
+    answer = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"), taken.alias("inference_ms"), active.alias("geo_filtered"))
+    whole = F.to_json(F.struct(F.col("items").alias("results"), "inference_ms", "geo_filtered"), {"ignoreNullFields": "false"})
+    return answer.select("query_id", F.to_json("items").alias("results"), whole.alias("response"))

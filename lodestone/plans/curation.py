@@ -75,9 +75,9 @@ def path_regex_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").where(C.under_path(F.col("url"), 7) | C.under_path(F.col("url"), "blog")).select("page_id")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, p_name, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 10")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, p_name, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey")
 def image_species_join(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "p_name", "p_brand")
+    return C.with_species(table(spark, d, "lineitem"), table(spark, d, "part"), "l_partkey", "p_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "p_name", "p_brand")
 
 
 @query("""WITH j AS (SELECT o_custkey, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
@@ -86,14 +86,14 @@ def image_species_join(spark: SparkSession, d: str) -> DataFrame:
 SELECT o_custkey, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM j WHERE r <= 3""")
 def obs_photo_join_cap(spark: SparkSession, d: str) -> DataFrame:
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    found = table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey").join(table(spark, d, "lineitem").select(*order), F.col("o_orderkey") == F.col("l_orderkey"))
+    found = C.photos_of(table(spark, d, "lineitem").select(*order), table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey"), "l_orderkey", "o_orderkey")
     return C.first_per_key(found, "o_custkey", order, 3).select("o_custkey", *order)
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building')")
 def taxon_semi_join(spark: SparkSession, d: str) -> DataFrame:
     wanted = table(spark, d, "customer").where(F.lower("c_mktsegment") == "building").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, d, "orders").join(wanted, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+    return C.of_taxa(table(spark, d, "orders"), wanted, "o_custkey").select("o_orderkey", "o_custkey")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1993-06-01')")
@@ -112,13 +112,13 @@ def restore_left_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT d.doc_id, coalesce(nullif(l.quality, 0), d.n_chars % 7) AS filled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def coalesce_backfill(spark: SparkSession, d: str) -> DataFrame:
-    labels = table(spark, d, "labels").select("doc_id", "quality")
-    return table(spark, d, "documents").join(labels, "doc_id", "left").select("doc_id", F.coalesce(F.nullif("quality", F.lit(0)), F.col("n_chars") % 7).cast("long").alias("filled"))
+    labels = table(spark, d, "labels").select("doc_id", F.nullif(F.col("quality").cast("long"), F.lit(0)).alias("filled"))
+    return C.backfilled(table(spark, d, "documents").select("doc_id", "n_chars"), labels, "doc_id", "filled", F.col("n_chars") % 7).select("doc_id", "filled")
 
 
 @query("SELECT d.doc_id, coalesce(l.toxic, -1) AS known_label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def unknown_default_join(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left").select("doc_id", F.coalesce("toxic", F.lit(-1)).alias("known_label"))
+    return C.with_default(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").withColumnRenamed("toxic", "known_label"), "doc_id", "known_label", -1)
 
 
 @query("""WITH o AS (SELECT p_name AS k, min(p_brand) AS brand, min(p_size) AS size FROM part WHERE p_size < 40 GROUP BY 1),
@@ -135,13 +135,9 @@ def taxonomy_diff(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT c.c_custkey, min(s.s_suppkey) AS s_suppkey FROM customer c LEFT JOIN supplier s
  ON CASE WHEN c.c_custkey % 3 > 0 AND s.s_suppkey % 2 > 0 THEN c.c_nationkey = s.s_nationkey ELSE substr(c.c_name, -2) = substr(s.s_name, -2) END GROUP BY 1""")
 def conditional_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """By id where both sides have one, else by name: two equi-joins instead of an OR."""
     c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 > 0, F.col("c_nationkey")).alias("id"), F.substring("c_name", -2, 2).alias("name"))
-    s = table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 > 0, F.col("s_nationkey")).alias("sid"), F.substring("s_name", -2, 2).alias("sname"))
-    by_id = c.join(s.where("sid is not null"), F.col("id") == F.col("sid")).select("c_custkey", "s_suppkey")
-    by_name = c.join(s, (F.col("name") == F.col("sname")) & (F.col("id").isNull() | F.col("sid").isNull())).select("c_custkey", "s_suppkey")
-    first = by_id.union(by_name).groupBy("c_custkey").agg(F.min("s_suppkey").alias("s_suppkey"))
-    return c.select("c_custkey").join(first, "c_custkey", "left")
+    s = table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 > 0, F.col("s_nationkey")).alias("id"), F.substring("s_name", -2, 2).alias("name"))
+    return C.id_else_name(c, s, ("c_custkey", "id", "name"), ("s_suppkey", "id", "name"))
 
 
 @query("""WITH p AS (SELECT l_orderkey, l_returnflag, l_partkey, l_suppkey, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY
@@ -240,12 +236,12 @@ def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
     return M.insert_ignore(rows.where("c_custkey % 100 = 0"), rows, "path", "c_custkey")
 
 
-@query("SELECT source, count(*) AS n FROM documents WHERE lang = 'de' GROUP BY 1 HAVING count(*) < 12")
+@query("SELECT source, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) < 12")
 def shortfall(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")).where("n < 12")
+    return C.shortfall(table(spark, d, "documents"), "source", 12)
 
 
-@query(None)
+@query("""SELECT vec_id, label, CASE WHEN row_number() OVER (ORDER BY md5(vec_id || ':42'), vec_id) <= greatest(1, floor(count(*) OVER () * 0.2)) THEN 'val' ELSE 'train' END AS split FROM embeddings""")
 def random_split(spark: SparkSession, d: str) -> DataFrame:
     return C.random_split(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id", 0.2, 42)
 

@@ -29,25 +29,25 @@ _SIGNALS = f"""{_RANKS}, s AS (SELECT query_id, any_value(label) AS label, max(c
 k AS (SELECT *, CASE WHEN label < 8 THEN top1 = label END AS correct FROM s)"""
 
 
-def _folds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def folds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "embeddings")
     return e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0")
 
 
 def _scores(spark: SparkSession, d: str, top: int | None = None) -> DataFrame:
-    train, val = _folds(spark, d)
+    train, val = folds(spark, d)
     return R.similarities(val, R.prototypes(train), top)
 
 
 def _truth(spark: SparkSession, d: str) -> DataFrame:
-    return _folds(spark, d)[1].select(F.col("vec_id").alias("query_id"), "label")
+    return folds(spark, d)[1].select(F.col("vec_id").alias("query_id"), "label")
 
 
-def _ranks(spark: SparkSession, d: str) -> DataFrame:
+def ranks_of_truth(spark: SparkSession, d: str) -> DataFrame:
     return R.rank_of_label(R.ranked(_scores(spark, d)), _truth(spark, d))
 
 
-def _reranked(spark: SparkSession, d: str) -> DataFrame:
+def reranked(spark: SparkSession, d: str) -> DataFrame:
     obs = observations(spark, d)
     cells = geo.cell_counts(obs.withColumn("class_idx", (F.col("user_id") % 10).cast("int")), slug="class_idx")
     at = _truth(spark, d).join(obs.select(F.col("event_id").alias("query_id"), "lat", "lon"), "query_id")
@@ -79,7 +79,7 @@ def all_pairs_cosine(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d).select("query_id", "class_idx", V.reported(F.col("sim")).alias("sim"))
 
 
-@query(f"""WITH {_CELLS}, pts AS (SELECT event_id, floor(lat)::BIGINT AS a, floor(lon)::BIGINT AS b FROM obs WHERE lat IS NOT NULL AND event_id % 20 = 1)
+@query(f"""WITH {_CELLS}, pts AS (SELECT event_id, floor(lat)::BIGINT AS a, floor(lon)::BIGINT AS b FROM obs WHERE lat IS NOT NULL)
 SELECT DISTINCT event_id, slug FROM pts JOIN cells ON abs(clat - a) <= 1 AND abs(clon - b) <= 1""")
 def geo_neighbour_join(spark: SparkSession, d: str) -> DataFrame:
     o = observations(spark, d)
@@ -100,35 +100,35 @@ def geo_index_nested(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SIMS} SELECT class_idx, generate_subscripts(proto, 1) - 1 AS dim, round(unnest(proto), 6) + 0 AS x FROM p")
 def class_prototypes(spark: SparkSession, d: str) -> DataFrame:
-    protos = R.prototypes(_folds(spark, d)[0])
+    protos = R.prototypes(folds(spark, d)[0])
     return protos.select("class_idx", F.posexplode("proto").alias("dim", "x")).select("class_idx", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
 
 
 @query(f"WITH {_RANKS} SELECT query_id, class_idx, rank, round(sim, 4) + 0 AS similarity FROM ranks WHERE rank <= 3")
 def topk_nearest(spark: SparkSession, d: str) -> DataFrame:
-    train, val = _folds(spark, d)
+    train, val = folds(spark, d)
     return R.top_k(val, R.prototypes(train)).select("query_id", "class_idx", F.col("rank").cast("long").alias("rank"), V.reported(F.col("sim")).alias("similarity"))
 
 
 @query(f"WITH {_GEO} SELECT query_id, class_idx, rank, round(sim, 4) + 0 AS similarity, in_range AND rank < raw_rank AS geo_boosted, geo_filtered FROM rr WHERE rank <= 3")
 def geo_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return _reranked(spark, d).where("rank <= 3").select("query_id", "class_idx", F.col("rank").cast("long").alias("rank"), V.reported(F.col("sim")).alias("similarity"), "geo_boosted", "geo_filtered")
+    return reranked(spark, d).where("rank <= 3").select("query_id", "class_idx", F.col("rank").cast("long").alias("rank"), V.reported(F.col("sim")).alias("similarity"), "geo_boosted", "geo_filtered")
 
 
 @query(f"WITH {_TRUTH} SELECT query_id, label, rank, round(sim, 4) + 0 AS sim FROM truth")
 def rank_of_truth(spark: SparkSession, d: str) -> DataFrame:
-    return _ranks(spark, d).select("query_id", "label", F.col("rank").cast("long").alias("rank"), V.reported(F.col("sim")).alias("sim"))
+    return ranks_of_truth(spark, d).select("query_id", "label", F.col("rank").cast("long").alias("rank"), V.reported(F.col("sim")).alias("sim"))
 
 
 @query(f"WITH {_PER_CLASS} SELECT label, n, correct1, correct3, round(correct1 / n, 6) AS top1, round(correct3 / n, 6) AS top3 FROM c")
 def class_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    return E.class_accuracy(_ranks(spark, d)).withColumn("top1", F.round("top1", 6)).withColumn("top3", F.round("top3", 6))
+    return E.class_accuracy(ranks_of_truth(spark, d)).withColumn("top1", F.round("top1", 6)).withColumn("top3", F.round("top3", 6))
 
 
 @query(f"""WITH {_PER_CLASS} SELECT sum(n)::BIGINT AS n, count(*) AS classes, round(sum(correct1) / sum(n), 6) AS micro_top1, round(sum(correct3) / sum(n), 6) AS micro_top3,
  round(avg(correct1 / n), 6) AS macro_top1, round(avg(correct3 / n), 6) AS macro_top3 FROM c""")
 def micro_macro(spark: SparkSession, d: str) -> DataFrame:
-    out = E.micro_macro(E.class_accuracy(_ranks(spark, d)))
+    out = E.micro_macro(E.class_accuracy(ranks_of_truth(spark, d)))
     return out.select("n", "classes", *[F.round(c, 6).alias(c) for c in ("micro_top1", "micro_top3", "macro_top1", "macro_top3")])
 
 
@@ -136,7 +136,7 @@ def micro_macro(spark: SparkSession, d: str) -> DataFrame:
  round(avg((rank = 1)::INTEGER) - avg((raw_rank = 1)::INTEGER), 6) AS delta_top1, round(coalesce(avg((rank = 1)::INTEGER) FILTER (geo_filtered), 0), 6) AS coords_top1 FROM rr WHERE class_idx = label""")
 def geo_rank_delta(spark: SparkSession, d: str) -> DataFrame:
     truth = _truth(spark, d)
-    r = _reranked(spark, d).join(truth, "query_id").where("class_idx = label")
+    r = reranked(spark, d).join(truth, "query_id").where("class_idx = label")
     out = E.rank_movement(r)
     return out.withColumn("delta_top1", F.round("delta_top1", 6)).withColumn("coords_top1", F.round("coords_top1", 6))
 

@@ -1,27 +1,12 @@
-"""Table schemas of the curation and retrieval engine, as DDL strings."""
-
-from __future__ import annotations
-
+"""Formats that must be read as they are: columns as DDL strings, nested JSON, allowed values.
 
+Fixed values throughout.
+"""
 
+from __future__ import annotations
 
-SPECIES = "id INT NOT NULL, taxon_id INT, slug STRING NOT NULL, name STRING NOT NULL, common_name STRING, class_idx INT"
-IMAGES = "id INT NOT NULL, species_id INT NOT NULL, source STRING NOT NULL, storage_path STRING NOT NULL, split STRING NOT NULL, width INT, height INT, lat DOUBLE, lon DOUBLE, created_at TIMESTAMP_NTZ NOT NULL"
-TRAINING_RUNS = "id INT NOT NULL, started_at TIMESTAMP_NTZ, finished_at TIMESTAMP_NTZ, config STRING, top1_acc DOUBLE, top3_acc DOUBLE, artifact_path STRING"
 TAXA = "taxon_id STRING, ancestry STRING, rank STRING, name STRING"
-OBSERVATIONS = "observation_uuid STRING, taxon_id STRING, quality_grade STRING, latitude STRING, longitude STRING"
-PHOTOS = "photo_id STRING, observation_uuid STRING, extension STRING"
-MANIFEST = "species STRING, slug STRING, taxon_id INT, photo_id STRING, source STRING, lat DOUBLE, lon DOUBLE, split STRING"
-BENCHMARK = "photo_id STRING, observation_uuid STRING, species STRING, slug STRING, taxon_id INT, lat DOUBLE, lon DOUBLE, source STRING, sha256 STRING, created_at STRING"
-CALIBRATION = "photo_id STRING, observation_uuid STRING, species STRING, slug STRING, taxon_id INT, category STRING, lat DOUBLE, lon DOUBLE, source STRING, sha256 STRING, created_at STRING, blur_score DOUBLE"
-CLEAN_REPORT = "path STRING, status STRING, width INT, height INT, has_exif INT, kept INT"
-PROTOTYPES = "class_idx INT, proto ARRAY<DOUBLE>"
 GEO_INDEX = "cell_size_deg DOUBLE, cells MAP<STRING, ARRAY<ARRAY<BIGINT>>>"
-SAMPLE = "storage_path STRING, label INT, slug STRING, split STRING, lat DOUBLE, lon DOUBLE"
 OBSERVATION_JSON = "STRUCT<uuid STRING, location STRING, created_at STRING, taxon STRUCT<id INT, name STRING, rank STRING>, photos ARRAY<STRUCT<id BIGINT, url STRING>>>"
 OCCURRENCE_JSON = "STRUCT<results ARRAY<STRUCT<media ARRAY<STRUCT<identifier STRING, type STRING, format STRING, license STRING>>>>, endOfRecords BOOLEAN>"
-
-#: Allowed constants.
-SOURCES = ("inat", "antweb", "gbif")
-SPLITS = ("train", "val")
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "webp")

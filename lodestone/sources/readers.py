@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from lodestone import schema
 from lodestone.functions import text as X
 from lodestone.operators.curate import class_index, priority_pick
 from lodestone.operators.integrity import require_columns
+from lodestone.shipping import ship
 
 
 def tsv(spark: SparkSession, path: str, ddl: str, columns: tuple[str, ...], partitions: int | None = None) -> DataFrame:
@@ -44,6 +46,23 @@ def image_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = sc
     return df.where(ext.isin(*extensions)).withColumn("extension", ext).withColumn("slug", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)).orderBy("path")
 
 
+def decoded_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = schema.IMAGE_EXTENSIONS) -> DataFrame:
+    """Image files with what decoding in the JVM gives: (path, extension, slug, content, width,
+    height, has_exif, image); the last is Spark's image struct, for ``images.blur_pixels``.
+
+    JPEG, PNG, GIF and BMP are decoded; WebP is not, and must go through ``images.inspect_image``
+    with Pillow, so it is an error here.  Width, height, flag and image are null where decoding failed.
+    """
+    files = image_files(spark, root, extensions)
+    webp = F.raise_error(F.concat(F.lit("WebP needs Pillow: "), F.col("path")))
+    files = files.withColumn("path", F.when(F.col("extension") == "webp", webp).otherwise(F.col("path")))
+    pixels = spark.read.format("image").option("recursiveFileLookup", "true").load(root).select("image")
+    good = pixels.where("image.width > 0").select(F.regexp_replace("image.origin", "^file:/+", "/").alias("_at"), "image")
+    joined = files.withColumn("_at", F.regexp_replace("path", "^file:/+", "/")).join(good, "_at", "left").drop("_at")
+    exif = F.contains(F.substring("content", 1, 65536), F.lit(b"Exif\x00\x00")) | F.contains(F.substring("content", 1, 65536), F.lit(b"eXIf"))
+    return joined.withColumns({"width": F.col("image.width"), "height": F.col("image.height"), "has_exif": F.when(F.col("image").isNotNull(), exif)})
+
+
 def directory_manifest(spark: SparkSession, root: str) -> DataFrame:
     """Samples of a folder of folders: each sub-folder's name is the slug."""
     files = image_files(spark, root, content=False)
@@ -75,8 +94,40 @@ def database_manifest(images: DataFrame, species: DataFrame) -> DataFrame:
     return joined.join(class_index(joined), "slug").select("storage_path", F.col("class_idx").alias("label"), "slug", "split", "lat", "lon")
 
 
-def jdbc_table(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+def jdbc_table(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 32, **options) -> DataFrame:
+    """A database table.  With a numeric ``key`` and its bounds it is read in ``partitions`` ranges
+    of the key by as many tasks; without, by one."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if key and bounds:
+        reader = reader.options(partitionColumn=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions)
+    return reader.load()
+
+
+def _get_objects(batches):
+    from pyarrow import fs
+
+    for batch in batches:
+        bodies = []
+        for uri in batch.column(batch.num_columns - 1).to_pylist():
+            body = None
+            if uri:
+                files, at = fs.FileSystem.from_uri(uri)
+                if files.get_file_info(at).type == fs.FileType.File:
+                    with files.open_input_stream(at) as f:
+                        body = f.read()
+            bodies.append(body)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bodies, pa.binary())], [*batch.schema.names[:-1], "content"])
+
+
+def get_objects(df: DataFrame, uri: str = "uri") -> DataFrame:
+    """``df`` with ``content``: the bytes of each row's object, by its URI (s3://, gs://, file://).
+
+    Objects that are not there are null; other failures are errors.  Every row reads its own, so
+    rows can come from any table; whole folders are read better with ``image_files``.
+    """
+    ship(df.sparkSession)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.select(*[f"`{c}`" for c in df.columns], F.col(uri).alias("__uri")).mapInArrow(_get_objects, f"{fields}, content binary")
 
 
 def manifest(spark: SparkSession, database: tuple[DataFrame, DataFrame] | None = None, csv: str | None = None, root: str | None = None) -> DataFrame:
@@ -123,6 +174,25 @@ def geo_index_json(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode("g.cells").alias("slug", "cells")).select("slug", F.explode("cells").alias("c")).select("slug", F.get("c", F.lit(0)).alias("clat"), F.get("c", F.lit(1)).alias("clon"))
 
 
+def _npy_rows(batches):
+    import io
+
+    import numpy as np
+
+    for batch in batches:
+        for content in batch.column(0):
+            matrix = np.load(io.BytesIO(content.as_buffer()), allow_pickle=False)
+            for a in range(0, len(matrix), 1000):
+                part = matrix[a : a + 1000].astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(part), dtype=np.int32)), pa.array(list(part), pa.list_(pa.float64()))], ["class_idx", "proto"])
+
+
+def prototypes_npy(spark: SparkSession, path: str) -> DataFrame:
+    """(class_idx, proto) of a ``.npy`` matrix with a row a class: a class dimension, so one task reads it."""
+    ship(spark)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_npy_rows, "class_idx int, proto array<double>")
+
+
 def staged(spark: SparkSession, source: str, target: str) -> str:
     """Copies a file once: a target that is there and not empty is used as it is."""
     jvm = spark.sparkContext._jvm
@@ -135,5 +205,9 @@ def staged(spark: SparkSession, source: str, target: str) -> str:
 
 
 def batches(df: DataFrame, seed: int | None = None) -> DataFrame:
-    """Samples in training order (shuffled by a seed) or in evaluation order (by path)."""
-    return df.orderBy(F.rand(seed)) if seed is not None else df.orderBy("storage_path")
+    """Samples in training order (shuffled by a seed) or in evaluation order (by path).
+
+    The training order is a hash of the path and the seed, so it does not depend on how the rows
+    were dealt before.
+    """
+    return df.orderBy(F.xxhash64("storage_path", F.lit(seed)), "storage_path") if seed is not None else df.orderBy("storage_path")

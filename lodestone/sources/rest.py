@@ -1,26 +1,32 @@
-"""A paged REST API as a data source: one partition a key, retried with a linear back-off."""
+"""Paged REST APIs as a data source, and downloads by URL; both retry with a linear back-off."""
 
 from __future__ import annotations
 
 import json
 import time
+from collections import Counter
 from urllib.error import HTTPError, URLError
-from urllib.parse import urlencode
+from urllib.parse import quote, urlencode
 from urllib.request import urlopen
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lodestone.functions import images
+from lodestone.shipping import ship
+
 #: Statuses that are worth another try.
 RETRY = (429, 500, 502, 503, 504)
 
 
-def get_json(url: str, params: dict, tries: int = 5, backoff: float = 2.0, fetch=urlopen, sleep=time.sleep):
-    """The parsed answer; a failing status that may pass is tried again after a growing pause."""
-    full = f"{url}?{urlencode(params)}" if params else url
+def get_bytes(url: str, tries: int = 5, backoff: float = 2.0, fetch=urlopen, sleep=time.sleep) -> bytes:
+    """The answer's body; a failing status that may pass is tried again after a growing pause."""
     for attempt in range(1, tries + 1):
         try:
-            with fetch(full) as answer:
-                return json.loads(answer.read())
+            with fetch(url) as answer:
+                return answer.read()
         except HTTPError as e:
             if e.code not in RETRY or attempt == tries:
                 raise
@@ -28,41 +34,90 @@ def get_json(url: str, params: dict, tries: int = 5, backoff: float = 2.0, fetch
             if attempt == tries:
                 raise
         sleep(backoff * attempt)
-    return None
+    raise ValueError("tries must be positive")
+
+
+def get_json(url: str, params: dict, tries: int = 5, backoff: float = 2.0, fetch=urlopen, sleep=time.sleep):
+    return json.loads(get_bytes(f"{url}?{urlencode(params)}" if params else url, tries, backoff, fetch, sleep))
 
 
-class Key(InputPartition):
-    def __init__(self, key: str):
-        super().__init__(key)
-        self.key = key
+class Keys(InputPartition):
+    """The keys of one series of requests."""
+
+    def __init__(self, keys: list[str]):
+        super().__init__(keys)
+        self.keys = keys
+
+
+def _at(row: dict, path: str):
+    """The value at a dotted path (a number is a place in a list), None where there is none."""
+    for step in path.split("."):
+        if isinstance(row, list):
+            row = row[int(step)] if int(step) < len(row) else None
+        else:
+            row = row.get(step) if isinstance(row, dict) else None
+    return row
 
 
 class PagedReader(DataSourceReader):
-    """Reads ``pages`` pages a key; stops at a page with fewer rows than asked for."""
+    """One series of requests a group of keys; see ``PagedRest`` for the options."""
 
     def __init__(self, options: dict):
         self.options = options
 
     def partitions(self):
-        return [Key(k) for k in self.options["keys"].split(",") if k]
+        keys = [k for k in self.options["keys"].split(",") if k]
+        n = int(self.options.get("keysperrequest", 1))
+        return [Keys(keys[i : i + n]) for i in range(0, len(keys), n)]
+
+    def _pages(self, key: str):
+        """The rows of each page in turn."""
+        o = self.options
+        size, by_offset = int(o.get("pagesize", 200)), o.get("paging", "page") == "offset"
+        url, fixed = o["url"], json.loads(o.get("params", "{}"))
+        if o.get("keyin") == "path":
+            url = f"{url.rstrip('/')}/{quote(key, safe=',')}"
+        else:
+            fixed = {o.get("keyparam", "taxon_id"): key} | fixed
+        for n in range(int(o.get("pages", 4))):
+            place = {"limit": size, "offset": n * size} if by_offset else {"page": n + 1, "per_page": size}
+            answer = get_json(url, fixed | place, int(o.get("tries", 5)), float(o.get("backoff", 2.0)))
+            rows = answer.get(o.get("results", "results")) or []
+            yield rows
+            if not rows or (answer.get("endOfRecords") if by_offset else len(rows) < size):
+                return
 
     def read(self, partition):
         o = self.options
-        size = int(o.get("pagesize", 200))
-        for page in range(1, int(o.get("pages", 4)) + 1):
-            params = {o.get("keyparam", "taxon_id"): partition.key, "page": page, "per_page": size}
-            params |= json.loads(o.get("params", "{}"))
-            rows = get_json(o["url"], params, int(o.get("tries", 5)), float(o.get("backoff", 2.0))).get("results", [])
+        key = ",".join(partition.keys)
+        cap, group, target = int(o.get("cap", 0)), o.get("capfield"), int(o.get("target", 0))
+        where, there = json.loads(o.get("where", "{}")), [p for p in o.get("present", "").split(",") if p]
+        taken, given = Counter(), 0
+        for rows in self._pages(key):
             for row in rows:
-                yield partition.key, json.dumps(row)
-            if len(rows) < size:
-                return
+                if any(_at(row, path) != value for path, value in where.items()) or any(_at(row, path) in (None, "") for path in there):
+                    continue
+                name = _at(row, group) if group else None
+                if group and (name is None or cap and taken[name] >= cap):
+                    continue
+                taken[name] += 1
+                given += 1
+                yield key, json.dumps(row)
+                if given == target:
+                    return
 
 
 class PagedRest(DataSource):
-    """``spark.read.format("paged_rest")`` with options url, keys, pages, pagesize, params.
-
-    Rows are (key, value): a JSON document each, for ``readers.observations_json``.
+    """``spark.read.format("paged_rest")``: rows (key, value), a JSON document each, for the readers.
+
+    A partition is one series of requests.  Options: ``url``; ``keys`` (comma-separated), of which
+    ``keysperrequest`` go into one request, as the parameter ``keyparam`` or (``keyin`` = path) at
+    the end of the URL; ``params`` (JSON) for each request, say the order or a cutoff; ``paging`` =
+    page (until a page has fewer than ``pagesize`` rows) or offset (until ``endOfRecords``), for
+    ``pages`` pages at most; ``results``, the field that holds the rows.  ``where`` (JSON: dotted path
+    to value) and ``present`` (dotted paths, comma-separated) let rows through; of these at most
+    ``cap`` a value of ``capfield`` (rows without one are left out), and a series ends with its
+    ``target``-th row.
     """
 
     @classmethod
@@ -74,3 +129,87 @@ class PagedRest(DataSource):
 
     def reader(self, schema):
         return PagedReader(dict(self.options))
+
+
+def _source(spark: SparkSession, url: str, keys, **options) -> DataFrame:
+    ship(spark)
+    spark.dataSource.register(PagedRest)
+    given = {k: json.dumps(v) if isinstance(v, dict) else str(v) for k, v in options.items() if v is not None}
+    return spark.read.format("paged_rest").options(url=url, keys=",".join(map(str, keys)), **given).load()
+
+
+#: What is asked of an observation.
+_RESEARCH = {"quality_grade": "research", "photos": "true", "order_by": "created_at"}
+_PHOTO = "photos.0.id,photos.0.url"
+
+
+def newest_observations(spark: SparkSession, url: str, taxa, pages: int = 4) -> DataFrame:
+    """Research observations of each taxon, newest first."""
+    return _source(spark, url, taxa, pages=pages, params=_RESEARCH | {"order": "desc"})
+
+
+def observations_since(spark: SparkSession, url: str, taxa, cutoff: str, target: int | None = None, pages: int = 10) -> DataFrame:
+    """Research observations made on the cutoff's day or later, oldest first."""
+    return _source(spark, url, taxa, pages=pages, target=target, present=_PHOTO, params=_RESEARCH | {"order": "asc", "created_d1": cutoff})
+
+
+def diverse_observations(spark: SparkSession, url: str, taxa, cutoff: str, target: int | None, without: str | None = None, cap: int | None = 15, pages: int = 40) -> DataFrame:
+    """As ``observations_since``, of species rank only and at most ``cap`` a species.
+
+    Where photos or observations are to be excluded, they must not count: ask without target and
+    cap, then ``curate.exclude`` and ``curate.diverse_sample``.
+    """
+    params = _RESEARCH | {"order": "asc", "created_d1": cutoff} | ({"without_taxon_id": without} if without else {})
+    return _source(spark, url, taxa, pages=pages, target=target, cap=cap, capfield="taxon.name", present=_PHOTO, where={"taxon.rank": "species"}, params=params)
+
+
+def observations_by_uuid(spark: SparkSession, url: str, uuids, batch: int = 100) -> DataFrame:
+    """Exactly the given observations, ``batch`` a request."""
+    return _source(spark, url, uuids, keyparam="uuid", keysperrequest=batch, pagesize=batch, pages=1)
+
+
+def taxa_by_id(spark: SparkSession, url: str, ids, batch: int = 30) -> DataFrame:
+    """(taxon_id, common_name) of taxa that have one, ``batch`` a request with the ids in its path."""
+    rows = _source(spark, url, ids, keyin="path", keysperrequest=batch, pages=1)
+    v = F.from_json("value", "id long, preferred_common_name string")
+    return rows.select(v["id"].alias("taxon_id"), v["preferred_common_name"].alias("common_name")).where("common_name <> ''")
+
+
+def occurrences(spark: SparkSession, url: str, keys, pages: int = 10, size: int = 100) -> DataFrame:
+    """Occurrences with still images of each usage key, by offset and limit."""
+    return _source(spark, url, keys, keyparam="taxonKey", paging="offset", pagesize=size, pages=pages, params={"mediaType": "StillImage"})
+
+
+def _download(tries: int, backoff: float):
+    def run(batches):
+        for batch in batches:
+            bodies = []
+            for url in batch.column(batch.num_columns - 1).to_pylist():
+                try:
+                    body = get_bytes(url, tries, backoff) if url else None
+                except OSError:  # every HTTP, network and file error is one
+                    body = None
+                bodies.append(body or None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bodies, pa.binary())], [*batch.schema.names[:-1], "content"])
+
+    return run
+
+
+def downloaded(df: DataFrame, url: str = "url", tries: int = 3, backoff: float = 1.5) -> DataFrame:
+    """``df`` with ``content`` and ``sha256``: what each row's URL gives, from the executors.
+
+    A download that fails, or is empty, is tried again where that may help and is null then; the
+    caller drops such rows (``where("content is not null")``).  ``repartition`` before sets how many
+    downloads run at once.
+    """
+    ship(df.sparkSession)
+    kept = [f"`{c}`" for c in df.columns]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    rows = df.select(*kept, F.col(url).alias("__url")).mapInArrow(_download(tries, backoff), f"{fields}, content binary")
+    return rows.withColumn("sha256", F.sha2("content", 256))
+
+
+def enriched(candidates: DataFrame, category: str, source: str, url: str = "url") -> DataFrame:
+    """Candidates that could be downloaded, with digest, sharpness and what they are sampled for."""
+    rows = downloaded(candidates, url).where("content is not null")
+    return rows.withColumns({"blur_score": images.blur_score("content"), "category": F.lit(category), "source": F.lit(source)})

@@ -24,11 +24,28 @@ def survivors(df: DataFrame, path: str) -> None:
     df.where("status = 'ok'").write.mode("overwrite").parquet(path)
 
 
+def _document(head: str, entries: DataFrame, key: str, text, tail: str) -> DataFrame:
+    """(part, key, value): the lines of one JSON document, entries in order of their key.
+
+    ``json_file`` sorts and writes them; an entry is a line, so no row or task holds the whole.
+    """
+    last = entries.agg(F.max(key).alias("_last"))  # one row
+    comma = F.when(F.col(key) == F.col("_last"), F.lit("")).otherwise(F.lit(","))
+    lines = entries.crossJoin(F.broadcast(last)).select(F.lit(1).alias("part"), F.col(key).cast("string").alias("key"), F.concat(text, comma).alias("value"))
+    ends = entries.sparkSession.createDataFrame([(0, None, head), (2, None, tail)], "part int, key string, value string")
+    return ends.unionByName(lines)
+
+
+def _quoted(c: str):
+    """A string as JSON text."""
+    return F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)
+
+
 def geo_index_document(cells: DataFrame, size: float) -> DataFrame:
-    """One row: the nested index, cells sorted within each slug."""
+    """The lines of the nested index: a line a slug, cells sorted within it (a slug has at most as
+    many as the globe has cells)."""
     lists = cells.groupBy("slug").agg(F.array_sort(F.collect_list(F.array("clat", "clon"))).alias("cells"))
-    whole = lists.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slug", "cells")))).alias("cells"))
-    return whole.select(F.to_json(F.struct(F.lit(float(size)).alias("cell_size_deg"), "cells")).alias("value"))
+    return _document(f'{{"cell_size_deg": {float(size)}, "cells": {{', lists, "slug", F.concat(_quoted("slug"), F.lit(": "), F.to_json("cells")), "}}")
 
 
 def taxonomy_document(df: DataFrame) -> str:
@@ -41,11 +58,42 @@ def prototypes(df: DataFrame, path: str) -> None:
     df.select("class_idx", "proto").write.mode("overwrite").parquet(path)
 
 
+def prototypes_npy(df: DataFrame, root: str, name: str = "prototypes.npy") -> None:
+    """A matrix of single-precision prototypes as one ``.npy`` file below ``root``; row n is class n.
+
+    One task streams the rows in order; classes must be 0, 1, 2 ... and all vectors of one length.
+    """
+    from lodestone.shipping import ship
+
+    ship(df.sparkSession)
+    shape = df.agg(F.count("*").alias("n"), F.min("class_idx").alias("low"), F.max("class_idx").alias("high"), F.count_distinct("class_idx").alias("kinds"), F.min(F.size("proto")).alias("short"), F.max(F.size("proto")).alias("long")).first()
+    if not shape["n"] or (shape["low"], shape["high"], shape["kinds"], shape["short"]) != (0, shape["n"] - 1, shape["n"], shape["long"]):
+        raise ValueError(f"not a matrix with a row a class: {shape}")
+    head = {"descr": "<f4", "fortran_order": False, "shape": (shape["n"], shape["long"])}
+
+    def put(rows) -> None:
+        import io
+
+        import numpy as np
+        from pyarrow import fs
+
+        files, at = fs.FileSystem.from_uri(root)
+        files.create_dir(at, recursive=True)
+        start = io.BytesIO()
+        np.lib.format.write_array_header_1_0(start, head)
+        with files.open_output_stream(f"{at}/{name}") as out:
+            out.write(start.getvalue())
+            for row in rows:
+                out.write(np.asarray(row["proto"], "<f4").tobytes())
+
+    df.select("class_idx", "proto").coalesce(1).sortWithinPartitions("class_idx").foreachPartition(put)
+
+
 def split_document(df: DataFrame, seed: int, fraction: float) -> DataFrame:
-    """One row: how many rows each side has, and the sorted keys of the "val" side."""
-    return df.agg(
-        F.to_json(F.struct(F.lit(seed).alias("seed"), F.lit(fraction).alias("val_fraction"), F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "val").alias("n_val"), F.array_sort(F.collect_list(F.when(F.col("split") == "val", F.col("key")))).alias("val"))).alias("value")
-    )
+    """The lines of a pinned split: how many rows each side has, and a line a key of the "val" side."""
+    n = df.agg(F.count_if(F.col("split") == "train").alias("t"), F.count_if(F.col("split") == "val").alias("v")).first()
+    head = f'{{"seed": {json.dumps(seed)}, "val_fraction": {json.dumps(fraction)}, "n_train": {n["t"]}, "n_val": {n["v"]}, "val": ['
+    return _document(head, df.where("split = 'val'").select("key").distinct(), "key", _quoted("key"), "]}")
 
 
 def metrics_document(overall: DataFrame, per_class: DataFrame, label: str = "label") -> DataFrame:
@@ -56,6 +104,9 @@ def metrics_document(overall: DataFrame, per_class: DataFrame, label: str = "lab
 
 
 def json_file(document: DataFrame, path: str) -> None:
+    """One file with a document: a row with all of it, or lines in the order of (part, key)."""
+    if "part" in document.columns:
+        document = document.coalesce(1).sortWithinPartitions("part", "key").select("value")
     document.coalesce(1).write.mode("overwrite").text(path)
 
 

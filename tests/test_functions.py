@@ -59,6 +59,34 @@ def test_vectors(spark):
     assert values(spark, lambda c: F.round(V.cosine(V.doubles(c), F.array(F.lit(1.0), F.lit(0.0))), 6), [[2.0, 0.0], [0.0, 1.0]], "array<float>") == [1.0, 0.0]
 
 
+def test_normalising_takes_time_in_proportion_to_the_width(spark):
+    v = F.expr("transform(sequence(1, 1792), x -> cast(x as double))")
+    out = spark.range(300).select(F.aggregate(V.l2_normalise(v), F.lit(0.0), lambda s, x: s + x * x).alias("n"))
+    assert [r["n"] for r in out.distinct().collect()] == [pytest.approx(1.0)]
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.lower().count("sqrt(") == 1
+
+
+def test_reported_similarities_are_rounded_by_their_binary_value(spark):
+    rng = np.random.default_rng(4)
+    values_ = [0.12355, 0.03125, -0.03125, 0.09375, 0.00005, 0.00015, 1e-9, 0.0, -0.00004, 1.0, -1.0, 0.99995, 1.00005, 0.5, 2.0**-10, 0.00095]
+    values_ += [k / 20000 for k in range(1, 400, 2)] + rng.uniform(-1, 1, 300).tolist() + rng.uniform(-1e-3, 1e-3, 100).tolist()
+    assert values(spark, V.reported, values_, "double") == [round(x, 4) for x in values_]
+    assert values(spark, V.reported, [None, 3.14159], "double") == [None, 3.1416]
+
+
+def test_formats_without_a_decoder_are_not_corrupt(spark):
+    try:
+        import PIL  # noqa: F401
+
+        pytest.skip("Pillow decodes them")
+    except ImportError:
+        pass
+    df = spark.createDataFrame([(bytearray(b"\xff\xd8\xff\xe0 a photo"),)], "content binary")
+    with pytest.raises(Exception, match="JPEG needs Pillow"):
+        df.select(images.inspect_image("content")).collect()
+
+
 def png(pixels, filters=None):
     h, w, c = pixels.shape
     raw = b""

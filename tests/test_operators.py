@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,6 +60,61 @@ def test_ties_go_to_the_least_class(spark):
     assert rows(R.signals(scores), "top1", "max_sim", "top2_sim", "gap") == [(1, 0.7, 0.7, 0.0)]
 
 
+def test_vectors_that_cannot_be_used_are_left_out(spark):
+    train = frame(spark, [(1, [1.0, 0.0], 0), (2, None, 0), (3, [1.0, None], 0), (4, [], 0), (5, [0.0, 3.0], None)], "vec_id long, embedding array<double>, label int")
+    assert rows(R.prototypes(train)) == [(0, [1.0, 0.0])]
+    got = R.similarities(train, R.prototypes(train))
+    assert rows(got) == [(1, 0, 1.0), (5, 0, 0.0)]
+    assert R.prototypes(train.limit(0)).isEmpty() and R.similarities(train, R.prototypes(train.limit(0))).isEmpty()
+
+
+def test_partial_sums_are_passed_on_when_many_are_held(spark, monkeypatch):
+    data = [(k % 7, [float(k % 5 + 1), float(k % 3)]) for k in range(60)]
+    df = frame(spark, data, "label int, embedding array<double>").repartition(2)
+    one = {r["class_idx"]: [round(x, 9) for x in r["proto"]] for r in R.prototypes(df).collect()}
+    monkeypatch.setattr(R, "_HELD", 3)
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in data[i : i + 9]], pa.int32()), pa.array([v for _, v in data[i : i + 9]], pa.list_(pa.float64()))], ["class_idx", "v"]) for i in range(0, 60, 9)]
+    parts = [row for b in R._partial_sums(iter(batches)) for row in b.to_pylist()]
+    assert len(parts) > 7
+    for c in range(7):
+        total = sum(np.array(p["sums"]) for p in parts if p["class_idx"] == c)
+        assert [round(x, 9) for x in total / np.linalg.norm(total)] == one[c]
+
+
+def test_percentiles_are_numpy_s(spark):
+    rng = np.random.default_rng(3)
+    data = [("a", float(x)) for x in rng.integers(0, 9, 57)] + [("b", 2.0), ("c", None), (None, 1.0), (None, 4.0), ("b", float("nan"))]
+    got = {r["g"]: r for r in E.percentiles(frame(spark, data, "g string, v double").repartition(5), "g", "v").collect()}
+    for g in ("a", "b", None):
+        values = [v for k, v in data if k == g and v == v]
+        want = [len(values), np.mean(values), *np.percentile(values, [50, 5, 95])]
+        assert [got[g][c] for c in ("n", "mean", "median", "p5", "p95")] == pytest.approx(want)
+    assert got["c"]["n"] == 0 and got["c"]["median"] is None and len(got) == 4
+
+
+def test_random_split_is_by_rank_of_hashes(spark):
+    import hashlib
+
+    keys = [f"k{i}" for i in range(50)]
+    df = frame(spark, [(k, i) for i, k in enumerate(keys)], "key string, i int").repartition(7)
+    val = {r["key"] for r in C.random_split(df, "key", 0.2, 9).where("split = 'val'").collect()}
+    assert val == set(sorted(keys, key=lambda k: (hashlib.md5(f"{k}:9".encode()).hexdigest(), k))[:10])
+    assert C.random_split(df.limit(0), "key", 0.2, 9).isEmpty()
+
+
+def test_library_forms_of_the_joins(spark):
+    a = frame(spark, [(1, 10, "x"), (2, None, "y"), (3, 30, "z")], "k int, id int, name string")
+    b = frame(spark, [(7, 10, "q"), (6, None, "y"), (5, 99, "z"), (4, None, "x")], "m int, id int, name string")
+    assert rows(C.id_else_name(a, b, ("k", "id", "name"), ("m", "id", "name"))) == [(1, 4), (2, 6), (3, None)]
+    assert rows(C.backfilled(a, frame(spark, [(1, 5)], "k int, v int"), "k", "v", F.col("id")), "k", "v") == [(1, 5), (2, None), (3, 30)]
+    assert rows(C.with_default(a, frame(spark, [(1, 5)], "k int, v int"), "k", "v", -1), "k", "v") == [(1, 5), (2, -1), (3, -1)]
+    assert rows(C.shortfall(a.union(a.where("k = 1")), "k", 2, frame(spark, [(1,), (2,), (9,)], "k int"))) == [(2, 1), (9, 0)]
+    seen = frame(spark, [("ok", True), ("ok", False), ("ok", None), ("corrupt", None)], "status string, has_exif boolean")
+    assert rows(C.status_counts(seen)) == [("corrupt", 1), ("no_exif", 2), ("ok", 3)]
+
+
 def test_geo_index(spark):
     seen = frame(spark, [("x", 42.27, -83.07), ("x", 42.9, -83.9), ("x", 10.1, 10.1), ("x", None, 5.0), ("e", 1.0, float("nan"))], "slug string, lat double, lon double")
     cells = geo.cell_counts(seen, minimum=2)
@@ -136,8 +192,9 @@ def test_clean_order(spark):
 
 def test_lookups(spark):
     targets = frame(spark, [("ATTA texana",), ("Zed",)], "name string")
-    taxa = frame(spark, [(5, "Atta texana"), (4, "atta TEXANA"), (9, "other")], "taxon_id int, name string")
-    assert rows(C.name_lookup(targets, taxa)) == [("ATTA texana", 4), ("Zed", None)]
+    taxa = frame(spark, [(1, 5, "Atta texana", "genus"), (2, 4, "atta TEXANA", "species"), (3, 9, "other", "species"), (4, 10, "ATTA texana", "species"), (5, 11, "ATTA texana", "species"), (6, 12, "ATTA texana", "genus")], "line int, taxon_id int, name string, rank string")
+    assert rows(C.name_lookup(targets, taxa, "line")) == [("ATTA texana", 5), ("Zed", None)]
+    assert rows(C.species_ids(targets, taxa)) == [("ATTA texana", 10), ("ATTA texana", 11)]
     hits = frame(spark, [("q", 1, "x", 7), ("q", 2, "Q", 8), ("r", 1, "y", 9)], "query string, position int, name string, taxon_id int")
     assert rows(C.resolve_taxon(frame(spark, [("q",), ("r",), ("s",)], "query string"), hits)) == [("q", 8), ("r", 9), ("s", None)]
     files = frame(spark, [("k", "png"), ("k", "jpg"), ("m", "gif")], "k string, ext string")
@@ -179,7 +236,13 @@ def test_integrity(spark):
     assert not integrity.same_order(old, new, "n", "i") and integrity.same_order(old, old, "n", "i")
     assert rows(integrity.overlap(want, have, "k")) == [("k", 2)]
     asks = frame(spark, [(1, 1.0, None, None, b"x"), (2, 91.0, 1.0, None, b"x"), (3, None, None, "text/html", b"x"), (4, None, None, None, b""), (5, 1.0, 2.0, "image/png", b"x")], "i int, lat double, lon double, content_type string, content binary")
-    assert rows(integrity.request_problems(asks), "i", "reason") == [(1, "half_a_coordinate"), (2, "out_of_bounds"), (3, "not_an_image"), (4, "empty")]
+    assert rows(integrity.request_problems(asks), "i", "reason") == [(2, "out_of_bounds"), (3, "not_an_image"), (4, "empty")]
+    assert rows(integrity.request_problems(asks.withColumn("w", F.when(F.col("i") != 5, 1)), "w"), "i", "reason")[-1] == (5, "undecodable")
+    assert rows(integrity.only_pairs(asks.where("i in (1, 5)")), "i", "lat", "lon") == [(1, None, None), (5, 1.0, 2.0)]
+    several = frame(spark, [("a", 1, None, "1"), ("b", 2, "u", "2"), ("c", 1, "u", "3")], "k string, n_files int, url string, h string")
+    assert rows(integrity.restored(expected, several, "k", "h").na.fill("", ["error"]), "k", "error") == [("a", "no_photo"), ("b", "ambiguous"), ("c", ""), ("d", "not_found")]
+    files = frame(spark, [("a", "JPG", "1"), ("b", "gif", "2"), ("c", "png", None), ("c", "jpg", "3")], "k string, extension string, h string")
+    assert rows(integrity.file_problems(expected, files, ["k"], "h")) == [("b", "wrong_extension"), ("c", "ambiguous"), ("d", "missing")]
 
 
 @settings(max_examples=8, deadline=None)

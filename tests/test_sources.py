@@ -1,12 +1,16 @@
 import gzip
+import hashlib
 import json
 from io import BytesIO
 from urllib.error import HTTPError
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone import schema
+from lodestone.config import load_config
+from lodestone.functions import images
 from lodestone.operators import rank
 from lodestone.sources import readers, rest, sinks
 from lodestone.streaming import extension
@@ -74,7 +78,8 @@ def test_documents_written_and_read(spark, tmp_path):
     (tmp_path / "tax.json").write_text(text)
     assert sorted(map(tuple, readers.taxonomy_json(spark, str(tmp_path / "tax.json")).collect())) == sorted(map(tuple, taxonomy.collect()))
     split = spark.createDataFrame([("b/2", "val"), ("a/1", "val"), ("c/3", "train")], "key string, split string")
-    assert json.loads(sinks.split_document(split, 42, 0.2).first()["value"]) == {"seed": 42, "val_fraction": 0.2, "n_train": 1, "n_val": 2, "val": ["a/1", "b/2"]}
+    sinks.json_file(sinks.split_document(split, 42, 0.2), str(tmp_path / "split"))
+    assert json.loads(next((tmp_path / "split").glob("part*")).read_text()) == {"seed": 42, "val_fraction": 0.2, "n_train": 1, "n_val": 2, "val": ["a/1", "b/2"]}
     report = spark.createDataFrame([("p", "ok", 1, 2, True), ("q", "corrupt", None, None, None)], "path string, status string, width int, height int, has_exif boolean")
     sinks.clean_report(report, str(tmp_path / "report"))
     assert next((tmp_path / "report").glob("part*")).read_text().splitlines() == ["path,status,width,height,has_exif,kept", "p,ok,1,2,1,1", "q,corrupt,,,,0"]
@@ -97,6 +102,10 @@ def test_response(spark):
     species = spark.createDataFrame([(0, "A", None, 5), (1, "B", "b", 6)], "class_idx int, species_name string, common_name string, taxon_id int")
     got = json.loads(rank.response(ranks, species).first()["results"])
     assert [(r["rank"], r["species_name"], r["similarity"], r["geo_boosted"]) for r in got] == [(1, "B", 0.5, True), (2, "A", 0.5124, False)]
+    timed = ranks.withColumns({"ms": F.lit(12.9), "geo_filtered": F.lit(True)})
+    whole = json.loads(rank.response(timed, species, 1, "ms").first()["response"])
+    assert whole == {"results": [{"rank": 1, "species_name": "B", "common_name": "b", "taxon_id": 6, "similarity": 0.5, "geo_boosted": True}], "inference_ms": 12, "geo_filtered": True}
+    assert json.loads(rank.response(ranks, species).first()["response"])["inference_ms"] is None
 
 
 def test_retries():
@@ -120,6 +129,85 @@ def test_paging(monkeypatch):
     assert [list(reader.read(k)) for k in reader.partitions()] == [[("7", "1"), ("7", "2"), ("7", "3")], []]
 
 
+def test_paging_by_offset_with_caps(monkeypatch):
+    asked = []
+    rows = [{"taxon": {"rank": r, "name": n}, "photos": p} for r, n, p in [("species", "A", [{"id": 1, "url": "u"}])] * 3 + [("genus", "A", []), ("species", "B", []), ("species", "B", [{"id": 2, "url": "u"}]), ("species", None, [{"id": 3, "url": "u"}])]]
+
+    def answer(url, p, *a):
+        asked.append((url, p.get("offset"), p.get("uuid")))
+        part = rows[p["offset"] : p["offset"] + p["limit"]]
+        return {"results": part, "endOfRecords": p["offset"] + p["limit"] >= len(rows)}
+
+    monkeypatch.setattr(rest, "get_json", answer)
+    options = {"url": "u", "keys": "7", "paging": "offset", "pagesize": "3", "pages": "9", "cap": "2", "capfield": "taxon.name", "where": '{"taxon.rank": "species"}', "present": "photos.0.id"}
+    reader = rest.PagedReader(options)
+    got = [json.loads(v)["taxon"]["name"] for _, v in reader.read(reader.partitions()[0])]
+    assert got == ["A", "A", "B"] and [a[1] for a in asked] == [0, 3, 6]
+    stopped = rest.PagedReader(options | {"target": "1"})
+    asked.clear()
+    assert len(list(stopped.read(stopped.partitions()[0]))) == 1 and len(asked) == 1
+    many = rest.PagedReader({"url": "u", "keys": ",".join(map(str, range(250))), "keysperrequest": "100"})
+    assert [len(p.keys) for p in many.partitions()] == [100, 100, 50]
+    seen = []
+    monkeypatch.setattr(rest, "get_json", lambda url, p, *a: seen.append((url, p)) or {"results": []})
+    by_path = rest.PagedReader({"url": "http://h/taxa/", "keys": "1,2", "keysperrequest": "30", "keyin": "path", "pages": "1"})
+    assert list(by_path.read(by_path.partitions()[0])) == [] and seen[0][0] == "http://h/taxa/1,2"
+
+
+def test_downloads(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(b"no image")
+    (tmp_path / "empty").write_bytes(b"")
+    urls = spark.createDataFrame([(1, f"file://{tmp_path}/a.png"), (2, f"file://{tmp_path}/none"), (3, None), (4, f"file://{tmp_path}/empty")], "content_id int, url string")
+    got = {r["content_id"]: r for r in rest.downloaded(urls, tries=1).collect()}
+    assert bytes(got[1]["content"]) == b"no image" and got[1]["sha256"] == hashlib.sha256(b"no image").hexdigest()
+    assert all(got[i]["content"] is None and got[i]["sha256"] is None for i in (2, 3, 4))
+    rich = rest.enriched(urls.where("content_id = 1"), "known", "web").first()
+    assert (rich["category"], rich["source"], rich["blur_score"]) == ("known", "web", None)
+    objects = spark.createDataFrame([(1, f"file://{tmp_path}/a.png"), (2, f"file://{tmp_path}/none"), (3, None)], "i int, uri string")
+    assert sorted((r["i"], r["content"] and bytes(r["content"])) for r in readers.get_objects(objects).collect()) == [(1, b"no image"), (2, None), (3, None)]
+
+
+def test_matrix_files(spark, tmp_path):
+    protos = spark.createDataFrame([(1, [0.5, 1.0, 2.0]), (0, [1.0, 0.0, -1.0])], "class_idx int, proto array<double>")
+    sinks.prototypes_npy(protos, f"file://{tmp_path}/m")
+    assert np.load(tmp_path / "m/prototypes.npy").tolist() == [[1.0, 0.0, -1.0], [0.5, 1.0, 2.0]]
+    assert sorted(map(tuple, readers.prototypes_npy(spark, f"file://{tmp_path}/m/prototypes.npy").collect())) == sorted(map(tuple, protos.collect()))
+    with pytest.raises(ValueError, match="row a class"):
+        sinks.prototypes_npy(protos.where("class_idx = 1"), f"file://{tmp_path}/m")
+
+
+def test_images_decoded_in_the_jvm(spark, tmp_path):
+    jvm = spark._jvm
+    for name, kind in (("a/x.jpg", "jpg"), ("a/y.png", "png")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        image = jvm.java.awt.image.BufferedImage(20, 10, 1)
+        for x in range(20):
+            for y in range(10):
+                image.setRGB(x, y, 0xFF0000 if x < 10 else 0x0000FF)
+        assert jvm.javax.imageio.ImageIO.write(image, kind, jvm.java.io.File(str(tmp_path / name)))
+    (tmp_path / "a/z.jpg").write_bytes(b"no image")
+    df = readers.decoded_images(spark, str(tmp_path))
+    got = {r["path"].rsplit("/", 1)[1]: r for r in df.withColumn("b", images.blur_pixels("image")).withColumn("x", images.preprocess_pixels(4)("image")).collect()}
+    assert [(n, got[n]["width"], got[n]["height"], got[n]["has_exif"]) for n in sorted(got)] == [("x.jpg", 20, 10, False), ("y.png", 20, 10, False), ("z.jpg", None, None, None)]
+    assert got["z.jpg"]["b"] is None and got["y.png"]["b"] > 0 and got["x.jpg"]["b"] == pytest.approx(got["y.png"]["b"], rel=0.5)
+    own = spark.createDataFrame([((tmp_path / "a/y.png").read_bytes(),)], "content binary").select(images.blur_score("content").alias("b"), images.preprocess(4)("content").alias("x")).first()
+    assert own["b"] == got["y.png"]["b"] and own["x"] == got["y.png"]["x"] and len(got["x.jpg"]["x"]) == 48
+    (tmp_path / "a/w.webp").write_bytes(b"RIFF")
+    with pytest.raises(Exception, match="WebP needs Pillow"):
+        readers.decoded_images(spark, str(tmp_path)).count()
+
+
+def test_training_order_depends_on_the_seed_only(spark):
+    df = spark.createDataFrame([(f"p{i}",) for i in range(40)], "storage_path string")
+    orders = [[r[0] for r in readers.batches(d, s).collect()] for d, s in ((df, 1), (df.repartition(5), 1), (df, 2))]
+    assert orders[0] == orders[1] != orders[2] and sorted(orders[2]) == sorted(orders[0])
+
+
+def test_yaml_settings(tmp_path):
+    (tmp_path / "c.yaml").write_text("model: b4\nsplit: {seed: 42}\n")
+    assert load_config(str(tmp_path / "c.yaml"), {"model": "b0"}) == {"model": "b0", "split": {"seed": 42}}
+
+
 def test_streaming_extension(spark, tmp_path):
     rows = spark.createDataFrame([("a", "x", 1.5, 2.5), ("a", "x", 1.5, 2.5), ("b", "y", None, 1.0)], "k string, slug string, lat double, lon double").withColumn("ts", F.timestamp_seconds(F.lit(1)))
     rows.write.parquet(str(tmp_path / "in"))
