@@ -95,20 +95,12 @@ def _table(values: list[tuple[int, ...]], names: tuple[str, ...]):
     return F.from_json(F.lit(f"[{rows}]"), f"array<struct<{','.join(f'{n}:bigint' for n in names)}>>")
 
 
-def _distance(a, b):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def _met(fps: DataFrame, radius: int) -> DataFrame:
+    """(variant, fp, crowded, near): fingerprints that meet others on a variant.
 
-
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) that connect exactly the distinct ``fp`` within ``radius`` bits of each other.
-
-    Every fingerprint emits its half-radius variants (131 at radius 3) and rows meet on the
-    variant.  Up to ``FEW`` fingerprints that share a variant are compared with one another (at
-    most 28 pairs; most such meetings are accidents, and these are verified and done with).  Where
-    more meet, pairs are not enumerated: those fingerprints emit their full 64-bit variants within
-    both halves of the radius, 1 and 2, and whoever meets a fingerprint that is within the smaller
-    half of a variant is within the radius of it; each is linked to the least such.  Rows stay
-    linear in the number of fingerprints; windows look at neighbours only and spill.
+    ``near`` holds those of the up to ``FEW`` fingerprints before this one on the variant, and the
+    first there, that are within the radius; the variant is crowded if more than ``FEW`` meet on it.
+    Fingerprints that meet others by accident only, and few of them, are left out.
     """
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # dealt by number: a few megabytes of fingerprints become very many variants
@@ -116,17 +108,61 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     variants = dealt.select("fp", F.explode(_table(half_ball(radius), ("keep", "flip"))).alias("m")).select(F.col("m.keep").bitwiseAND(F.col("fp")).bitwiseXOR(F.col("m.flip")).alias("variant"), "fp")
     same = Window.partitionBy("variant").orderBy("fp")
     # with FEW neighbours on each side in view, the count is exact up to FEW + 1
-    met = cut(variants.withColumn("n", F.count("*").over(same.rowsBetween(-FEW, FEW))).where("n > 1"))
-    small_groups = met.where(F.col("n") <= FEW).groupBy("variant").agg(F.collect_list("fp").alias("all"))
-    met_pairs = small_groups.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b")).where("a < b")
-    pairs = met_pairs.where(_distance("a", "b") <= radius)
+    met = variants.withColumn("n", F.count("*").over(same.rowsBetween(-FEW, FEW))).where("n > 1")
+    seen = met.withColumns({"before": F.collect_list("fp").over(same.rowsBetween(-FEW, -1)), "first": F.first("fp").over(same.rowsBetween(Window.unboundedPreceding, 0))})
+    near = F.filter(F.array_union("before", F.array("first")), lambda x: (x != F.col("fp")) & (F.bit_count(x.bitwiseXOR(F.col("fp"))) <= radius))
+    return cut(seen.select("variant", "fp", (F.col("n") > FEW).alias("crowded"), near.alias("near")).where("crowded or size(near) > 0"))
+
+
+def _starred(busy: DataFrame, radius: int) -> DataFrame:
+    """Edges that connect exactly those of ``busy`` (fp) that are within the radius of each other.
+
+    Each emits its full 64-bit variants within both halves of the radius, 1 and 2 (2,081 at radius
+    3).  Whoever meets a fingerprint that is within the smaller half of a variant is within the
+    radius of it; each is linked to the least such, so pairs are never enumerated.
+    """
+    parts = int(busy.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small, large = radius // 2, radius - radius // 2
-    near = {_signed(f) for f in _flips(list(range(BITS)), small)}
-    ball = [(_signed(f), int(_signed(f) in near)) for f in _flips(list(range(BITS)), large)]
-    busy = cut(met.where(F.col("n") > FEW).select("fp").repartition(parts, "fp").distinct())
-    around = busy.select("fp", F.explode(_table(ball, ("flip", "near"))).alias("m")).select(F.col("fp").bitwiseXOR(F.col("m.flip")).alias("variant"), "fp", F.when(F.col("m.near") == 1, F.col("fp")).alias("centre"))
+    inner = {_signed(f) for f in _flips(list(range(BITS)), small)}
+    ball = [(_signed(f), int(_signed(f) in inner)) for f in _flips(list(range(BITS)), large)]
+    around = busy.repartition(parts, "fp").select("fp", F.explode(_table(ball, ("flip", "near"))).alias("m")).select(F.col("fp").bitwiseXOR(F.col("m.flip")).alias("variant"), "fp", F.when(F.col("m.near") == 1, F.col("fp")).alias("centre"))
     starred = around.withColumn("centre", F.min("centre").over(Window.partitionBy("variant"))).where("centre is not null and centre <> fp")
-    return pairs.union(starred.select(F.col("centre").alias("a"), F.col("fp").alias("b"))).distinct()
+    return starred.select(F.col("centre").alias("a"), F.col("fp").alias("b")).distinct()
+
+
+def _linked(fps: DataFrame, radius: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(edges, groups, more): edges of fingerprints compared where they meet, the components
+    (node, component) that these make, and what edges crowded variants add to them, if any can."""
+    met = _met(fps, radius)
+    edges = cut(met.select("fp", F.explode("near").alias("a")).select("a", F.col("fp").alias("b")).distinct())
+    groups = connected_components(edges)
+    crowded = met.where("crowded").select("variant", "fp")
+    root = F.coalesce("component", "fp")
+    rooted = crowded.join(groups, F.col("fp") == F.col("node"), "left").select("variant", "fp", root.alias("root"))
+    apart = rooted.groupBy("variant").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("variant")
+    busy = cut(crowded.join(apart, "variant", "left_semi").select("fp").distinct())
+    return edges, groups, None if busy.isEmpty() else cut(_starred(busy, radius))
+
+
+def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) that connect exactly the distinct ``fp`` within ``radius`` bits of each other.
+
+    Every fingerprint emits its half-radius variants (131 at radius 3) and rows meet on the
+    variant.  Up to ``FEW`` fingerprints that share a variant are compared with one another (most
+    such meetings are accidents).  Where more meet, each is compared with the ``FEW`` before it and
+    with the first: a group of near copies mostly becomes one component that way.  Only where
+    fingerprints of different components still meet on such a variant, so that a link may be
+    missing, do these emit their full balls (see ``_starred``).  Rows stay linear in the number of
+    fingerprints, and no link is lost; windows look at neighbours only and spill.
+    """
+    edges, _, more = _linked(fps, radius)
+    return edges if more is None else edges.union(more).distinct()
+
+
+def components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(node, component) of the fingerprints that ``links`` connects."""
+    _, groups, more = _linked(fps, radius)
+    return groups if more is None else connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 
 def _grouped(docs: DataFrame, radius: int, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -134,8 +170,7 @@ def _grouped(docs: DataFrame, radius: int, shingle: int, id_col: str, text_col:
     and its least doc_id."""
     rows = cut(fingerprints(docs, shingle, id_col, text_col))
     lowest = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    groups = connected_components(links(lowest, radius))
-    in_group = groups.select(F.col("node").alias("fp"), F.col("component").alias("root")).join(lowest, "fp")
+    in_group = components(lowest, radius).select(F.col("node").alias("fp"), F.col("component").alias("root")).join(lowest, "fp")
     group_low = in_group.groupBy("root").agg(F.min("low").alias("group_low"))
     linked = in_group.join(group_low, "root").select("fp", "root", "group_low")
     return rows, stored(lowest.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("group_low", "low").alias("component_id")), "simhash-names")

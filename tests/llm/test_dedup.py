@@ -89,8 +89,10 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-@pytest.mark.parametrize("radius", [2, 3])
-def test_ball_hashing_loses_no_link(spark, radius):
+@pytest.mark.parametrize("radius,few", [(2, simhash.FEW), (3, simhash.FEW), (3, 1)])
+def test_ball_hashing_loses_no_link(spark, monkeypatch, radius, few):
+    """With few = 1 every variant that several meet on is crowded, so full balls are emitted."""
+    monkeypatch.setattr(simhash, "FEW", few)
     rng = random.Random(radius)
     fps = {0}
     for _ in range(12):  # pairs at each distance, tight clusters and chains
@@ -106,12 +108,24 @@ def test_ball_hashing_loses_no_link(spark, radius):
             fps |= {y, y ^ sum(1 << b for b in rng.sample(range(64), d)), y ^ ((1 << d) - 1)}
     fps = [signed(x) for x in fps]
     near = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if bin((a ^ b) & (2**64 - 1)).count("1") <= radius]
-    links = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), radius)
-    got = [(r["a"], r["b"]) for r in links.collect()]
+    frame = spark.createDataFrame([(x,) for x in fps], "fp long")
+    got = [(r["a"], r["b"]) for r in simhash.links(frame, radius).collect()]
+    named = {r["node"]: r["component"] for r in simhash.components(frame, radius).collect()}
+    assert {x: named.get(x, x) for x in fps} == components(fps, near)
     assert components(fps, got) == components(fps, near)
     assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= radius for a, b in got)
 
 
+def test_only_crowds_that_are_not_one_group_are_expanded(spark):
+    rng = random.Random(8)
+    base = rng.getrandbits(64)
+    tight = [signed(base ^ (1 << a) ^ (1 << b)) for a in range(64) for b in range(a)][:400]
+    frame = spark.createDataFrame([(x,) for x in [*tight, signed(base)]], "fp long")
+    edges, groups, more = simhash._linked(frame, 3)
+    assert more is None and {r["component"] for r in groups.collect()} == {min([*tight, signed(base)])} and groups.count() == 401
+    assert edges.count() < 401 * 130 * 9
+
+
 def test_near_duplicates(spark):
     rng = random.Random(2)
     long = [f"w{rng.randint(0, 400)}" for _ in range(900)]
