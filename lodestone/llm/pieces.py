@@ -16,7 +16,8 @@ from lodestone.llm.common import ship, text_or_empty
 MARK = "▁"
 #: What an unknown character costs below the least score of a piece.
 UNKNOWN = 10.0
-_CACHE = 1_000_000
+#: Words of the cache of one worker, and the characters of a word that it keeps at most.
+_CACHE, _LONG = 1_000_000, 256
 #: Texts whose new words are sorted into one trie together.
 _TEXTS = 256
 
@@ -121,6 +122,9 @@ class UnigramPieces:
             ids = array("I")
             ids.frombytes(b"".join([f[0] for f in found]))
             out.append((ids, sum([f[1] for f in found])))
+        for w in new:
+            if len(w) > _LONG:
+                del cache[w]
         return out
 
     def decode(self, ids) -> str:

@@ -12,6 +12,8 @@ WHITE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680))) + f"{chr(0x2000)}-{ch
 _OTHER = [c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c) and c not in " \n"]
 _RUNS = ("  ", " \n", "\n ", "\n\n", *_OTHER)
 _CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: Chunks of more characters hardly repeat and are not kept: a cache of many could be of any size.
+LONG = 256
 #: Marks that the pre-tokenizer groups into one token after letters.
 _TAIL = ",.;:!?|"
 
@@ -29,8 +31,8 @@ class ChunkEncoder:
     The pre-tokenizer never joins characters across the start of a run of white space, so a text
     is the concatenation of chunks "white space, then non-space" and its ids are the chunks' ids
     in order.  Words repeat, so most chunks are found in the cache; the others go through the
-    tokenizers library.  The cache is cleared when it holds ``max_entries`` chunks, so memory is
-    bounded.  An added token's string in a text becomes that token, as the library has it by
+    tokenizers library.  The cache is cleared when it holds ``max_entries`` chunks (of at most
+    ``LONG`` characters), so memory is bounded.  An added token's string in a text becomes that token, as the library has it by
     default; with ``special_as_text`` special tokens' strings are ordinary text.
     """
 
@@ -87,15 +89,23 @@ class ChunkEncoder:
         try:
             return b"".join([table[p] for p in parts])
         except KeyError:
+            long = []
             for p in parts:
                 if p not in table:
                     table[p] = self._whole(p) if p[:1] == "\n" else self._new(" ", p)
-            return b"".join([table[p] for p in parts])
+                    if len(p) > LONG:
+                        long.append(p)
+            ids = b"".join([table[p] for p in parts])
+            for p in long:
+                del table[p]
+            return ids
 
     def _one(self, chunk: str) -> bytes:
         ids = self.plain.get(chunk)
         if ids is None:
-            ids = self.plain[chunk] = self._new("", chunk)
+            ids = self._new("", chunk)
+            if len(chunk) <= LONG:
+                self.plain[chunk] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import ship, text_or_empty
 
-#: Words of the cache of one worker.
-_CACHE = 1_000_000
+#: Words of the cache of one worker, and the characters of a word that it keeps at most.
+_CACHE, _LONG = 1_000_000, 256
 
 
 class LongestMatch:
@@ -111,9 +111,13 @@ def _counter(model_file: str):
                 try:
                     counts = [known[w] for w in found]
                 except KeyError:
-                    for w in [w for w in set(found) if w not in known]:
+                    new = [w for w in set(found) if w not in known]
+                    for w in new:
                         known[w] = match.count(w)
                     counts = [known[w] for w in found]
+                    for w in new:
+                        if len(w) > _LONG:
+                            del known[w]
                 none = counts.count(0)
                 words.append(len(found))
                 pieces.append(sum(counts) + none)

@@ -6,6 +6,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+import sentencepiece
 from helpers import BPE, PIECES, TEXTS, documents, no_documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -28,6 +29,23 @@ def test_chunks_give_the_library_s_ids(text):
     assert np.frombuffer(ENCODER.encode(text), ENCODER.dtype).tolist() == library_ids(text)
 
 
+def test_caches_keep_no_long_words():
+    long = ["q" * 5000, "9" * 700]
+    text = f"{long[0]} a {long[1]}  {long[0]}\n{long[1]}b"
+    assert np.frombuffer(ENCODER.encode(text), ENCODER.dtype).tolist() == library_ids(text)
+    assert max(map(len, [*ENCODER.plain, *ENCODER.after_space])) <= 256
+    MODEL.encode_batch([text, "short words"])
+    assert "▁short" in MODEL.cache and max(map(len, MODEL.cache)) <= 256
+
+
+def test_decoding_is_the_library_s():
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for text in ["The quick brown fox", "don't stop, 12 words: x=1", "éàü 日本語", "😀 ok"]:
+        (ids, _), = MODEL.encode_batch([text])
+        assert library.decode(ids.tolist()) == text == MODEL.decode(ids)
+        assert "".join(library.id_to_piece(i) for i in ids if not library.is_byte(i)).replace("▁", " ").split() == [w for w in MODEL.decode([i for i in ids if not library.is_byte(i)]).split()]
+
+
 def test_special_tokens_can_be_ordinary_text():
     text = "a <|endoftext|> b"
     assert np.frombuffer(ENCODER.encode(text), ENCODER.dtype).tolist() == library_ids(text) == [64, 220, 50256, 275]
