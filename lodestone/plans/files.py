@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import images
+from lodestone.operators import curate as C
 from lodestone.operators import evaluate as E
 from lodestone.operators import geo
 from lodestone.operators import integrity as I
@@ -174,3 +177,59 @@ def response_documents(spark: SparkSession, d: str) -> DataFrame:
     said = R.response(reranked(spark, d), species)
     a = said.select("query_id", F.from_json("response", "results array<struct<rank:int,species_name:string,similarity:double>>, inference_ms long, geo_filtered boolean").alias("a"))
     return a.select("query_id", F.array_join("a.results.species_name", ",").alias("names"), F.array_min("a.results.similarity").alias("least"), "a.geo_filtered")
+
+
+def _solid_png(width: int, height: int, level: int) -> bytes:
+    """A grey picture of one level."""
+    import struct
+    import zlib
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(height * (b"\0" + bytes([level]) * width))) + chunk(b"IEND", b"")
+
+
+@query("""WITH p AS (SELECT p_partkey, 8 + p_size AS width, 58 - p_size AS height, p_partkey % 256 AS level, p_size % 10 = 0 AS broken FROM part),
+s AS (SELECT *, CASE WHEN broken THEN 'corrupt' WHEN least(width, height) < 20 THEN 'too_small' ELSE 'ok' END AS base FROM p)
+SELECT p_partkey, CASE WHEN base = 'ok' AND row_number() OVER (PARTITION BY base, width, height, level ORDER BY p_partkey) > 1 THEN 'duplicate' ELSE base END AS status,
+ CASE WHEN NOT broken THEN width END AS width, CASE WHEN NOT broken THEN height END AS height, CASE WHEN NOT broken THEN 0.0::DOUBLE END AS blur,
+ CASE WHEN NOT broken THEN round((level / 255 - 0.485::DOUBLE) / 0.229::DOUBLE, 4) + 0 END AS red, CASE WHEN NOT broken THEN round(2 * ((level / 255 - 0.406::DOUBLE) / 0.225::DOUBLE), 3) + 0 END AS embedded FROM s""")
+def image_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures of one grey level, some of them broken: size, status, sharpness, network input, embedding."""
+    from lodestone.shipping import ship
+
+    ship(spark)
+
+    @F.pandas_udf("binary")
+    def picture(key: pd.Series, size: pd.Series) -> pd.Series:
+        whole = [_solid_png(8 + n, 58 - n, k % 256) for k, n in zip(key, size)]
+        return pd.Series([x[: len(x) // 2] if n % 10 == 0 else x for x, n in zip(whole, size)])
+
+    made = table(spark, d, "part").select("p_partkey", picture("p_partkey", "p_size").alias("content"))
+    seen = made.withColumns({"m": images.inspect_image("content"), "blur": images.blur_score("content"), "x": images.preprocess(4)("content")})
+    seen = seen.withColumn("e", images.embedder(lambda: lambda x: 2 * x[-1:])("x"))
+    sized = seen.select("p_partkey", F.md5("content").alias("h"), "m.width", "m.height", F.round("blur", 6).alias("blur"), F.round(F.get("x", F.lit(0)).cast("double"), 4).alias("red"), F.round(F.get("e", F.lit(0)).cast("double"), 3).alias("embedded"))
+    return C.image_status(sized, 20, "h", "p_partkey").drop("h")
+
+
+@query("SELECT n_name AS value FROM nation")
+def staged_file(spark: SparkSession, d: str) -> DataFrame:
+    """A file staged twice: the second time it is there and is used as it is."""
+    source, target = new_folder(spark, "source"), new_folder(spark, "staged")
+    table(spark, d, "nation").select("n_name").coalesce(1).write.text(source)
+    for _ in range(2):
+        readers.staged(spark, source, target)
+    return spark.read.text(target)
+
+
+@query("SELECT true AS whole, 25::BIGINT AS n")
+def artifact_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Paths, required columns and equal sizes; any problem raises."""
+    nation = table(spark, d, "nation")
+    I.require_paths(spark, f"{d}/nation.parquet", f"{d}/region.parquet")
+    I.require_columns(nation, ("n_nationkey", "n_name"))
+    I.require_same_size(nation, nation.select("n_name").distinct(), "nations and their names")
+    I.require(I.duplicates(nation, "n_nationkey"), "nation keys")
+    return nation.agg(F.lit(True).alias("whole"), F.count("*").alias("n"))

@@ -125,6 +125,13 @@ def class_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return E.class_accuracy(ranks_of_truth(spark, d)).withColumn("top1", F.round("top1", 6)).withColumn("top3", F.round("top3", 6))
 
 
+@query(f"""WITH {_PER_CLASS} SELECT n_nationkey AS label, coalesce(n, 0) AS n, coalesce(correct1, 0) AS correct1, coalesce(correct3, 0) AS correct3, round(correct1 / n, 6) AS top1, round(correct3 / n, 6) AS top3
+ FROM nation LEFT JOIN c ON n_nationkey = label""")
+def accuracy_of_every_class(spark: SparkSession, d: str) -> DataFrame:
+    classes = table(spark, d, "nation").select(F.col("n_nationkey").alias("class_idx"))
+    return E.class_accuracy(ranks_of_truth(spark, d), classes).withColumn("top1", F.round("top1", 6)).withColumn("top3", F.round("top3", 6))
+
+
 @query(f"""WITH {_PER_CLASS} SELECT sum(n)::BIGINT AS n, count(*) AS classes, round(sum(correct1) / sum(n), 6) AS micro_top1, round(sum(correct3) / sum(n), 6) AS micro_top3,
  round(avg(correct1 / n), 6) AS macro_top1, round(avg(correct3 / n), 6) AS macro_top3 FROM c""")
 def micro_macro(spark: SparkSession, d: str) -> DataFrame:

@@ -24,6 +24,11 @@ def survivors(df: DataFrame, path: str) -> None:
     df.where("status = 'ok'").write.mode("overwrite").parquet(path)
 
 
+def survivor_files(df: DataFrame, root: str, key: str = "key", content: str = "content") -> None:
+    """Copies the kept rows' files below ``root``; nothing is deleted anywhere."""
+    put_objects(df.where("status = 'ok'"), root, key, content)
+
+
 def _document(head: str, entries: DataFrame, key: str, text, tail: str) -> DataFrame:
     """(part, key, value): the lines of one JSON document, entries in order of their key.
 
