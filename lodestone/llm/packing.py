@@ -18,6 +18,8 @@ from lodestone.llm.tokenizing import encoder
 
 CAPACITY = 2048
 END_ID = 0
+#: From one pass of the search to the next, patterns with this many times fewer bins take part.
+_STEP = 4
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -207,6 +209,49 @@ def _exchange(index: _Index, donor: tuple, room: int):
     return best
 
 
+class _Rounds:
+    """Notices exchanges that come in rounds, so that a round can be made many times at once.
+
+    A few bins can go around: they take from a bin of a pattern that a million bins have, give what
+    they took to a third, and are what they were, with one of the million emptied.  One by one that
+    takes as many rounds as there are bins.
+    """
+
+    #: Exchanges of a round at most.
+    LONGEST = 512
+
+    def __init__(self):
+        self.made: list[tuple] = []  # (exchange, what it changed)
+        self.at: dict[tuple, tuple[int, int]] = {}  # exchange: its last place, and the one before
+
+    def add(self, exchange: tuple, changed: Counter) -> int:
+        """Notes an exchange; the length of the round that it has just closed for the second time, or 0."""
+        i = len(self.made)
+        self.made.append((exchange, changed))
+        last, before = self.at.get(exchange, (-1, -1))
+        self.at[exchange] = i, last
+        n = i - last
+        if before >= 0 and n == last - before and n <= self.LONGEST and self.made[i - n + 1 :] == self.made[i - 2 * n + 1 : i - n + 1]:
+            return n
+        if i > 1_000_000:  # rounds are short, so the notes may go
+            self.clear()
+        return 0
+
+    def clear(self) -> None:
+        self.made, self.at = [], {}
+
+    def again(self, n: int, count: Counter) -> tuple[Counter, int]:
+        """What the last round changes, and how often it can be made from these counts."""
+        change: Counter = Counter()
+        needed: Counter = Counter()  # of each pattern, how far a round goes below where it began
+        for _, changed in self.made[-n:]:
+            change.update(changed)
+            for p in changed:
+                needed[p] = max(needed[p], -change[p])
+        times = [(count[p] - needed[p]) // -change[p] for p in change if change[p] < 0]
+        return change, max(0, min(times, default=0))
+
+
 def local_search(bins: Bins) -> Bins:
     """Moves one item, or exchanges one for one or two for one, between underfull bins.
 
@@ -214,50 +259,68 @@ def local_search(bins: Bins) -> Bins:
     fills rises and the search ends; an emptied bin is gone.  It ends where no exchange raises
     the sum any more, or at the lower bound, and has no other limit.  Donors are taken from the
     emptiest on; one that has nothing to give is asked again only once patterns have come up that
-    were not there before (or its own has become two bins).
+    were not there before (or its own has become two bins).  The search is first among patterns
+    that very many bins have, then among those that fewer have, down to one, and exchanges that
+    repeat in rounds are made all at once: the work follows the patterns and not how many bins
+    there are of each.
     """
     capacity = bins.capacity
     fewest = -(-sum(sum(p) * n for p, n in bins.count.items()) // capacity)
+    most = max((n for p, n in bins.count.items() if sum(p) < capacity), default=0)
+    least = 1
+    while least * _STEP <= most:
+        least *= _STEP
+    while True:
+        _search(bins, least, fewest)
+        if least == 1:
+            return bins
+        least //= _STEP
+
+
+def _search(bins: Bins, least: int, fewest: int) -> None:
+    """The local search among patterns that at least ``least`` bins have."""
+    capacity = bins.capacity
     index = _Index(capacity)
-    for pattern in bins.count:
-        if sum(pattern) < capacity:
-            index.change(pattern, 1)
-    waiting = [(sum(p), p) for p in bins.count if sum(p) < capacity]
+    waiting = [(sum(p), p) for p, n in bins.count.items() if n >= least and sum(p) < capacity]
+    for _, pattern in waiting:
+        index.change(pattern, 1)
     heapify(waiting)
     stuck: set = set()
 
     def put(pattern: tuple, n: int) -> bool:
-        """Adds bins; whether the pattern, or a second bin of it, is new."""
+        """Adds bins; whether the pattern, or a second lot of it, has come up."""
         before = bins.count.get(pattern, 0)
         bins.add(pattern, n)
-        if not pattern or sum(pattern) == capacity:
+        if not pattern or sum(pattern) == capacity or before + n < least:
             return False
-        if not before:
+        if before < least:
             index.change(pattern, 1)
-        if before < 2:
+        if before < 2 * least:
             stuck.discard(pattern)
             heappush(waiting, (sum(pattern), pattern))
-        return not before
+        return before < least
 
     def take(pattern: tuple, n: int) -> None:
+        before = bins.count[pattern]
         bins.take(pattern, n)
-        if pattern not in bins.count and sum(pattern) < capacity:
+        if before >= least > before - n and sum(pattern) < capacity:
             index.change(pattern, -1)
 
+    rounds = _Rounds()
     fresh = False  # whether patterns came up since donors were found stuck
     while bins.total() > fewest:
         if not waiting:
             if not fresh:
-                break
+                return
             fresh = False
-            waiting = [(sum(p), p) for p in stuck if p in bins.count]
+            waiting = [(sum(p), p) for p in stuck if bins.count.get(p, 0) >= least]
             heapify(waiting)
             stuck.clear()
             continue
         fill, donor = heappop(waiting)
-        if donor not in bins.count or donor in stuck:
+        if bins.count.get(donor, 0) < least or donor in stuck:
             continue
-        alone = bins.count[donor] == 1
+        alone = bins.count[donor] < 2 * least
         if alone:
             index.change(donor, -1)
         found = _exchange(index, donor, capacity - fill)
@@ -268,13 +331,27 @@ def local_search(bins: Bins) -> Bins:
             continue
         other, out, into = found
         n = bins.count[donor] // 2 if other == donor else min(bins.count[donor], bins.count[other])
+        given, taken = _with(donor, out, into), _with(other, into, out)
         take(donor, n)
         take(other, n)
-        if donor in bins.count:
+        if bins.count.get(donor, 0) >= least:
             heappush(waiting, (fill, donor))
-        for pattern in (_with(donor, out, into), _with(other, into, out)):
+        for pattern in (given, taken):
             fresh = put(pattern, n) or fresh
-    return bins
+        changed: Counter = Counter()
+        for pattern, by in ((donor, -n), (other, -n), (given, n), (taken, n)):
+            if pattern:
+                changed[pattern] += by
+        length = rounds.add((donor, other, out, into), changed)
+        if length:
+            change, times = rounds.again(length, bins.count)
+            rounds.clear()
+            for pattern, by in change.items():
+                if times and by < 0:
+                    take(pattern, -by * times)
+            for pattern, by in change.items():
+                if times and by > 0:
+                    fresh = put(pattern, by * times) or fresh
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> Bins:

@@ -170,6 +170,27 @@ def test_local_search_of_mixes_with_many_underfull_patterns():
         assert after < before and after <= bound * most
 
 
+def test_local_search_of_very_many_bins():
+    """The work follows the patterns: a million times the pieces must not take a million times as long."""
+    rng = random.Random(7)
+    few = {x: rng.randint(1, 40) for x in range(600, 760, 8)}
+    many = {x: n * 10**6 + rng.randint(0, 999) for x, n in few.items()}
+    bound = -(-sum(x * n for x, n in many.items()) // 2048)
+    bins = packing.pack_histogram(many)
+    assert {x: sum(p.count(x) * n for p, n in bins.count.items()) for x in many} == many
+    assert max(map(sum, bins.count)) <= 2048 and bins.total() < packing.best_fit(many, 2048).total()
+    assert bins.total() <= max(bound * 1.01, packing.pack_histogram(few).total() * 10**6 * 1.002)
+
+
+def test_rounds_are_noticed_and_counted():
+    rounds, a, b = packing._Rounds(), ("a",), ("b",)
+    one, two = Counter({"big": -1, "odd": 1, "c": 1, "d": -1}), Counter({"odd": -1, "c": -1, "d": 1, "full": 1})
+    lengths = [rounds.add(x, y) for _ in range(3) for x, y in ((a, one), (b, two))]
+    assert lengths[:4] == [0, 0, 0, 0] and max(lengths) == 2
+    change, times = rounds.again(2, Counter({"big": 100, "d": 1, "full": 3}))
+    assert {k: v for k, v in change.items() if v} == {"big": -1, "full": 1} and times == 99
+
+
 def test_local_search_empties_bins():
     bins = packing.Bins(10)
     for p in ((6, 2), (5, 3), (4, 4), (2, 2, 2)):
