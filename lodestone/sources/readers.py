@@ -47,20 +47,32 @@ def image_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = sc
 
 
 def decoded_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = schema.IMAGE_EXTENSIONS) -> DataFrame:
-    """Image files with what decoding in the JVM gives: (path, extension, slug, content, width,
-    height, has_exif, image); the last is Spark's image struct, for ``images.blur_pixels``.
+    """Image files decoded in the JVM: (path, extension, slug, width, height, image); the last is
+    Spark's image struct, for ``images.blur_pixels`` and ``images.preprocess_pixels``.
 
     JPEG, PNG, GIF and BMP are decoded; WebP is not, and must go through ``images.inspect_image``
-    with Pillow, so it is an error here.  Width, height, flag and image are null where decoding failed.
+    with Pillow, so it is an error here.  Width, height and image are null where decoding failed.
     """
-    files = image_files(spark, root, extensions)
-    webp = F.raise_error(F.concat(F.lit("WebP needs Pillow: "), F.col("path")))
-    files = files.withColumn("path", F.when(F.col("extension") == "webp", webp).otherwise(F.col("path")))
-    pixels = spark.read.format("image").option("recursiveFileLookup", "true").load(root).select("image")
-    good = pixels.where("image.width > 0").select(F.regexp_replace("image.origin", "^file:/+", "/").alias("_at"), "image")
-    joined = files.withColumn("_at", F.regexp_replace("path", "^file:/+", "/")).join(good, "_at", "left").drop("_at")
-    exif = F.contains(F.substring("content", 1, 65536), F.lit(b"Exif\x00\x00")) | F.contains(F.substring("content", 1, 65536), F.lit(b"eXIf"))
-    return joined.withColumns({"width": F.col("image.width"), "height": F.col("image.height"), "has_exif": F.when(F.col("image").isNotNull(), exif)})
+    pixels = spark.read.format("image").option("recursiveFileLookup", "true").load(root).select("image", F.col("image.origin").alias("path"))
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    rows = pixels.where(ext.isin(*extensions)).withColumns({"extension": ext, "slug": F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)})
+    good = F.when(F.col("extension") == "webp", F.raise_error(F.concat(F.lit("WebP needs Pillow: "), F.col("path"))).cast("boolean")).otherwise(F.col("image.width") > 0)
+    return rows.withColumn("good", good).where("good is not null").select("path", "extension", "slug", *[F.when(F.col("good"), F.col(f"image.{c}")).alias(c) for c in ("width", "height")], F.when(F.col("good"), F.col("image")).alias("image"))
+
+
+def inspected_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = schema.IMAGE_EXTENSIONS) -> DataFrame:
+    """(path, extension, slug, md5, has_exif, width, height) of image files, for ``curate.image_status``.
+
+    Sizes come from decoding in the JVM, digests and EXIF flags from the bytes; only these narrow
+    columns are joined, neither pixels nor contents move.
+    """
+    head = F.substring("content", 1, 65536)
+    exif = F.contains(head, F.lit(b"Exif\x00\x00")) | F.contains(head, F.lit(b"eXIf"))
+    at = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  the two sources spell local paths differently
+    files = image_files(spark, root, extensions).select("path", "extension", "slug", F.md5("content").alias("md5"), exif.alias("exif"), at("path").alias("_at"))
+    sizes = decoded_images(spark, root, extensions).select(at("path").alias("_at"), "width", "height")
+    joined = files.join(sizes, "_at", "left")
+    return joined.select("path", "extension", "slug", "md5", F.when(F.col("width").isNotNull(), F.col("exif")).alias("has_exif"), "width", "height")
 
 
 def directory_manifest(spark: SparkSession, root: str) -> DataFrame:

@@ -68,6 +68,11 @@ def test_vectors_that_cannot_be_used_are_left_out(spark):
     assert R.prototypes(train.limit(0)).isEmpty() and R.similarities(train, R.prototypes(train.limit(0))).isEmpty()
 
 
+def test_queries_stay_where_they_are(spark):
+    plan = R.similarities(query(spark).repartition(3), protos(spark), top=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Repartition") == 1
+
+
 def test_partial_sums_are_passed_on_when_many_are_held(spark, monkeypatch):
     data = [(k % 7, [float(k % 5 + 1), float(k % 3)]) for k in range(60)]
     df = frame(spark, data, "label int, embedding array<double>").repartition(2)

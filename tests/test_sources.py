@@ -188,7 +188,11 @@ def test_images_decoded_in_the_jvm(spark, tmp_path):
     (tmp_path / "a/z.jpg").write_bytes(b"no image")
     df = readers.decoded_images(spark, str(tmp_path))
     got = {r["path"].rsplit("/", 1)[1]: r for r in df.withColumn("b", images.blur_pixels("image")).withColumn("x", images.preprocess_pixels(4)("image")).collect()}
-    assert [(n, got[n]["width"], got[n]["height"], got[n]["has_exif"]) for n in sorted(got)] == [("x.jpg", 20, 10, False), ("y.png", 20, 10, False), ("z.jpg", None, None, None)]
+    assert [(n, got[n]["width"], got[n]["height"], got[n]["slug"]) for n in sorted(got)] == [("x.jpg", 20, 10, "a"), ("y.png", 20, 10, "a"), ("z.jpg", None, None, "a")]
+    (tmp_path / "a/e.jpg").write_bytes((tmp_path / "a/x.jpg").read_bytes() + b"Exif\x00\x00")
+    seen = {r["path"].rsplit("/", 1)[1]: tuple(r)[3:] for r in readers.inspected_images(spark, str(tmp_path)).collect()}
+    digest = lambda n: hashlib.md5((tmp_path / "a" / n).read_bytes()).hexdigest()
+    assert seen == {"e.jpg": (digest("e.jpg"), True, 20, 10), "x.jpg": (digest("x.jpg"), False, 20, 10), "y.png": (digest("y.png"), False, 20, 10), "z.jpg": (digest("z.jpg"), None, None, None)}
     assert got["z.jpg"]["b"] is None and got["y.png"]["b"] > 0 and got["x.jpg"]["b"] == pytest.approx(got["y.png"]["b"], rel=0.5)
     own = spark.createDataFrame([((tmp_path / "a/y.png").read_bytes(),)], "content binary").select(images.blur_score("content").alias("b"), images.preprocess(4)("content").alias("x")).first()
     assert own["b"] == got["y.png"]["b"] and own["x"] == got["y.png"]["x"] and len(got["x.jpg"]["x"]) == 48
