@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, lattice, licenses, packing, pieces, secrets, simhash, token_files, toxicity, wordpiece
+from lodestone.llm import exact_dedup, lattice, licenses, packing, pieces, prefix_trie, runs, secrets, simhash, token_files, toxicity, wordpiece
+from lodestone.llm.common import stored
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -184,6 +185,30 @@ FROM v
 """
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, members = prefix_trie.with_shared_beginnings(stored(prefix_trie.number_turns(table(spark, sf_dir, "conversations")), "trie-turns"))
+    return prefix_trie.prefix_trie(turns, members)
+
+
+def run_digest(found: DataFrame) -> DataFrame:
+    """The contract's columns; ratios are compared as fractions, by cross-multiplying."""
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+
+    def better(best, r):
+        more = r["length"] * best["period"]
+        same = best["length"] * r["period"]
+        return F.when(best.isNull() | (more > same), r).otherwise(best)  # runs come by start, then period
+
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), better)
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return told.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("(1000 * best.length) div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(runs.periodic_runs(runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -198,6 +223,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_exact_dedup,
             op9_token_files,
             op10_embedding_near_dedup,
+            op12_conversation_prefix_trie,
+            op13_periodic_runs,
         )
     }
 
