@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, lattice, licenses, packing, pieces, prefix_trie, runs, secrets, simhash, token_files, toxicity, wordpiece
+from lodestone.llm import collisions, exact_dedup, lattice, licenses, packing, pieces, prefix_trie, runs, secrets, simhash, token_files, toxicity, wordpiece
 from lodestone.llm.common import stored
 
 
@@ -185,6 +185,11 @@ FROM v
 """
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return collisions.search(collisions.build_index(vectors, k=20), vectors.where("vec_id % 20 = 0"))
+
+
 def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns, members = prefix_trie.with_shared_beginnings(stored(prefix_trie.number_turns(table(spark, sf_dir, "conversations")), "trie-turns"))
     return prefix_trie.prefix_trie(turns, members)
@@ -223,6 +228,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_exact_dedup,
             op9_token_files,
             op10_embedding_near_dedup,
+            op11_nearest_neighbours,
             op12_conversation_prefix_trie,
             op13_periodic_runs,
         )
