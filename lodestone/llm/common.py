@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.shipping import ship
-from lodestone.storage import cut, new_folder, remove, scratch, shared_dir, stored
+from lodestone.storage import cut, new_folder, remove, shared_dir, stored
 
-__all__ = ["ASCII_SPACE", "connected_components", "cut", "membership", "new_folder", "remove", "scratch", "shared_dir", "ship", "stored", "text_or_empty", "with_membership", "without"]
+__all__ = ["ASCII_SPACE", "connected_components", "cut", "membership", "new_folder", "remove", "shared_dir", "ship", "stored", "text_or_empty", "with_membership", "without"]
 
 #: White space of the contracts: space and U+0009 to U+000D.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
