@@ -113,3 +113,44 @@ def clamp(c: Column, low: float, high: float) -> Column:
 def quota(total: Column, groups: Column) -> Column:
     """Rows a group may give: the ceiling of total over groups, at least one."""
     return F.greatest(F.lit(1).cast("bigint"), F.ceil(total / groups))
+
+
+#: Where specimen payloads keep their records, and records their shot, image and sizes.
+_SPECIMENS = ("specimenImages", "images")
+_SHOT = ("shotType", "shot_type")
+_IMAGE = ("image", "url", "imageURL", "originalThumbnailUrl")
+_SIZES = ("original", "high")
+#: What counts as nothing there.
+_NOTHING = ("", "null", "false", "0", "0.0", "[]", "{}")
+
+
+def _first_there(values: list[Column]) -> Column:
+    return F.coalesce(*[F.when(~v.isin(*_NOTHING), v) for v in values])
+
+
+def specimen_records(payload: Column) -> Column:
+    """An array of (shot_type, url): the images that a specimen payload holds, in its order.
+
+    Records are a list, or an object of which the values count, under one of several keys; what is no
+    object is passed over.  A record's image is text or an object of sizes; of these the
+    original comes first, then the high one, then whatever is first.  JSON objects are read as maps of
+    raw values, which keep the document's order (VARIANT sorts keys).  Anything else that is no such
+    payload gives an empty array.
+    """
+    raw = lambda c: F.from_json(c, "map<string,string>")
+    top = F.from_json(payload, ", ".join(f"{k} string" for k in _SPECIMENS))
+    held = _first_there([top[k] for k in _SPECIMENS])
+    parts = F.when(held.startswith("["), F.from_json(held, "array<string>")).when(held.startswith("{"), F.map_values(raw(held)))
+    objects = F.filter(F.coalesce(parts, F.array().cast("array<string>")), lambda r: r.startswith("{"))
+
+    def image(m):
+        found = _first_there([F.try_element_at(m, F.lit(k)) for k in _IMAGE])
+        sizes = raw(found)
+        size = _first_there([F.try_element_at(sizes, F.lit(k)) for k in _SIZES])
+        return F.when(found.startswith("{"), F.coalesce(size, F.get(F.map_values(sizes), F.lit(0)))).otherwise(found)
+
+    def record(m):
+        return F.struct(F.lower(F.coalesce(_first_there([F.try_element_at(m, F.lit(k)) for k in _SHOT]), F.lit(""))).alias("shot_type"), image(m).alias("url"))
+
+    records = F.transform(F.transform(objects, raw), record)
+    return F.filter(records, lambda r: ~F.coalesce(r["url"], F.lit("")).isin(*_NOTHING))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +18,7 @@ from lodestone.operators import integrity as I
 from lodestone.operators import rank as R
 from lodestone.plans.base import OBSERVATIONS, SIMS, observations, query, table
 from lodestone.plans.retrieval import folds, ranks_of_truth, reranked
+from lodestone.shipping import ship
 from lodestone.sources import readers, rest, sinks
 from lodestone.storage import new_folder
 
@@ -179,41 +184,92 @@ def response_documents(spark: SparkSession, d: str) -> DataFrame:
     return a.select("query_id", F.array_join("a.results.species_name", ",").alias("names"), F.array_min("a.results.similarity").alias("least"), "a.geo_filtered")
 
 
-def _solid_png(width: int, height: int, level: int) -> bytes:
-    """A grey picture of one level."""
-    import struct
-    import zlib
+def _png(pixels: np.ndarray, extra: bytes = b"") -> bytes:
+    """A grey picture as a PNG file; ``extra`` are chunks between the pixels and the end."""
+    h, w = pixels.shape
+    head = struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)
+    rows = np.hstack([np.zeros((h, 1), np.uint8), pixels]).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(rows)) + extra + _chunk(b"IEND", b"")
 
-    def chunk(kind: bytes, data: bytes) -> bytes:
-        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
-    head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(height * (b"\0" + bytes([level]) * width))) + chunk(b"IEND", b"")
+def _chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-@query("""WITH p AS (SELECT p_partkey, 8 + p_size AS width, 58 - p_size AS height, p_partkey % 256 AS level, p_size % 10 = 0 AS broken FROM part),
-s AS (SELECT *, CASE WHEN broken THEN 'corrupt' WHEN least(width, height) < 20 THEN 'too_small' ELSE 'ok' END AS base FROM p)
-SELECT p_partkey, CASE WHEN base = 'ok' AND row_number() OVER (PARTITION BY base, width, height, level ORDER BY p_partkey) > 1 THEN 'duplicate' ELSE base END AS status,
- CASE WHEN NOT broken THEN width END AS width, CASE WHEN NOT broken THEN height END AS height, CASE WHEN NOT broken THEN 0.0::DOUBLE END AS blur,
- CASE WHEN NOT broken THEN round((level / 255 - 0.485::DOUBLE) / 0.229::DOUBLE, 4) + 0 END AS red, CASE WHEN NOT broken THEN round(2 * ((level / 255 - 0.406::DOUBLE) / 0.225::DOUBLE), 3) + 0 END AS embedded FROM s""")
-def image_functions(spark: SparkSession, d: str) -> DataFrame:
-    """Pictures of one grey level, some of them broken: size, status, sharpness, network input, embedding."""
-    from lodestone.shipping import ship
+#: What each sample of n weighs in sample o of 4, by a triangle as wide as the shrinking, in 22 binary digits.
+_SHRUNK = """dims AS (SELECT DISTINCT unnest([8 + p_size, 58 - p_size]) AS n FROM part),
+taps AS (SELECT n, o, i, greatest(0, 1 - abs((i + 0.5::DOUBLE - (o + 0.5::DOUBLE) * n / 4) / (n / 4))) AS t FROM (SELECT n, o, unnest(range(n)) AS i FROM dims, (VALUES (0), (3)) v(o))
+ WHERE i >= greatest(0, trunc((o + 0.5::DOUBLE) * n / 4 - n / 4 + 0.5)) AND i < trunc((o + 0.5::DOUBLE) * n / 4 + n / 4 + 0.5)),
+weights AS (SELECT n, o, i, trunc(t / sum(t) OVER (PARTITION BY n, o) * 4194304 + 0.5) AS weight FROM taps),
+across AS (SELECT p_partkey, height, o, y, floor((sum(((level * 31 + i * 17 + y * y * 13) % 256) * weight) + 2097152) / 4194304) AS v
+ FROM (SELECT p_partkey, level, width, height, unnest(range(height)) AS y FROM p) JOIN weights ON n = width GROUP BY ALL),
+shrunk AS (SELECT p_partkey, a.o, floor((sum(v * weight) + 2097152) / 4194304) AS v FROM across a JOIN weights w ON w.n = height AND w.i = y AND w.o = a.o GROUP BY 1, 2)"""
+
 
+@query(f"""WITH p AS (SELECT p_partkey, 8 + p_size AS width, 58 - p_size AS height, p_partkey % 256 AS level, p_size % 10 = 0 AS broken FROM part),
+s AS (SELECT *, CASE WHEN broken THEN 'corrupt' WHEN least(width, height) < 20 THEN 'too_small' ELSE 'ok' END AS base FROM p),
+{_SHRUNK},
+px AS (SELECT p_partkey, level, x, unnest(range(1, height - 1)) AS y FROM (SELECT p_partkey, level, height, unnest(range(1, width - 1)) AS x FROM p)),
+lap AS (SELECT p_partkey, (level * 31 + (x - 1) * 17 + y * y * 13) % 256 + (level * 31 + (x + 1) * 17 + y * y * 13) % 256 + (level * 31 + x * 17 + (y - 1) * (y - 1) * 13) % 256 + (level * 31 + x * 17 + (y + 1) * (y + 1) * 13) % 256 - 4 * ((level * 31 + x * 17 + y * y * 13) % 256) AS l FROM px),
+sharp AS (SELECT p_partkey, var_pop(l::DOUBLE) AS blur FROM lap GROUP BY 1)
+SELECT s.p_partkey, CASE WHEN base = 'ok' AND row_number() OVER (PARTITION BY base, width, height, level ORDER BY s.p_partkey) > 1 THEN 'duplicate' ELSE base END AS status,
+ CASE WHEN NOT broken THEN width END AS width, CASE WHEN NOT broken THEN height END AS height, CASE WHEN NOT broken THEN round(sharp.blur, 3) END AS blur,
+ CASE WHEN NOT broken THEN round((a.v / 255 - 0.485::DOUBLE) / 0.229::DOUBLE, 3) + 0 END AS red, CASE WHEN NOT broken THEN round(2 * ((b.v / 255 - 0.406::DOUBLE) / 0.225::DOUBLE), 3) + 0 END AS embedded
+FROM s JOIN shrunk a ON a.p_partkey = s.p_partkey AND a.o = 0 JOIN shrunk b ON b.p_partkey = s.p_partkey AND b.o = 3 JOIN sharp ON sharp.p_partkey = s.p_partkey""")
+def image_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Patterned pictures, some of them broken: size, status, sharpness, network input, embedding."""
     ship(spark)
 
     @F.pandas_udf("binary")
     def picture(key: pd.Series, size: pd.Series) -> pd.Series:
-        whole = [_solid_png(8 + n, 58 - n, k % 256) for k, n in zip(key, size)]
-        return pd.Series([x[: len(x) // 2] if n % 10 == 0 else x for x, n in zip(whole, size)])
+        def made(k: int, n: int) -> bytes:
+            y, x = np.mgrid[: 58 - n, : 8 + n]
+            whole = _png(((k % 256 * 31 + x * 17 + y * y * 13) % 256).astype(np.uint8))
+            return whole[: len(whole) // 2] if n % 10 == 0 else whole
+
+        return pd.Series([made(k, n) for k, n in zip(key, size)])
 
     made = table(spark, d, "part").select("p_partkey", picture("p_partkey", "p_size").alias("content"))
     seen = made.withColumns({"m": images.inspect_image("content"), "blur": images.blur_score("content"), "x": images.preprocess(4)("content")})
     seen = seen.withColumn("e", images.embedder(lambda: lambda x: 2 * x[-1:])("x"))
-    sized = seen.select("p_partkey", F.md5("content").alias("h"), "m.width", "m.height", F.round("blur", 6).alias("blur"), F.round(F.get("x", F.lit(0)).cast("double"), 4).alias("red"), F.round(F.get("e", F.lit(0)).cast("double"), 3).alias("embedded"))
+    sized = seen.select("p_partkey", F.md5("content").alias("h"), "m.width", "m.height", F.round("blur", 3).alias("blur"), F.round(F.get("x", F.lit(0)).cast("double"), 3).alias("red"), F.round(F.get("e", F.lit(0)).cast("double"), 3).alias("embedded"))
     return C.image_status(sized, 20, "h", "p_partkey").drop("h")
 
 
+def _container(kind: int, width: int, height: int, exif: bool, stray: bool, broken: bool) -> bytes:
+    """A file of parts: JPEG, PNG, or one of three kinds of WebP.  EXIF comes after 70 kB of other
+    parts; a stray one is text where no EXIF belongs."""
+    tags = b"MM\0*" + struct.pack(">IHHHII", 8, 1, 0x0112, 3, 1, 1 << 16) + b"\0\0\0\0"
+    text = b"Exif\0\0eXIf" + tags if stray else b"no such thing"
+    if kind == 0:
+        part = lambda marker, body: b"\xff" + bytes([marker]) + struct.pack(">H", len(body) + 2) + body
+        data = b"\xff\xd8" + part(0xE0, b"JFIF\0") + part(0xFE, text) + 2 * part(0xE2, bytes(35_000)) + (part(0xE1, b"Exif\0\0" + tags) if exif else b"")
+        data += part(0xC2, struct.pack(">BHHB", 8, height, width, 1) + b"\1\x11\0") + part(0xDA, b"\1\1\0\0\0\0") + text + b"\xff\xd9"
+    elif kind == 1:
+        data = _png(np.zeros((height, width), np.uint8), _chunk(b"tEXt", text + bytes(70_000)) + (_chunk(b"eXIf", tags) if exif else b""))
+    else:
+        part = lambda name, body: name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
+        lossy = part(b"VP8 ", b"\x30\1\0\x9d\1\x2a" + struct.pack("<HH", width, height) + text)
+        lossless = part(b"VP8L", b"\x2f" + struct.pack("<I", width - 1 | height - 1 << 14) + text)
+        extended = part(b"VP8X", bytes([8 * exif, 0, 0, 0]) + (width - 1).to_bytes(3, "little") + (height - 1).to_bytes(3, "little"))
+        body = {2: lossy, 3: lossless, 4: extended + part(b"ICCP", bytes(70_001)) + lossless}[kind] + (part(b"EXIF", tags) if exif else b"")
+        data = b"RIFF" + struct.pack("<I", len(body) + 4) + b"WEBP" + body
+    return data[: len(data) // 2] if broken else data
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 7 > 0 THEN 8 + p_size END AS width, CASE WHEN p_size % 7 > 0 THEN 70 - p_size END AS height, CASE WHEN p_size % 7 > 0 THEN p_partkey % 3 = 0 END AS has_exif FROM part""")
+def image_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes and EXIF flags of JPEG, PNG and WebP files by their parts; some are cut off."""
+    ship(spark)
+
+    @F.pandas_udf("binary")
+    def made(key: pd.Series, size: pd.Series) -> pd.Series:
+        return pd.Series([_container(k % 5, 8 + n, 70 - n, k % 3 == 0, k % 2 == 0, n % 7 == 0) for k, n in zip(key.tolist(), size.tolist())])
+
+    files = table(spark, d, "part").select("p_partkey", made("p_partkey", "p_size").alias("content"))
+    return files.select("p_partkey", images.container_info("content").alias("m")).select("p_partkey", "m.*")
+
+
 @query("SELECT n_name AS value FROM nation")
 def staged_file(spark: SparkSession, d: str) -> DataFrame:
     """A file staged twice: the second time it is there and is used as it is."""

@@ -164,13 +164,34 @@ def observation_documents(spark: SparkSession, d: str) -> DataFrame:
     return readers.observations_json(text).select("uuid", "name", "taxon_id", "lat", "lon", F.size("photos").alias("n_photos"))
 
 
-@query("""SELECT CASE page_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' END AS kind, count(*) AS n, count(*) FILTER (page_id % 4 IN (0, 1)) AS with_shot FROM pages GROUP BY 1""")
+#: Specimen payloads of several shapes; ``@`` stands for the page's id.
+_PAYLOADS = (
+    '{"specimenImages": [{"shotType": "H", "image": "u@a"}, {"shot_type": "x", "url": "u@b"}, {"shotType": "p", "imageURL": "u@a"}, {"url": "u@c"}]}',
+    '{"images": {"2": {"image": {"low": "u@l", "original": "u@o", "high": "u@g"}}, "10": {"shot_type": "d", "image": {"low": "u@l", "high": "u@h"}}, "1": 7}}',
+    '{"specimenImages": [], "images": [{"originalThumbnailUrl": "u@t"}, "text", {"image": {"small": "u@s", "large": "u@z"}, "shotType": null}]}',
+    '{"specimenImages": null, "images": "none"}',
+    "no document",
+    '{"images": [{"url": "", "image": {}}, {"url": "u@v", "shotType": "D"}, 3, null]}',
+)
+
+
+def _payloads(spark: SparkSession, d: str) -> DataFrame:
+    shape = F.element_at(F.array(*[F.lit(p) for p in _PAYLOADS]), (F.col("page_id") % len(_PAYLOADS) + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", F.replace(shape, F.lit("@"), F.col("page_id").cast("string")).alias("value"))
+
+
+@query("""SELECT page_id, s.position::INTEGER AS position, s.shot AS shot_type, 'u' || page_id || s.suffix AS url FROM pages JOIN (VALUES
+ (0, 0, 'h', 'a'), (0, 1, 'x', 'b'), (0, 2, 'p', 'a'), (0, 3, '', 'c'), (1, 0, '', 'o'), (1, 1, 'd', 'h'), (2, 0, '', 't'), (2, 1, '', 's'), (5, 0, 'd', 'v')) s(shape, position, shot, suffix) ON page_id % 6 = s.shape""")
 def specimen_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of several shapes; some hold no URL."""
-    p = F.col("page_id") % 4
-    text = F.when(p == 0, '{"url": "a", "shot_type": "h"}').when(p == 1, '{"image": {"url": "b", "shot_type": "p"}}').when(p == 2, '{"images": [{"url": "c"}]}').otherwise("no document")
-    found = readers.specimens_json(table(spark, d, "pages").select(text.alias("value")))
-    return found.groupBy(F.col("url").alias("kind")).agg(F.count("*").alias("n"), F.count("shot_type").alias("with_shot"))
+    """Every image of payloads of several shapes; some hold none."""
+    return readers.specimens_json(_payloads(spark, d)).drop("value")
+
+
+@query("""SELECT page_id, s.position::INTEGER AS position, 'u' || page_id || s.suffix AS url FROM pages JOIN (VALUES
+ (0, 0, 'a'), (0, 1, 'b'), (1, 0, 'h'), (1, 1, 'o'), (2, 0, 't'), (2, 1, 's'), (5, 0, 'v')) s(shape, position, suffix) ON page_id % 6 = s.shape""")
+def specimen_images(spark: SparkSession, d: str) -> DataFrame:
+    """The first two images of each payload: heads and dorsal views first, every URL once."""
+    return readers.specimen_images(_payloads(spark, d), (" H", "d"), 2).drop("value")
 
 
 @query("""WITH b AS (SELECT doc_id, md5(text) AS h, lang = 'en' AS exif, CASE WHEN lang IS NULL THEN 'corrupt' WHEN n_chars < 500 THEN 'too_small' ELSE 'ok' END AS s FROM documents),

@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import schema
+from lodestone.functions import images
 from lodestone.functions import text as X
 from lodestone.operators.curate import class_index, priority_pick
 from lodestone.operators.integrity import require_columns
 from lodestone.shipping import ship
+from lodestone.sources.rest import with_bodies
 
 
 def tsv(spark: SparkSession, path: str, ddl: str, columns: tuple[str, ...], partitions: int | None = None) -> DataFrame:
@@ -50,8 +52,8 @@ def decoded_images(spark: SparkSession, root: str, extensions: tuple[str, ...] =
     """Image files decoded in the JVM: (path, extension, slug, width, height, image); the last is
     Spark's image struct, for ``images.blur_pixels`` and ``images.preprocess_pixels``.
 
-    JPEG, PNG, GIF and BMP are decoded; WebP is not, and must go through ``images.inspect_image``
-    with Pillow, so it is an error here.  Width, height and image are null where decoding failed.
+    JPEG, PNG, GIF and BMP are decoded; WebP pixels need Pillow (``images.preprocess``), so such a file
+    is an error here; ``inspected_images`` has its size and EXIF flag.  Width, height and image are null where decoding failed.
     """
     pixels = spark.read.format("image").option("recursiveFileLookup", "true").load(root).select("image", F.col("image.origin").alias("path"))
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
@@ -63,16 +65,18 @@ def decoded_images(spark: SparkSession, root: str, extensions: tuple[str, ...] =
 def inspected_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = schema.IMAGE_EXTENSIONS) -> DataFrame:
     """(path, extension, slug, md5, has_exif, width, height) of image files, for ``curate.image_status``.
 
-    Sizes come from decoding in the JVM, digests and EXIF flags from the bytes; only these narrow
-    columns are joined, neither pixels nor contents move.
+    EXIF and the size of WebP files come from the container's parts wherever they lie; other files
+    are decoded in the JVM, and one that cannot be has no size.  Only these narrow columns are joined,
+    neither pixels nor contents move.
     """
-    head = F.substring("content", 1, 65536)
-    exif = F.contains(head, F.lit(b"Exif\x00\x00")) | F.contains(head, F.lit(b"eXIf"))
+    ship(spark)
     at = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  the two sources spell local paths differently
-    files = image_files(spark, root, extensions).select("path", "extension", "slug", F.md5("content").alias("md5"), exif.alias("exif"), at("path").alias("_at"))
-    sizes = decoded_images(spark, root, extensions).select(at("path").alias("_at"), "width", "height")
+    files = image_files(spark, root, extensions).select("path", "extension", "slug", F.md5("content").alias("md5"), images.container_info("content").alias("own"), at("path").alias("_at"))
+    sizes = decoded_images(spark, root, tuple(e for e in extensions if e != "webp")).select(at("path").alias("_at"), "width", "height")
     joined = files.join(sizes, "_at", "left")
-    return joined.select("path", "extension", "slug", "md5", F.when(F.col("width").isNotNull(), F.col("exif")).alias("has_exif"), "width", "height")
+    is_webp = F.col("extension") == "webp"
+    size = {c: F.when(is_webp, F.col(f"own.{c}")).otherwise(F.col(c)) for c in ("width", "height")}
+    return joined.select("path", "extension", "slug", "md5", F.when(size["width"].isNotNull(), F.coalesce("own.has_exif", F.lit(False))).alias("has_exif"), *[v.alias(c) for c, v in size.items()])
 
 
 def directory_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -115,31 +119,29 @@ def jdbc_table(spark: SparkSession, url: str, table: str, key: str | None = None
     return reader.load()
 
 
-def _get_objects(batches):
+def _object(uri: str | None) -> bytes | None:
+    """An object's bytes, None if it is not there."""
     from pyarrow import fs
 
-    for batch in batches:
-        bodies = []
-        for uri in batch.column(batch.num_columns - 1).to_pylist():
-            body = None
-            if uri:
-                files, at = fs.FileSystem.from_uri(uri)
-                if files.get_file_info(at).type == fs.FileType.File:
-                    with files.open_input_stream(at) as f:
-                        body = f.read()
-            bodies.append(body)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bodies, pa.binary())], [*batch.schema.names[:-1], "content"])
+    if not uri:
+        return None
+    files, at = fs.FileSystem.from_uri(uri)
+    if files.get_file_info(at).type != fs.FileType.File:
+        return None
+    with files.open_input_stream(at) as f:
+        return f.read()
 
 
 def get_objects(df: DataFrame, uri: str = "uri") -> DataFrame:
     """``df`` with ``content``: the bytes of each row's object, by its URI (s3://, gs://, file://).
 
-    Objects that are not there are null; other failures are errors.  Every row reads its own, so
+    Objects that are not there are null; other failures are errors.  Few are read at once by a task,
+    which passes them on by bytes.  Every row reads its own, so
     rows can come from any table; whole folders are read better with ``image_files``.
     """
     ship(df.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.select(*[f"`{c}`" for c in df.columns], F.col(uri).alias("__uri")).mapInArrow(_get_objects, f"{fields}, content binary")
+    return df.select(*[f"`{c}`" for c in df.columns], F.col(uri).alias("__lodestone_uri")).mapInArrow(with_bodies(_object), f"{fields}, content binary")
 
 
 def manifest(spark: SparkSession, database: tuple[DataFrame, DataFrame] | None = None, csv: str | None = None, root: str | None = None) -> DataFrame:
@@ -167,10 +169,26 @@ def occurrences_json(df: DataFrame, column: str = "value") -> DataFrame:
 
 
 def specimens_json(df: DataFrame, column: str = "value") -> DataFrame:
-    """Specimen images of a document whose shape varies: a URL is looked for at known places."""
-    v = F.try_parse_json(column)
-    urls = [F.try_variant_get(v, p, "string") for p in ("$.url", "$.image.url", "$.images[0].url", "$.urls[0]")]
-    return df.select(F.coalesce(*urls).alias("url"), F.coalesce(F.try_variant_get(v, "$.shot_type", "string"), F.try_variant_get(v, "$.image.shot_type", "string")).alias("shot_type"))
+    """``df`` with ``position`` and the ``shot_type`` and ``url`` of each specimen image of a payload.
+
+    Payloads vary (see ``text.specimen_records``); one without images gives no rows.
+    """
+    rows = df.select("*", F.posexplode(X.specimen_records(F.col(column))).alias("position", "_record"))
+    return rows.select(*df.columns, "position", "_record.shot_type", "_record.url")
+
+
+def specimen_images(df: DataFrame, shots: tuple[str, ...], limit: int, column: str = "value") -> DataFrame:
+    """``df`` with ``position`` and ``url`` of the up to ``limit`` images that each payload gives.
+
+    Wanted shots come first, then all others, each in the payload's order and every URL once.  A
+    payload is one row, so nothing is shuffled.
+    """
+    records = X.specimen_records(F.col(column))
+    wanted = lambda r: r["shot_type"].isin(*[s.strip().lower() for s in shots])
+    url = lambda r: r["url"]
+    ordered = F.concat(F.transform(F.filter("_records", wanted), url), F.transform(F.filter("_records", lambda r: ~wanted(r)), url))
+    rows = df.withColumn("_records", records).select(*df.columns, F.posexplode(F.slice(F.array_distinct(ordered), 1, limit)).alias("position", "url"))
+    return rows
 
 
 def taxonomy_json(spark: SparkSession, path: str) -> DataFrame:

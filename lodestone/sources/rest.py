@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 import time
-from collections import Counter
-from urllib.error import HTTPError, URLError
+from collections import Counter, deque
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+from http.client import HTTPException, InvalidURL
+from urllib.error import HTTPError
 from urllib.parse import quote, urlencode
 from urllib.request import urlopen
 
@@ -21,8 +24,22 @@ from lodestone.shipping import ship
 RETRY = (429, 500, 502, 503, 504)
 
 
-def get_bytes(url: str, tries: int = 5, backoff: float = 2.0, fetch=urlopen, sleep=time.sleep) -> bytes:
-    """The answer's body; a failing status that may pass is tried again after a growing pause."""
+#: Bytes of downloaded bodies that go out together, requests of a task under way at once, seconds
+#: that a silent server is waited for.
+FLUSH, IN_FLIGHT, TIMEOUT = 32 << 20, 4, 60.0
+
+
+def get_bytes(url: str, tries: int = 5, backoff: float = 2.0, fetch=None, sleep=time.sleep, timeout: float = TIMEOUT) -> bytes:
+    """The answer's body; a failure that may pass is tried again after a growing pause.
+
+    | failure | what happens |
+    |-|-|
+    | status 429, 500, 502, 503, 504 | tried again |
+    | no connection, connection lost, body cut off, silence for ``timeout`` seconds | tried again |
+    | any other status | raised at once |
+    | a URL that is none | raised at once |
+    """
+    fetch = fetch or (lambda u: urlopen(u, timeout=timeout))
     for attempt in range(1, tries + 1):
         try:
             with fetch(url) as answer:
@@ -30,7 +47,9 @@ def get_bytes(url: str, tries: int = 5, backoff: float = 2.0, fetch=urlopen, sle
         except HTTPError as e:
             if e.code not in RETRY or attempt == tries:
                 raise
-        except URLError:
+        except InvalidURL:
+            raise
+        except (OSError, HTTPException):  # URLError, time-outs and lost connections are OSErrors
             if attempt == tries:
                 raise
         sleep(backoff * attempt)
@@ -180,32 +199,54 @@ def occurrences(spark: SparkSession, url: str, keys, pages: int = 10, size: int
     return _source(spark, url, keys, keyparam="taxonKey", paging="offset", pagesize=size, pages=pages, params={"mediaType": "StillImage"})
 
 
-def _download(tries: int, backoff: float):
+def body_or_none(url: str | None, tries: int = 3, backoff: float = 1.5, timeout: float = TIMEOUT) -> bytes | None:
+    """What the URL gives, or None where it gives nothing: every failure of ``get_bytes``, an empty
+    body, no URL."""
+    try:
+        return (get_bytes(url, tries, backoff, timeout=timeout) or None) if url else None
+    except (OSError, HTTPException, ValueError):
+        return None
+
+
+def with_bodies(fetch, in_flight: int = IN_FLIGHT, flush: int = FLUSH):
+    """For ``mapInArrow``: the last column's value is replaced by ``content``, what ``fetch`` gives for it.
+
+    A task has ``in_flight`` requests under way and passes rows on once ``flush`` bytes have come,
+    so it never holds the bodies of a whole batch.  Rows keep their order.
+    """
+
     def run(batches):
-        for batch in batches:
-            bodies = []
-            for url in batch.column(batch.num_columns - 1).to_pylist():
-                try:
-                    body = get_bytes(url, tries, backoff) if url else None
-                except OSError:  # every HTTP, network and file error is one
-                    body = None
-                bodies.append(body or None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bodies, pa.binary())], [*batch.schema.names[:-1], "content"])
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                values = batch.column(batch.num_columns - 1).to_pylist()
+                asked = deque(pool.submit(fetch, v) for v in values[:in_flight])
+                start, held, bodies = 0, 0, []
+                for n in range(len(values)):
+                    body = asked.popleft().result()
+                    if n + in_flight < len(values):
+                        asked.append(pool.submit(fetch, values[n + in_flight]))
+                    bodies.append(body)
+                    held += len(body or b"")
+                    if held >= flush or n + 1 == len(values):
+                        part = batch.slice(start, len(bodies))
+                        yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(bodies, pa.binary())], [*batch.schema.names[:-1], "content"])
+                        start, held, bodies = n + 1, 0, []
 
     return run
 
 
-def downloaded(df: DataFrame, url: str = "url", tries: int = 3, backoff: float = 1.5) -> DataFrame:
+def downloaded(df: DataFrame, url: str = "url", tries: int = 3, backoff: float = 1.5, timeout: float = TIMEOUT) -> DataFrame:
     """``df`` with ``content`` and ``sha256``: what each row's URL gives, from the executors.
 
-    A download that fails, or is empty, is tried again where that may help and is null then; the
-    caller drops such rows (``where("content is not null")``).  ``repartition`` before sets how many
-    downloads run at once.
+    A download that fails, or is empty, is tried again where that may help (see ``get_bytes``) and is
+    null then; no URL, however broken, fails the job.  The caller drops such rows (``where("content
+    is not null")``).  ``repartition`` before sets how many downloads run at once, ``IN_FLIGHT`` a task.
     """
     ship(df.sparkSession)
+    fetch = partial(body_or_none, tries=tries, backoff=backoff, timeout=timeout)
     kept = [f"`{c}`" for c in df.columns]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    rows = df.select(*kept, F.col(url).alias("__url")).mapInArrow(_download(tries, backoff), f"{fields}, content binary")
+    rows = df.select(*kept, F.col(url).alias("__lodestone_url")).mapInArrow(with_bodies(fetch), f"{fields}, content binary")
     return rows.withColumn("sha256", F.sha2("content", 256))
 
 

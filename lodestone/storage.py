@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI.
 
-    It is what the cluster names in ``spark.checkpoint.dir``.  Only where that is unset and all
-    runs on one machine (tests, a laptop) a temporary folder is made and set; elsewhere executors
-    could not see it, so that is an error.
+    It is what the cluster names in ``spark.checkpoint.dir``, with the scheme and host of its file
+    system.  Only where that is unset and all runs on one machine (tests, a laptop) a temporary
+    folder is made and set; elsewhere executors could not see it, so that is an error.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -23,9 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lodestone-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(base)
-    return base.rstrip("/")
+    target, files = _path(spark, base)
+    whole = files.makeQualified(target).toString().rstrip("/")
+    return re.sub("^file:/(?!/)", "file:///", whole)
 
 
 def _path(spark: SparkSession, path: str):
@@ -37,39 +37,29 @@ def _path(spark: SparkSession, path: str):
 _roots: dict[str, str] = {}
 
 
-def new_folder(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder; nothing is created yet.
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder below the shared one, which goes when the application ends.
 
-    It lies in a folder of this application's own, which goes when the application ends.
+    Checkpoints go there too, unless the application has set another folder for them.
     """
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    app = context.applicationId
     if app not in _roots:
-        own = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
+        base = shared_dir(spark)
+        own = f"{base}/lodestone-{uuid.uuid4().hex}"
         root, files = _path(spark, own)
         files.mkdirs(root)
         files.deleteOnExit(root)
         _roots[app] = own
-    path = f"{_roots[app]}/{tag}-{uuid.uuid4().hex}"
-    for made in _scopes:
-        made.append(path)
-    return path
-
+        now = context.getCheckpointDir()
+        if now is None or re.sub("^file:/+", "/", now).startswith(re.sub("^file:/+", "/", base)):
+            context.setCheckpointDir(f"{own}/checkpoints")
+    return _roots[app]
 
-#: Folders made since each open ``scratch`` began.
-_scopes: list[list[str]] = []
 
-
-@contextmanager
-def scratch(spark: SparkSession):
-    """Removes the folders made inside once the block ends; what reads them must be done by then."""
-    made: list[str] = []
-    _scopes.append(made)
-    try:
-        yield
-    finally:
-        _scopes.remove(made)
-        for path in made:
-            remove(spark, path)
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A fresh path below this application's own folder; nothing is created yet."""
+    return f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -77,7 +67,7 @@ def cut(df: DataFrame) -> DataFrame:
 
     A lost executor costs nothing: the rows are read again from the shared folder.
     """
-    shared_dir(df.sparkSession)
+    own_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

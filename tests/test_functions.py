@@ -9,6 +9,7 @@ from lodestone.functions import geo as G
 from lodestone.functions import images
 from lodestone.functions import text as X
 from lodestone.functions import vectors as V
+from lodestone.plans.files import _container
 
 
 def values(spark, expr, rows, kind="string"):
@@ -83,8 +84,14 @@ def test_formats_without_a_decoder_are_not_corrupt(spark):
     except ImportError:
         pass
     df = spark.createDataFrame([(bytearray(b"\xff\xd8\xff\xe0 a photo"),)], "content binary")
-    with pytest.raises(Exception, match="JPEG needs Pillow"):
-        df.select(images.inspect_image("content")).collect()
+    for f in (images.blur_score, images.preprocess(4)):
+        with pytest.raises(Exception, match="JPEG needs Pillow"):
+            df.select(f("content")).collect()
+    with pytest.raises(Exception, match="GIF needs Pillow"):
+        spark.createDataFrame([(bytearray(b"GIF89a"),)], "content binary").select(images.inspect_image("content")).collect()
+    whole = bytearray(_container(0, 9, 8, True, False, False))
+    sizes = spark.createDataFrame([(whole,), (whole[:50],)], "content binary").select(images.inspect_image("content").alias("m")).collect()
+    assert [r["m"] and tuple(r["m"]) for r in sizes] == [(9, 8, True), (None, None, None)]
 
 
 def png(pixels, filters=None):
@@ -126,8 +133,3 @@ def test_image_functions(spark):
     assert got[1]["x"][0] == pytest.approx((7 / 255 - images.MEAN[0]) / images.STD[0], abs=1e-5)
     embed = images.embedder(lambda: lambda x: x[:2] * 2)
     assert df.select(embed(images.preprocess(8)("content")).alias("e")).where("e is not null").count() == 3
-
-
-def test_shrinking_keeps_means():
-    x = np.arange(64.0).reshape(8, 8)
-    assert images.shrink(x, 4, 4).mean() == pytest.approx(x.mean())

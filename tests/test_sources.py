@@ -1,10 +1,19 @@
+import contextlib
 import gzip
 import hashlib
 import json
+import os
+import subprocess
+import sys
+import threading
+import time
+from collections import Counter
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from io import BytesIO
 from urllib.error import HTTPError
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,8 +73,21 @@ def test_nested_documents(spark):
     page = {"results": [{"media": [{"identifier": "i", "type": "StillImage"}, {"identifier": "j", "format": "image/png"}, {"identifier": "k", "type": "Sound"}]}], "endOfRecords": True}
     media = readers.occurrences_json(spark.createDataFrame([(json.dumps(page),)], "value string"))
     assert sorted(r["identifier"] for r in still_images(media).collect()) == ["i", "j"]
-    shapes = spark.createDataFrame([('{"image": {"url": "a", "shot_type": "h"}}',), ('{"images": [{"url": "b"}]}',), ("not json",)], "value string")
-    assert [r["url"] for r in readers.specimens_json(shapes).collect()] == ["a", "b", None]
+
+
+def test_specimen_payloads(spark):
+    records = '[{"shotType": "H", "image": "a"}, {"shotType": "", "shot_type": "P", "url": ""}, {"shot_type": "d", "image": null, "url": 0, "imageURL": "b"}, 5, null, "x", [1], {"image": "a", "shot_type": "p"}, {"image": {"small": "s", "high": "h"}}, {"image": {"small": "t", "high": ""}}, {"image": {"original": "o", "high": "h"}}]'
+    payloads = [
+        (1, f'{{"specimenImages": {records}}}'),
+        (2, '{"specimenImages": {}, "images": {"b": {"url": "1"}, "a": {"originalThumbnailUrl": "2", "shot_type": "h"}, "c": 7}}'),
+        (3, '{"specimenImages": "text"}'), (4, "[1]"), (5, "no json"), (6, None), (7, '{"images": [[{"url": "nested"}]]}'),
+    ]
+    df = spark.createDataFrame(payloads, "id int, value string")
+    rows = [tuple(r) for r in readers.specimens_json(df).select("id", "position", "shot_type", "url").orderBy("id", "position").collect()]
+    assert rows == [(1, 0, "h", "a"), (1, 1, "d", "b"), (1, 2, "p", "a"), (1, 3, "", "h"), (1, 4, "", "t"), (1, 5, "", "o"), (2, 0, "", "1"), (2, 1, "h", "2")]
+    first = readers.specimen_images(df, ("p", " D "), 3).drop("value").orderBy("id", "position").collect()
+    assert [tuple(r) for r in first] == [(1, 0, "b"), (1, 1, "a"), (1, 2, "h"), (2, 0, "1"), (2, 1, "2")]
+    assert [tuple(r)[::2] for r in readers.specimen_images(df, ("h",), 9).drop("value").where("id = 2").orderBy("position").collect()] == [(2, "2"), (2, "1")]
 
 
 def test_documents_written_and_read(spark, tmp_path):
@@ -154,19 +176,102 @@ def test_paging_by_offset_with_caps(monkeypatch):
     assert list(by_path.read(by_path.partitions()[0])) == [] and seen[0][0] == "http://h/taxa/1,2"
 
 
-def test_downloads(spark, tmp_path):
+class Server:
+    """Answers each path as it says, and counts how often it was asked."""
+
+    def __init__(self):
+        self.asked = Counter()
+        outer = self
+
+        class Handler(BaseHTTPRequestHandler):
+            def log_message(self, *a):
+                pass
+
+            def do_GET(self):
+                name = self.path.strip("/")
+                outer.asked[name] += 1
+                if name == "slow":
+                    time.sleep(3)
+                status = int(name) if name.isdigit() else 503 if name == "busy" and outer.asked[name] < 3 else 200
+                body = b"" if name == "empty" else b"the body of " + name.encode()
+                self.send_response(status)
+                self.send_header("Content-Length", str(len(body) + (50 if name == "cut" else 0)))
+                self.end_headers()
+                with contextlib.suppress(BrokenPipeError):  # who waited no longer
+                    self.wfile.write(body)
+
+        self.http = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.http.serve_forever, daemon=True).start()
+        self.url = f"http://127.0.0.1:{self.http.server_port}/"
+
+
+@pytest.fixture
+def server():
+    s = Server()
+    yield s
+    s.http.shutdown()
+
+
+def test_downloads(spark, tmp_path, server):
     (tmp_path / "a.png").write_bytes(b"no image")
     (tmp_path / "empty").write_bytes(b"")
-    urls = spark.createDataFrame([(1, f"file://{tmp_path}/a.png"), (2, f"file://{tmp_path}/none"), (3, None), (4, f"file://{tmp_path}/empty")], "content_id int, url string")
-    got = {r["content_id"]: r for r in rest.downloaded(urls, tries=1).collect()}
-    assert bytes(got[1]["content"]) == b"no image" and got[1]["sha256"] == hashlib.sha256(b"no image").hexdigest()
-    assert all(got[i]["content"] is None and got[i]["sha256"] is None for i in (2, 3, 4))
+    good = {1: f"file://{tmp_path}/a.png", 2: server.url + "fine", 3: server.url + "busy"}
+    bad = {10: f"file://{tmp_path}/none", 11: None, 12: f"file://{tmp_path}/empty", 13: "/no/scheme", 14: "http://[broken", 15: "http://a b/", 16: server.url + "cut", 17: server.url + "slow", 18: server.url + "404", 19: server.url + "429", 20: server.url + "empty", 21: "http://127.0.0.1:1/", 22: "gopher:x", 23: ""}
+    urls = spark.createDataFrame(list((good | bad).items()), "content_id int, url string")
+    got = {r["content_id"]: r for r in rest.downloaded(urls, tries=3, backoff=0.01, timeout=0.5).collect()}
+    said = {1: b"no image", 2: b"the body of fine", 3: b"the body of busy"}
+    assert {i: bytes(got[i]["content"]) for i in good} == said
+    assert all(got[i]["sha256"] == hashlib.sha256(said[i]).hexdigest() for i in good)
+    assert set(got) == set(good | bad) and all(got[i]["content"] is None and got[i]["sha256"] is None for i in bad)
+    # what may pass is tried three times, the rest once
+    assert server.asked == {"fine": 1, "busy": 3, "cut": 3, "slow": 3, "404": 1, "429": 3, "empty": 1}
     rich = rest.enriched(urls.where("content_id = 1"), "known", "web").first()
     assert (rich["category"], rich["source"], rich["blur_score"]) == ("known", "web", None)
     objects = spark.createDataFrame([(1, f"file://{tmp_path}/a.png"), (2, f"file://{tmp_path}/none"), (3, None)], "i int, uri string")
     assert sorted((r["i"], r["content"] and bytes(r["content"])) for r in readers.get_objects(objects).collect()) == [(1, b"no image"), (2, None), (3, None)]
 
 
+def test_bodies_go_out_by_bytes_and_few_are_asked_for_at_once():
+    batch = pa.RecordBatch.from_pydict({"id": list(range(20)), "n": [10] * 20})
+    now, most, lock = [0], [0], threading.Lock()
+
+    def fetch(n):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.005)
+        with lock:
+            now[0] -= 1
+        return bytes(n)
+
+    parts = list(rest.with_bodies(fetch, in_flight=3, flush=35)([batch, batch.slice(0, 0)]))
+    assert [len(p) for p in parts] == [4] * 5 and most[0] == 3
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(20)) and parts[0].schema.names == ["id", "content"]
+
+
+def test_a_shared_folder_without_a_scheme(tmp_path):
+    """In a session of its own: what is made there goes when the application ends."""
+    said = """
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[1]).getOrCreate()
+from lodestone import storage
+from lodestone.sources import rest, sinks
+print(storage.shared_dir(spark))
+root = storage.new_folder(spark, "objects")
+sinks.put_objects(spark.createDataFrame([("a/x y.png", bytearray(b"1"))], "key string, content binary"), root)
+print(rest.downloaded(spark.createDataFrame([(root + "/a/x%20y.png",)], "url string")).first()["content"] == b"1")
+print(storage.cut(spark.range(5)).count(), storage.stored(spark.range(6), "six").count())
+spark.stop()
+"""
+    (tmp_path / "shared").mkdir()
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", said, str(tmp_path / "shared")], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=240)
+    assert done.stdout.split("\n")[:3] == [f"file://{tmp_path}/shared", "True", "5 6"], done.stderr
+    left = [p for p in (tmp_path / "shared").rglob("*") if p.is_file()]
+    assert left == []
+
+
 def test_matrix_files(spark, tmp_path):
     protos = spark.createDataFrame([(1, [0.5, 1.0, 2.0]), (0, [1.0, 0.0, -1.0])], "class_idx int, proto array<double>")
     sinks.prototypes_npy(protos, f"file://{tmp_path}/m")
@@ -189,10 +294,14 @@ def test_images_decoded_in_the_jvm(spark, tmp_path):
     df = readers.decoded_images(spark, str(tmp_path))
     got = {r["path"].rsplit("/", 1)[1]: r for r in df.withColumn("b", images.blur_pixels("image")).withColumn("x", images.preprocess_pixels(4)("image")).collect()}
     assert [(n, got[n]["width"], got[n]["height"], got[n]["slug"]) for n in sorted(got)] == [("x.jpg", 20, 10, "a"), ("y.png", 20, 10, "a"), ("z.jpg", None, None, "a")]
-    (tmp_path / "a/e.jpg").write_bytes((tmp_path / "a/x.jpg").read_bytes() + b"Exif\x00\x00")
+    plain = (tmp_path / "a/x.jpg").read_bytes()
+    tags = b"Exif\x00\x00II*\x00\x08\x00\x00\x00\x01\x00\x12\x01\x03\x00\x01\x00\x00\x00\x01\x00\x00\x00\x00\x00\x00\x00"
+    filler = b"\xff\xfe\xff\xf2" + bytes(65520)
+    (tmp_path / "a/e.jpg").write_bytes(plain[:2] + 2 * filler + b"\xff\xe1" + (len(tags) + 2).to_bytes(2, "big") + tags + plain[2:])
+    (tmp_path / "a/f.jpg").write_bytes(plain + tags)
     seen = {r["path"].rsplit("/", 1)[1]: tuple(r)[3:] for r in readers.inspected_images(spark, str(tmp_path)).collect()}
     digest = lambda n: hashlib.md5((tmp_path / "a" / n).read_bytes()).hexdigest()
-    assert seen == {"e.jpg": (digest("e.jpg"), True, 20, 10), "x.jpg": (digest("x.jpg"), False, 20, 10), "y.png": (digest("y.png"), False, 20, 10), "z.jpg": (digest("z.jpg"), None, None, None)}
+    assert seen == {"e.jpg": (digest("e.jpg"), True, 20, 10), "f.jpg": (digest("f.jpg"), False, 20, 10), "x.jpg": (digest("x.jpg"), False, 20, 10), "y.png": (digest("y.png"), False, 20, 10), "z.jpg": (digest("z.jpg"), None, None, None)}
     assert got["z.jpg"]["b"] is None and got["y.png"]["b"] > 0 and got["x.jpg"]["b"] == pytest.approx(got["y.png"]["b"], rel=0.5)
     own = spark.createDataFrame([((tmp_path / "a/y.png").read_bytes(),)], "content binary").select(images.blur_score("content").alias("b"), images.preprocess(4)("content").alias("x")).first()
     assert own["b"] == got["y.png"]["b"] and own["x"] == got["y.png"]["x"] and len(got["x.jpg"]["x"]) == 48
