@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections import Counter, deque
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial
+from hashlib import md5
 from http.client import HTTPException, InvalidURL
 from urllib.error import HTTPError
 from urllib.parse import quote, urlencode
 from urllib.request import urlopen
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lodestone.functions import images
 from lodestone.shipping import ship
+from lodestone.storage import new_folder
 
 #: Statuses that are worth another try.
 RETRY = (429, 500, 502, 503, 504)
@@ -78,6 +82,123 @@ def _at(row: dict, path: str):
     return row
 
 
+#: Shards of an exclusion set that a worker keeps, and keys that a shard is to hold.
+_SHARDS, _SHARD_KEYS = 32, 1 << 16
+
+
+def stored_keys(keys: DataFrame, key: str) -> str:
+    """Stores the distinct keys for ``KeySet`` and gives the folder's path.
+
+    A key is the first 64 bits of its text's MD5, so a billion keys are 8 GB in the shared folder; they
+    are sorted in shards by their first hexadecimal digits.  Null keys are left out.
+    """
+    h = F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 16)
+    hashed = keys.where(F.col(key).isNotNull()).select(h.alias("h")).distinct()
+    digits = min(4, max(1, -(-max(hashed.count() // _SHARD_KEYS, 1).bit_length() // 4)))
+    path = f"{new_folder(keys.sparkSession, 'keys')}-{digits}"
+    rows = hashed.select(F.substring("h", 1, digits).alias("shard"), F.unhex("h").alias("digest"))
+    rows.repartition("shard").sortWithinPartitions("shard", "digest").write.partitionBy("shard").parquet(path)
+    return path
+
+
+class KeySet:
+    """What ``stored_keys`` has stored; a worker reads the shards that it asks for and keeps a few."""
+
+    def __init__(self, path: str):
+        from pyarrow import fs
+
+        self.files, self.at = fs.FileSystem.from_uri(path)
+        self.digits = int(path.rpartition("-")[2])
+        self.shards: dict[str, np.ndarray] = {}
+
+    def _shard(self, name: str) -> np.ndarray:
+        from pyarrow import dataset, fs
+
+        found = self.shards.pop(name, None)
+        if found is None:
+            folder = f"{self.at}/shard={name}"
+            there = self.files.get_file_info(folder).type == fs.FileType.Directory
+            column = dataset.dataset(folder, filesystem=self.files, format="parquet").to_table(columns=["digest"]).column("digest") if there else []
+            found = np.frombuffer(b"".join(v.as_py() for v in column), ">u8")
+        while len(self.shards) >= _SHARDS:
+            del self.shards[next(iter(self.shards))]
+        self.shards[name] = found
+        return found
+
+    def __contains__(self, key) -> bool:
+        h = md5(str(key).encode(), usedforsecurity=False).hexdigest()[:16]
+        shard, n = self._shard(h[: self.digits]), int(h, 16)
+        at = int(np.searchsorted(shard, np.uint64(n)))
+        return at < len(shard) and int(shard[at]) == n
+
+
+def _slug(name: str) -> str:
+    """As ``text.slugify``."""
+    return re.sub("[^a-z0-9]+", "-", name.strip(" ").lower()).strip("-")
+
+
+_last_request = [0.0]
+
+
+def _pages(key: str, o: dict):
+    """The rows of each page of one series of requests in turn."""
+    size, by_offset = int(o.get("pagesize", 200)), o.get("paging", "page") == "offset"
+    url, fixed = o["url"], json.loads(o.get("params", "{}"))
+    if o.get("keyin") == "path":
+        url = f"{url.rstrip('/')}/{quote(key, safe=',')}"
+    elif o.get("keyin") == "params":
+        fixed = json.loads(key) | fixed
+    else:
+        fixed = {o.get("keyparam", "taxon_id"): key} | fixed
+    for n in range(int(o.get("pages", 4))):
+        place = {} if o.get("paging") == "none" else {"limit": size, "offset": n * size} if by_offset else {"page": n + 1, "per_page": size}
+        wait = _last_request[0] + float(o.get("pause", 0)) - time.monotonic()
+        if wait > 0:
+            time.sleep(wait)
+        _last_request[0] = time.monotonic()
+        try:
+            answer = get_json(url, fixed | place, int(o.get("tries", 5)), float(o.get("backoff", 2.0)))
+        except (OSError, HTTPException, ValueError):
+            if o.get("failures") != "skip":
+                raise
+            return
+        rows = (answer.get(o.get("results", "results")) or []) if o.get("results") != "" else [answer]
+        yield rows
+        if not rows or (answer.get("endOfRecords") if by_offset else len(rows) < size):
+            return
+
+
+def accepted(key: str, o: dict):
+    """The rows that one series of requests lets through, as JSON; see ``PagedRest`` for the options."""
+    cap, group, target = int(o.get("cap", 0)), o.get("capfield"), int(o.get("target", 0))
+    where, there = json.loads(o.get("where", "{}")), [p for p in o.get("present", "").split(",") if p]
+    excluded = {path: KeySet(at) for path, at in json.loads(o.get("exclude", "{}")).items()}
+    once, seen = o.get("distinct"), set()
+    taken, given = Counter(), 0
+    for rows in _pages(key, o):
+        for row in rows:
+            if any(_at(row, path) != value for path, value in where.items()) or any(_at(row, path) in (None, "") for path in there):
+                continue
+            name = _at(row, group) if group else None
+            if group and not name:
+                continue
+            name = _slug(str(name)) if group else None
+            if group and cap and taken[name] >= cap:
+                continue
+            if any((v := _at(row, path)) is not None and v in known for path, known in excluded.items()):
+                continue
+            if once:
+                mark = json.dumps(_at(row, once))
+                if mark in seen:
+                    continue
+                seen.add(mark)
+            taken[name] += 1
+            given += 1
+            yield json.dumps(row)
+            if given == target:
+                return
+
+
 class PagedReader(DataSourceReader):
     """One series of requests a group of keys; see ``PagedRest`` for the options."""
 
@@ -89,54 +210,30 @@ class PagedReader(DataSourceReader):
         n = int(self.options.get("keysperrequest", 1))
         return [Keys(keys[i : i + n]) for i in range(0, len(keys), n)]
 
-    def _pages(self, key: str):
-        """The rows of each page in turn."""
-        o = self.options
-        size, by_offset = int(o.get("pagesize", 200)), o.get("paging", "page") == "offset"
-        url, fixed = o["url"], json.loads(o.get("params", "{}"))
-        if o.get("keyin") == "path":
-            url = f"{url.rstrip('/')}/{quote(key, safe=',')}"
-        else:
-            fixed = {o.get("keyparam", "taxon_id"): key} | fixed
-        for n in range(int(o.get("pages", 4))):
-            place = {"limit": size, "offset": n * size} if by_offset else {"page": n + 1, "per_page": size}
-            answer = get_json(url, fixed | place, int(o.get("tries", 5)), float(o.get("backoff", 2.0)))
-            rows = answer.get(o.get("results", "results")) or []
-            yield rows
-            if not rows or (answer.get("endOfRecords") if by_offset else len(rows) < size):
-                return
-
     def read(self, partition):
-        o = self.options
         key = ",".join(partition.keys)
-        cap, group, target = int(o.get("cap", 0)), o.get("capfield"), int(o.get("target", 0))
-        where, there = json.loads(o.get("where", "{}")), [p for p in o.get("present", "").split(",") if p]
-        taken, given = Counter(), 0
-        for rows in self._pages(key):
-            for row in rows:
-                if any(_at(row, path) != value for path, value in where.items()) or any(_at(row, path) in (None, "") for path in there):
-                    continue
-                name = _at(row, group) if group else None
-                if group and (name is None or cap and taken[name] >= cap):
-                    continue
-                taken[name] += 1
-                given += 1
-                yield key, json.dumps(row)
-                if given == target:
-                    return
+        for row in accepted(key, self.options):
+            yield key, row
 
 
 class PagedRest(DataSource):
     """``spark.read.format("paged_rest")``: rows (key, value), a JSON document each, for the readers.
 
     A partition is one series of requests.  Options: ``url``; ``keys`` (comma-separated), of which
-    ``keysperrequest`` go into one request, as the parameter ``keyparam`` or (``keyin`` = path) at
-    the end of the URL; ``params`` (JSON) for each request, say the order or a cutoff; ``paging`` =
-    page (until a page has fewer than ``pagesize`` rows) or offset (until ``endOfRecords``), for
-    ``pages`` pages at most; ``results``, the field that holds the rows.  ``where`` (JSON: dotted path
-    to value) and ``present`` (dotted paths, comma-separated) let rows through; of these at most
-    ``cap`` a value of ``capfield`` (rows without one are left out), and a series ends with its
-    ``target``-th row.
+    ``keysperrequest`` go into one request, as the parameter ``keyparam``, or (``keyin`` = path) at
+    the end of the URL, or (``keyin`` = params) each a JSON object of parameters; ``params`` (JSON) for
+    each request, say the order or a cutoff; ``paging`` = page (until a page has fewer than
+    ``pagesize`` rows), offset (until ``endOfRecords``) or none, for ``pages`` pages at most, ``pause``
+    seconds after one another in a task; ``results``, the field that holds the rows (empty: the answer
+    is one row); ``failures`` = skip ends a series whose request fails, else the job fails.
+
+    Only accepted rows count: ``where`` (JSON: dotted path to value) and ``present`` (dotted paths,
+    comma-separated) let rows through; ``exclude`` (JSON: dotted path to a folder of
+    ``stored_keys``) holds rows back; of rows with an equal value at ``distinct`` the first counts.  Of
+    these at most ``cap`` a slug of ``capfield`` (rows without one are left out), and a series
+    ends with its ``target``-th row.
+
+    ``paged`` does the same for keys in a table, of which the driver never holds a list.
     """
 
     @classmethod
@@ -150,53 +247,117 @@ class PagedRest(DataSource):
         return PagedReader(dict(self.options))
 
 
+class Pager:
+    """A table function: the accepted rows of a key's series of requests."""
+
+    def eval(self, key: str, options: str):
+        if key is not None:
+            for row in accepted(key, json.loads(options)):
+                yield (row,)
+
+
+def _grouped(n: int):
+    """Keys, ``n`` a row."""
+
+    def run(batches):
+        held: list[str] = []
+        for batch in batches:
+            held += [k for k in batch.column(0).to_pylist() if k is not None]
+            while len(held) >= n:
+                yield pa.RecordBatch.from_pydict({"key": [",".join(held[:n])]})
+                held = held[n:]
+        if held:
+            yield pa.RecordBatch.from_pydict({"key": [",".join(held)]})
+
+    return run
+
+
+def _told(options: dict) -> dict[str, str]:
+    return {k: json.dumps(v) if isinstance(v, dict) else str(v) for k, v in options.items() if v is not None}
+
+
+def paged(keys: DataFrame, key: str, url: str, **options) -> DataFrame:
+    """``keys`` joined laterally with the rows that each key's series of requests gives (``value``).
+
+    The options are those of ``PagedRest``.  With ``keysperrequest`` the result has only ``key``
+    (the request's keys, comma-separated) and ``value``.  ``keys.repartition(n)`` says how many tasks
+    ask at once; each pauses between its requests, so n tasks make n / ``pause`` requests a second.
+    """
+    ship(keys.sparkSession)
+    n = int(options.pop("keysperrequest", 1))
+    if n > 1:
+        keys, key = keys.select(F.col(key).cast("string").alias("key")).mapInArrow(_grouped(n), "key string"), "key"
+    pager = F.udtf(Pager, returnType="value string")
+    return keys.lateralJoin(pager(F.col(key).cast("string").outer(), F.lit(json.dumps(_told({"url": url} | options)))))
+
+
 def _source(spark: SparkSession, url: str, keys, **options) -> DataFrame:
+    """(key, value): keys are a few given ones, or the first column of a table.  A task waits a
+    second between its requests, unless told otherwise."""
+    options = {"pause": 1.0} | options
+    if isinstance(keys, DataFrame):
+        first = keys.columns[0]
+        return paged(keys.select(F.col(f"`{first}`").cast("string").alias("key")), "key", url, **options)
     ship(spark)
     spark.dataSource.register(PagedRest)
-    given = {k: json.dumps(v) if isinstance(v, dict) else str(v) for k, v in options.items() if v is not None}
-    return spark.read.format("paged_rest").options(url=url, keys=",".join(map(str, keys)), **given).load()
+    return spark.read.format("paged_rest").options(url=url, keys=",".join(map(str, keys)), **_told(options)).load()
 
 
-#: What is asked of an observation.
+#: Fixed values, with the parameters' names below: what is asked of an observation.
 _RESEARCH = {"quality_grade": "research", "photos": "true", "order_by": "created_at"}
 _PHOTO = "photos.0.id,photos.0.url"
 
 
-def newest_observations(spark: SparkSession, url: str, taxa, pages: int = 4) -> DataFrame:
-    """Research observations of each taxon, newest first."""
-    return _source(spark, url, taxa, pages=pages, params=_RESEARCH | {"order": "desc"})
+def _excluding(photos: DataFrame | None, uuids: DataFrame | None = None) -> dict | None:
+    """Exclusion sets of (photo) ids and observations' uuids: the first column of each table."""
+    given = {"photos.0.id": photos, "uuid": uuids}
+    return {path: stored_keys(df, df.columns[0]) for path, df in given.items() if df is not None} or None
 
 
-def observations_since(spark: SparkSession, url: str, taxa, cutoff: str, target: int | None = None, pages: int = 10) -> DataFrame:
-    """Research observations made on the cutoff's day or later, oldest first."""
-    return _source(spark, url, taxa, pages=pages, target=target, present=_PHOTO, params=_RESEARCH | {"order": "asc", "created_d1": cutoff})
+def newest_observations(spark: SparkSession, url: str, taxa, target: int | None = None, pages: int = 4, **options) -> DataFrame:
+    """Up to ``target`` research observations of each taxon, newest first: those whose first photo
+    has a URL, each photo once."""
+    return _source(spark, url, taxa, pages=pages, target=target, present="photos.0.url", distinct="photos.0.id", params=_RESEARCH | {"order": "desc"}, **options)
 
 
-def diverse_observations(spark: SparkSession, url: str, taxa, cutoff: str, target: int | None, without: str | None = None, cap: int | None = 15, pages: int = 40) -> DataFrame:
+def observations_since(spark: SparkSession, url: str, taxa, cutoff: str, target: int | None = None, pages: int = 10, exclude_photos: DataFrame | None = None, **options) -> DataFrame:
+    """Up to ``target`` research observations a taxon made on the cutoff's day or later, oldest
+    first.  Observations whose first photo is among the excluded do not count."""
+    return _source(spark, url, taxa, pages=pages, target=target, present=_PHOTO, exclude=_excluding(exclude_photos), params=_RESEARCH | {"order": "asc", "created_d1": cutoff}, **options)
+
+
+def diverse_observations(spark: SparkSession, url: str, taxa, cutoff: str, target: int | None, without: str | None = None, cap: int | None = 15, pages: int = 40, exclude_photos: DataFrame | None = None, exclude_uuids: DataFrame | None = None, **options) -> DataFrame:
     """As ``observations_since``, of species rank only and at most ``cap`` a species.
 
-    Where photos or observations are to be excluded, they must not count: ask without target and
-    cap, then ``curate.exclude`` and ``curate.diverse_sample``.
+    Excluded photos and observations count towards neither the cap nor the target.
     """
     params = _RESEARCH | {"order": "asc", "created_d1": cutoff} | ({"without_taxon_id": without} if without else {})
-    return _source(spark, url, taxa, pages=pages, target=target, cap=cap, capfield="taxon.name", present=_PHOTO, where={"taxon.rank": "species"}, params=params)
+    return _source(spark, url, taxa, pages=pages, target=target, cap=cap, capfield="taxon.name", present=_PHOTO, where={"taxon.rank": "species"}, exclude=_excluding(exclude_photos, exclude_uuids), params=params, **options)
+
+
+def specimen_payloads(names: DataFrame, url: str, limit: int, genus: str = "genus", species: str = "species", **options) -> DataFrame:
+    """``names`` with ``value``, the payload of specimen images of each genus and species, for
+    ``readers.specimen_images``.  A name whose request fails has none."""
+    asked = F.to_json(F.struct(F.col(genus).alias("genus"), F.col(species).alias("species"), F.lit(max(3 * limit, 30)).alias("limit")))
+    rows = paged(names.withColumn("_asked", asked), "_asked", url, keyin="params", paging="none", pages=1, results="", failures="skip", **{"pause": 1.0} | options)
+    return rows.drop("_asked")
 
 
-def observations_by_uuid(spark: SparkSession, url: str, uuids, batch: int = 100) -> DataFrame:
+def observations_by_uuid(spark: SparkSession, url: str, uuids, batch: int = 100, **options) -> DataFrame:
     """Exactly the given observations, ``batch`` a request."""
-    return _source(spark, url, uuids, keyparam="uuid", keysperrequest=batch, pagesize=batch, pages=1)
+    return _source(spark, url, uuids, keyparam="uuid", keysperrequest=batch, pagesize=batch, pages=1, **options)
 
 
-def taxa_by_id(spark: SparkSession, url: str, ids, batch: int = 30) -> DataFrame:
+def taxa_by_id(spark: SparkSession, url: str, ids, batch: int = 30, **options) -> DataFrame:
     """(taxon_id, common_name) of taxa that have one, ``batch`` a request with the ids in its path."""
-    rows = _source(spark, url, ids, keyin="path", keysperrequest=batch, pages=1)
+    rows = _source(spark, url, ids, keyin="path", keysperrequest=batch, pages=1, **options)
     v = F.from_json("value", "id long, preferred_common_name string")
     return rows.select(v["id"].alias("taxon_id"), v["preferred_common_name"].alias("common_name")).where("common_name <> ''")
 
 
-def occurrences(spark: SparkSession, url: str, keys, pages: int = 10, size: int = 100) -> DataFrame:
+def occurrences(spark: SparkSession, url: str, keys, pages: int = 10, size: int = 100, **options) -> DataFrame:
     """Occurrences with still images of each usage key, by offset and limit."""
-    return _source(spark, url, keys, keyparam="taxonKey", paging="offset", pagesize=size, pages=pages, params={"mediaType": "StillImage"})
+    return _source(spark, url, keys, keyparam="taxonKey", paging="offset", pagesize=size, pages=pages, params={"mediaType": "StillImage"}, **options)
 
 
 def body_or_none(url: str | None, tries: int = 3, backoff: float = 1.5, timeout: float = TIMEOUT) -> bytes | None:

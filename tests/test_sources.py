@@ -212,6 +212,76 @@ def server():
     s.http.shutdown()
 
 
+def test_only_accepted_rows_count(spark, monkeypatch):
+    """Excluded rows count towards neither the cap nor the target; later pages make up for them."""
+    rows = [{"uuid": f"u{i}", "taxon": {"rank": "species", "name": n}, "photos": [{"id": i, "url": "x"}]} for i, n in enumerate(["A b"] * 5 + ["a-B"] * 3 + ["C"] * 6)]
+    asked = []
+
+    def answer(url, p, *a):
+        asked.append(p["page"])
+        return {"results": rows[(p["page"] - 1) * 3 : p["page"] * 3]}
+
+    monkeypatch.setattr(rest, "get_json", answer)
+    photos = rest.stored_keys(spark.createDataFrame([(0,), (1,), (1,), (None,), (9,)], "id long"), "id")
+    uuids = rest.stored_keys(spark.createDataFrame([("u8",), ("u10",)], "id string"), "id")
+    options = {"url": "u", "pagesize": "3", "pages": "9", "cap": "2", "capfield": "taxon.name", "exclude": json.dumps({"photos.0.id": photos, "uuid": uuids})}
+    got = lambda **o: [json.loads(v)["uuid"] for v in rest.accepted("7", options | o)]
+    assert got() == ["u2", "u3", "u11", "u12"] and asked == [1, 2, 3, 4, 5]
+    asked.clear()
+    assert got(target="3") == ["u2", "u3", "u11"] and asked == [1, 2, 3, 4]
+    assert got(pages="2") == ["u2", "u3"]
+
+
+def test_the_first_of_equal_photos_counts(monkeypatch):
+    rows = [{"photos": [{"id": i, "url": u}]} for i, u in [(1, "a"), (1, "b"), (None, "c"), (None, "d"), (2, ""), (2, "e"), (3, "f")]]
+    monkeypatch.setattr(rest, "get_json", lambda url, p, *a: {"results": rows[(p["page"] - 1) * 7 : p["page"] * 7]})
+    options = {"url": "u", "pagesize": "7", "present": "photos.0.url", "distinct": "photos.0.id", "target": "3"}
+    assert [json.loads(v)["photos"][0]["url"] for v in rest.accepted("7", options)] == ["a", "c", "e"]
+
+
+def test_stored_keys(spark, monkeypatch):
+    monkeypatch.setattr(rest, "_SHARD_KEYS", 4)
+    keys = rest.KeySet(rest.stored_keys(spark.range(0, 3000, 3).withColumnRenamed("id", "k"), "k"))
+    assert keys.digits == 2 and [i for i in range(3000) if i in keys] == list(range(0, 3000, 3)) and len(keys.shards) == 32
+    assert "x" not in rest.KeySet(rest.stored_keys(spark.createDataFrame([], "k string"), "k"))
+
+
+def test_a_failing_series(monkeypatch):
+    def fails(*a):
+        raise ValueError("no JSON")
+
+    monkeypatch.setattr(rest, "get_json", fails)
+    assert list(rest.accepted("7", {"url": "u", "failures": "skip"})) == []
+    with pytest.raises(ValueError):
+        list(rest.accepted("7", {"url": "u"}))
+
+
+def test_requests_pause(monkeypatch):
+    waits, now = [], [100.0]
+    monkeypatch.setattr(rest.time, "sleep", waits.append)
+    monkeypatch.setattr(rest.time, "monotonic", lambda: now[0])
+    monkeypatch.setattr(rest, "get_json", lambda url, p, *a: {"results": [1]})
+    monkeypatch.setattr(rest, "_last_request", [0.0])
+    list(rest.accepted("7", {"url": "u", "pagesize": "1", "pages": "3", "pause": "1.5"}))
+    assert waits == [1.5, 1.5]
+
+
+def test_keys_from_a_table(spark, server, tmp_path):
+    """Keys are rows of a table, joined laterally; none is ever on the driver."""
+    for k in range(5):
+        for page in (1, 2):
+            rows = [{"k": k, "page": page}] * (2 if page == 1 else 1)
+            (tmp_path / f"list?taxon_id={k}&page={page}&per_page=2").write_text(json.dumps({"results": rows}))
+    keys = spark.createDataFrame([(k, f"name {k}") for k in range(5)] + [(None, "none")], "k int, name string").repartition(3)
+    got = rest.paged(keys, "k", f"file://{tmp_path}/list", pagesize=2, pages=2)
+    assert got.columns == ["k", "name", "value"]
+    assert sorted((r["k"], r["name"], json.loads(r["value"])["page"]) for r in got.collect()) == sorted((k, f"name {k}", p) for k in range(5) for p in (1, 1, 2))
+    (tmp_path / "some?uuid=a,b&page=1&per_page=2").write_text('{"results": [{"uuid": "b"}]}')
+    (tmp_path / "some?uuid=c&page=1&per_page=2").write_text('{"results": []}')
+    few = spark.createDataFrame([("a",), ("b",), (None,), ("c",)], "u string").coalesce(1)
+    assert [tuple(r) for r in rest.observations_by_uuid(spark, f"file://{tmp_path}/some", few, batch=2, pause=0).collect()] == [("a,b", '{"uuid": "b"}')]
+
+
 def test_downloads(spark, tmp_path, server):
     (tmp_path / "a.png").write_bytes(b"no image")
     (tmp_path / "empty").write_bytes(b"")
