@@ -10,6 +10,8 @@ from lodestone.llm.common import ASCII_SPACE, membership, new_folder, remove, st
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _BOUNDED = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
+#: Names that no table has.
+_ID, _TEXT, _ROWS, _STAYS = ("__lodestone_" + n for n in ("id", "text", "rows", "stays"))
 #: A store is closed with its task: an open one holds 5 MB of an executor's disk, however small.
 _UNLOAD = "spark.sql.streaming.stateStore.unloadOnCommit"
 
@@ -103,15 +105,16 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     What goes is told by id and content locator.  A survivor that occurs as several rows with an
     equal id and text is one row afterwards: the groups' own counts show which those are, and only
-    those rows are made distinct.
+    those rows are made distinct.  Columns may have any names but those that begin with
+    ``__lodestone_``.
     """
     found = exact_duplicates(docs, id_col, text_col)
-    found = found.select(F.col("doc_id").alias("at_id"), F.col("locator").alias("at_text"), "kept")
-    rows = found.groupBy("at_id", "at_text").agg(F.count("*").alias("rows"), F.max("kept").alias("stays"))
-    other = stored(rows.where("rows > 1 or not stays"), "exact-dedup-other")
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("at_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("at_text"))
-    once = without(docs, other, F.xxhash64(text_or_empty(text_col)), "at_text", same)
-    several = other.where("stays")
+    found = found.select(F.col("doc_id").alias(_ID), F.col("locator").alias(_TEXT), "kept")
+    rows = found.groupBy(_ID, _TEXT).agg(F.count("*").alias(_ROWS), F.max("kept").alias(_STAYS))
+    other = stored(rows.where((F.col(_ROWS) > 1) | ~F.col(_STAYS)), "exact-dedup-other")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(_ID)) & (F.xxhash64(text_or_empty(text_col)) == F.col(_TEXT))
+    once = without(docs, other, F.xxhash64(text_or_empty(text_col)), _TEXT, same)
+    several = other.where(F.col(_STAYS))
     if several.isEmpty():
         return once
     return once.unionByName(docs.join(several, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import connected_components, cut, ship, stored
+from lodestone.llm.common import connected_components, cut, new_folder, remove, ship, stored
 
 COSINE = 0.95
 #: Tables, neighbouring cells probed in each, cells a unit of length, seed of the projections:
@@ -20,7 +20,7 @@ TABLES, PROBES, SCALE, SEED = 4, 6, 6.0, 7
 #: The share of pairs at the threshold that a plan must find, and what it costs to send a vector
 #: to a cell, in comparisons of two vectors.
 RECALL, SEND = 0.98, 200
-#: Vectors compared at once; a larger cell is cut into chunks and every pair of chunks is a group.
+#: Vectors compared at once; a larger cell is cut into blocks and every pair of blocks is compared.
 BLOCK = 512
 
 
@@ -92,35 +92,49 @@ def _pairs_at(cosine: float, n: int, dim: int, seed: int) -> tuple[np.ndarray, n
     return a, cosine * a + np.sqrt(1 - cosine**2) * b
 
 
-@lru_cache(maxsize=64)
-def _table_rates(cosine: float, probes: int, scale: float, n: int = 4000, dim: int = 64) -> tuple[float, float]:
-    """For one table: how often a pair at the threshold meets, and how often two random vectors do.
+#: Widths at which rates are measured; a width takes those of the largest of these not beyond it.
+#: In up to eight dimensions a projection keeps every distance, so that a pair at the threshold is as far
+#: apart in each table; in more, some tables bring it nearer, and from 64 on rates hardly change.
+WIDTHS = (1, 2, 3, 4, 6, 8, 9, 10, 11, 12, 14, 16, 20, 24, 32, 48, 64)
+
+
+def width_class(dim: int) -> int:
+    return max(w for w in WIDTHS if w <= max(dim, 1))
 
-    Projections are scaled so that a distance looks alike at every width; 64 stands for all.
-    """
-    cells = Lattice(dim, 1, probes, scale, SEED)
-    a, b = (cells.keys(x)[:, 0] for x in _pairs_at(cosine, n, dim, 8))
-    meet = ((b == a[:, :1]).any(axis=1) | (a == b[:, :1]).any(axis=1)).mean()
-    homes, sizes = np.unique(a[:, 0], return_counts=True)
-    at = np.minimum(np.searchsorted(homes, a), len(homes) - 1)
-    return float(meet), float((np.where(homes[at] == a, sizes[at], 0).sum() - n) / (n * (n - 1.0)))
 
+@lru_cache(maxsize=512)
+def _table_rates(cosine: float, probes: int, scale: float, dim: int, n: int = 4000) -> tuple[float, float]:
+    """For one table of vectors so wide: how often a pair at the threshold meets, over several
+    projections, and how often two random vectors do."""
+    if dim == 1:  # a unit vector is one of two
+        return 1.0, 0.5
+    meet, chance, times = 0.0, 0.0, 4
+    for t in range(times):
+        cells = Lattice(dim, 1, probes, scale, SEED + t)
+        a, b = (cells.keys(x)[:, 0] for x in _pairs_at(cosine, n // times, dim, 8 + t))
+        meet += ((b == a[:, :1]).any(axis=1) | (a == b[:, :1]).any(axis=1)).mean() / times
+        homes, sizes = np.unique(a[:, 0], return_counts=True)
+        at = np.minimum(np.searchsorted(homes, a), len(homes) - 1)
+        chance += (np.where(homes[at] == a, sizes[at], 0).sum() - len(a)) / (len(a) * (len(a) - 1.0)) / times
+    return float(meet), float(chance)
 
-def plan(n: int, cosine: float = COSINE, probes: int = PROBES, recall: float = RECALL) -> tuple[int, float]:
-    """(tables, scale) for ``n`` vectors.
+
+@lru_cache(maxsize=512)
+def plan(n: int, cosine: float = COSINE, probes: int = PROBES, recall: float = RECALL, dim: int = 64) -> tuple[int, float]:
+    """(tables, scale) for ``n`` vectors of ``dim`` components.
 
     With a fixed scale the cells fill up as vectors come in, and comparisons grow with the square
     of their number.  A finer lattice keeps cells small but finds fewer pairs a table, so it needs
     more tables for the same recall.  For each scale the tables follow from the recall at the
-    threshold, where pairs are hardest to find, and the cheapest scale is taken: vectors sent plus
-    pairs compared.
+    threshold, where pairs are hardest to find, as measured at this width, and the cheapest scale is
+    taken: vectors sent plus pairs compared.
     """
     best = None
     for scale in SCALE * 1.2 ** np.arange(14):
-        meet, chance = _table_rates(cosine, probes, float(scale))
+        meet, chance = _table_rates(cosine, probes, float(scale), width_class(dim))
         if meet < 0.02:
             break
-        tables = TABLES if scale == SCALE else int(np.ceil(np.log(1 - recall) / np.log(1 - min(meet, 0.999))))
+        tables = max(TABLES if scale == SCALE else 1, int(np.ceil(np.log(1 - recall) / np.log(1 - min(meet, 0.999)))))
         cost = tables * ((1 + probes) * SEND + n * max(chance, 1e-9))
         if best is None or cost < best[0]:
             best = cost, tables, float(scale)
@@ -135,7 +149,8 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _hash_rows(tables: int, probes: int, scale: float, seed: int, step: int = 1024):
+def _hash_rows(plans: dict[int, tuple[int, float]], probes: int, seed: int, step: int = 1024):
+    """``plans`` gives tables and scale by ``width_class``."""
     made: dict[int, Lattice] = {}
 
     def run(batches):
@@ -146,7 +161,10 @@ def _hash_rows(tables: int, probes: int, scale: float, seed: int, step: int = 10
             flat = vectors.flatten().to_numpy(zero_copy_only=False)
             starts = np.concatenate([[0], np.cumsum(lengths)])
             for dim in np.unique(lengths):
-                lattice = made.setdefault(int(dim), Lattice(int(dim), tables, probes, scale, seed))
+                if int(dim) not in made:
+                    tables, scale = plans[width_class(int(dim))]
+                    made[int(dim)] = Lattice(int(dim), tables, probes, scale, seed)
+                lattice = made[int(dim)]
                 rows = np.nonzero(lengths == dim)[0]
                 for a in range(0, len(rows), step):
                     part = rows[a : a + step]
@@ -187,53 +205,107 @@ def _leaders(links: np.ndarray) -> np.ndarray:
     return name
 
 
-def _compare(cosine: float, shape: tuple[int, int], dtype: str):
-    def group(table, cell, rows):
-        cid, mult, home, side, vec, keys = (np.array(c) if k < 4 else c for k, c in enumerate(zip(*rows)))
-        x = unit_rows(np.stack([np.frombuffer(v, dtype) for v in vec]).astype(np.float64))
-        near = x @ x.T >= cosine
-        near &= home[:, None] | home[None, :]
-        if (side != side[0]).any():  # a pair of chunks: only pairs across
-            near &= side[:, None] != side[None, :]
-        np.fill_diagonal(near, False)
-        near |= near.T
-        linked = np.nonzero(near.any(axis=1))[0]
-        if not len(linked):
-            return None
-        name = _leaders(near)
-        weight = np.zeros(len(cid), dtype=np.int64)
-        all_keys = np.stack([np.frombuffer(k, "<i8").reshape(shape) for k in keys])
-        i, j = np.nonzero(np.triu(near))
-        for a in range(0, len(i), 65_536):
-            p, q = i[a : a + 65_536], j[a : a + 65_536]
-            at = _meet(all_keys[p], all_keys[q])
-            here = (at[:, 0] == table) & (at[:, 1] == cell)
-            np.add.at(weight, p[here], mult[q[here]])
-            np.add.at(weight, q[here], mult[p[here]])
-        return cid[linked], cid[name[linked]], weight[linked]
+def _links(cosine: float, each: int, dtype: str, table: int, cell: int, rows: list[tuple]):
+    """What a group's links are: (classes linked, each one's leader, weights), None without any.
+
+    A row is (cid, mult, home, side, vec, keys); pairs on one side only are compared elsewhere.
+    """
+    cid, mult, home, side, vec, keys = (np.array(c) if k < 4 else c for k, c in enumerate(zip(*rows)))
+    x = unit_rows(np.stack([np.frombuffer(v, dtype) for v in vec]).astype(np.float64))
+    near = x @ x.T >= cosine
+    near &= home[:, None] | home[None, :]
+    if (side != side[0]).any():  # two blocks: only pairs across
+        near &= side[:, None] != side[None, :]
+    np.fill_diagonal(near, False)
+    near |= near.T
+    linked = np.nonzero(near.any(axis=1))[0]
+    if not len(linked):
+        return None
+    name = _leaders(near)
+    weight = np.zeros(len(cid), dtype=np.int64)
+    all_keys = np.stack([np.frombuffer(k, "<i8").reshape(-1, each) for k in keys])
+    i, j = np.nonzero(np.triu(near))
+    for a in range(0, len(i), 65_536):
+        p, q = i[a : a + 65_536], j[a : a + 65_536]
+        at = _meet(all_keys[p], all_keys[q])
+        here = (at[:, 0] == table) & (at[:, 1] == cell)
+        np.add.at(weight, p[here], mult[q[here]])
+        np.add.at(weight, q[here], mult[p[here]])
+    return cid[linked], cid[name[linked]], weight[linked]
+
+
+_FOUND = "cid long, leader long, weight long"
+_ROW = ("cid", "mult", "home", "vec", "keys")
+
+
+def _told(found):
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["cid", "leader", "weight"])
+
+
+def _compare(cosine: float, each: int, dtype: str):
+    """For rows that come cell by cell, each cell small."""
 
     def flush(key, rows):
-        found = group(key[1], key[2], rows) if len(rows) > 1 else None
+        found = _links(cosine, each, dtype, key[1], key[2], rows) if len(rows) > 1 else None
         if found is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["cid", "leader", "weight"])
+            yield _told(found)
 
     def run(batches):
         now, rows = None, []
-        names = ("cid", "mult", "home", "side", "vec", "keys")
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("dim", "table", "cell", "a", "b")))
-            for key, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in names))):
+            keys = zip(*(batch.column(c).to_pylist() for c in _CELL))
+            for key, (cid, mult, home, vec, names) in zip(keys, zip(*(batch.column(c).to_pylist() for c in _ROW))):
                 if key != now:
                     if rows:
                         yield from flush(now, rows)
                     now, rows = key, []
-                rows.append(row)
+                rows.append((cid, mult, home, 0, vec, names))
         if rows:
             yield from flush(now, rows)
 
     return run
 
 
+#: Blocks of crowded cells that a worker keeps.
+_KEPT = 8
+
+
+def _compare_blocks(path: str, cosine: float, each: int, dtype: str):
+    """For pairs of stored blocks (dim, table, cell, a, b): a task reads two at a time."""
+
+    def run(batches):
+        from pyarrow import dataset, fs
+
+        files, at = fs.FileSystem.from_uri(path)
+        kept: dict[tuple, list] = {}
+
+        def block(dim: int, table: int, cell: int, side: int) -> list:
+            key = (dim, table, cell, side)
+            rows = kept.pop(key, None)
+            if rows is None:
+                folder = f"{at}/dim={dim}/table={table}/cell={cell}/side={side}"
+                there = files.get_file_info(folder).type == fs.FileType.Directory
+                columns = dataset.dataset(folder, filesystem=files, format="parquet").to_table(columns=list(_ROW)) if there else None
+                rows = list(zip(*(columns.column(c).to_pylist() for c in _ROW))) if there else []
+            while len(kept) >= _KEPT:
+                del kept[next(iter(kept))]
+            kept[key] = rows
+            return rows
+
+        for batch in batches:
+            for dim, table, cell, a, b in zip(*(batch.column(c).to_pylist() for c in (*_CELL, "a", "b"))):
+                sides = [(0, block(dim, table, cell, a))] + ([(1, block(dim, table, cell, b))] if a != b else [])
+                rows = [(cid, mult, home, side, vec, keys) for side, part in sides for cid, mult, home, vec, keys in part]
+                found = _links(cosine, each, dtype, table, cell, rows) if len(rows) > 1 and all(part for _, part in sides) else None
+                if found is not None:
+                    yield _told(found)
+
+    return run
+
+
+_CELL = ("dim", "table", "cell")
+
+
 def _pack_vectors(dtype: str):
     def run(batches):
         for batch in batches:
@@ -244,18 +316,27 @@ def _pack_vectors(dtype: str):
     return run
 
 
+def _class_column(size):
+    """``width_class`` as a column."""
+    out = F.lit(WIDTHS[0])
+    for w in WIDTHS[1:]:
+        out = F.when(size >= w, F.lit(w)).otherwise(out)
+    return out
+
+
 def near_vectors(table: DataFrame, cosine: float = COSINE, tables: int | None = None, probes: int = PROBES, scale: float | None = None, seed: int = SEED, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept.
 
     Equal vectors are collapsed into one class with a count, so copies never multiply (two vectors
-    are equal if 128 bits of hash are).  Each table
-    projects a class's unit vector to eight random dimensions and decodes it to an E8 point, its
-    home cell; the class also visits the nearest neighbouring cells.  Classes that meet, at least
-    one of them at home, are compared in double precision.  A cell with more than ``block`` classes
-    is cut into chunks by hash and each pair of chunks is a group, so no task holds more than about
-    two blocks; a group gives counts and, for connectivity, one edge a linked class, never all
-    pairs.  A pair that meets more than once is counted at one place only.  How many tables there
-    are and how fine the lattice is follow from the number of classes (``plan``).
+    are equal if 128 bits of hash are).  Each table projects a class's unit vector to eight random
+    dimensions and decodes it to an E8 point, its home cell; the class also visits the nearest
+    neighbouring cells.  Classes that meet, at least one of them at home, are compared in double
+    precision.  A cell with more than ``block`` classes is cut into blocks by hash, which are stored
+    once; each pair of blocks is a row that a task reads the two for, so nothing is copied and no
+    task holds more than a few blocks.  A group gives counts and, for connectivity, one edge a linked
+    class, never all pairs.  A pair that meets more than once is counted at one place only.  How many
+    tables there are and how fine the lattice is follow from the number of classes and the vectors'
+    width (``plan``).
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing;
     vectors of different lengths do not link.  Rows are vectors: repeated rows link with each
@@ -274,23 +355,34 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, tables: int | None =
     good = good.select("vec_id", "vector", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit("again"), "vector").alias("h2"))
     bad = rows.where(~fine)
     classes = stored(good.groupBy("h1", "h2").agg(F.any_value("vector").alias("vector"), F.min("vec_id").alias("low"), F.count("*").alias("mult")).withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
-    planned = plan(classes.count(), cosine, probes) if tables is None or scale is None else (tables, scale)
-    tables, scale = tables or planned[0], scale or planned[1]
-    hashed = stored(classes.select("cid", "vector").mapInArrow(_hash_rows(tables, probes, scale, seed), "cid long, dim int, keys binary, cells array<long>"), "vector-keys")
+    n = classes.count()
+    present = [r[0] for r in classes.select(_class_column(F.size("vector")).alias("w")).distinct().collect()]  # a row a class of widths
+    plans = {}
+    for w in present:
+        planned = plan(n, cosine, probes, dim=w) if tables is None or scale is None else (tables, scale)
+        plans[w] = tables or planned[0], scale or planned[1]
+    hashed = stored(classes.select("cid", "vector").mapInArrow(_hash_rows(plans, probes, seed), "cid long, dim int, keys binary, cells array<long>"), "vector-keys")
     each = 1 + probes
     entries = hashed.select("cid", "dim", F.posexplode("cells").alias("at", "cell")).select("cid", "dim", F.floor(F.col("at") / each).cast("int").alias("table"), (F.col("at") % each == 0).alias("home"), "cell")
     cells = stored(
-        entries.groupBy("dim", "table", "cell").agg(F.count("*").alias("n"), F.max("home").alias("lived_in")).where("n > 1 and lived_in").select("dim", "table", "cell", F.ceil(F.col("n") / block).cast("int").alias("chunks")),
+        entries.groupBy(*_CELL).agg(F.count("*").alias("n"), F.max("home").alias("lived_in")).where("n > 1 and lived_in").select(*_CELL, F.ceil(F.col("n") / block).cast("int").alias("chunks")),
         "vector-cells",
     )
-    dealt = entries.join(cells, ["dim", "table", "cell"]).withColumn("side", F.pmod(F.xxhash64("cid", "table"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("cid", "dim", "table", "cell", "home", "side", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"))
     payload = classes.select("cid", "mult", "vector").mapInArrow(_pack_vectors(dtype), "cid long, mult long, vec binary").join(hashed.select("cid", "keys"), "cid")
-    place = ["dim", "table", "cell", "a", "b"]
-    met = dealt.join(payload, "cid").repartition(*place).sortWithinPartitions(*place)
-    met = met.select(*place, "cid", "mult", "home", "side", "vec", "keys")
-    found = cut(met.mapInArrow(_compare(cosine, (tables, each), dtype), "cid long, leader long, weight long"))
+    met = entries.join(cells.where("chunks = 1").drop("chunks"), [*_CELL]).join(payload, "cid").select(*_CELL, *_ROW)
+    found = cut(met.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_compare(cosine, each, dtype), _FOUND))
+    crowded = cells.where("chunks > 1")
+    pairs = crowded.agg(F.sum(F.expr("chunks * (chunks + 1) div 2"))).first()[0]
+    if pairs:
+        path = new_folder(spark, "vector-blocks")
+        side = F.pmod(F.xxhash64("cid", "table"), F.col("chunks")).cast("int")
+        there = entries.join(crowded, [*_CELL]).withColumn("side", side).join(payload, "cid").select(*_CELL, "side", *_ROW)
+        there.repartition(*_CELL, "side").sortWithinPartitions(*_CELL, "side").write.partitionBy(*_CELL, "side").parquet(path)
+        each_pair = crowded.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("b", F.explode(F.sequence(F.col("a"), F.col("chunks") - 1)))
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(pairs // 64, 100_000))
+        dealt = each_pair.select(*_CELL, "a", "b").repartition(tasks, *_CELL, "a", "b").sortWithinPartitions(*_CELL, "a", "b")
+        found = found.union(cut(dealt.mapInArrow(_compare_blocks(path, cosine, each, dtype), _FOUND)))
+        remove(spark, path)
     groups = connected_components(found.select(F.col("cid").alias("a"), F.col("leader").alias("b")))
     named = groups.select(F.col("node").alias("cid"), "component").join(classes.select("cid", "low"), "cid")
     lowest = named.groupBy("component").agg(F.min("low").alias("group_low"))

@@ -192,16 +192,21 @@ def fingerprint_hex(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+#: Names that no table has.
+_GONE_ID, _GONE_TEXT = "__lodestone_id", "__lodestone_text"
+
+
 def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group, with its columns as it was: the one with the smallest id, and of rows
     with that id the one whose text has the least hash.
 
     What goes is told by id and text, so a row that shares its id with a near copy of something
-    stays.  Rows with a null id stay, and so do rows that repeat the survivor's id and text.
+    stays.  Rows with a null id stay, and so do rows that repeat the survivor's id and text.  Columns
+    may have any names but those that begin with ``__lodestone_``.
     """
     rows, named = _grouped(docs, radius, shingle, id_col, text_col)
     members = rows.where("doc_id is not null").join(named.select("fp", "root"), "fp").select("root", F.struct("doc_id", "locator").alias("at"))
     first = members.groupBy("root").agg(F.min("at").alias("first"))
-    gone = stored(members.join(first, "root").where("at <> first").select(F.col("at.doc_id").alias("gone_id"), F.col("at.locator").alias("gone_text")).distinct(), "simhash-gone")
+    gone = stored(members.join(first, "root").where("at <> first").select(F.col("at.doc_id").alias(_GONE_ID), F.col("at.locator").alias(_GONE_TEXT)).distinct(), "simhash-gone")
     hashed = F.xxhash64(text_or_empty(text_col))
-    return without(docs, gone, hashed, "gone_text", (F.col(f"`{id_col}`") == F.col("gone_id")) & (hashed == F.col("gone_text")))
+    return without(docs, gone, hashed, _GONE_TEXT, (F.col(f"`{id_col}`") == F.col(_GONE_ID)) & (hashed == F.col(_GONE_TEXT)))

@@ -4,7 +4,7 @@ import public_tokenizers
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, spans int, fp string, digest int, words int, kept int, cid int, found int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, spans int, fp string, digest int, words int, kept int, cid int, found int, at_id int, at_text string, gone_id int, gone_text string, rows int, stays int, root long, locator string, first string"
 EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
 TEXTS = [
     (1, "The quick brown fox jumps over the lazy dog."),
@@ -30,7 +30,7 @@ TEXTS = [
 
 def documents(spark, texts=TEXTS):
     """With other columns whose names the operators use inside."""
-    rows = [(i, t, None if k % 4 == 0 else "en", None if k % 5 == 0 else f"s{k % 3}", None if t is None else len(t), "r", 1, "f", 2, 3, 4, 5, 6) for k, (i, t) in enumerate(texts)]
+    rows = [(i, t, None if k % 4 == 0 else "en", None if k % 5 == 0 else f"s{k % 3}", None if t is None else len(t), "r", 1, "f", 2, 3, 4, 5, 6, 7, "a", 8, "g", 9, 10, 11, "l", "1st") for k, (i, t) in enumerate(texts)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 

@@ -223,37 +223,42 @@ def test_near_vectors(spark, block):
     assert got == expected_vectors(table)
 
 
-def test_recall_at_the_threshold():
-    """Pairs at cosine 0.95 exactly, the hardest: the lattice must find nine of ten at least."""
-    rng = np.random.default_rng(8)
-    a = lattice.unit_rows(rng.normal(size=(3000, 64)))
-    b = rng.normal(size=(3000, 64))
-    b = lattice.unit_rows(b - (a * b).sum(axis=1, keepdims=True) * a)
-    b = 0.95 * a + np.sqrt(1 - 0.95**2) * b
-    cells = lattice.Lattice(64, lattice.TABLES, lattice.PROBES, lattice.SCALE, lattice.SEED)
-    ka, kb = cells.keys(a), cells.keys(lattice.unit_rows(b))
-    met = (kb == ka[:, :, :1]).any(axis=2) | (ka == kb[:, :, :1]).any(axis=2)
-    assert met.any(axis=1).mean() >= 0.98
-
-
-@pytest.mark.parametrize("n", [100, 50_000, 20_000_000, 400_000_000])
-def test_plans_keep_their_recall_at_every_size(n):
-    tables, scale = lattice.plan(n)
-    a, b = lattice._pairs_at(0.95, 2000, 64, 99)
-    cells = lattice.Lattice(64, tables, lattice.PROBES, scale, lattice.SEED)
+@pytest.mark.parametrize("width", [2, 3, 4, 5, 7, 8, 9, 12, 13, 16, 40, 64, 300, 2048])
+@pytest.mark.parametrize("n", [100, 50_000, 20_000_000, 400_000_000, 10**9])
+def test_plans_keep_their_recall_at_every_size_and_width(n, width):
+    """Pairs at cosine 0.95 exactly, the hardest, with the lattice that a table of n vectors gets."""
+    tables, scale = lattice.plan(n, dim=width)
+    a, b = lattice._pairs_at(0.95, 1000, width, 99)
+    cells = lattice.Lattice(width, tables, lattice.PROBES, scale, lattice.SEED)
     ka, kb = cells.keys(a), cells.keys(b)
     met = (kb == ka[:, :, :1]).any(axis=2) | (ka == kb[:, :, :1]).any(axis=2)
     assert met.any(axis=1).mean() >= 0.95
-    assert tables * (1 + lattice.PROBES) <= 200
+    assert tables * (1 + lattice.PROBES) <= 500
+
+
+@pytest.mark.parametrize("width", [1, 2, 5])
+def test_narrow_vectors(spark, width):
+    """Every pair that links, by comparing all; one cell holds so many that it is cut into blocks."""
+    rng = np.random.default_rng(width)
+    x = rng.standard_normal((240, width))
+    x[:90] = x[0] + 0.05 * rng.standard_normal((90, width))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(500, [0.0] * width)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    got = {r["vec_id"]: r for r in lattice.near_vectors(df, block=16).collect()}
+    assert sum(r["n_links"] for r in got.values()) >= 0.99 * (near.sum() - 240)
+    assert all(got[i]["n_links"] <= near[i].sum() - 1 for i in range(240)) and got[500]["n_links"] == 0
+    if width == 1:
+        assert [got[i]["component_id"] for i in range(240)] == [int(np.flatnonzero(near[i])[0]) for i in range(240)]
 
 
 def test_groups_of_different_lengths_are_apart():
     """Two cells with equal names, one of vectors with two components and one with three."""
     keys = np.zeros((1, 2), "<i8").tobytes()
-    rows = [(dim, 0, 5, 0, 0, cid, 1, True, 0, np.ones(dim, "<f8").tobytes(), keys) for dim in (2, 3) for cid in (10 * dim, 10 * dim + 1)]
-    names = ["dim", "table", "cell", "a", "b", "cid", "mult", "home", "side", "vec", "keys"]
+    rows = [(dim, 0, 5, cid, 1, True, np.ones(dim, "<f8").tobytes(), keys) for dim in (2, 3) for cid in (10 * dim, 10 * dim + 1)]
+    names = ["dim", "table", "cell", "cid", "mult", "home", "vec", "keys"]
     batch = pa.RecordBatch.from_pydict({n: [r[k] for r in rows] for k, n in enumerate(names)})
-    found = [r for out in lattice._compare(0.95, (1, 2), "<f8")([batch]) for r in out.to_pylist()]
+    found = [r for out in lattice._compare(0.95, 2, "<f8")([batch]) for r in out.to_pylist()]
     assert {(r["cid"], r["leader"]) for r in found} == {(20, 20), (21, 20), (30, 30), (31, 30)}
 
 
