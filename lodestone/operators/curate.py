@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.membership import membership, with_membership
 from lodestone.storage import cut
 
 
@@ -178,6 +179,15 @@ def top_n(df: DataFrame, score: Column | str, tie, n: int, ascending: bool = Fal
     return df.where(s.isNotNull()).orderBy(s.asc() if ascending else s.desc(), *_cols(tie)).limit(n)
 
 
+def top_first_seen(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
+    """(key, n) of the n most frequent keys; of equally frequent ones those seen first come first.
+
+    ``order`` is where a row was seen (``readers.with_scan_order``, or any column that sorts).
+    """
+    seen = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
+    return seen.orderBy(F.desc("n"), "_first").limit(n).drop("_first")
+
+
 def class_index(df: DataFrame, slug: str = "slug") -> DataFrame:
     """(slug, class_idx): the position of each distinct slug in sorted order.
 
@@ -210,6 +220,18 @@ def photos_of(photos: DataFrame, observations: DataFrame, key: str, observation_
     return observations.join(photos, observations[observation_key] == photos[key])
 
 
+def _hash(column: str) -> Column:
+    return F.xxhash64(F.col(column).cast("string"))
+
+
+def photos_of_kept(photos: DataFrame, observations: DataFrame, key: str, observation_key: str) -> DataFrame:
+    """As ``photos_of``, where far more photos than observations are there: a bitmap of the kept
+    observations' hashes, of bounded size, is tested as photos are scanned, so photos without a kept
+    observation (but for one in sixteen at most) are not shuffled."""
+    filtered = with_membership(photos, _hash(key), membership(observations.where(F.col(observation_key).isNotNull()).select(_hash(observation_key).alias("h")).distinct(), "h"), "_kept")
+    return photos_of(filtered.where("_kept").drop("_kept"), observations, key, observation_key)
+
+
 def of_taxa(df: DataFrame, taxa: DataFrame, key: str) -> DataFrame:
     """Rows whose taxon is among the wanted ones, once each."""
     return df.join(taxa.select(key), key, "left_semi")
@@ -243,13 +265,16 @@ def id_else_name(left: DataFrame, right: DataFrame, left_cols: tuple[str, str, s
 def image_status(df: DataFrame, min_dim: int, key: str, order: str) -> DataFrame:
     """Rows with ``status``: corrupt, too_small, duplicate or ok, decided in that order.
 
-    A corrupt or too small image never claims its hash: the first good one does.
+    A corrupt or too small image never claims its hash: the first good one does.  ``order`` (the path)
+    tells images apart.
     """
     base = F.when(F.col("width").isNull() | F.col("height").isNull(), "corrupt").when(F.least("width", "height") < min_dim, "too_small").otherwise("ok")
     df = df.withColumn("_base", base)
-    claim = F.row_number().over(Window.partitionBy(key, "_base").orderBy(order))
-    status = F.when((F.col("_base") == "ok") & (claim > 1), "duplicate").otherwise(F.col("_base"))
-    return df.withColumn("status", status).drop("_base")
+    # the least order of each hash is an aggregate, so a picture with very many copies is no task's alone
+    claims = df.where("_base = 'ok'").groupBy(F.col(key).alias("_hash")).agg(F.min(order).alias("_claim"))
+    marked = df.join(claims, F.when(F.col("_base") == "ok", F.col(key)).eqNullSafe(F.col("_hash")) & (F.col("_base") == "ok"), "left")
+    status = F.when((F.col("_base") == "ok") & (F.col(order) != F.col("_claim")), "duplicate").otherwise(F.col("_base"))
+    return marked.withColumn("status", status).drop("_base", "_hash", "_claim")
 
 
 def status_counts(images: DataFrame) -> DataFrame:

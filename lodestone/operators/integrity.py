@@ -15,26 +15,38 @@ def require(problems: DataFrame, what: str, shown: int = 50) -> None:
         raise ValueError(f"{what}: {problems.count()} problems, the first: " + "; ".join(map(str, first)))
 
 
+def missing_columns(df: DataFrame, names) -> list[str]:
+    return [n for n in names if n not in df.columns]
+
+
 def require_columns(df: DataFrame, names: tuple[str, ...]) -> None:
-    missing = [n for n in names if n not in df.columns]
-    if missing:
+    if missing := missing_columns(df, names):
         raise ValueError(f"missing columns: {missing}")
     if df.isEmpty():
         raise ValueError("no rows")
 
 
-def require_paths(spark: SparkSession, *paths: str) -> None:
-    """Raises unless every artifact is there, on whatever file system it is."""
+def missing_paths(spark: SparkSession, *paths: str) -> list[str]:
+    """Those of the paths that are not there, on whatever file system each is."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    missing = [p for p in paths if not (h := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(h)]
-    if missing:
+    return [p for p in paths if not (h := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(h)]
+
+
+def require_paths(spark: SparkSession, *paths: str) -> None:
+    """Raises unless every artifact is there."""
+    if missing := missing_paths(spark, *paths):
         raise ValueError(f"missing artifacts: {missing}")
 
 
-def require_same_size(a: DataFrame, b: DataFrame, what: str) -> None:
+def different_sizes(a: DataFrame, b: DataFrame) -> tuple[int, int] | None:
+    """Both sizes, if they differ."""
     n, m = a.count(), b.count()
-    if n != m:
-        raise ValueError(f"{what}: {n} and {m} rows")
+    return (n, m) if n != m else None
+
+
+def require_same_size(a: DataFrame, b: DataFrame, what: str) -> None:
+    if sizes := different_sizes(a, b):
+        raise ValueError(f"{what}: {sizes[0]} and {sizes[1]} rows")
 
 
 def exactly_one(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.geo import boosted
 from lodestone.functions.vectors import EPSILON, doubles, l2_normalise, reported
 from lodestone.shipping import ship
-from lodestone.storage import new_folder
+from lodestone.storage import cut, new_folder
 
 #: Prototypes a block: at 1,792 doubles each a block is about 58 MB.
 BLOCK = 4096
@@ -150,14 +150,6 @@ def similarities(queries: DataFrame, protos: DataFrame, top: int | None = None,
     return shaped.mapInArrow(_score(*_store_blocks(protos, block), top), "query_id long, class_idx int, sim double")
 
 
-def similarities_native(queries: DataFrame, protos: DataFrame, query_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """As ``similarities``, with column functions only; fine for narrow vectors."""
-    q = queries.select(F.col(query_id).alias("query_id"), l2_normalise(doubles(F.col(vector))).alias("q"))
-    p = protos.select("class_idx", l2_normalise(F.col("proto")).alias("p"))
-    sim = F.aggregate(F.zip_with("q", "p", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return q.crossJoin(p).select("query_id", "class_idx", sim.alias("sim"))
-
-
 def ranked(scores: DataFrame, score: Column | str = "sim", name: str = "rank") -> DataFrame:
     s = F.col(score) if isinstance(score, str) else score
     return scores.withColumn(name, F.row_number().over(Window.partitionBy("query_id").orderBy(s.desc(), F.col("class_idx"))))
@@ -168,6 +160,122 @@ def top_k(queries: DataFrame, protos: DataFrame, k: int = 3, **kw) -> DataFrame:
     return ranked(similarities(queries, protos, top=k, **kw)).where(F.col("rank") <= k)
 
 
+#: Components of the cells' centres at most (16 MB), which every task gets.
+_CENTRES = 1 << 21
+#: What a bound on a cosine may be short of by rounding.
+_SLACK = 1e-9
+
+
+def _nearest_centre(centres: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            rows = _rows_of(batch.column(1))
+            if not rows:
+                continue
+            ids = batch.column(0).to_numpy()[[i for i, _ in rows]]
+            sims = _unit([v for _, v in rows]) @ centres.T
+            cell = sims.argmax(axis=1)
+            lists = pa.array([v for _, v in rows], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), lists, pa.array(cell.astype(np.int32)), pa.array(sims[np.arange(len(rows)), cell])], ["id", "v", "cell", "near"])
+
+    return run
+
+
+class CellBlocks:
+    """Prototypes stored in blocks of neighbours, with what a block's cosines can be at most.
+
+    Every prototype lies in the cell of the centre nearest to it; a block is a part of a cell, and
+    ``least`` the smallest cosine of its prototypes with the centre.  For a query at angle t to the
+    centre, no prototype of the block is nearer than t less the block's angle.
+    """
+
+    def __init__(self, path: str, centres: np.ndarray, blocks: list[tuple[int, int, float]]):
+        self.path, self.centres = path, centres
+        self.blocks = [b for b, _, _ in blocks]
+        self.cells = np.array([c for _, c, _ in blocks], np.int64)
+        self.angles = np.arccos(np.clip([least for _, _, least in blocks], -1.0, 1.0))
+
+    @classmethod
+    def store(cls, protos: DataFrame, block: int = BLOCK) -> CellBlocks:
+        """Centres are a bounded sample of the prototypes, by hash."""
+        spark = protos.sparkSession
+        ship(spark)
+        good = protos.where("class_idx is not null").select(F.col("class_idx").cast("int").alias("id"), "proto")
+        n, width = good.agg(F.count("*"), F.max(F.size("proto"))).first()
+        cells = max(1, min(-(-4 * n // block), _CENTRES // max(width or 1, 1)))
+        drawn = [r["proto"] for r in good.orderBy(F.xxhash64("id"), "id").limit(cells).collect()]
+        drawn = [v for v in drawn if v and None not in v and any(v)]
+        centres = _unit(drawn) if drawn else np.ones((1, max(width or 1, 1)))
+        dealt = good.mapInArrow(_nearest_centre(centres), "id int, v array<double>, cell int, near double")
+        place = cut(dealt)
+        chunks = place.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
+        numbered = place.join(F.broadcast(chunks), "cell")  # a row a cell
+        b = F.col("cell").cast("long") * (1 << 20) + F.pmod(F.xxhash64("id"), F.col("chunks"))
+        numbered = numbered.select(b.alias("b"), "cell", "near", F.col("id").alias("class_idx"), F.col("v").alias("proto"))
+        path = new_folder(spark, "prototype-cells")
+        numbered.repartition("b").sortWithinPartitions("b", "class_idx").write.partitionBy("b").parquet(path)
+        stored = spark.read.schema("cell int, near double, class_idx int, proto array<double>, b bigint").parquet(path)
+        told = stored.groupBy("b", "cell").agg(F.min("near").alias("least")).orderBy("b").collect()  # a row a block
+        return cls(path, centres, [(r["b"], r["cell"], r["least"]) for r in told])
+
+    def bounds(self, x: np.ndarray) -> np.ndarray:
+        """(queries, blocks): what each block's cosines with each unit query can be at most."""
+        angle = np.arccos(np.clip(x @ self.centres.T, -1.0, 1.0))[:, self.cells]
+        return np.cos(np.maximum(angle - self.angles, 0.0)) + _SLACK
+
+    def nearest(self, x: np.ndarray, k: int, load=_block) -> tuple[np.ndarray, np.ndarray, int]:
+        """(similarities, classes, how many blocks were read) of each unit query's k nearest.
+
+        Blocks come by their bounds; one is read for those queries whose k-th nearest so far it may
+        still beat, or equal with a lesser class.
+        """
+        sims, classes = np.full((len(x), k), -np.inf), np.full((len(x), k), np.iinfo(np.int32).max, np.int32)
+        bounds, read = self.bounds(x), 0
+        for at in np.argsort(-bounds.max(axis=0), kind="stable"):
+            open_ = np.flatnonzero(bounds[:, at] >= sims[:, -1])
+            if not len(open_):
+                continue
+            names, protos = load(self.path, self.blocks[at])
+            read += 1
+            both = np.hstack([sims[open_], x[open_] @ protos.T])
+            ids = np.hstack([classes[open_], np.broadcast_to(names, (len(open_), len(names)))])
+            best = np.lexsort((ids, -both), axis=1)[:, :k]
+            sims[open_], classes[open_] = np.take_along_axis(both, best, 1), np.take_along_axis(ids, best, 1)
+        return sims, classes, read
+
+
+def _nearest_in(cells: CellBlocks, k: int):
+    def run(batches):
+        for batch in batches:
+            rows = _rows_of(batch.column(1))
+            if not rows:
+                continue
+            ids = batch.column(0).to_numpy()[[i for i, _ in rows]]
+            sims, classes, _ = cells.nearest(_unit([v for _, v in rows]), k)
+            there = np.isfinite(sims)
+            place = np.broadcast_to(np.arange(1, k + 1, dtype=np.int32), sims.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[there.ravel()]), pa.array(classes[there]), pa.array(sims[there]), pa.array(place[there])], ["query_id", "class_idx", "sim", "rank"])
+
+    return run
+
+
+def top_k_of_many(queries: DataFrame, protos: DataFrame, k: int = 3, query_id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """As ``top_k``, for very many classes: exact, but only blocks that can matter are read.
+
+    Queries are brought together by the centre nearest to them, so that those of a batch need the
+    same blocks; then each batch reads blocks by what their cosines can be at most, until none
+    can change its answer (see ``CellBlocks``).  How many that spares depends on how the classes lie.
+    """
+    cells = CellBlocks.store(protos, block)
+    if not cells.blocks:
+        return queries.sparkSession.createDataFrame([], "query_id long, class_idx int, sim double, rank int")
+    shaped = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), doubles(F.col(vector)).alias("v"))
+    near = shaped.mapInArrow(_nearest_centre(cells.centres), "id long, v array<double>, cell int, near double")
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gathered = near.repartitionByRange(parts, "cell", F.xxhash64("id")).sortWithinPartitions("cell").select("id", "v")
+    return gathered.mapInArrow(_nearest_in(cells, k), "query_id long, class_idx int, sim double, rank int")
+
+
 def geo_rerank(scores: DataFrame, hits: DataFrame, active: DataFrame, boost: float = 0.05) -> DataFrame:
     """Scores with ``raw_rank``, ``rank`` after the boost, ``in_range`` and ``geo_boosted``.
 

@@ -170,12 +170,12 @@ def class_index(spark: SparkSession, d: str) -> DataFrame:
     return C.class_index(table(spark, d, "part").withColumnRenamed("p_name", "slug")).select("slug", F.col("class_idx").cast("long").alias("class_idx"))
 
 
-@query("""WITH a AS (SELECT doc_id, source FROM documents WHERE lang = 'en' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+@query("""WITH a AS (SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
 c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM a)
 SELECT doc_id, source FROM c WHERE r <= 15 ORDER BY doc_id LIMIT 150""")
 def diverse_sample(spark: SparkSession, d: str) -> DataFrame:
     banned = table(spark, d, "labels").where("toxic = 1").select("doc_id")
-    docs = C.exclude(table(spark, d, "documents").where("lang = 'en'").select("doc_id", "source"), (banned, "doc_id"))
+    docs = C.exclude(table(spark, d, "documents").select("doc_id", "source"), (banned, "doc_id"))
     return C.diverse_sample(docs, "source", "doc_id", 15, 150).select("doc_id", "source")
 
 

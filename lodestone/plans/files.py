@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -20,6 +21,7 @@ from lodestone.plans.base import OBSERVATIONS, SIMS, observations, query, table
 from lodestone.plans.retrieval import folds, ranks_of_truth, reranked
 from lodestone.shipping import ship
 from lodestone.sources import readers, rest, sinks
+from lodestone.sources.keyed import KeyedTable
 from lodestone.storage import new_folder
 
 
@@ -98,8 +100,7 @@ def pinned_split_file(spark: SparkSession, d: str) -> DataFrame:
     path = new_folder(spark, "split")
     rows = table(spark, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("key"), F.when(F.col("doc_id") % 5 == 0, "val").otherwise("train").alias("split"))
     sinks.json_file(sinks.split_document(rows, 42, 0.2), path)
-    s = spark.read.text(path, wholetext=True).select(F.from_json("value", "n_train long, n_val long, val array<string>").alias("s"))
-    return s.select(F.explode("s.val").alias("key"), "s.n_val", "s.n_train")
+    return readers.split_json(spark, path)
 
 
 @query(f"""WITH {SIMS}, ranks AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, class_idx) AS rank FROM sims)
@@ -108,8 +109,7 @@ def metrics_file(spark: SparkSession, d: str) -> DataFrame:
     path = new_folder(spark, "metrics")
     per_class = E.class_accuracy(ranks_of_truth(spark, d))
     sinks.json_file(sinks.metrics_document(E.micro_macro(per_class), per_class), path)
-    m = spark.read.text(path, wholetext=True).select(F.from_json("value", "per_species map<string,struct<n:long,top1:double>>").alias("m"))
-    return m.select(F.explode("m.per_species").alias("label", "v")).select("label", "v.n", F.round("v.top1", 6).alias("top1"))
+    return readers.metrics_json(spark, path).select("label", "n", F.round("top1", 6).alias("top1"))
 
 
 @query("SELECT r_name AS config, n AS run FROM region, (VALUES (1), (2)) t(n)")
@@ -280,7 +280,7 @@ def staged_file(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.text(target)
 
 
-@query("SELECT true AS whole, 25::BIGINT AS n")
+@query("""SELECT count(*) = count(DISTINCT n_name) AND count(*) = count(DISTINCT n_nationkey) AS whole, count(*) AS n FROM nation""")
 def artifact_checks(spark: SparkSession, d: str) -> DataFrame:
     """Paths, required columns and equal sizes; any problem raises."""
     nation = table(spark, d, "nation")
@@ -289,3 +289,72 @@ def artifact_checks(spark: SparkSession, d: str) -> DataFrame:
     I.require_same_size(nation, nation.select("n_name").distinct(), "nations and their names")
     I.require(I.duplicates(nation, "n_nationkey"), "nation keys")
     return nation.agg(F.lit(True).alias("whole"), F.count("*").alias("n"))
+
+
+@query("""SELECT 'path' AS what, n_name AS name, NULL::BIGINT AS n FROM nation WHERE n_regionkey % 2 = 0
+UNION ALL SELECT 'column', n_name, NULL FROM nation WHERE n_regionkey > 2
+UNION ALL SELECT 'size', 'orders and customers', (SELECT count(*) FROM orders) - (SELECT count(*) FROM customer)
+UNION ALL SELECT 'duplicate', n_name, count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 2 HAVING count(*) > 1""")
+def artifact_problems(spark: SparkSession, d: str) -> DataFrame:
+    """What checks of artifacts find: files and columns that are not there, sizes and keys that do not agree."""
+    nation, customer, root = table(spark, d, "nation"), table(spark, d, "customer"), new_folder(spark, "artifacts")
+    sinks.put_objects(nation.where("n_regionkey % 2 = 1").select(F.concat("n_name", F.lit(".json")).alias("key"), F.encode("n_name", "UTF-8").alias("content")), root)
+    names = [r["n_name"] for r in nation.select("n_name").collect()]  # 25 artifacts
+    paths = I.missing_paths(spark, *[f"{root}/{n}.json" for n in names])
+    wide = nation.where("n_regionkey <= 2").groupBy().pivot("n_name").agg(F.count(F.lit(1)))
+    sizes = I.different_sizes(table(spark, d, "orders"), customer)
+    rows = [("path", p.rpartition("/")[2].removesuffix(".json"), None) for p in paths] + [("column", c, None) for c in I.missing_columns(wide, names)]
+    rows += [("size", "orders and customers", sizes[0] - sizes[1])] if sizes else []
+    found = I.duplicates(customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")), "n_name")
+    return spark.createDataFrame(rows, "what string, name string, n long").union(found.select(F.lit("duplicate"), "n_name", "n"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new ' || c_name ELSE c_name END AS c_name,
+ CASE WHEN c_custkey % 2 > 0 THEN nullif(c_nationkey, 3) WHEN c_custkey % 3 = 0 THEN nullif(c_nationkey, 5) ELSE coalesce(nullif(c_nationkey, 5), nullif(c_nationkey, 3)) END AS c_nationkey FROM customer WHERE c_custkey % 3 > 0 OR c_custkey % 2 = 0
+UNION ALL SELECT -c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey % 7 = 0 AND c_custkey > 0""")
+def keyed_table(spark: SparkSession, d: str) -> DataFrame:
+    """A table by key after an upsert and an insert that ignores known keys, each into its buckets only."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    first = c.where("c_custkey % 3 > 0").withColumn("c_nationkey", F.nullif("c_nationkey", F.lit(3)))
+    stored = KeyedTable.create(first, new_folder(spark, "keyed"), "c_custkey", 16)
+    incoming = c.where("c_custkey % 2 = 0").select("c_custkey", F.concat(F.lit("new "), "c_name").alias("c_name"), F.nullif("c_nationkey", F.lit(5)).alias("c_nationkey"), F.lit(1).alias("ord"))
+    stored = stored.upsert(incoming, ("c_nationkey",), "ord")
+    more = c.where("c_custkey % 7 = 0").withColumn("c_custkey", -F.col("c_custkey")).union(c.where("c_custkey % 3 > 0").withColumn("c_name", F.lit("ignored")))
+    return stored.insert_ignore(more, "c_name").read()
+
+
+@query("""WITH e AS (SELECT event_type, user_id % 40 AS user, row_number() OVER (ORDER BY event_id * 7919 % 10007, event_id) AS place FROM events)
+SELECT user, count(*) AS n FROM e GROUP BY 1 ORDER BY n DESC, min(place) LIMIT 15""")
+def top_taxa_as_seen(spark: SparkSession, d: str) -> DataFrame:
+    """The most frequent of a file's values; ties by where the file has them first."""
+    path = new_folder(spark, "scan")
+    e = F.col("event_id")
+    table(spark, d, "events").select((e * 7919 % 10007).alias("o"), "event_id", (F.col("user_id") % 40).alias("user")).repartition(1).sortWithinPartitions("o", "event_id").select("user").write.csv(path, sep="\t", header=True)
+    scanned = readers.with_scan_order(spark.read.csv(path, sep="\t", header=True, schema="user long"))
+    return C.top_first_seen(scanned, "user", "scan", 15)
+
+
+@query("""SELECT batch, count(*) AS n, min(place) AS low, max(place) AS high, count(DISTINCT place) AS places FROM
+ (SELECT unnest(range((SELECT count(*) FROM documents))) AS i) t, LATERAL (SELECT i // 32 AS batch, i % 32 AS place) WHERE batch >= 3 GROUP BY 1""")
+def epoch_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of an epoch that goes on at its fourth: each place of each batch is taken once."""
+    docs = readers.numbered_samples(table(spark, d, "documents").select(F.format_string("%012d", "doc_id").alias("storage_path")))
+    batches = readers.epoch(docs, docs.count(), 42, 1, 32, first_batch=3)
+    return batches.groupBy("batch").agg(F.count("*").alias("n"), F.min("place").alias("low"), F.max("place").alias("high"), F.count_distinct("place").alias("places"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'""")
+def photos_of_kept(spark: SparkSession, d: str) -> DataFrame:
+    """A large side filtered by a bitmap of the kept keys before it is shuffled."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    kept = table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
+    return C.photos_of_kept(lines, kept, "l_orderkey", "o_orderkey").drop("o_orderkey")
+
+
+@query("""SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def bucketed_join(spark: SparkSession, d: str) -> DataFrame:
+    """Both sides stored in buckets of the key, so their join shuffles nothing."""
+    tag = uuid.uuid4().hex
+    lines = sinks.by_key(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), f"lines_{tag}", new_folder(spark, "lines"), "l_orderkey", 8)
+    orders = sinks.by_key(table(spark, d, "orders").select("o_orderkey", "o_custkey"), f"orders_{tag}", new_folder(spark, "orders"), "o_orderkey", 8)
+    return C.photos_of(lines, orders, "l_orderkey", "o_orderkey").drop("o_orderkey")

@@ -17,10 +17,10 @@ def _taxa(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("taxon_id"), rank.alias("rank"), "p_size")
 
 
-@query("""WITH t AS (SELECT DISTINCT upper(p_name) AS name FROM part WHERE p_type = 'ECONOMY' UNION SELECT 'no such name')
+@query("""WITH t AS (SELECT DISTINCT upper(p_name) AS name FROM part UNION SELECT 'no such name')
 SELECT t.name, f.taxon_id FROM t LEFT JOIN (SELECT lower(p_name) AS k, p_partkey AS taxon_id FROM part QUALIFY row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_size, p_partkey) = 1) f ON lower(t.name) = f.k""")
 def name_first_match(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "part").where("p_type = 'ECONOMY'").select(F.upper("p_name").alias("name")).union(spark.range(1).select(F.lit("no such name"))).distinct()
+    names = table(spark, d, "part").select(F.upper("p_name").alias("name")).union(spark.range(1).select(F.lit("no such name"))).distinct()
     return C.name_lookup(names, _taxa(spark, d), ["p_size", "taxon_id"])
 
 
@@ -203,16 +203,19 @@ def clean_report_counts(spark: SparkSession, d: str) -> DataFrame:
     return C.status_counts(C.image_status(docs, 500, "h", "doc_id"))
 
 
-@query("""SELECT n_name AS slug, count(c_custkey) AS n FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey AND c_mktsegment = 'BUILDING' AND n_regionkey > 0 GROUP BY 1 HAVING count(c_custkey) < 14""")
+@query("""WITH g AS (SELECT n_nationkey, n_name AS slug FROM nation UNION ALL SELECT -1, 'nowhere')
+SELECT slug, count(c_custkey) AS n FROM g LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1 HAVING count(c_custkey) < (SELECT count(*) // 25 FROM customer)""")
 def shortfall_of_every_group(spark: SparkSession, d: str) -> DataFrame:
-    nation = table(spark, d, "nation").withColumnRenamed("n_name", "slug")
-    rows = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").join(nation.where("n_regionkey > 0"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return C.shortfall(rows, "slug", 14, nation)
+    """Nations with fewer customers than the mean, and a group that has none."""
+    customer = table(spark, d, "customer")
+    nation = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("slug")).union(spark.range(1).select(F.lit(-1), F.lit("nowhere")))
+    return C.shortfall(customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")), "slug", customer.count() // 25, nation)
 
 
 @query("""WITH a AS (SELECT p_name AS slug, dense_rank() OVER (ORDER BY p_name) AS i FROM part), b AS (SELECT p_name AS slug, dense_rank() OVER (ORDER BY p_name) AS i FROM part WHERE p_name < 'small')
-SELECT (SELECT count(*) FROM (SELECT DISTINCT * FROM a EXCEPT SELECT DISTINCT * FROM b)) = 0 AND (SELECT count(*) FROM (SELECT DISTINCT * FROM b EXCEPT SELECT DISTINCT * FROM a)) = 0 AS same""")
+SELECT 'all' AS other, (SELECT count(*) FROM (SELECT DISTINCT * FROM a EXCEPT SELECT DISTINCT * FROM a)) = 0 AS same UNION ALL
+SELECT 'some', (SELECT count(*) FROM (SELECT DISTINCT * FROM a EXCEPT SELECT DISTINCT * FROM b)) = 0 AND (SELECT count(*) FROM (SELECT DISTINCT * FROM b EXCEPT SELECT DISTINCT * FROM a)) = 0""")
 def taxonomy_order(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").withColumnRenamed("p_name", "slug")
-    same = I.same_order(C.class_index(part), C.class_index(part.where("slug < 'small'")), "slug", "class_idx")
-    return spark.range(1).select(F.lit(same).alias("same"))
+    same = lambda other: I.same_order(C.class_index(part), C.class_index(other), "slug", "class_idx")
+    return spark.createDataFrame([("all", same(part.repartition(3))), ("some", same(part.where("slug < 'small'")))], "other string, same boolean")

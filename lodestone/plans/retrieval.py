@@ -110,6 +110,13 @@ def topk_nearest(spark: SparkSession, d: str) -> DataFrame:
     return R.top_k(val, R.prototypes(train)).select("query_id", "class_idx", F.col("rank").cast("long").alias("rank"), V.reported(F.col("sim")).alias("similarity"))
 
 
+@query(f"WITH {_RANKS} SELECT query_id, class_idx, rank, round(sim, 4) + 0 AS similarity FROM ranks WHERE rank <= 3")
+def topk_of_many(spark: SparkSession, d: str) -> DataFrame:
+    """The same by bounds on blocks of neighbouring prototypes, here of two classes each."""
+    train, val = folds(spark, d)
+    return R.top_k_of_many(val, R.prototypes(train), block=2).select("query_id", "class_idx", F.col("rank").cast("long").alias("rank"), V.reported(F.col("sim")).alias("similarity"))
+
+
 @query(f"WITH {_GEO} SELECT query_id, class_idx, rank, round(sim, 4) + 0 AS similarity, in_range AND rank < raw_rank AS geo_boosted, geo_filtered FROM rr WHERE rank <= 3")
 def geo_rerank(spark: SparkSession, d: str) -> DataFrame:
     return reranked(spark, d).where("rank <= 3").select("query_id", "class_idx", F.col("rank").cast("long").alias("rank"), V.reported(F.col("sim")).alias("similarity"), "geo_boosted", "geo_filtered")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone import schema
 from lodestone.functions import images
 from lodestone.functions import text as X
-from lodestone.operators.curate import class_index, priority_pick
+from lodestone.operators.curate import class_index, priority_pick, running_total
 from lodestone.operators.integrity import require_columns
 from lodestone.shipping import ship
 from lodestone.sources.rest import with_bodies
@@ -198,10 +200,45 @@ def taxonomy_json(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", kind)).alias("k", "v")).select(F.col("k").cast("int").alias("class_idx"), "v.*")
 
 
-def geo_index_json(spark: SparkSession, path: str) -> DataFrame:
-    """(slug, clat, clon) of a nested cell index."""
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", schema.GEO_INDEX).alias("g"))
-    return text.select(F.explode("g.cells").alias("slug", "cells")).select("slug", F.explode("cells").alias("c")).select("slug", F.get("c", F.lit(0)).alias("clat"), F.get("c", F.lit(1)).alias("clon"))
+def document_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value) of the entries of a document that ``sinks.json_file`` has written: a line each, without
+    its comma.  The first and last line are left out."""
+    lines = spark.read.text(path)
+    ends = F.col("value").rlike(r"^\{") | F.col("value").rlike(r"^[\]}]+$")
+    return lines.where(~ends).select(F.regexp_replace("value", ",$", "").alias("value"))
+
+
+def document_head(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row: what the first line of such a document says before its entries begin."""
+    head = spark.read.text(path).where(F.col("value").rlike(r"^\{"))
+    closed = F.concat(F.regexp_replace("value", r', "[^"]*": [\[{]$', ""), F.lit("}"))
+    return head.select(F.from_json(closed, schema).alias("h")).select("h.*")
+
+
+def geo_index_json(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """(slug, clat, clon) of a nested cell index, read by its lines.
+
+    ``whole`` is for small documents that others have written: one row then holds it all.
+    """
+    if whole:
+        text = spark.read.text(path, wholetext=True).select(F.from_json("value", schema.GEO_INDEX).alias("g"))
+        entries = text.select(F.explode("g.cells").alias("slug", "cells"))
+    else:
+        entry = F.from_json(F.concat(F.lit("{"), "value", F.lit("}")), "map<string,array<array<bigint>>>")
+        entries = document_lines(spark, path).select(F.explode(entry).alias("slug", "cells"))
+    return entries.select("slug", F.explode("cells").alias("c")).select("slug", F.get("c", F.lit(0)).alias("clat"), F.get("c", F.lit(1)).alias("clon"))
+
+
+def split_json(spark: SparkSession, path: str) -> DataFrame:
+    """(key, n_train, n_val) of the "val" side of a pinned split, read by its lines."""
+    keys = document_lines(spark, path).select(F.get(F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>"), F.lit(0)).alias("key"))
+    return keys.crossJoin(F.broadcast(document_head(spark, path, "n_train long, n_val long")))  # one row
+
+
+def metrics_json(spark: SparkSession, path: str) -> DataFrame:
+    """(label, n, top1, top3) of each class in a report, read by its lines."""
+    entry = F.from_json(F.concat(F.lit("{"), "value", F.lit("}")), "map<string,struct<n:long,top1:double,top3:double>>")
+    return document_lines(spark, path).select(F.explode(entry).alias("label", "v")).select("label", "v.*")
 
 
 def _npy_rows(batches):
@@ -234,10 +271,60 @@ def staged(spark: SparkSession, source: str, target: str) -> str:
     return target
 
 
+def with_scan_order(df: DataFrame, name: str = "scan") -> DataFrame:
+    """A scan's rows with where they stand: file, block of the file, row.  The column sorts as the
+    files are read from first to last, however they are split among tasks.
+
+    ``df`` must come straight from files; rows of one block are read by one task, in order.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return df.select("*", place.alias(name))
+
+
+def numbered_samples(df: DataFrame, path: str = "storage_path") -> DataFrame:
+    """Samples with ``position``, 0, 1, 2 ... by path: done once for a manifest, for ``epoch``."""
+    return running_total(df, path, F.lit(1).cast("long"), "position")
+
+
+def shuffled_position(position, n: int, seed: int, rounds: int = 48):
+    """Where a position of 0 to n - 1 comes in an order that the seed picks: a permutation.
+
+    A swap-or-not shuffle: in each round a position and its mirror image about a point that the seed
+    picks are swapped, or not, as a hash of the greater of the two says.
+    """
+    points = [int.from_bytes(sha256(f"{seed}:{r}".encode()).digest()[:8], "big") % max(n, 1) for r in range(rounds)]
+    steps = F.from_json(F.lit(str([[p, r] for r, p in enumerate(points)])), "array<array<bigint>>")
+
+    def step(x, s):
+        mirror = F.pmod(F.get(s, F.lit(0)) - x, F.lit(max(n, 1)))
+        swap = F.xxhash64(F.lit(seed), F.get(s, F.lit(1)), F.greatest(x, mirror)).bitwiseAND(F.lit(1)) == 1
+        return F.when(swap, mirror).otherwise(x)
+
+    return F.aggregate(steps, position.cast("bigint"), step)
+
+
+def epoch(samples: DataFrame, n: int, seed: int, number: int, batch_size: int, first_batch: int = 0, partitions: int | None = None) -> DataFrame:
+    """One epoch's samples with ``batch`` and ``place`` in it, batches in order from ``first_batch`` on.
+
+    ``samples`` have ``position`` (``numbered_samples``), ``n`` of them.  A sample's place is a keyed
+    permutation of its position, so it depends on seed and epoch alone, nothing is sorted as a
+    whole, and an epoch goes on at any batch.  Each partition holds a stretch of batches in order,
+    and partitions follow one another.
+    """
+    spark = samples.sparkSession
+    placed = samples.withColumn("_place", shuffled_position(F.col("position"), n, seed * 1_000_003 + number))
+    placed = placed.withColumn("batch", F.floor(F.col("_place") / batch_size)).where(F.col("batch") >= first_batch).withColumn("place", F.col("_place") % batch_size).drop("_place")
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left = max(1, -(-n // batch_size) - first_batch)
+    share = -(-left // parts)
+    part = F.floor((F.col("batch") - first_batch) / share).cast("int")
+    return placed.repartitionById(parts, part).sortWithinPartitions("batch", "place")
+
+
 def batches(df: DataFrame, seed: int | None = None) -> DataFrame:
     """Samples in training order (shuffled by a seed) or in evaluation order (by path).
 
     The training order is a hash of the path and the seed, so it does not depend on how the rows
-    were dealt before.
+    were dealt before.  It is a global sort; ``epoch`` needs none.
     """
     return df.orderBy(F.xxhash64("storage_path", F.lit(seed)), "storage_path") if seed is not None else df.orderBy("storage_path")

@@ -11,10 +11,17 @@ from pyspark.sql import functions as F
 
 
 def csv_file(df: DataFrame, path: str, order: str | None = None) -> None:
-    """One CSV file with a header; nulls are empty."""
+    """One CSV file with a header; nulls are empty.  For small reports: one task writes it (see
+    ``csv_parts``)."""
     (df.orderBy(order) if order else df).coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="")
 
 
+def csv_parts(df: DataFrame, path: str, order: str) -> None:
+    """A folder of CSV files, each with a header, whose names and rows follow the order; no task holds
+    more than a range of it."""
+    df.orderBy(order).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="")
+
+
 def clean_report(df: DataFrame, path: str) -> None:
     csv_file(df.select("path", "status", "width", "height", F.col("has_exif").cast("int"), (F.col("status") == "ok").cast("int").alias("kept")), path, "path")
 
@@ -102,10 +109,10 @@ def split_document(df: DataFrame, seed: int, fraction: float) -> DataFrame:
 
 
 def metrics_document(overall: DataFrame, per_class: DataFrame, label: str = "label") -> DataFrame:
-    """One row: overall rates and each class's, as JSON."""
-    one = overall.select(F.struct("*").alias("overall"))
-    each = per_class.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(label).cast("string"), F.struct("n", "top1", "top3"))))).alias("per_species"))
-    return one.crossJoin(each).select(F.to_json(F.struct("overall", "per_species")).alias("value"))
+    """The lines of a report: the overall rates, and a line a class."""
+    head = overall.select(F.to_json(F.struct("*")).alias("j")).first()["j"]  # one row
+    each = per_class.select(F.col(label).cast("string").alias("label"), F.to_json(F.struct("n", "top1", "top3")).alias("rates"))
+    return _document(f'{{"overall": {head}, "per_species": {{', each, "label", F.concat(_quoted("label"), F.lit(": "), F.col("rates")), "}}")
 
 
 def json_file(document: DataFrame, path: str) -> None:
@@ -133,3 +140,14 @@ def put_objects(df: DataFrame, root: str, key: str = "key", content: str = "cont
                 out.write(row[content])
 
     df.select(key, content).foreachPartition(put)
+
+
+def by_key(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Stores ``df`` below ``path`` in buckets of the key, sorted in each, as table ``name``; gives it back.
+
+    Tables in as many buckets of the same key join, aggregate and de-duplicate by it without a
+    shuffle, as often as they are read.
+    """
+    spark = df.sparkSession
+    df.repartition(buckets, key).write.format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key).mode("overwrite").saveAsTable(name)
+    return spark.table(name)

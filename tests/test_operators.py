@@ -33,8 +33,6 @@ def test_prototypes_and_top_k(spark):
     assert got == {0: [0.894427, 0.447214], 1: [0.0, 1.0], 2: [0.0, 0.0]}
     top = R.top_k(query(spark), protos(spark), 5).select("query_id", "rank", "class_idx", F.round("sim", 4))
     assert rows(top) == [(9, 1, 0, 0.8944), (9, 2, 1, 0.8), (9, 3, 2, 0.0)]
-    native = R.similarities_native(query(spark).where("embedding is not null"), protos(spark)).select("class_idx", F.round("sim", 4))
-    assert rows(native) == [(0, 0.8944), (1, 0.8), (2, 0.0)]
 
 
 def test_blocks_of_prototypes_agree(spark):
