@@ -1,29 +1,30 @@
-"""Toxicity by a classifier chain of linear models over word features."""
+"""Toxicity by a classifier chain of linear models over hashed word features."""
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import ship, stored, text_or_empty
-
-#: Bounds of the fit: labelled rows, features, folds.
-MAX_ROWS, MAX_FEATURES, MIN_ROWS_WITH_FEATURE, FOLDS = 10_000, 400, 5, 5
-#: Besides words, features are word beginnings of these lengths: endings vary more than stems.
-STEMS = (4, 5, 6)
-DECAY, STEPS = 1e-4, 30
-#: Words whose presence in a text labelled toxic sets a category's weak label.
-CATEGORIES = {
-    "insult": ("bastard", "clown", "coward", "dumb", "fool", "idiot", "imbecile", "jerk", "liar", "loser", "moron", "stupid"),
-    "contempt": ("despicable", "disgusting", "filth", "garbage", "hate", "pathetic", "scum", "trash", "useless", "vermin", "vile", "worthless"),
-}
-THRESHOLD = 0.3
+from lodestone.llm.common import ship, text_or_empty
+
+#: Bound of the fit: labelled rows.  Folds of the out-of-fold predictions.
+MAX_ROWS, FOLDS = 10_000, 5
+#: Besides words, features are words' beginnings of this length: endings vary more than stems.
+STEM = 5
+#: Features are hashed into so many places; nothing is left out.
+PLACES = 1 << 18
+#: Weight decay of the fit, its steps at most, and the probability at which a document is rejected.
+DECAY, STEPS, THRESHOLD = 3e-3, 60, 0.2
+#: The chain: each label is predicted with the probabilities of those before it.
+LABELS = ("quality", "toxic")
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = str.maketrans(ascii_uppercase, ascii_lowercase)
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -34,13 +35,12 @@ class Chain:
     """Linear models in chain order; each sees the words and the probabilities before it."""
 
     names: list[str]
-    vocabulary: dict[str, int]
-    weights: np.ndarray  # (words, categories)
-    links: np.ndarray  # (categories, categories), below the diagonal
+    weights: np.ndarray  # (places, labels)
+    links: np.ndarray  # (labels, labels), below the diagonal
     bias: np.ndarray
 
     def probabilities(self, linear: np.ndarray) -> np.ndarray:
-        """From the word part of every category, (rows, categories)."""
+        """From the word part of every label, (rows, labels)."""
         out = np.zeros_like(linear)
         for c in range(linear.shape[1]):
             out[:, c] = _sigmoid(linear[:, c] + out[:, :c] @ self.links[c, :c] + self.bias[c])
@@ -51,132 +51,182 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, decay: float = DECAY, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Logistic regression with weight decay, by Newton steps that are halved until the loss falls."""
-    n, k = x.shape
-    z = np.hstack([x, np.ones((n, 1))])
-    ridge = np.append(np.full(k, decay), 1e-9)
-    w = np.zeros(k + 1)
+class Rows:
+    """Rows of counts, as the places that each row counts once for each time it is named."""
 
-    def loss(w):
-        m = z @ w
-        return (np.logaddexp(0, m) - y * m).mean() + (ridge * w * w).sum() / 2
+    def __init__(self, places: list[np.ndarray], width: int):
+        self.width = width
+        # a place of its own without weight in each row, so that no row is empty
+        self.lengths = np.array([len(p) + 1 for p in places], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64) if places else np.zeros(0, np.int64)
+        self.places = np.concatenate([np.append(p, width) for p in places]).astype(np.int32) if places else np.zeros(0, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.lengths)
+
+    def take(self, which: np.ndarray) -> "Rows":
+        out = Rows([], self.width)
+        out.lengths = self.lengths[which]
+        out.at = np.concatenate([[0], np.cumsum(out.lengths)[:-1]]).astype(np.int64) if len(out.lengths) else np.zeros(0, np.int64)
+        out.places = self.places[np.repeat(which, self.lengths)]
+        return out
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        if not len(self):
+            return np.zeros(0)
+        return np.add.reduceat(np.append(weights, 0.0)[self.places], self.at)
 
-    now = loss(w)
+    def gathered(self, values: np.ndarray) -> np.ndarray:
+        """The values of the rows, summed up at each place."""
+        return np.bincount(self.places, weights=np.repeat(values, self.lengths), minlength=self.width + 1)[:-1]
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> float:
+    """In the same order of sums each time, which threaded products do not promise."""
+    return float((a * b).sum())
+
+
+def minimised(f, x: np.ndarray, steps: int = STEPS, memory: int = 8, least: float = 1e-5) -> np.ndarray:
+    """Where ``f`` (value and gradient, smooth and convex) is least: limited-memory BFGS with step
+    halving, until a step gains less than ``least`` of the value."""
+    value, slope = f(x)
+    moves: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(steps):
-        p = _sigmoid(z @ w)
-        gradient = z.T @ (p - y) / n + ridge * w
-        curve = (z * (p * (1 - p) / n)[:, None]).T @ z + np.diag(ridge + 1e-9)
-        move, size = np.linalg.solve(curve, gradient), 1.0
-        while size > 1e-4 and (new := loss(w - size * move)) > now:
+        way, shares = slope.copy(), []
+        for s, y, sy in reversed(moves):
+            shares.append(_dot(s, way) / sy)
+            way -= shares[-1] * y
+        if moves:
+            way *= moves[-1][2] / _dot(moves[-1][1], moves[-1][1])
+        for (s, y, sy), share in zip(moves, reversed(shares)):
+            way += s * (share - _dot(y, way) / sy)
+        size = 1.0 if moves else min(1.0, 1 / max(np.abs(slope).sum(), 1e-12))
+        down = _dot(slope, way)
+        while True:
+            new = x - size * way
+            new_value, new_slope = f(new)
+            if new_value <= value - 1e-4 * size * down or size < 1e-10:
+                break
             size /= 2
-        if size <= 1e-4 or now - new < 1e-7:
+        if new_value >= value:
+            break
+        s, y = new - x, new_slope - slope
+        if (sy := _dot(s, y)) > 1e-12:
+            moves = [*moves, (s, y, sy)][-memory:]
+        gained, x, slope, value = value - new_value, new, new_slope, new_value
+        if gained < least * abs(value):
             break
-        w, now = w - size * move, new
-    return w[:k], float(w[k])
+    return x
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, names: list[str], vocabulary: dict[str, int], folds: int = FOLDS, decay: float = DECAY, groups: np.ndarray | None = None) -> Chain:
+def fit_linear(rows: Rows, before: np.ndarray, y: np.ndarray, decay: float = DECAY) -> np.ndarray:
+    """Logistic regression with weight decay on counts and ``before``, the probabilities before this
+    label; the parameters: a weight a place, a link each, the bias."""
+    n, k, width = len(rows), before.shape[1], rows.width
+
+    def loss(w):
+        margin = rows.times(w[:width]) + (before * w[width:-1]).sum(axis=1) + w[-1]
+        off = (_sigmoid(margin) - y) / n
+        value = (np.logaddexp(0, margin) - y * margin).mean() + decay * _dot(w[:-1], w[:-1]) / 2
+        return value, np.concatenate([rows.gathered(off) + decay * w[:width], (before * off[:, None]).sum(axis=0) + decay * w[width:-1], [off.sum()]])
+
+    return minimised(loss, np.zeros(width + k + 1))
+
+
+def fit_chain(rows: Rows, y: np.ndarray, names: list[str], folds: int = FOLDS, decay: float = DECAY, groups: np.ndarray | None = None) -> Chain:
     """Fits the chain: a later model learns from out-of-fold predictions of the earlier ones.
 
     Predictions that a model makes on its own training rows look surer than they will be, so each
-    category's probabilities for a fold come from a model that has not seen the fold.  Rows of one
+    label's probabilities for a fold come from a model that has not seen the fold.  Rows of one
     group (``groups``: integers, say a hash of the text) are in one fold; without, rows take turns.
     """
     n, c = y.shape
     fold = (np.arange(n) if groups is None else np.unique(groups, return_inverse=True)[1]) % folds
     seen = np.zeros((n, c))
-    weights, links, bias = np.zeros((x.shape[1], c)), np.zeros((c, c)), np.zeros(c)
+    weights, links, bias = np.zeros((rows.width, c)), np.zeros((c, c)), np.zeros(c)
     for k in range(c):
-        with_chain = np.hstack([x, seen[:, :k]])
-        w, bias[k] = fit_linear(with_chain, y[:, k], decay)
-        weights[:, k], links[k, :k] = w[: x.shape[1]], w[x.shape[1] :]
+        whole = fit_linear(rows, seen[:, :k], y[:, k], decay)
+        weights[:, k], links[k, :k], bias[k] = whole[: rows.width], whole[rows.width : -1], whole[-1]
         if k + 1 < c:
             for f in range(folds):
                 inside, outside = fold != f, fold == f
                 if outside.any() and inside.any():
-                    w, b = fit_linear(with_chain[inside], y[inside, k], decay)
-                    seen[outside, k] = _sigmoid(with_chain[outside] @ w + b)
-    return Chain(names, vocabulary, weights, links, bias)
+                    w = fit_linear(rows.take(inside), seen[inside, :k], y[inside, k], decay)
+                    seen[outside, k] = _sigmoid(rows.take(outside).times(w[: rows.width]) + (seen[outside, :k] * w[rows.width : -1]).sum(axis=1) + w[-1])
+    return Chain(names, weights, links, bias)
 
 
-def _features(text: Column) -> Column:
-    """A text's distinct words, and word beginnings marked with an asterisk."""
-    words = F.array_distinct(F.split(F.translate(text, ascii_uppercase, ascii_lowercase), _SPLIT))
-    stems = [F.transform(F.filter(words, _at_least(n)), _beginning(n)) for n in STEMS]
-    return F.array_distinct(F.concat(words, *stems))
+def _places(text: Column) -> Column:
+    """The places of a text's distinct words, and of their beginnings marked with an asterisk."""
+    words = F.filter(F.array_distinct(F.split(F.translate(text, ascii_uppercase, ascii_lowercase), _SPLIT)), lambda w: w != "")
+    stems = F.transform(F.filter(words, lambda w: F.char_length(w) >= STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
+    return F.transform(F.concat(words, stems), lambda w: F.pmod(F.xxhash64(w), F.lit(PLACES)).cast("int"))
 
 
-def _at_least(n: int):
-    return lambda w: F.char_length(w) >= n
+def _place(feature: str) -> int:
+    return xxhash.xxh64_intdigest(feature.encode(), seed=42) % PLACES
 
 
-def _beginning(n: int):
-    return lambda w: F.concat(F.substring(w, 1, n), F.lit("*"))
+def _words(text: str) -> set[str]:
+    return set(_WORD.findall(text.translate(_LOWER)))
 
 
-def _found(text: str, known: set[str]) -> list[str]:
-    """The features of ``known`` that a text has, in order; the Python form of ``_features``."""
-    words = set(_WORD.findall(text.translate(_LOWER)))
-    found = words & known
-    for n in STEMS:
-        found |= {w[:n] + "*" for w in words if len(w) >= n} & known
-    return sorted(found)
-
-
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...]] = CATEGORIES, label_col: str = "toxic", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, min_rows: int = MIN_ROWS_WITH_FEATURE, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+def train(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = LABELS, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Fits the chain on at most ``max_rows`` labelled rows, in the order of a hash of their id.
 
-    The chain runs over the weak categories in order and ends with the real label.  Features are
-    which words and word beginnings a text has, among the ``max_features`` with the highest
-    chi-square against the label (the README has held-out figures at other bounds).
-    Equal texts are in one fold.  Null labels and labels without a document are left out; repeated
-    label rows and documents that share an id count once for each pair that joins; an empty sample
-    gives a chain that rejects nothing.
+    ``names`` are columns of ``labels`` in chain order; the last one is what documents are
+    rejected for.  Features are the words of a text and the words' beginnings, hashed into a fixed
+    number of places; all words of all sampled texts count.  Equal texts are in one fold.  Rows with a null label
+    and labels without a document are left out; repeated label rows and documents that share an id count
+    once for each pair that joins; an empty sample gives a chain that rejects nothing.
     """
-    sample = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y"))
-    sample = sample.orderBy(F.xxhash64("id"), "id").limit(max_rows)  # at most max_rows rows of 16 bytes
+    given = [F.col(n).cast("double").alias(f"y{i}") for i, n in enumerate(names)]
+    sample = labels.dropna(subset=[id_col, *names]).select(F.col(id_col).cast("long").alias("id"), *given)
+    sample = sample.orderBy(F.xxhash64("id"), "id").limit(max_rows)  # at most max_rows short rows
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), "id")
-    rows = stored(texts.select("id", "y", F.xxhash64("text").alias("same"), _features(F.col("text")).alias("words")), "toxicity-sample")
-    names = [*categories, label_col]
-    n, positives = (v or 0 for v in rows.agg(F.count("*"), F.sum("y")).first())
-    if not n:
-        return Chain(names, {}, np.zeros((0, len(names))), np.zeros((len(names), len(names))), np.full(len(names), -10.0))
-    counted = rows.select("y", F.explode("words").alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"), F.sum("y").alias("p")).where(F.col("n") >= min_rows)
-    expected = F.col("n") * F.lit(positives / n)
-    best = counted.select("w", (F.pow(F.col("p") - expected, 2) / (expected + 1e-9)).alias("chi2")).orderBy(F.desc("chi2"), "w").limit(max_features).collect()
-    vocabulary = {r["w"]: i for i, r in enumerate(best)}
-    known = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<string>")
-    weak = [F.when(F.arrays_overlap("words", F.array(*[F.lit(w) for w in ws])), F.col("y")).otherwise(0.0).alias(c) for c, ws in categories.items()]
-    fitted = rows.select("same", F.array_intersect("words", known).alias("w"), *weak, "y").orderBy(F.xxhash64("id"), "id", "same").collect()  # at most max_rows
-    x, y = np.zeros((len(fitted), len(vocabulary))), np.zeros((len(fitted), len(names)))
-    for i, r in enumerate(fitted):
-        x[i, [vocabulary[w] for w in r["w"]]] = 1
-        y[i] = [*(r[c] for c in categories), r["y"]]
-    # features that the same rows have are one feature: the longest beginning of a word
-    alike: dict[bytes, str] = {}
-    for w, c in sorted(vocabulary.items(), key=lambda v: (not v[0].endswith("*"), -len(v[0]), v[0])):
-        alike.setdefault(x[:, c].tobytes(), w)
-    kept = sorted(alike.values())
-    groups = np.array([r["same"] for r in fitted])
-    return fit_chain(x[:, [vocabulary[w] for w in kept]], y, names, {w: i for i, w in enumerate(kept)}, groups=groups)
-
-
-def _probabilities(chain: Chain, texts) -> np.ndarray:
-    table, weights = chain.vocabulary, chain.weights
-    known = set(table)
-    linear = np.zeros((len(texts), len(chain.names)))
-    for i, text in enumerate(texts):
-        found = _found(text, known)
-        if found:
-            linear[i] = weights[[table[w] for w in found]].sum(axis=0)
-    return chain.probabilities(linear)
+    ys = [f"y{i}" for i in range(len(names))]
+    found = texts.select("id", *ys, F.xxhash64("text").alias("same"), _places(F.col("text")).alias("places"))
+    table = found.toArrow().sort_by([("id", "ascending"), ("same", "ascending")])  # at most max_rows
+    if not table.num_rows:
+        return Chain(list(names), np.zeros((PLACES, len(names))), np.zeros((len(names), len(names))), np.full(len(names), -10.0))
+    rows = Rows([p.values.to_numpy() for p in table.column("places")], PLACES)
+    y = np.stack([table.column(c).to_numpy() for c in ys], axis=1)
+    return fit_chain(rows, y, list(names), groups=table.column("same").to_numpy())
+
+
+class Weights:
+    """What each word adds to each label; a bounded number of short words is kept."""
+
+    def __init__(self, chain: Chain, most: int = 50_000, longest: int = 64):
+        self.chain, self.longest, self.known = chain, longest, {}
+        self.rows = np.zeros((most, chain.weights.shape[1]))
+
+    def _of(self, word: str) -> np.ndarray:
+        places = [_place(word)] + ([_place(word[:STEM] + "*")] if len(word) >= STEM else [])
+        return self.chain.weights[places].sum(axis=0)
+
+    def linear(self, text: str) -> np.ndarray:
+        words, known = _words(text), self.known
+        at = list(map(known.get, words))
+        out = self.rows[[i for i in at if i is not None]].sum(axis=0)
+        for word in [w for w, i in zip(words, at) if i is None]:
+            row = self._of(word)
+            out += row
+            if len(word) <= self.longest and len(known) < len(self.rows):
+                self.rows[len(known)] = row
+                known[word] = len(known)
+        return out
+
+
+def _probabilities(weights: Weights, texts) -> np.ndarray:
+    return weights.chain.probabilities(np.array([weights.linear(t) for t in texts]).reshape(len(texts), -1))
 
 
 def _score(chain: Chain):
     def run(batches):
+        weights = Weights(chain)
         for batch in batches:
-            p = _probabilities(chain, batch.column(1).to_pylist())
+            p = _probabilities(weights, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, c]) for c in range(len(chain.names)))], ["doc_id", *(f"p_{c}" for c in chain.names)])
 
     return run
@@ -202,7 +252,9 @@ def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text", threshold:
     ship(docs.sparkSession)
 
     @F.pandas_udf(T.DoubleType())
-    def last(texts: pd.Series) -> pd.Series:
-        return pd.Series(_probabilities(chain, texts)[:, -1])
+    def last(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        weights = Weights(chain)
+        for texts in batches:
+            yield pd.Series(_probabilities(weights, texts)[:, -1], dtype="float64")
 
     return docs.where(last(text_or_empty(text_col)) < threshold)
