@@ -190,6 +190,47 @@ def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collisions.search(collisions.build_index(vectors, k=20), vectors.where("vec_id % 20 = 0"))
 
 
+def _crc32_sql(number: str) -> str:
+    """The CRC-32 of a number's decimal digits in SQL, bit by bit."""
+    bits = "list_reduce(list_prepend(xor(c, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)"
+    digits = f"list_transform(string_split({number}::VARCHAR, ''), lambda ch: ascii(ch)::UBIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {digits}), lambda c, b: {bits}), 4294967295::UBIGINT)::BIGINT"
+
+
+#: Every node with its whole prefix as its name, and sums over all nodes that it begins.
+OP12_SQL = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_crc32_sql("conv_id")} % 6 AS h, conv_id - conv_id % 100 AS base FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h),
+k AS (SELECT c.conv_id, h, count(r.pos) AS n FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY 1, 2),
+p AS (SELECT * FROM r UNION ALL SELECT t.conv_id, pos - h + n, role, text FROM t JOIN k ON t.conv_id = k.conv_id WHERE pos > h),
+l AS (SELECT c.conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY pos) FILTER (pos IS NOT NULL), []) AS turns FROM c LEFT JOIN p ON p.conv_id = c.conv_id GROUP BY 1),
+o AS (SELECT conv_id, len(turns) AS length, depth, list_slice(turns, 1, depth) AS prefix, CASE WHEN depth > 0 THEN length(turns[depth].text) ELSE 0 END AS tokens FROM (SELECT *, unnest(range(len(turns) + 1)) AS depth FROM l)),
+n AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, min(tokens) AS tokens, max(length) AS deepest, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (length = depth) AS ends FROM o GROUP BY 1, 2),
+a AS (SELECT *, list_slice(prefix, 1, high) AS above FROM (SELECT *, unnest(range(depth + 1)) AS high FROM n)),
+s AS (SELECT high, above, sum((n_convs - 1) * tokens)::BIGINT AS saved_tokens, count(*) FILTER (deepest = depth) AS n_leaves, count(*) FILTER (depth = high + 1) AS n_children FROM a GROUP BY 1, 2)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM n JOIN s ON high = n.depth AND above = n.prefix LEFT JOIN n q ON q.depth = n.depth - 1 AND q.prefix = list_slice(n.prefix, 1, n.depth - 1)"""
+
+#: Every pair of equal words gives a place at which a period holds; stretches of such places are the
+#: runs, the smallest period of each stretch counts.
+OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_crc32_sql("doc_id")} AS h FROM documents),
+g AS (SELECT doc_id, w, len(w) AS n, h, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS f FROM d),
+m AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // f) + 1] END) ELSE w END AS w FROM g),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i, len(w) AS n FROM m),
+e AS (SELECT b.doc_id, b.i, c.i - b.i AS q FROM x b JOIN x c ON b.doc_id = c.doc_id AND b.word = c.word AND c.i > b.i AND 4 * (c.i - b.i) <= b.n),
+y AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+z AS (SELECT doc_id, q, min(i) AS s, max(i) + 1 + q AS t FROM y GROUP BY doc_id, q, island HAVING max(i) + 1 + q - min(i) >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, s, t - s AS l, min(q) AS q FROM z GROUP BY doc_id, s, t),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l / q DESC, s, q) = 1),
+u AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY 1),
+v AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = x.doc_id AND x.i >= r.s + r.q AND x.i < r.s + r.l) GROUP BY 1)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.q AS period, 1000 * b.l // b.q AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN u ON u.doc_id = d.doc_id LEFT JOIN v ON v.doc_id = d.doc_id"""
+
+
 def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns, members = prefix_trie.with_shared_beginnings(stored(prefix_trie.number_turns(table(spark, sf_dir, "conversations")), "trie-turns"))
     return prefix_trie.prefix_trie(turns, members)
@@ -236,4 +277,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scans": _op2_sql(), "op3_license_scans": _op3_sql(), "op8_exact_dedup": OP8_SQL, "op10_embedding_near_dedup": OP10_SQL}
+    return {"op2_secret_scans": _op2_sql(), "op3_license_scans": _op3_sql(), "op8_exact_dedup": OP8_SQL, "op10_embedding_near_dedup": OP10_SQL, "op12_conversation_prefix_trie": OP12_SQL, "op13_periodic_runs": OP13_SQL}
