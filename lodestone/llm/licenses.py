@@ -16,7 +16,8 @@ from lodestone.llm.common import stored, text_or_empty
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Label, notice, mandatory key phrase within it.
+#: Label, notice (a header, or a paragraph of the licence's text), mandatory key phrase
+#: within it.  Several notices may share a label.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0", "apache license version 2 0"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
@@ -26,6 +27,27 @@ TEMPLATES = (
     ("gpl-notice", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "under the terms of the gnu general public license"),
     ("mit-notice", "Released under the MIT License", "released under the mit license"),
     ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
+    ("mit-text", "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so", "sublicense and or sell copies of the software"),
+    ("mit-text", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "all copies or substantial portions of the software"),
+    ("as-is", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT", "merchantability fitness for a particular purpose and noninfringement"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "contributors may be used to endorse or promote products derived from this software"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "distribute this software for any purpose with or without fee is hereby granted"),
+    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at", "you may not use this file except in compliance with the license"),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied", "unless required by applicable law or agreed to in writing"),
+    ("gpl-notice", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE", "distributed in the hope that it will be useful but without any warranty"),
+    ("gpl-notice", "You should have received a copy of the GNU General Public License along with this program", "received a copy of the gnu general public license"),
+    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "under the terms of the gnu lesser general public license"),
+    ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "under the terms of the gnu affero general public license"),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", "subject to the terms of the mozilla public license"),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "available under the terms of the eclipse public license"),
+    ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "creative commons attribution noncommercial 4 0 international license"),
+    ("cc0", "has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+    ("unlicense", "This is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable for any damages"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0", "boost software license version 1 0"),
 )
 #: How many of a template's highest-IDF words are used, and the share that must agree.
 TEMPLATE_WORDS, AGREE = 6, 0.6

@@ -36,3 +36,22 @@ def test_a_file_with_all_notices_has_all_labels(spark):
     labels = {r["doc_id"]: set(r["labels"].split(",")) for r in out.collect()}
     assert {t[0] for t in licenses.TEMPLATES} <= labels[1]
     assert {"bsd", "mit-text"} <= labels[2]
+
+
+def test_every_notice_is_found_alone_and_not_without_its_key_phrase(spark):
+    """Each paragraph between other words, in other letters and punctuation; then with one word changed."""
+    texts, want = [], {}
+    for k, (label, notice, key) in enumerate(licenses.TEMPLATES):
+        texts.append((2 * k, f"Some words before. {notice.upper().replace(',', ' ,\n * ')}; and after."))
+        want[2 * k] = label
+        first = licenses.words_of(key)[0]
+        words = licenses.words_of(notice)
+        at = next(i for i in range(len(words)) if words[i : i + len(licenses.words_of(key))] == licenses.words_of(key))
+        texts.append((2 * k + 1, " ".join(["changed" if i == at else w for i, w in enumerate(words)])))
+        assert first == words[at]
+    texts += [(k, f"filler text {k}") for k in range(1000, 1400)]
+    out = license_digest(licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string").repartition(4))).where("doc_id < 1000").collect()
+    found = {r["doc_id"]: set(r["labels"].split(",")) for r in out}
+    assert {i: label in found[i] for i, label in want.items()} == dict.fromkeys(want, True)
+    # a broken key phrase leaves the label to other notices only, of which there are none in the text
+    assert not [i for i in want if want[i] in found[i + 1]]
