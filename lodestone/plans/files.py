@@ -358,3 +358,38 @@ def bucketed_join(spark: SparkSession, d: str) -> DataFrame:
     lines = sinks.by_key(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), f"lines_{tag}", new_folder(spark, "lines"), "l_orderkey", 8)
     orders = sinks.by_key(table(spark, d, "orders").select("o_orderkey", "o_custkey"), f"orders_{tag}", new_folder(spark, "orders"), "o_orderkey", 8)
     return C.photos_of(lines, orders, "l_orderkey", "o_orderkey").drop("o_orderkey")
+
+
+@query("""SELECT 'img/' || l_orderkey || '/' || l_linenumber AS storage_path, dense_rank() OVER (ORDER BY p_name) - 1 AS label, p_name AS slug, CASE WHEN l_linestatus = 'F' THEN 'val' END AS split, l_quantity AS lat, NULL::DOUBLE AS lon
+FROM lineitem JOIN (SELECT p_partkey, p_name FROM part) ON l_partkey = p_partkey""")
+def database_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of the image and species tables of a database, the images read in ranges of their key.
+
+    The database is an embedded one of this JVM, so this query needs a local master; a server's is read
+    alike from any.
+    """
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url = f"jdbc:derby:memory:lodestone{uuid.uuid4().hex};create=true"
+    line = table(spark, d, "lineitem")
+    path = F.concat_ws("/", F.lit("img"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    stored = line.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("species_id"), path.alias("storage_path"), F.when(F.col("l_linestatus") == "F", "val").otherwise("").alias("split"), F.col("l_quantity").cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+    types = "storage_path VARCHAR(64), split VARCHAR(8)"
+    stored.write.format("jdbc").options(url=url, dbtable="images", createTableColumnTypes=types, batchsize=5000, numPartitions=4).mode("append").save()
+    table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("slug")).write.format("jdbc").options(url=url, dbtable="species", createTableColumnTypes="slug VARCHAR(128)").mode("append").save()
+    low, high = line.agg(F.min("l_orderkey"), F.max("l_orderkey")).first()
+    lower = lambda df: df.toDF(*[c.lower() for c in df.columns])  # noqa: E731  the database spells names in capitals
+    images_read = lower(readers.jdbc_table(spark, url, "images", "ID", (low, high), 4)).withColumn("split", F.nullif("split", F.lit("")))
+    found = images_read, lower(readers.jdbc_table(spark, url, "species"))
+    return readers.manifest(spark, database=found, csv="not read", root="nor this").withColumn("label", F.col("label").cast("long"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1) SELECT count(*) AS problems, least(count(*), 50) AS shown FROM p""")
+def reported_problems(spark: SparkSession, d: str) -> DataFrame:
+    """What a failing check says: how many problems there are, and the first fifty."""
+    try:
+        I.require(I.duplicates(table(spark, d, "lineitem"), "l_orderkey"), "line keys")
+        said = "line keys: 0 problems"
+    except ValueError as e:
+        said = str(e)
+    rows = [(int(said.split(": ")[1].split()[0]), said.count("Row("))]
+    return spark.createDataFrame(rows, "problems long, shown long")
