@@ -194,28 +194,32 @@ def train(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = LABELS, m
     return fit_chain(rows, y, list(names), groups=table.column("same").to_numpy())
 
 
-class Weights:
-    """What each word adds to each label; a bounded number of short words is kept."""
+#: A word's place, and that of its beginning, in one number.
+_SHIFT = PLACES.bit_length()
+
+
+def _code(word: str) -> int:
+    return _place(word) << _SHIFT | (_place(word[:STEM] + "*") if len(word) >= STEM else PLACES)
 
-    def __init__(self, chain: Chain, most: int = 50_000, longest: int = 64):
-        self.chain, self.longest, self.known = chain, longest, {}
-        self.rows = np.zeros((most, chain.weights.shape[1]))
 
-    def _of(self, word: str) -> np.ndarray:
-        places = [_place(word)] + ([_place(word[:STEM] + "*")] if len(word) >= STEM else [])
-        return self.chain.weights[places].sum(axis=0)
+class Weights:
+    """What texts' words add to each label; the places of a bounded number of short words are kept."""
+
+    def __init__(self, chain: Chain, most: int = 100_000, longest: int = 64):
+        self.chain, self.most, self.longest, self.known = chain, most, longest, {}
+        self.weights = np.vstack([chain.weights, np.zeros((1, chain.weights.shape[1]))])
 
     def linear(self, text: str) -> np.ndarray:
-        words, known = _words(text), self.known
-        at = list(map(known.get, words))
-        out = self.rows[[i for i in at if i is not None]].sum(axis=0)
-        for word in [w for w, i in zip(words, at) if i is None]:
-            row = self._of(word)
-            out += row
-            if len(word) <= self.longest and len(known) < len(self.rows):
-                self.rows[len(known)] = row
-                known[word] = len(known)
-        return out
+        known, codes = self.known, []
+        for word in _words(text):
+            code = known.get(word)
+            if code is None:
+                code = _code(word)
+                if len(word) <= self.longest and len(known) < self.most:
+                    known[word] = code
+            codes.append(code)
+        at = np.sort(np.array(codes, np.int64))  # sums in the same order each time
+        return self.weights[at >> _SHIFT].sum(axis=0) + self.weights[at & ((1 << _SHIFT) - 1)].sum(axis=0)
 
 
 def _probabilities(weights: Weights, texts) -> np.ndarray:
