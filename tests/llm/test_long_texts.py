@@ -11,7 +11,7 @@ from test_dedup import normal, slow_fingerprint
 from test_scans import base_places, base_spans, joined
 from test_tokens import CONTINUATION, INITIAL, greedy, library_ids
 
-from lodestone.llm import exact_dedup, licenses, packing, pieces, secrets, simhash, token_files, toxicity, wordpiece
+from lodestone.llm import exact_dedup, licenses, packing, pieces, runs, secrets, simhash, token_files, toxicity, wordpiece
 from lodestone.llm.queries import license_digest, secret_digest
 
 
@@ -77,5 +77,26 @@ def test_duplicates(docs):
 
 
 def test_toxicity(docs):
-    chain = toxicity.Chain(["c"], {"idiot": 0}, np.array([[5.0]]), np.zeros((1, 1)), np.array([-2.0]))
+    weights = np.zeros((toxicity.PLACES, 1))
+    weights[toxicity._place("idiot")] = 5.0
+    chain = toxicity.Chain(["c"], weights, np.zeros((1, 1)), np.array([-2.0]))
     assert of(toxicity.score(docs, chain), "rejected") == {1: (True,), 2: (False,), 3: (True,)}
+
+
+def test_periodic_runs(docs):
+    """In words at random only short periods repeat four times; each is searched on its own."""
+    words, want = TEXT.split(), {}
+    for p in range(1, 20):
+        at = 0
+        while at + p < len(words):
+            end = at
+            while end + p < len(words) and words[end] == words[end + p]:
+                end += 1
+            if end > at and end + p - at >= max(6, 4 * p):
+                want.setdefault((at, end + p - at), p)
+            at = max(end, at) + 1
+    got = of(runs.periodic_runs(docs), "n_words", "runs", "collapsed")
+    assert [tuple(r) for r in got[1][1]] == sorted((s, n, p) for (s, n), p in want.items()) and len(want) > 5
+    gone = {k for (s, n), p in want.items() for k in range(s + p, s + n)}
+    assert got[1][0] == len(words) and got[1][2] == " ".join(w for k, w in enumerate(words) if k not in gone)
+    assert got[2] == (1, [], "short")
