@@ -223,8 +223,8 @@ def test_near_vectors(spark, block):
     assert got == expected_vectors(table)
 
 
-@pytest.mark.parametrize("width", [2, 3, 4, 5, 7, 8, 9, 12, 13, 16, 40, 64, 300, 2048])
-@pytest.mark.parametrize("n", [100, 50_000, 20_000_000, 400_000_000, 10**9])
+@pytest.mark.parametrize("width", [2, 3, 4, 8, 9, 12, 16, 64, 300, 2048])
+@pytest.mark.parametrize("n", [100, 50_000, 20_000_000, 10**9])
 def test_plans_keep_their_recall_at_every_size_and_width(n, width):
     """Pairs at cosine 0.95 exactly, the hardest, with the lattice that a table of n vectors gets."""
     tables, scale = lattice.plan(n, dim=width)
