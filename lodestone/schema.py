@@ -5,7 +5,6 @@ Fixed values throughout.
 
 from __future__ import annotations
 
-TAXA = "taxon_id STRING, ancestry STRING, rank STRING, name STRING"
 GEO_INDEX = "cell_size_deg DOUBLE, cells MAP<STRING, ARRAY<ARRAY<BIGINT>>>"
 OBSERVATION_JSON = "STRUCT<uuid STRING, location STRING, created_at STRING, taxon STRUCT<id INT, name STRING, rank STRING>, photos ARRAY<STRUCT<id BIGINT, url STRING>>>"
 OCCURRENCE_JSON = "STRUCT<results ARRAY<STRUCT<media ARRAY<STRUCT<identifier STRING, type STRING, format STRING, license STRING>>>>, endOfRecords BOOLEAN>"
