@@ -22,7 +22,7 @@ from lodestone.plans.retrieval import folds, ranks_of_truth, reranked
 from lodestone.shipping import ship
 from lodestone.sources import readers, rest, sinks
 from lodestone.sources.keyed import KeyedTable
-from lodestone.storage import new_folder
+from lodestone.storage import new_folder, stored
 
 
 @query("SELECT p_partkey::VARCHAR AS taxon_id, p_name AS name FROM part")
@@ -184,6 +184,17 @@ def response_documents(spark: SparkSession, d: str) -> DataFrame:
     return a.select("query_id", F.array_join("a.results.species_name", ",").alias("names"), F.array_min("a.results.similarity").alias("least"), "a.geo_filtered")
 
 
+#: Pictures a task.
+_PICTURES = 5000
+
+
+def _dealt(spark: SparkSession, d: str) -> DataFrame:
+    """Keys and sizes of parts, dealt out by their number: they are few bytes, but what is made of
+    them is much work, so files and their splits would give it to one task."""
+    parts = table(spark, d, "part").select("p_partkey", "p_size")
+    return parts.repartition(max(spark.sparkContext.defaultParallelism, -(-parts.count() // _PICTURES)), "p_partkey")
+
+
 def _png(pixels: np.ndarray, extra: bytes = b"") -> bytes:
     """A grey picture as a PNG file; ``extra`` are chunks between the pixels and the end."""
     h, w = pixels.shape
@@ -223,17 +234,17 @@ def image_functions(spark: SparkSession, d: str) -> DataFrame:
     @F.pandas_udf("binary")
     def picture(key: pd.Series, size: pd.Series) -> pd.Series:
         def made(k: int, n: int) -> bytes:
-            y, x = np.mgrid[: 58 - n, : 8 + n]
+            y, x = np.ogrid[: 58 - n, : 8 + n]
             whole = _png(((k % 256 * 31 + x * 17 + y * y * 13) % 256).astype(np.uint8))
             return whole[: len(whole) // 2] if n % 10 == 0 else whole
 
         return pd.Series([made(k, n) for k, n in zip(key, size)])
 
-    made = table(spark, d, "part").select("p_partkey", picture("p_partkey", "p_size").alias("content"))
-    seen = made.withColumns({"m": images.inspect_image("content"), "blur": images.blur_score("content"), "x": images.preprocess(4)("content")})
-    seen = seen.withColumn("e", images.embedder(lambda: lambda x: 2 * x[-1:])("x"))
-    sized = seen.select("p_partkey", F.md5("content").alias("h"), "m.width", "m.height", F.round("blur", 3).alias("blur"), F.round(F.get("x", F.lit(0)).cast("double"), 3).alias("red"), F.round(F.get("e", F.lit(0)).cast("double"), 3).alias("embedded"))
-    return C.image_status(sized, 20, "h", "p_partkey").drop("h")
+    made = _dealt(spark, d).select("p_partkey", picture("p_partkey", "p_size").alias("content"))
+    seen = made.withColumn("m", images.measured(4)("content"))
+    seen = seen.withColumn("e", images.embedder(lambda: lambda x: 2 * x[-1:])("m.x"))
+    sized = seen.select("p_partkey", F.md5("content").alias("h"), "m.width", "m.height", F.round("m.blur", 3).alias("blur"), F.round(F.get("m.x", F.lit(0)).cast("double"), 3).alias("red"), F.round(F.get("e", F.lit(0)).cast("double"), 3).alias("embedded"))
+    return C.image_status(stored(sized, "measured"), 20, "h", "p_partkey").drop("h")  # read twice, made once
 
 
 def _container(kind: int, width: int, height: int, exif: bool, stray: bool, broken: bool) -> bytes:
@@ -266,7 +277,7 @@ def image_containers(spark: SparkSession, d: str) -> DataFrame:
     def made(key: pd.Series, size: pd.Series) -> pd.Series:
         return pd.Series([_container(k % 5, 8 + n, 70 - n, k % 3 == 0, k % 2 == 0, n % 7 == 0) for k, n in zip(key.tolist(), size.tolist())])
 
-    files = table(spark, d, "part").select("p_partkey", made("p_partkey", "p_size").alias("content"))
+    files = _dealt(spark, d).select("p_partkey", made("p_partkey", "p_size").alias("content"))
     return files.select("p_partkey", images.container_info("content").alias("m")).select("p_partkey", "m.*")
 
 

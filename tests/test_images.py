@@ -121,3 +121,20 @@ def test_fill_bytes_and_markers_without_length():
     data = _container(0, 20, 10, True, False, False)
     assert images.container(data[:2] + b"\xff\xff" + data[2:]) == (20, 10, True)
     assert images.container(data[:2] + b"\xff\x01" + data[2:]) == (20, 10, True)
+
+
+def test_pictures_are_measured_with_one_decoding_and_dealt_out_by_number(spark, monkeypatch):
+    from lodestone.plans import files
+
+    data = [_png(np.arange(n * 7 % 251, n * 7 % 251 + 12 * n, dtype=np.int64).reshape(n, 12).astype(np.uint8)) for n in (1, 2, 9, 40)] + [b"none", None]
+    df = spark.createDataFrame(list(enumerate(data)), "i int, content binary")
+    apart = df.select("i", images.inspect_image("content").alias("m"), images.blur_score("content").alias("blur"), images.preprocess(4)("content").alias("x")).select("i", "m.*", "blur", "x")
+    assert df.select("i", images.measured(4)("content").alias("m")).select("i", "m.*").orderBy("i").collect() == apart.orderBy("i").collect()
+    seen, decode = [], images.decode
+    monkeypatch.setattr(images, "decode", lambda d: seen.append(d) or decode(d))
+    images.measured(4).func(files.pd.Series(data))
+    assert seen == data[:-1]
+    monkeypatch.setattr(files, "_PICTURES", 20)
+    dealt = files._dealt(spark, "/root/testdata/sf0.001")
+    shares = dealt.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(shares) >= sum(shares) / 20 and max(shares) < 60 and sum(shares) == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
