@@ -371,26 +371,27 @@ def bucketed_join(spark: SparkSession, d: str) -> DataFrame:
     return C.photos_of(lines, orders, "l_orderkey", "o_orderkey").drop("o_orderkey")
 
 
+#: Rows a database file.
+_STORED = 500_000
+
+
 @query("""SELECT 'img/' || l_orderkey || '/' || l_linenumber AS storage_path, dense_rank() OVER (ORDER BY p_name) - 1 AS label, p_name AS slug, CASE WHEN l_linestatus = 'F' THEN 'val' END AS split, l_quantity AS lat, NULL::DOUBLE AS lon
 FROM lineitem JOIN (SELECT p_partkey, p_name FROM part) ON l_partkey = p_partkey""")
 def database_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """Samples of the image and species tables of a database, the images read in ranges of their key.
+    """Samples of the image and species tables of a database, which is kept in files of key ranges.
 
-    The database is an embedded one of this JVM, so this query needs a local master; a server's is read
-    alike from any.
+    The files stand in for a server (``readers.jdbc_table``): executors have no JVM or memory in common,
+    so a database embedded in one of them is not there for the others.
     """
-    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
-    url = f"jdbc:derby:memory:lodestone{uuid.uuid4().hex};create=true"
-    line = table(spark, d, "lineitem")
+    root = new_folder(spark, "database")
+    line, part = table(spark, d, "lineitem"), table(spark, d, "part")
     path = F.concat_ws("/", F.lit("img"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-    stored = line.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("species_id"), path.alias("storage_path"), F.when(F.col("l_linestatus") == "F", "val").otherwise("").alias("split"), F.col("l_quantity").cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
-    types = "storage_path VARCHAR(64), split VARCHAR(8)"
-    stored.write.format("jdbc").options(url=url, dbtable="images", createTableColumnTypes=types, batchsize=5000, numPartitions=4).mode("append").save()
-    table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("slug")).write.format("jdbc").options(url=url, dbtable="species", createTableColumnTypes="slug VARCHAR(128)").mode("append").save()
-    low, high = line.agg(F.min("l_orderkey"), F.max("l_orderkey")).first()
-    lower = lambda df: df.toDF(*[c.lower() for c in df.columns])  # noqa: E731  the database spells names in capitals
-    images_read = lower(readers.jdbc_table(spark, url, "images", "ID", (low, high), 4)).withColumn("split", F.nullif("split", F.lit("")))
-    found = images_read, lower(readers.jdbc_table(spark, url, "species"))
+    put = line.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("species_id"), path.alias("storage_path"), F.when(F.col("l_linestatus") == "F", "val").otherwise("").alias("split"), F.col("l_quantity").cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+    files = lambda df: max(spark.sparkContext.defaultParallelism, -(-df.count() // _STORED))
+    sinks.sqlite_files(put, f"{root}/images", "images", ["id", "storage_path"], files(line))
+    sinks.sqlite_files(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("slug")), f"{root}/species", "species", ["id"], files(part))
+    images_read = readers.sqlite_table(spark, f"{root}/images", "images", "id long, species_id long, storage_path string, split string, lat double, lon double").withColumn("split", F.nullif("split", F.lit("")))
+    found = images_read, readers.sqlite_table(spark, f"{root}/species", "species", "id long, slug string")
     return readers.manifest(spark, database=found, csv="not read", root="nor this").withColumn("label", F.col("label").cast("long"))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
 from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone import schema
 from lodestone.functions import images
@@ -15,6 +17,7 @@ from lodestone.operators.curate import class_index, priority_pick, running_total
 from lodestone.operators.integrity import require_columns
 from lodestone.shipping import ship
 from lodestone.sources.rest import with_bodies
+from lodestone.storage import stored
 
 
 def tsv(spark: SparkSession, path: str, ddl: str, columns: tuple[str, ...], partitions: int | None = None) -> DataFrame:
@@ -107,8 +110,9 @@ def csv_manifest(spark: SparkSession, path: str, root: str) -> tuple[DataFrame,
 
 
 def database_manifest(images: DataFrame, species: DataFrame) -> DataFrame:
-    """Samples of the image and species tables."""
+    """Samples of the image and species tables, each of which the database is asked for once."""
     joined = images.join(species.select(F.col("id").alias("species_id"), "slug"), "species_id")
+    joined = stored(joined.select("storage_path", "slug", "split", "lat", "lon"), "samples")
     return joined.join(class_index(joined), "slug").select("storage_path", F.col("class_idx").alias("label"), "slug", "split", "lat", "lon")
 
 
@@ -121,6 +125,41 @@ def jdbc_table(spark: SparkSession, url: str, table: str, key: str | None = None
     return reader.load()
 
 
+#: Rows that are fetched from a database at once.
+_FETCHED = 5000
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+
+
+def _sqlite_rows(batches, table: str, fields: list[tuple[str, str]]):
+    import shutil
+    import sqlite3
+    import tempfile
+    from contextlib import closing
+
+    from pyarrow import fs
+
+    schema = pa.schema([(name, _ARROW[kind]) for name, kind in fields])
+    asked = ", ".join(f'"{name}"' for name, _ in fields)
+    for path in (p for batch in batches for p in batch.column(0).to_pylist()):
+        store, at = fs.FileSystem.from_uri(path)
+        with tempfile.TemporaryDirectory() as own:
+            with store.open_input_stream(at) as there, open(f"{own}/copy.db", "wb") as out:
+                shutil.copyfileobj(there, out, 1 << 20)
+            with closing(sqlite3.connect(f"{own}/copy.db")) as db:
+                found = db.execute(f'SELECT {asked} FROM "{table}"')
+                while rows := found.fetchmany(_FETCHED):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def sqlite_table(spark: SparkSession, root: str, table: str, ddl: str) -> DataFrame:
+    """A table that is kept in SQLite databases below a folder (``sinks.sqlite_files``), whose files are
+    dealt to tasks.  Any executor reads any of them; ``ddl`` names long, int, double or string columns."""
+    ship(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.db").load(root).select("path")
+    fields = [(f.name, f.dataType.simpleString()) for f in T.StructType.fromDDL(ddl)]
+    return files.mapInArrow(partial(_sqlite_rows, table=table, fields=fields), ddl)
+
+
 def _object(uri: str | None) -> bytes | None:
     """An object's bytes, None if it is not there."""
     from pyarrow import fs

@@ -9,6 +9,8 @@ import mimetypes
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.storage import make_folder
+
 
 def csv_file(df: DataFrame, path: str, order: str | None = None) -> None:
     """One CSV file with a header; nulls are empty.  For small reports: one task writes it (see
@@ -142,6 +144,47 @@ def put_objects(df: DataFrame, root: str, key: str = "key", content: str = "cont
     df.select(key, content).foreachPartition(put)
 
 
+def sqlite_files(df: DataFrame, root: str, table: str, order: list[str], files: int) -> None:
+    """A table as SQLite databases below ``root``, each with a range of the order's columns.
+
+    Every task makes one in its own folder and then puts it in the shared one, so there is no server
+    and no database that many write to; ``readers.sqlite_table`` reads them.
+    """
+    from lodestone.shipping import ship
+
+    ship(df.sparkSession)
+    make_folder(df.sparkSession, root)
+    columns = ", ".join(f'"{c}"' for c in df.columns)
+    insert = f'INSERT INTO "{table}" VALUES ({", ".join("?" * len(df.columns))})'
+
+    def put(batches):
+        import shutil
+        import sqlite3
+        import tempfile
+        from contextlib import closing
+
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, at = fs.FileSystem.from_uri(root)
+        name, n = f"part-{TaskContext.get().partitionId():06d}.db", 0
+        with tempfile.TemporaryDirectory() as own:
+            with closing(sqlite3.connect(f"{own}/{name}")) as db:
+                db.execute("PRAGMA journal_mode = OFF")  # a failed task begins anew
+                db.execute("PRAGMA synchronous = OFF")
+                db.execute(f'CREATE TABLE "{table}" ({columns})')
+                for batch in batches:
+                    db.executemany(insert, zip(*[c.to_pylist() for c in batch.columns]))
+                    n += batch.num_rows
+                db.commit()
+            with open(f"{own}/{name}", "rb") as made, store.open_output_stream(f"{at}/{name}") as out:
+                shutil.copyfileobj(made, out, 1 << 20)
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    df.repartitionByRange(files, *order).mapInArrow(put, "n long").agg(F.sum("n")).collect()  # one row
+
+
 def by_key(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
     """Stores ``df`` below ``path`` in buckets of the key, sorted in each, as table ``name``; gives it back.
 

@@ -2,6 +2,9 @@
 
 import json
 import os
+import subprocess
+import sys
+import uuid
 
 import numpy as np
 import pytest
@@ -13,6 +16,8 @@ from lodestone.sources import readers, sinks
 from lodestone.sources.keyed import Conflict, KeyedTable
 
 ROW = "id long, name string, idx int"
+DATA = "/root/testdata/sf0.001"
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def rows(df):
@@ -229,3 +234,37 @@ def test_top_k_of_many_agrees_with_top_k(spark):
     assert rows(R.top_k_of_many(ask, protos, 4, block=16).select(*columns)) == rows(R.top_k(ask, protos, 4).select(*columns))
     assert R.top_k_of_many(ask, protos.where("class_idx < 0"), 4).count() == 0
     assert {r["n"] for r in R.top_k_of_many(ask, protos.where("class_idx < 2"), 4).groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {2}
+
+
+def test_a_database_is_read_by_other_processes(tmp_path):
+    """Executors have no memory in common with the driver or one another."""
+    run = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.sql.shuffle.partitions", "4").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+from lodestone import plans
+print("rows", plans.QUERIES["database_manifest"](spark, "{DATA}").distinct().count(), spark.read.parquet("{DATA}/lineitem.parquet").count())
+spark.stop()
+"""
+    said = subprocess.run([sys.executable, "-c", run], cwd=ROOT, env=os.environ | {"PYTHONPATH": ROOT, "SPARK_WORKER_DIR": f"{tmp_path}/work"}, capture_output=True, text=True, timeout=300)
+    rows = [line.split()[1:] for line in said.stdout.splitlines() if line.startswith("rows")]
+    assert rows and rows[0][0] == rows[0][1] != "0", said.stderr[-2000:]
+
+
+def test_database_files_hold_ranges_and_come_back_whole(spark, tmp_path):
+    put = [(n, None if n % 7 == 0 else f"näme '{n}'", n / 3 if n % 2 else None, n % 5) for n in range(-20, 300)]
+    ddl = "id long, name string, x double, k int"
+    root = f"file://{tmp_path}/db"
+    sinks.sqlite_files(spark.createDataFrame(put, ddl), root, "t", ["id"], 3)
+    got = readers.sqlite_table(spark, root, "t", ddl)
+    assert sorted(map(tuple, got.collect())) == put and got.dtypes == [("id", "bigint"), ("name", "string"), ("x", "double"), ("k", "int")]
+    assert len(list((tmp_path / "db").glob("*.db"))) == 3
+    sinks.sqlite_files(spark.createDataFrame([], ddl), f"{root}0", "t", ["id"], 2)
+    assert readers.sqlite_table(spark, f"{root}0", "t", ddl).count() == 0
+
+
+def test_a_server_is_read_in_ranges(spark):
+    url = f"jdbc:derby:memory:lodestone{uuid.uuid4().hex};create=true"
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    spark.range(100).write.format("jdbc").options(url=url, dbtable="t").mode("append").save()
+    got = readers.jdbc_table(spark, url, "t", "id", (0, 99), 4)
+    assert sorted(r[0] for r in got.collect()) == list(range(100)) and got.rdd.getNumPartitions() == 4
