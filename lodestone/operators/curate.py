@@ -116,6 +116,22 @@ def running_total(df: DataFrame, order, value: Column, name: str) -> DataFrame:
     return numbered.withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_before", "_own", "_v")
 
 
+def place_in_group(df: DataFrame, group: str, order, name: str) -> DataFrame:
+    """With each row's place in its group in order, from 0; the order must tell a group's rows apart.
+
+    A group may be any share of the rows: they are dealt by ranges of group and order and kept in the
+    shared folder, each range numbers its own, and the sizes of a group's earlier parts (a row a
+    range and group) give where a part starts.
+    """
+    order = _cols(order)
+    ranged = cut(df.repartitionByRange(F.col(group), *[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id()))
+    parts = ranged.groupBy("_range", F.col(group).alias("_group")).agg(F.count("*").alias("_n"))
+    starts = parts.select(F.col("_range").alias("_part"), "_group", (F.sum("_n").over(Window.partitionBy("_group").orderBy("_range")) - F.col("_n")).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range", group).orderBy(*order)) - 1
+    numbered = ranged.withColumn("_own", own).join(starts, (F.col("_range") == F.col("_part")) & F.col(group).eqNullSafe(F.col("_group")))
+    return numbered.withColumn(name, F.col("_start") + F.col("_own")).drop("_range", "_part", "_group", "_start", "_own")
+
+
 def every_nth_split(df: DataFrame, order, n: int = 5) -> DataFrame:
     """Rows 0, n, 2n ... of the whole order are "val", the others "train"."""
     numbered = running_total(df, order, F.lit(1).cast("long"), "_nth")

@@ -19,12 +19,15 @@ _PHOTOS = "array<struct<id:bigint,url:string>>"
 _RESEARCH = "quality_grade=research&photos=true&order_by=created_at"
 
 
-def _put_pages(docs: DataFrame, order: Column, name, root: str, size: int = _SIZE, last=lambda n, size, rows: F.lit(None).cast("boolean")) -> None:
-    """Writes ``docs`` (key, doc) as pages of ``size``, and an empty page after each key's last."""
-    numbered = docs.withColumn("page", F.floor((F.row_number().over(Window.partitionBy("key").orderBy(order)) - 1) / size))
-    numbered = numbered.withColumn("at", F.row_number().over(Window.partitionBy("key", "page").orderBy(order)))
-    pages = numbered.groupBy("key", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "doc"))), lambda s: s["doc"]).alias("results"))
-    after = numbered.groupBy("key").agg((F.max("page") + 1).alias("page"), F.slice(F.collect_list("doc"), 1, 0).alias("results"))
+def _put_pages(docs: DataFrame, order: str, name, root: str, size: int = _SIZE, last=lambda n, size, rows: F.lit(None).cast("boolean"), newest: bool = False) -> None:
+    """Writes ``docs`` (key, doc) as pages of ``size``, and an empty page after each key's last.
+
+    Keys are few and have very many rows each, so no step is by key alone.
+    """
+    ordered = docs.withColumn("_order", -F.col(order) if newest else F.col(order))
+    numbered = C.place_in_group(ordered, "key", "_order", "place").select("key", F.floor(F.col("place") / size).alias("page"), "place", "doc")
+    pages = numbered.groupBy("key", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "doc"))), lambda s: s["doc"]).alias("results"))
+    after = numbered.groupBy("key").agg((F.max("page") + 1).alias("page")).withColumn("results", F.array().cast(pages.schema["results"].dataType))
     rows = pages.unionByName(after)
     body = F.to_json(F.struct("results", last(F.col("page"), size, F.size("results")).alias("endOfRecords")))
     sinks.put_objects(rows.select(name(F.col("key"), F.col("page")).alias("key"), F.encode(body, "UTF-8").alias("content")), root)
@@ -69,7 +72,7 @@ SELECT key::VARCHAR AS key, event_id FROM (SELECT * FROM f QUALIFY row_number()
 def newest_photos(spark: SparkSession, d: str) -> DataFrame:
     """The newest twelve observations of each taxon with a photo, each photo once."""
     docs, root = _observations(spark, d, F.floor(F.col("event_id") / 8)), new_folder(spark, "service")
-    _put_pages(docs, F.desc("event_id"), _ask("desc"), root)
+    _put_pages(docs, "event_id", _ask("desc"), root, newest=True)
     found = rest.newest_observations(spark, f"{root}/observations", _keys(docs), target=12, pagesize=_SIZE, pause=0)
     return found.select("key", F.substring(F.get_json_object("value", "$.uuid"), 2, 20).cast("long").alias("event_id"))
 
@@ -79,7 +82,7 @@ SELECT event_id, photo AS photo_id FROM (SELECT * FROM f WHERE photo NOT IN (SEL
 def photos_since(spark: SparkSession, d: str) -> DataFrame:
     """The first 25 observations of each taxon whose photo is not excluded; keys come from a table."""
     docs, root = _observations(spark, d, F.col("event_id")), new_folder(spark, "service")
-    _put_pages(docs, F.asc("event_id"), _ask_since, root)
+    _put_pages(docs, "event_id", _ask_since, root)
     excluded = table(spark, d, "supplier").select("s_suppkey")
     return _first_photos(rest.observations_since(spark, f"{root}/observations", _keys(docs), "2026-01-01", 25, pages=3, exclude_photos=excluded, pagesize=_SIZE, pause=0))
 
@@ -91,7 +94,7 @@ SELECT event_id, photo AS photo_id FROM c QUALIFY row_number() OVER (PARTITION B
 def diverse_photos(spark: SparkSession, d: str) -> DataFrame:
     """At most four a species and 13 a taxon, of observations that are not excluded."""
     docs, root = _observations(spark, d, F.col("event_id")), new_folder(spark, "service")
-    _put_pages(docs, F.asc("event_id"), _ask_since, root)
+    _put_pages(docs, "event_id", _ask_since, root)
     excluded = table(spark, d, "part").select("p_partkey")
     uuids = table(spark, d, "events").where("value > 100").select(F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("uuid"))
     return _first_photos(rest.diverse_observations(spark, f"{root}/observations", _keys(docs), "2026-01-01", 13, cap=4, exclude_photos=excluded, exclude_uuids=uuids, pagesize=_SIZE, pause=0))
@@ -136,7 +139,7 @@ def occurrence_pages(spark: SparkSession, d: str) -> DataFrame:
     media = F.struct(F.concat(F.lit("m"), k.cast("string")).alias("identifier"), F.when(k % 3 > 0, "StillImage").otherwise("Sound").alias("type"), F.when(k % 2 == 0, "open").otherwise("closed").alias("license"))
     docs = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 5).alias("key"), F.struct(F.array(media).alias("media")).alias("doc"))
     name = lambda key, page: F.concat(F.lit("occurrence?taxonKey="), key.cast("string"), F.lit(f"&mediaType=StillImage&limit={_SIZE}&offset="), (page * _SIZE).cast("string"))
-    _put_pages(docs, F.asc("o_orderkey"), name, root, last=lambda page, size, rows: rows < size)
+    _put_pages(docs, "o_orderkey", name, root, last=lambda page, size, rows: rows < size)
     found = rest.occurrences(spark, f"{root}/occurrence", _keys(docs), pages=6, size=_SIZE, pause=0)
     whole = found.select(F.to_json(F.struct(F.array(F.from_json("value", "media array<struct<identifier:string,type:string,format:string,license:string>>")).alias("results"))).alias("value"))
     return C.still_images(readers.occurrences_json(whole)).select("identifier", (F.col("license") == "open").alias("open"))

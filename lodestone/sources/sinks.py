@@ -135,9 +135,12 @@ def put_objects(df: DataFrame, root: str, key: str = "key", content: str = "cont
         from pyarrow import fs
 
         files, at = fs.FileSystem.from_uri(root)
+        folder = None
         for row in rows:
             target = f"{at}/{row[key]}"
-            files.create_dir(target.rpartition("/")[0], recursive=True)
+            if folder != target.rpartition("/")[0]:
+                folder = target.rpartition("/")[0]
+                files.create_dir(folder, recursive=True)
             with files.open_output_stream(target, metadata={"Content-Type": mimetypes.guess_type(row[key])[0] or "image/jpeg"}) as out:
                 out.write(row[content])
 

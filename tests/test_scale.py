@@ -268,3 +268,34 @@ def test_a_server_is_read_in_ranges(spark):
     spark.range(100).write.format("jdbc").options(url=url, dbtable="t").mode("append").save()
     got = readers.jdbc_table(spark, url, "t", "id", (0, 99), 4)
     assert sorted(r[0] for r in got.collect()) == list(range(100)) and got.rdd.getNumPartitions() == 4
+
+
+def test_places_in_a_group_that_holds_all_rows(spark):
+    df = spark.range(3000).select((F.col("id") * 7919 % 3001).alias("id"), F.when(F.col("id") < 2900, F.lit(1)).when(F.col("id") < 2950, F.lit(2)).alias("g"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = C.place_in_group(df, "g", "id", "place")
+        got = rows(placed)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    groups = {}
+    for n, g in sorted(map(tuple, df.collect())):
+        groups.setdefault(g, []).append((n, g, len(groups.get(g, []))))
+    assert got == sorted((r for some in groups.values() for r in some), key=repr)
+    windows = [w for w in placed._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [row_number" in w]
+    assert windows and all("[_range" in w for w in windows)
+
+
+def test_pages_are_numbered_by_ranges_of_a_key(spark, tmp_path, monkeypatch):
+    from lodestone.plans import services
+
+    numbered = []
+    monkeypatch.setattr(services.C, "place_in_group", lambda *a, f=C.place_in_group: numbered.append(a[1:]) or f(*a))
+    docs = spark.range(95).select("id", F.lit(3).alias("key"), F.struct("id").alias("doc"))
+    name = lambda key, page: F.concat_ws("-", key.cast("string"), page.cast("string"))
+    services._put_pages(docs, "id", name, f"file://{tmp_path}/up", size=40)
+    services._put_pages(docs, "id", name, f"file://{tmp_path}/down", size=40, newest=True)
+    pages = {way: {p.name: [r["id"] for r in json.loads(p.read_text())["results"]] for p in (tmp_path / way).iterdir()} for way in ("up", "down")}
+    up, down = list(range(95)), list(range(94, -1, -1))
+    assert pages == {way: {"3-0": ids[:40], "3-1": ids[40:80], "3-2": ids[80:], "3-3": []} for way, ids in (("up", up), ("down", down))}
+    assert len(numbered) == 2
