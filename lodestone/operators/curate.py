@@ -266,16 +266,18 @@ def with_default(df: DataFrame, other: DataFrame, key: str, value: str, default)
 def id_else_name(left: DataFrame, right: DataFrame, left_cols: tuple[str, str, str], right_cols: tuple[str, str, str]) -> DataFrame:
     """(left key, right key) of the first match, null if none: by id where both sides have one, else by name.
 
-    Columns are (key, id, name) of each side; the match with the least right key is the first.
-    Two equi-joins stand for the condition, so nothing is compared pairwise.
+    Columns are (key, id, name) of each side; the match with the least right key is the first, and
+    rows of one left key share it.  The right side comes down to the least key of each id and of each
+    name before it is joined, so a left row meets two rows however many match.
     """
     (lk, lid, lname), (rk, rid, rname) = left_cols, right_cols
     a = left.select(lk, F.col(lid).alias("_lid"), F.col(lname).alias("_lname"))
-    b = right.select(rk, F.col(rid).alias("_rid"), F.col(rname).alias("_rname"))
-    by_id = a.join(b.where("_rid is not null"), F.col("_lid") == F.col("_rid")).select(lk, rk)
-    by_name = a.join(b, (F.col("_lname") == F.col("_rname")) & (F.col("_lid").isNull() | F.col("_rid").isNull())).select(lk, rk)
-    first = by_id.union(by_name).groupBy(lk).agg(F.min(rk).alias(rk))
-    return left.select(lk).join(first, lk, "left")
+    b = right.select(F.col(rk).alias("_rk"), F.col(rid).alias("_rid"), F.col(rname).alias("_rname"))
+    by_id = b.where("_rid is not null").groupBy("_rid").agg(F.min("_rk").alias("_by_id"))
+    by_name = b.where("_rname is not null").groupBy("_rname").agg(F.min("_rk").alias("_any"), F.min(F.when(F.col("_rid").isNull(), F.col("_rk"))).alias("_without"))
+    met = a.join(by_id, F.col("_lid") == F.col("_rid"), "left").join(by_name, F.col("_lname") == F.col("_rname"), "left")
+    found = F.least("_by_id", F.when(F.col("_lid").isNull(), F.col("_any")).otherwise(F.col("_without")))
+    return met.groupBy(lk).agg(F.min(found).alias(rk))
 
 
 def image_status(df: DataFrame, min_dim: int, key: str, order: str) -> DataFrame:

@@ -299,3 +299,21 @@ def test_pages_are_numbered_by_ranges_of_a_key(spark, tmp_path, monkeypatch):
     up, down = list(range(95)), list(range(94, -1, -1))
     assert pages == {way: {"3-0": ids[:40], "3-1": ids[40:80], "3-2": ids[80:], "3-3": []} for way, ids in (("up", up), ("down", down))}
     assert len(numbered) == 2
+
+
+def test_a_lookup_meets_no_pairs(spark):
+    left = spark.range(300).select(F.col("id").alias("k"), F.when(F.col("id") % 3 > 0, F.lit(1)).alias("id"), F.lit("n").alias("name"))
+    right = spark.range(400).select((F.col("id") + 5).alias("m"), F.when(F.col("id") % 2 > 0, F.lit(1)).alias("id"), F.lit("n").alias("name"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = C.id_else_name(left.union(left.limit(1)), right, ("k", "id", "name"), ("m", "id", "name"))
+        got, todo, joined = rows(df), [df._jdf.queryExecution().executedPlan()], []
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(n) for n in range(node.children().size())]
+            if "Join" in node.nodeName():
+                joined.append(node.metrics().apply("numOutputRows").value())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == sorted(((k, 5) for k in range(300)), key=repr)
+    assert joined and max(joined) <= 301
